@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
+import tempfile
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None
-    )
+from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> None:
-    """Point the context at the configured folder; a folder that is already set stays."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = checkpoint_dir(spark)
-        if folder is None:
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        spark.sparkContext.setCheckpointDir(folder)
+    """Point the context at the configured folder; one that is already set stays.
+
+    Only a local session may fall back to a folder of its own: on a cluster a
+    machine-local folder would be lost with its machine.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    context.setCheckpointDir(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: survives lost executors, unlike a local one."""
+    """A reliable checkpoint: computed once, survives lost executors.
+
+    It also stops the optimiser from pushing later filters down into long chains of derived
+    columns, where substituting every alias makes the expressions explode.
+    """
     prepare(df.sparkSession)
     return df.checkpoint(eager=True)

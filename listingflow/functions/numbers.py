@@ -172,4 +172,4 @@ def duration_minutes(c: Column) -> Column:
     seconds = F.floor(
         blank_to_null(F.regexp_extract(c, r"\A(\d+(?:\.\d+)?)s\z", 1)).try_cast("double")
     )
-    return F.greatest(F.lit(1), F.bround(seconds / 60).cast("int"))
+    return F.when(seconds.isNotNull(), F.greatest(F.lit(1), F.bround(seconds / 60).cast("int")))

@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import vocabulary as V
 
@@ -85,7 +86,7 @@ def narrow_digits(c: Column) -> Column:
     return F.translate(c, "０１２３４５６７８９", "0123456789")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Full compatibility normalisation, for text with more than full-width ASCII in it."""
     return texts.str.normalize("NFKC")

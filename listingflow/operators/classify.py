@@ -90,17 +90,17 @@ def classify(records: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     ``labels`` has ``source, listing_id`` and the fields of the classification struct. Keys
     are unique on both sides, so the join spreads evenly.
     """
-    marked = add_female_only(records)
-    rules = keyword_classification(classification_text(), F.col("female_only"))
+    marked = add_female_only(records).withColumn("_text", classification_text())
+    rules = keyword_classification(F.col("_text"), F.col("female_only"))
     if labels is None:
-        return marked.withColumn("classification", rules)
+        return marked.withColumn("classification", rules).drop("_text")
     given = labels.select(
         "source", "listing_id", F.struct(*LABEL_FIELDS).alias("_label")
     )
     return (
         marked.join(given, ["source", "listing_id"], "left")
         .withColumn("classification", F.coalesce("_label", rules))
-        .drop("_label")
+        .drop("_label", "_text")
     )
 
 
@@ -181,9 +181,9 @@ def reject_reasons(
 ) -> Column:
     """Every reason a record fails, in a fixed order; empty means it passes.
 
-    Reads the record columns and ``female_only``.
+    Reads the record columns, ``female_only`` and ``match_text`` (see ``route``).
     """
-    text = classification_text()
+    text = F.col("match_text")
     room = F.coalesce("room_type", F.lit(""))
     cost = effective_cost(F.col("total_monthly_cost"), F.col("rent"))
     area = F.col("area_ping")
@@ -223,8 +223,13 @@ def reject_reasons(
 
 def route(records: DataFrame, reasons: Column) -> DataFrame:
     """Rejected records stay in the table, with their reasons and status."""
-    return records.withColumn("filter_reasons", reasons).withColumn(
-        "status", F.when(F.size("filter_reasons") == 0, F.lit("active")).otherwise("filtered_out")
+    return (
+        records.withColumn("match_text", classification_text())
+        .withColumn("filter_reasons", reasons)
+        .withColumn(
+            "status", F.when(F.size("filter_reasons") == 0, F.lit("active")).otherwise("filtered_out")
+        )
+        .drop("match_text")
     )
 
 

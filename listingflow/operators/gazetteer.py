@@ -135,56 +135,62 @@ class Gazetteer:
             F.when(name.isin(*self.owners), name).otherwise(self.earliest_district(name)),
         )
 
-    # --- resolution ---------------------------------------------------------------
+    # --- resolution: staged projections, so each intermediate value is computed once ---
 
-    def resolve(
-        self, text: Column, city_value: Column | None = None, district_value: Column | None = None
-    ) -> Column:
-        """struct(city, district). Structured values scope the text; ambiguity stays null."""
+    def add_place(
+        self, df: DataFrame, text: str, city: str | None = None, district: str | None = None, out: str = "place"
+    ) -> DataFrame:
+        """Add struct(city, district). Structured values scope the text; ambiguity stays null."""
+        c = F.col
         none = F.lit(None).cast("string")
-        name = normalize_spelling(text)
-        city = F.coalesce(
-            self.canonical_city(city_value) if city_value is not None else none,
-            self.earliest_city(name),
+        staged = (
+            df.withColumn("_name", normalize_spelling(c(text)))
+            .withColumn("_given_city", self.canonical_city(c(city)) if city else none)
+            .withColumn("_given", self.canonical_district(c(district)) if district else none)
+            .withColumn("_city", F.coalesce("_given_city", self.earliest_city(c("_name"))))
+            .withColumn("_owner", self.only_city(c("_given")))
+            .withColumn("_bare", self.earliest_district(c("_name"), unique_only=True))
         )
-        given = self.canonical_district(district_value) if district_value is not None else none
-        given_owner = self.only_city(given)
-        bare = self.earliest_district(name, unique_only=True)
-
-        def place(c: Column, d: Column) -> Column:
-            return F.struct(c.alias("city"), d.alias("district"))
-
-        return (
-            F.when(city.isNotNull() & self.belongs(city, given), place(city, given))
-            .when(city.isNull() & given_owner.isNotNull(), place(given_owner, given))
-            .when(city.isNotNull(), place(city, self.earliest_district_of(city, name)))
-            .otherwise(place(self.only_city(bare), bare))
+
+        def place(a: Column, b: Column) -> Column:
+            return F.struct(a.alias("city"), b.alias("district"))
+
+        known = c("_city").isNotNull()
+        chosen = (
+            F.when(known & self.belongs(c("_city"), c("_given")), place(c("_city"), c("_given")))
+            .when(~known & c("_owner").isNotNull(), place(c("_owner"), c("_given")))
+            .when(known, place(c("_city"), self.earliest_district_of(c("_city"), c("_name"))))
+            .otherwise(place(self.only_city(c("_bare")), c("_bare")))
         )
+        return staged.select(*df.columns, chosen.alias(out))
 
-    def resolve_longest_first(self, text: Column, page_url: Column | None = None) -> Column:
+    def add_place_longest_first(
+        self, df: DataFrame, text: str, page_url: str | None = None, out: str = "place"
+    ) -> DataFrame:
         """The portal's rule: names are tried by length, wherever they stand in the text."""
-        none = F.lit(None).cast("string")
-        name = normalize_spelling(text)
-        page = self.place_of_page(page_url) if page_url is not None else None
-        page_city = page["city"] if page is not None else none
-        city = _first_listed(name, _by_length(self.cities))
-        preferred = F.coalesce(city, page_city)
+        c = F.col
+        none = F.struct(F.lit(None).cast("string").alias("city"), F.lit(None).cast("string").alias("district"))
+        staged = df.withColumn("_name", normalize_spelling(c(text)))
+        if page_url:
+            staged = self.add_place_of_page(staged, page_url, "_page")
+        else:
+            staged = staged.withColumn("_page", none)
         listed = F.array(*[F.lit(n) for n in _by_length(self.owners)])
+        staged = staged.withColumn(
+            "_preferred", F.coalesce(_first_listed(c("_name"), _by_length(self.cities)), c("_page.city"))
+        ).withColumn("_named", F.filter(listed, lambda n: F.contains(c("_name"), n)))
         hits = F.transform(
-            F.filter(listed, lambda n: F.contains(name, n)),
+            "_named",
             lambda n: F.struct(
-                F.when(self.belongs(preferred, n), preferred)
+                F.when(self.belongs(c("_preferred"), n), c("_preferred"))
                 .otherwise(self.only_city(n))
                 .alias("city"),
                 n.alias("district"),
             ),
         )
         best = F.try_element_at(F.filter(hits, lambda h: h["city"].isNotNull()), F.lit(1))
-        fallback = F.struct(
-            preferred.alias("city"),
-            (page["district"] if page is not None else none).alias("district"),
-        )
-        return F.coalesce(best, fallback)
+        fallback = F.struct(c("_preferred").alias("city"), c("_page.district").alias("district"))
+        return staged.select(*df.columns, F.coalesce(best, fallback).alias(out))
 
     # --- ids and names ------------------------------------------------------------
 
@@ -206,59 +212,78 @@ class Gazetteer:
             out = F.when(region_id == str(region), F.try_element_at(lookup, section_id)).otherwise(out)
         return out
 
-    def place_of_page(self, page_url: Column) -> Column:
+    def add_place_of_page(self, df: DataFrame, page_url: str, out: str) -> DataFrame:
         """City and district named by the region and section ids of a search URL."""
-        region = blank_to_null(strip(F.substring_index(query_value(page_url, "region"), "-", 1)))
-        raw = strip(query_value(page_url, "section"))
-        section = F.when(~F.contains(raw, F.lit("-")), blank_to_null(raw))
-        return F.struct(
-            self.city_of_region(region).alias("city"),
-            self.district_of_section(region, section).alias("district"),
+        url = F.col(page_url)
+        staged = df.withColumns(
+            {
+                "_region": blank_to_null(strip(F.substring_index(query_value(url, "region"), "-", 1))),
+                "_section": strip(query_value(url, "section")),
+            }
+        )
+        section = F.when(~F.contains("_section", F.lit("-")), blank_to_null(F.col("_section")))
+        place = F.struct(
+            self.city_of_region(F.col("_region")).alias("city"),
+            self.district_of_section(F.col("_region"), section).alias("district"),
         )
+        return staged.withColumn(out, place).drop("_region", "_section")
 
     # --- one city's board, with its short names -------------------------------------
 
-    def resolve_on_board(
+    def add_place_on_board(
         self,
-        text: Column,
+        df: DataFrame,
+        text: str,
+        out: str = "place",
         city: str = V.FORUM_CITY,
         stem: str = V.FORUM_CITY_STEM,
         aliases: Sequence[tuple[str, str]] = V.FORUM_AREA_ALIASES,
-    ) -> Column:
-        """struct(city, district) for a post on one city's board.
+    ) -> DataFrame:
+        """Add struct(city, district) for a post on one city's board.
 
         The address line is asked first; an address in another city rejects the post. Then
         the whole text, then the bracketed area of the title, where short names are known.
         """
-        name = normalize_spelling(text)
-        address = labelled_field(name, V.FORUM_ADDRESS_LABELS)
-        area = bracket_area(name, stem)
+        c = F.col
         stems = [(d.removesuffix("區"), d) for d in self.cities[city]]
-        elsewhere = self.earliest_city(normalize_spelling(address))
-        rejected = F.coalesce(elsewhere != city, F.lit(False))
+        staged = (
+            df.withColumn("_name", normalize_spelling(c(text)))
+            .withColumn("_line", normalize_spelling(labelled_field(c("_name"), V.FORUM_ADDRESS_LABELS)))
+            .withColumn("_area", normalize_spelling(bracket_area(c("_name"), stem)))
+        )
 
-        def named(t: Column, short_names: bool) -> Column:
-            t = normalize_spelling(t)
-            options = [blank_to_null(F.regexp_extract(t, _any_of(_by_length(self.cities[city])), 1))]
+        def named(t: Column) -> Column:
+            official = blank_to_null(F.regexp_extract(t, _any_of(_by_length(self.cities[city])), 1))
             legacy = F.lit(None).cast("string")
             for short, district in reversed(stems):
                 pattern = rf"(?U){stem}(?:市|縣)\s*{re.escape(short)}(?:區|市|鎮|鄉)"
                 legacy = F.when(t.rlike(pattern), F.lit(district)).otherwise(legacy)
-            options.append(legacy)
-            if short_names:
-                compact = strip(F.regexp_replace(t, r"(?U)[\s・·｜|／/\-—_][^\n]*\z", ""))
-                known = dict([*stems, *aliases])
-                by_prefix = F.lit(None).cast("string")
-                for short in reversed(sorted(known, key=len, reverse=True)):
-                    by_prefix = F.when(compact.startswith(short), F.lit(known[short])).otherwise(by_prefix)
-                options.append(by_prefix)
-            return F.coalesce(*options)
-
-        district = F.coalesce(named(address, True), named(name, False), named(area, True))
-        found_city = F.when(district.isNotNull() | F.contains(name, F.lit(city)), F.lit(city))
-        return F.struct(
-            F.when(~rejected, found_city).alias("city"), F.when(~rejected, district).alias("district")
+            return F.coalesce(official, legacy)
+
+        def abbreviated(t: Column) -> Column:
+            compact = strip(F.regexp_replace(t, r"(?U)[\s・·｜|／/\-—_][^\n]*\z", ""))
+            known = dict([*stems, *aliases])
+            out = F.lit(None).cast("string")
+            for short in reversed(sorted(known, key=len, reverse=True)):
+                out = F.when(compact.startswith(short), F.lit(known[short])).otherwise(out)
+            return out
+
+        staged = staged.withColumn("_elsewhere", self.earliest_city(c("_line"))).withColumn(
+            "_district",
+            F.coalesce(
+                named(c("_line")),
+                abbreviated(c("_line")),
+                named(c("_name")),
+                named(c("_area")),
+                abbreviated(c("_area")),
+            ),
+        )
+        rejected = F.coalesce(c("_elsewhere") != city, F.lit(False))
+        found_city = F.when(c("_district").isNotNull() | F.contains("_name", F.lit(city)), F.lit(city))
+        place = F.struct(
+            F.when(~rejected, found_city).alias("city"), F.when(~rejected, c("_district")).alias("district")
         )
+        return staged.select(*df.columns, place.alias(out))
 
 
 def bracket_area(text: Column, stem: str = V.FORUM_CITY_STEM) -> Column:
@@ -270,25 +295,17 @@ def bracket_area(text: Column, stem: str = V.FORUM_CITY_STEM) -> Column:
 def address_in_text(
     text: Column, city: Column, district: Column, limit: int = 60, portal: bool = False
 ) -> Column:
-    """From the (city and) district name on, up to a delimiter.
-
-    The pattern is built per row from the names already resolved; both are plain words.
-    """
+    """From the district name on (the city too, if it stands right before) to a delimiter."""
     name = normalize_spelling(text)
-    gap = "" if portal else r"(?U:\s*)"
-    stop = r"(?U:[^\s，,。])" if portal else r"[^\n，,。|]"
-    prefix = F.when(city.isNotNull(), F.concat(F.lit("(?:\\Q"), city, F.lit(f"\\E)?{gap}"))).otherwise("")
-    pattern = F.concat(
-        F.lit("("), prefix, F.lit("\\Q"), district, F.lit("\\E"), F.lit(f"{stop}{{0,{limit}}})")
-    )
-    hit = blank_to_null(strip(F.regexp_extract(name, pattern, F.lit(1))))
-    if portal:
-        return hit
-    line = F.try_element_at(
-        F.filter(F.split(name, "\n"), lambda x: F.contains(x, district) & (F.length(x) <= 120)),
-        F.lit(1),
-    )
-    return F.coalesce(hit, strip(line))
+    at = F.position(district, name)
+    head = F.left(name, at - 1)
+    tail = F.substr(name, at + F.length(district))
+    gap = F.lit("") if portal else F.regexp_extract(head, r"(?U)\s*\z", 0)
+    before = head if portal else F.regexp_replace(head, r"(?U)\s+\z", "")
+    stop = r"(?U)\A[^\s，,。]" if portal else r"\A[^\n，,。|]"
+    rest = F.regexp_extract(tail, f"{stop}{{0,{limit}}}", 0)
+    prefix = F.when(F.endswith(before, city), F.concat(city, gap)).otherwise("")
+    return F.when(at > 0, blank_to_null(strip(F.concat(prefix, district, rest))))
 
 
 def names_in_text(texts: DataFrame, names: DataFrame, key: str, text: str, name: str) -> DataFrame:

@@ -66,102 +66,129 @@ def _explicit(text: Column, names: Sequence[str]) -> Column:
     return out
 
 
-def evidence_cascade(
+def add_evidence(
+    df: DataFrame,
     address: Column,
     context: Column,
-    city: Column,
-    district: Column,
+    city: str,
+    district: str,
+    out: str,
     roads=V.ROAD_RULES,
     stations=V.STATION_RULES,
     bases=V.DISTRICT_BASES,
     cities: Sequence[str] = V.EXPLICIT_CITIES,
-) -> Column:
-    """struct(score, method, basis, confidence, reason) over normalised texts.
+) -> DataFrame:
+    """Add struct(score, method, basis, confidence, reason) over normalised texts.
 
     Address road, context road, address station, context station, district base, unknown:
-    the first that applies decides alone, so repeated advertising words add nothing.
+    the first that applies decides alone, so repeated advertising words add nothing. The
+    steps are separate projections, so each intermediate value is computed once.
     """
+    c = F.col
     districts = list(dict.fromkeys(d for _, d, _ in bases))
-    city = F.coalesce(_explicit(address, cities), F.translate(city, "臺", "台"))
-    district = F.coalesce(_explicit(address, districts), district)
-    said_city, said_district = _explicit(context, cities), _explicit(context, districts)
-    city_clash = F.coalesce((said_city != city) & (city != ""), F.lit(False))
-    district_clash = F.coalesce((said_district != district) & (district != ""), F.lit(False))
-    context_city = F.when(city_clash, F.lit(CONFLICT)).when(district_clash, city).otherwise(
-        F.coalesce(said_city, city)
+    texts = df.withColumns({"_address": address, "_context": context})
+    places = texts.withColumns(
+        {
+            "_city": F.coalesce(_explicit(c("_address"), cities), F.translate(city, "臺", "台")),
+            "_district": F.coalesce(_explicit(c("_address"), districts), c(district)),
+            "_said_city": _explicit(c("_context"), cities),
+            "_said_district": _explicit(c("_context"), districts),
+        }
     )
-    context_district = F.when(city_clash | district_clash, F.lit(CONFLICT)).otherwise(
-        F.coalesce(said_district, district)
+    city_clash = F.coalesce((c("_said_city") != c("_city")) & (c("_city") != ""), F.lit(False))
+    district_clash = F.coalesce(
+        (c("_said_district") != c("_district")) & (c("_district") != ""), F.lit(False)
+    )
+    scoped = places.withColumns(
+        {
+            "_context_city": F.when(city_clash, F.lit(CONFLICT))
+            .when(district_clash, c("_city"))
+            .otherwise(F.coalesce("_said_city", "_city")),
+            "_context_district": F.when(city_clash | district_clash, F.lit(CONFLICT)).otherwise(
+                F.coalesce("_said_district", "_district")
+            ),
+        }
     )
-
-    road = best_road(address, city, district, roads)
-    detailed = address.rlike(r"(?U)(?:\d+|[xX])(?:巷|弄|號)")
-    hint = best_road(context, context_city, context_district, roads)
-    station = best_station(address, stations)
-    near = best_station(context, stations)
     base = F.lit(None).cast("int")
-    for c, d, score in bases:
-        base = F.when((city == c) & (district == d), F.lit(score)).otherwise(base)
+    for place_city, place_district, score in bases:
+        here = (c("_city") == place_city) & (c("_district") == place_district)
+        base = F.when(here, F.lit(score)).otherwise(base)
+    found = scoped.withColumns(
+        {
+            "_road": best_road(c("_address"), c("_city"), c("_district"), roads),
+            "_hint": best_road(c("_context"), c("_context_city"), c("_context_district"), roads),
+            "_station": best_station(c("_address"), stations),
+            "_near": best_station(c("_context"), stations),
+            "_base": base,
+            "_detailed": c("_address").rlike(r"(?U)(?:\d+|[xX])(?:巷|弄|號)"),
+        }
+    )
+
+    def capped(rule: str, off: int) -> Column:
+        return F.least(F.lit(78), F.greatest(F.lit(0), c(f"{rule}.score") - off))
 
-    return F.coalesce(
+    chosen = (
         F.when(
-            road.isNotNull(),
+            c("_road").isNotNull(),
             _evidence(
-                F.when(detailed, road["score"]).otherwise(road["score"] - 2),
+                F.when(c("_detailed"), c("_road.score")).otherwise(c("_road.score") - 2),
                 "address_road",
-                F.concat(F.lit("road:"), road["basis"]),
-                F.when(detailed, F.lit("high")).otherwise("medium"),
-                F.concat(F.lit("地址符合台大周邊路段："), road["label"]),
+                F.concat(F.lit("road:"), "_road.basis"),
+                F.when(c("_detailed"), F.lit("high")).otherwise("medium"),
+                F.concat(F.lit("地址符合台大周邊路段："), "_road.label"),
             ),
-        ),
-        F.when(
-            hint.isNotNull(),
+        )
+        .when(
+            c("_hint").isNotNull(),
             _evidence(
-                F.least(F.lit(78), F.greatest(F.lit(0), hint["score"] - 18)),
+                capped("_hint", 18),
                 "context_road",
-                F.concat(F.lit("context_road:"), hint["basis"]),
+                F.concat(F.lit("context_road:"), "_hint.basis"),
                 "low",
-                F.concat(F.lit("標題或描述提到台大周邊路段："), hint["label"], F.lit("（未由地址確認）")),
+                F.concat(F.lit("標題或描述提到台大周邊路段："), "_hint.label", F.lit("（未由地址確認）")),
             ),
-        ),
-        F.when(
-            station.isNotNull(),
+        )
+        .when(
+            c("_station").isNotNull(),
             _evidence(
-                station["score"],
+                c("_station.score"),
                 "mrt_station",
-                station["basis"],
+                c("_station.basis"),
                 "medium",
-                F.concat(F.lit("地址明確提到捷運"), station["label"]),
+                F.concat(F.lit("地址明確提到捷運"), "_station.label"),
             ),
-        ),
-        F.when(
-            near.isNotNull(),
+        )
+        .when(
+            c("_near").isNotNull(),
             _evidence(
-                F.least(F.lit(78), F.greatest(F.lit(0), near["score"] - 12)),
+                capped("_near", 12),
                 "mrt_station",
-                near["basis"],
+                c("_near.basis"),
                 "low",
-                F.concat(F.lit("標題或描述提到捷運"), near["label"], F.lit("（未由地址確認）")),
+                F.concat(F.lit("標題或描述提到捷運"), "_near.label", F.lit("（未由地址確認）")),
             ),
-        ),
-        F.when(
-            base.isNotNull(),
+        )
+        .when(
+            c("_base").isNotNull(),
             _evidence(
-                base,
+                c("_base"),
                 "district",
-                F.concat(F.lit("district:"), city, F.lit("/"), district),
+                F.concat(F.lit("district:"), "_city", F.lit("/"), "_district"),
                 "low",
-                F.concat(F.lit("僅能依行政區粗估："), city, district),
+                F.concat(F.lit("僅能依行政區粗估："), "_city", "_district"),
             ),
-        ),
-        _evidence(
-            F.lit(None).cast("int"),
-            "unknown",
-            F.lit("unknown:insufficient_location"),
-            "none",
-            F.lit("地址、明確捷運站與可用行政區資料皆不足"),
-        ),
+        )
+        .otherwise(
+            _evidence(
+                F.lit(None).cast("int"),
+                "unknown",
+                F.lit("unknown:insufficient_location"),
+                "none",
+                F.lit("地址、明確捷運站與可用行政區資料皆不足"),
+            )
+        )
     )
+    return found.select(*df.columns, chosen.alias(out))
 
 
 def minutes_score(minutes: Column) -> Column:
@@ -205,19 +232,19 @@ def add_proximity(
                 },
             }
         )
-    cascade = evidence_cascade(
+    out = add_evidence(
+        records,
         normalize_location(F.coalesce("address", F.lit(""))),
         normalize_location(context_text()),
-        F.col("city"),
-        F.col("district"),
+        "city",
+        "district",
+        "_e",
     )
-    if commute is None:
-        out = records.withColumn("_e", cascade)
-    else:
+    if commute is not None:
         measured = commute.filter("minutes IS NOT NULL").select(
             F.col("origin").alias("_origin"), F.col("minutes").cast("int").alias("_minutes")
         )
-        with_origin = records.withColumn(
+        with_origin = out.withColumn(
             "_origin", F.when(F.coalesce("address", F.lit("")) != "", route_origin())
         )
 
@@ -243,7 +270,7 @@ def add_proximity(
                             F.lit("Google Routes 大眾運輸估算 "), minutes.cast("string"), F.lit(" 分鐘")
                         ),
                     ),
-                ).otherwise(cascade),
+                ).otherwise(F.col("_e")),
             )
             .withColumn("commute_minutes", F.coalesce(minutes, F.col("commute_minutes")))
             .drop("_origin", "_minutes", "_n")
@@ -270,7 +297,7 @@ def rank_score(max_rent: int = 18_600) -> Column:
         F.coalesce(F.col("near_ntu_score").cast("double"), F.lit(0.0))
         + F.when((cost != 0) & cost.isNotNull(), F.greatest(F.lit(0.0), (F.lit(max_rent) - cost) / F.lit(300.0)))
         .otherwise(0.0)
-        + F.coalesce(F.least(F.lit(15.0), F.col("area_ping")), F.lit(0.0))
+        + F.when(F.col("area_ping").isNotNull(), F.least(F.lit(15.0), F.col("area_ping"))).otherwise(0.0)
         + bonus("has_rent_subsidy", 12.0)
         + bonus("has_tax_registration", 8.0)
         + bonus("has_independent_washer", 10.0)

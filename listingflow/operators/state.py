@@ -73,6 +73,8 @@ def upsert(state: DataFrame, batch: DataFrame, now: Column, full: bool = True) -
     needs, and its cost follows the batch, not the state.
     """
     fields = [f.name for f in record_schema().fields]
+    if not full:
+        state = state.join(batch.select(*KEY), list(KEY), "left_semi")
     old = state.select(F.struct(*fields).alias("old"))
     new = batch.select(F.struct(*fields).alias("new"))
     on = [F.col(f"old.{k}") == F.col(f"new.{k}") for k in KEY]

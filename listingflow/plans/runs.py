@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoint import cut
 from ..operators import classify as C
 from ..operators.dedupe import content_fingerprint, mark_duplicates
 from ..operators.outbox import backfill_top_n, message, order_outbox, run_summary, watch_top_n
@@ -65,8 +66,9 @@ def assess(
     routed = C.route(scored, reasons).withColumn(
         "dedupe_fingerprint", F.when(F.col("status") == "active", content_fingerprint())
     )
+    # Read twice by the marking; everything up to here is computed once.
     marked = mark_duplicates(
-        routed, "dedupe_fingerprint", carried or list(KEY), F.struct(*KEY)
+        cut(routed), "dedupe_fingerprint", carried or list(KEY), F.struct(*KEY)
     )
     return marked.select(*carried, *shaped)
 
@@ -78,8 +80,9 @@ class WatchResult:
 
 
 def ingest(store: StateStore, assessed: DataFrame, now: datetime) -> int:
-    """Upsert a batch; writes only the batch's rows."""
-    batch = assessed.drop(*[c for c in ORDER if c in assessed.columns])
+    """Upsert a batch; reads the matching state rows and writes only the batch's rows."""
+    # Used twice below and costly to derive from pages, so it is materialised once.
+    batch = cut(assessed.drop(*[c for c in ORDER if c in assessed.columns]))
     merged = upsert(store.read(), batch, F.lit(now), full=False)
     return store.write(merged, "changes" if store.version() else "whole")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,6 +51,11 @@ def record_schema() -> T.StructType:
     return T.StructType.fromDDL(RECORD_DDL)
 
 
+# Column names, in order, readable without a session.
+RECORD_COLUMNS = tuple(
+    part.split()[0] for part in re.sub(r"<[^>]*>", "", RECORD_DDL).split(",")
+)
+
 RUN_LOG_DDL = "pipeline string, completed_at timestamp"
 QUARANTINE_DDL = "source string, url string, code string, message string"
 GAZETTEER_DDL = "city string, region_id int, district string, section_id int, ord int"

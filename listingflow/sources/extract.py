@@ -44,11 +44,11 @@ def _flags(text: Column) -> dict[str, Column]:
 
 
 def generic_records(found: DataFrame, spec: SourceSpec, gazetteer: Gazetteer) -> DataFrame:
-    """Candidates of an ordinary source to records, those without a listing signal left out."""
+    """Candidates of an ordinary source to records; ``valid`` marks those with a listing signal."""
     text, url = F.col("text"), F.col("url")
     is_object = F.col("strategy").isin(JSONLD, STATE)
     low, high = spec.area_bounds
-    staged = (
+    titled = (
         found.withColumn(
             "title", F.coalesce(blank_to_null(F.col("title")), blank_to_null(X.short_title(text)))
         )
@@ -58,8 +58,8 @@ def generic_records(found: DataFrame, spec: SourceSpec, gazetteer: Gazetteer) ->
                 is_object, F.concat_ws("\n", F.coalesce("address", F.lit("")), "title", "text")
             ).otherwise(text),
         )
-        .withColumn("place", gazetteer.resolve(F.col("place_text"), F.col("city"), F.col("district")))
         .withColumn("raw_text", X.clean(text))
+        .withColumn("floor", N.floor_text(text))
         .withColumn("given_price", _first(F.col("prices"), lambda v: N.bounded_int(v, 1_000, spec.max_rent)))
         .withColumn("text_rent", N.rent_in_text(text, spec.max_rent))
         .withColumn("given_area", _first(F.col("areas"), lambda v: N.bounded_float(v, low, high)))
@@ -77,20 +77,20 @@ def generic_records(found: DataFrame, spec: SourceSpec, gazetteer: Gazetteer) ->
             ),
         )
     )
-    located = (
-        F.coalesce("city", "district", "address").isNotNull()
-        | gazetteer.resolve(text)["district"].isNotNull()
-    )
+    placed = gazetteer.add_place(titled, "place_text", "city", "district")
+    staged = gazetteer.add_place(placed, "text", out="text_place")
+    located = F.coalesce("city", "district", "address").isNotNull() | F.col("text_place.district").isNotNull()
     signal = (
         F.coalesce("given_price", "text_rent").isNotNull()
         | F.coalesce("given_area", "text_area").isNotNull()
         | located
     )
-    kept = staged.filter(
+    kept = staged.withColumn(
+        "valid",
         (F.trim(text) != "")
         & F.col("title").isNotNull()
         & U.is_detail_url(url, spec.detail_url_patterns)
-        & (~is_object | signal)
+        & (~is_object | signal),
     )
     rent = F.coalesce("given_price", "text_rent")
     own_id = F.coalesce(
@@ -102,7 +102,7 @@ def generic_records(found: DataFrame, spec: SourceSpec, gazetteer: Gazetteer) ->
         F.array(*[F.when(c, F.lit(t)) for t, c in zip(V.FLAG_TAGS, flags.values(), strict=True)])
     )
     city, district = F.col("place.city"), F.col("place.district")
-    floor = N.floor_text(text)
+    floor = F.col("floor")
     restriction = F.coalesce(
         X.gender_snippet(F.col("raw_text")),
         F.substring(
@@ -188,7 +188,8 @@ def portal_records(found: DataFrame, spec: SourceSpec, gazetteer: Gazetteer) ->
     )
     located = F.coalesce("city", "district", "address").isNotNull()
     suite = F.contains(text, F.lit("套房"))
-    kept = staged.filter(
+    kept = staged.withColumn(
+        "valid",
         F.when(jsonld, suite)
         .when(
             state,
@@ -197,32 +198,31 @@ def portal_records(found: DataFrame, spec: SourceSpec, gazetteer: Gazetteer) ->
             & (F.coalesce("text_room", "page_room").isNotNull() | suite)
             & (F.coalesce("given_price", "text_rent").isNotNull() | located),
         )
-        .otherwise((text != "") & (suite | F.col("page_room").isNotNull()))
+        .otherwise((text != "") & (suite | F.col("page_room").isNotNull())),
     )
-    page_place = gazetteer.place_of_page(F.col("page_url"))
-    from_page = gazetteer.resolve_longest_first(text, F.col("page_url"))
-    named_city, named = X.normalize_spelling(F.col("city")), X.normalize_spelling(F.col("district"))
-    state_place = (
-        F.when(
-            named.isNotNull(),
-            F.struct(
-                F.coalesce(
-                    gazetteer.city_of(named, F.coalesce(named_city, page_place["city"])),
-                    named_city,
-                    page_place["city"],
-                ).alias("city"),
-                named.alias("district"),
-            ),
+    kept = (
+        kept.withColumn("jsonld_text", F.concat_ws("\n", F.coalesce("address", F.lit("")), text))
+        .withColumn("named_city", X.normalize_spelling(F.col("city")))
+        .withColumn("named", X.normalize_spelling(F.col("district")))
+    )
+    kept = gazetteer.add_place_of_page(kept, "page_url", "page_place")
+    kept = gazetteer.add_place_longest_first(kept, "text", "page_url", out="from_page")
+    kept = gazetteer.add_place_longest_first(kept, "jsonld_text", out="from_jsonld")
+    kept = kept.withColumn("scope", F.coalesce("named_city", "page_place.city")).withColumn(
+        "owner", gazetteer.city_of(F.col("named"), F.col("scope"))
+    )
+    place = (
+        F.when(jsonld, F.col("from_jsonld"))
+        .when(card, F.col("from_page"))
+        .when(
+            F.col("named").isNotNull(),
+            F.struct(F.coalesce("owner", "scope").alias("city"), F.col("named").alias("district")),
         )
         .when(
-            named_city.isNotNull(),
-            F.struct(named_city.alias("city"), from_page["district"].alias("district")),
+            F.col("named_city").isNotNull(),
+            F.struct(F.col("named_city").alias("city"), F.col("from_page.district").alias("district")),
         )
-        .otherwise(from_page)
-    )
-    jsonld_text = F.concat_ws("\n", F.coalesce("address", F.lit("")), text)
-    place = (
-        F.when(jsonld, gazetteer.resolve_longest_first(jsonld_text)).when(state, state_place).otherwise(from_page)
+        .otherwise(F.col("from_page"))
     )
     fee = F.when(
         state,
@@ -301,6 +301,7 @@ def _position(spec: SourceSpec) -> list[Column]:
         F.col("pos"),
         F.lit(spec.name).alias("source"),
         F.lit("active").alias("status"),
+        F.coalesce("valid", F.lit(False)).alias("valid"),
     ]
 
 
@@ -315,12 +316,14 @@ def extract_records(pages: DataFrame, spec: SourceSpec, gazetteer: Gazetteer) ->
     found = page_candidates(readable, spec)
     build = portal_records if spec.kind == "portal" else generic_records
     rows = build(found, spec, gazetteer)
-    # A page is one HTML value, so its records are a small group.
+    # A page is one HTML value, so its records are a small group. Whether a candidate is
+    # valid is decided from many derived columns; filtering only after the window keeps that
+    # test from being pushed down and repeated inside them.
     on_page = Window.partitionBy("page_id")
     rows = (
-        rows.withColumn("_better", F.min("strategy").over(on_page))
-        .filter((F.col("strategy") != DETAIL) | (F.col("_better") == DETAIL))
-        .drop("_better")
+        rows.withColumn("_best", F.min(F.when(F.col("valid"), F.col("strategy"))).over(on_page))
+        .filter(F.col("valid") & ((F.col("strategy") != DETAIL) | (F.col("_best") == DETAIL)))
+        .drop("_best", "valid")
     )
     records = first_wins(rows, ["source", "listing_id"], [F.col("page_id"), F.col("strategy"), F.col("pos")])
     empty = readable.join(rows.select("page_id").distinct(), "page_id", "left_anti").select(

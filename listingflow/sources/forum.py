@@ -134,7 +134,7 @@ def forum_records(pages: DataFrame, gazetteer: Gazetteer, spec: SourceSpec = FOR
         _read_posts, f"page_id {kind}, url string, {POST_DDL}"
     )
     body = F.col("body")
-    staged = (
+    worded = (
         posts.withColumn("body", own_words(body))
         .withColumn(
             "title",
@@ -143,8 +143,8 @@ def forum_records(pages: DataFrame, gazetteer: Gazetteer, spec: SourceSpec = FOR
             ),
         )
         .withColumn("text", F.concat_ws("\n", "title", "body"))
-        .withColumn("place", gazetteer.resolve_on_board(F.col("text")))
     )
+    staged = gazetteer.add_place_on_board(worded, "text")
     text = F.col("text")
     wanted = contains_any(text, V.FORUM_WANTED_WORDS) & ~F.contains(text, F.lit("出租"))
     kept = staged.filter(~wanted & F.col("place.district").isNotNull())

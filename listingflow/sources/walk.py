@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def leaves(value: object, path: tuple[str, ...] = ()) -> Iterator[tuple[str, str]]:
@@ -41,7 +42,10 @@ def parse(text: str | None) -> object | None:
         return None
 
 
-@F.pandas_udf("array<struct<path:string,text:string>>")
+_LEAF = T.StructType([T.StructField("path", T.StringType()), T.StructField("text", T.StringType())])
+
+
+@F.pandas_udf(T.ArrayType(_LEAF))
 def json_leaves(raw: pd.Series) -> pd.Series:
     return raw.map(lambda t: [{"path": p, "text": x} for p, x in leaves(parse(t))] if t else None)
 
