@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listingflow.operators.gazetteer import Gazetteer
+from listingflow.sources.pages import spread_small
 
 QUERIES: dict[str, object] = {}
 ORACLES: dict[str, str] = {}
@@ -82,14 +83,17 @@ TEXT_SQL = (
 
 
 def listings(spark: SparkSession, sf: str) -> DataFrame:
+    return customers_orders(spark, sf).select(*[F.expr(e).alias(n) for n, e in LISTING.items()])
+
+
+def customers_orders(spark: SparkSession, sf: str) -> DataFrame:
     t = {n: load(spark, sf, n) for n in ("orders", "customer", "nation", "region")}
-    joined = (
-        t["orders"]
+    return (
+        spread_small(t["orders"])
         .join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
         .join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
         .join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
     )
-    return joined.select(*[F.expr(e).alias(n) for n, e in LISTING.items()])
 
 
 def places(spark: SparkSession, sf: str) -> DataFrame:

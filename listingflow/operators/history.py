@@ -137,10 +137,9 @@ def gap_sessions(
 ) -> DataFrame:
     """Sessions of activity separated by more than a gap."""
     marked = with_previous(df, key, order, [ts], bucket)
-    seconds = F.unix_micros(ts) - F.unix_micros(f"prev_{ts}")
-    starts = marked.withColumn(
-        "_start", (F.col("is_first") | (seconds > int(gap_seconds * 1_000_000))).cast("int")
-    )
+    micros = [F.unix_micros(F.col(c).cast("timestamp")) for c in (ts, f"prev_{ts}")]
+    wide = micros[0] - micros[1] > int(gap_seconds * 1_000_000)
+    starts = marked.withColumn("_start", (F.col("is_first") | wide).cast("int"))
     numbered = running_total(starts, key, order, F.col("_start"), bucket, "session")
     return numbered.groupBy(*key, "session").agg(
         F.min(ts).alias("started_at"), F.max(ts).alias("ended_at"), F.count("*").alias("observations")

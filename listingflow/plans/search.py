@@ -119,7 +119,8 @@ def catch_up_pages(
     max_pages: int = 2,
 ) -> Column:
     """Pages per search after a pause: enough to cover the runs that were missed."""
-    minutes = F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(last)) / F.lit(60_000_000.0))
+    micros = [F.unix_micros(c.cast("timestamp")) for c in (last, now)]
+    minutes = F.greatest(F.lit(0.0), (micros[1] - micros[0]) / F.lit(60_000_000.0))
     missed = F.greatest(F.lit(2), F.ceil((minutes - grace) / F.lit(float(interval))))
     depth = F.greatest(F.lit(base_pages), F.least(F.lit(max_pages), missed))
     return (

@@ -13,7 +13,7 @@ from ..functions.text import blank_to_null
 from ..operators.dedupe import first_wins
 from ..operators.gazetteer import Gazetteer, address_in_text
 from .dom import CANDIDATE_DDL, CARD, DETAIL, JSONLD, STATE, page_reader
-from .pages import page_errors
+from .pages import page_errors, spread_small
 from .specs import SourceSpec
 
 # Lengths of stored fields.
@@ -23,7 +23,7 @@ TITLE_CHARS, DESCRIPTION_CHARS, IMAGES, TAGS = 120, 4_000, 3, 12
 def page_candidates(pages: DataFrame, spec: SourceSpec) -> DataFrame:
     """One row per possible record of each page. Only columns the parser needs go to Python."""
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "source", F.col("url").alias("page_url"), "html").mapInPandas(
+    return spread_small(pages).select("page_id", "source", F.col("url").alias("page_url"), "html").mapInPandas(
         page_reader(spec.page_rules()),
         f"page_id {kind}, source string, page_url string, {CANDIDATE_DDL}",
     )

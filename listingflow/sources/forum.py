@@ -18,6 +18,7 @@ from ..functions import vocabulary as V
 from ..functions.text import blank_to_null, contains_any
 from ..operators.gazetteer import Gazetteer, bracket_area
 from .dom import Outline
+from .pages import spread_small
 from .specs import FORUM, SourceSpec
 
 POST_DDL = "meta_title string, page_title string, body string, images array<string>"
@@ -98,7 +99,7 @@ def _read_index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def index_links(pages: DataFrame) -> DataFrame:
     """Post links worth following (notices and other places left out), and the previous page."""
     kind = pages.schema["page_id"].dataType.simpleString()
-    links = pages.select("page_id", "url", "html").mapInPandas(
+    links = spread_small(pages).select("page_id", "url", "html").mapInPandas(
         _read_index, f"page_id {kind}, pos int, kind string, url string, title string"
     )
     return links.filter(
@@ -130,7 +131,7 @@ def own_words(body: Column) -> Column:
 def forum_records(pages: DataFrame, gazetteer: Gazetteer, spec: SourceSpec = FORUM) -> DataFrame:
     """Posts (``page_id, url, html``) to records; wanted and exchange posts are rejected."""
     kind = pages.schema["page_id"].dataType.simpleString()
-    posts = pages.select("page_id", "url", "html").mapInPandas(
+    posts = spread_small(pages).select("page_id", "url", "html").mapInPandas(
         _read_posts, f"page_id {kind}, url string, {POST_DDL}"
     )
     body = F.col("body")

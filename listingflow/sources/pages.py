@@ -16,6 +16,19 @@ def read_pages(spark: SparkSession, location: str) -> DataFrame:
     return spark.read.parquet(location)
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Give every core a share of an input too small to be split by the scan.
+
+    Decided from the plan's size estimate, without a job. An input with at least one full
+    scan split per core stays where it is, so large tables are never moved for this.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = 128 * 1024 * 1024
+    return df.repartition(cores) if size < cores * split else df
+
+
 def worst_status(responses: DataFrame, page: str = "page_id") -> DataFrame:
     """One row per page: its worst refusal (429, then 403, then 401), null if none."""
     severity = F.when(F.col("status") == 429, 0).when(F.col("status") == 403, 1).when(

@@ -27,24 +27,25 @@ class _Changes(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         known = self.last.exists()
         cost, flag, active = self.last.get() if known else (None, None, None)
-        for pdf in rows:
-            out = []
-            for ts, seq, now_cost, now_flag, now_active in zip(
-                pdf["ts"], pdf["seq"], pdf["cost"], pdf["flag"], pdf["active"], strict=True
-            ):
-                now_cost = None if pd.isna(now_cost) else float(now_cost)
-                now_flag = None if pd.isna(now_flag) else bool(now_flag)
-                now_active = bool(now_active)
-                out.append(
-                    (
-                        key[0], ts, seq, now_cost, cost, not known,
-                        bool(known and cost and now_cost and now_cost < cost),
-                        bool(known and now_flag and flag is not True),
-                        bool(known and now_active and not active),
-                    )
+        # The shuffle keeps no order, so a key's rows of this micro-batch are put in time order.
+        pdf = pd.concat(rows).sort_values(["ts", "seq"])
+        out = []
+        for ts, seq, now_cost, now_flag, now_active in zip(
+            pdf["ts"], pdf["seq"], pdf["cost"], pdf["flag"], pdf["active"], strict=True
+        ):
+            now_cost = None if pd.isna(now_cost) else float(now_cost)
+            now_flag = None if pd.isna(now_flag) else bool(now_flag)
+            now_active = bool(now_active)
+            out.append(
+                (
+                    key[0], ts, seq, now_cost, cost, not known,
+                    bool(known and cost and now_cost and now_cost < cost),
+                    bool(known and now_flag and flag is not True),
+                    bool(known and now_active and not active),
                 )
-                known, cost, flag, active = True, now_cost, now_flag, now_active
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGE_DDL.split(", ")])
+            )
+            known, cost, flag, active = True, now_cost, now_flag, now_active
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGE_DDL.split(", ")])
         self.last.update((cost, flag, active))
 
     def close(self) -> None:
@@ -54,8 +55,9 @@ class _Changes(StatefulProcessor):
 def diff_stream(observations: DataFrame) -> DataFrame:
     """``key, ts, seq, cost, flag, active`` to one change row per observation.
 
-    Needs the RocksDB state store. Within a micro-batch rows must arrive per key in order:
-    ``sorted_by_time`` sees to that when reading files.
+    Needs the RocksDB state store. A key's rows of one micro-batch are sorted in its task, so
+    bound the micro-batch at the source (``maxBytesPerTrigger``); for whole tables, or keys
+    that dominate them, use ``batch_changes``, which never gathers a key.
     """
     return observations.groupBy("key").transformWithStateInPandas(
         statefulProcessor=_Changes(),

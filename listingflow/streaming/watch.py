@@ -7,11 +7,12 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoint import cut
 from ..operators.dedupe import first_wins
 from ..operators.gazetteer import Gazetteer
 from ..operators.state import mark_notified, upsert
 from ..plans.runs import ORDER, Rules, assess, watch
-from ..schema import KEY
+from ..schema import KEY, conform
 from ..sources.registry import extract_all
 from ..sources.store import StateStore
 
@@ -53,7 +54,8 @@ def watch_stream(
             rows = to_records(batch)
             order = [F.col(c) for c in ORDER if c in rows.columns]
             unique = first_wins(rows, KEY, order or [F.col("listing_id")])
-            unique = unique.drop(*[c for c in ORDER if c in rows.columns])
+            # Read twice by the incremental upsert, so it is computed once.
+            unique = cut(conform(unique))
             merged = upsert(store.read(), unique, F.current_timestamp(), full=False)
             store.write(merged, batch_id=batch_id)
         folder = f"{outbox}/batch={batch_id}"
