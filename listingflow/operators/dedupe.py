@@ -62,14 +62,16 @@ def mark_duplicates(
     if eligible is not None:
         counts = counts & eligible
     keyed = df.withColumn("_fp", F.when(counts, F.col(fingerprint)))
+    # A single column keeps the aggregation hashed; a struct needs a sort.
+    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     firsts = (
         keyed.filter("_fp IS NOT NULL")
         .groupBy("_fp")
-        .agg(F.min(F.struct(*order)).alias("_first"), F.count("*").alias("_n"))
+        .agg(F.min(place).alias("_first"), F.count("*").alias("_n"))
         .filter("_n > 1")
     )
     out = attach_facts(keyed, firsts, ["_fp"], "_n", spread_by, hot_rows)
-    duplicate = F.col("_first").isNotNull() & (F.struct(*order) != F.col("_first"))
+    duplicate = F.col("_first").isNotNull() & (place != F.col("_first"))
     suppressed = (
         F.col("notification_suppressed") if "notification_suppressed" in df.columns else F.lit(None)
     )

@@ -42,7 +42,9 @@ def attach_facts(
     )
     cold = facts.select(
         *[F.col(k).alias(f"_c_{k}") for k in keys],
-        F.lit(0).alias("_c_salt"),
+        # Always 0, but not a literal: a literal would be folded out of the join keys, and the
+        # hot rows would again be shuffled by their group alone.
+        F.pmod(F.col(count), F.lit(1)).cast("int").alias("_c_salt"),
         F.struct(*values).alias("_cold"),
     )
     marked = rows.join(

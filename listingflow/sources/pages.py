@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,8 +51,8 @@ def visible_text(html: Column) -> Column:
 
 
 def access_wall(text: Column) -> Column:
-    """Error code if the page only asks the visitor to prove or identify themselves."""
-    t = F.lower(text)
+    """Error code if lower-cased page text asks the visitor to prove or identify themselves."""
+    t = text
     return (
         F.when(contains_any(t, V.CAPTCHA_WORDS), F.lit("CAPTCHA_DETECTED"))
         .when(contains_any(t, V.LOGIN_WORDS), F.lit("LOGIN_REQUIRED"))
@@ -59,19 +61,33 @@ def access_wall(text: Column) -> Column:
     )
 
 
+def _may_be_wall(raw: Column) -> Column:
+    """Cheap necessary test on lower-cased markup: all words of some marker occur somewhere."""
+    markers = (*V.CAPTCHA_WORDS, *V.LOGIN_WORDS, *V.RATE_WORDS, *V.FORBIDDEN_WORDS)
+    tests = [
+        reduce(lambda a, b: a & b, [F.contains(raw, F.lit(part)) for part in marker.split(" ")])
+        for marker in markers
+    ]
+    return reduce(lambda a, b: a | b, tests)
+
+
 def page_errors(pages: DataFrame) -> DataFrame:
-    """Add ``code`` and ``message``: null for pages worth parsing."""
+    """Add ``code`` and ``message``: null for pages worth parsing.
+
+    Tags are stripped only from pages whose markup contains the words of a marker at all.
+    """
     refused = (
         status_code_name(F.col("status")) if "status" in pages.columns else F.lit(None).cast("string")
     )
-    wall = access_wall(visible_text(F.col("html")))
-    return pages.withColumn("code", F.coalesce(refused, wall)).withColumn(
-        "message",
-        F.when(refused.isNotNull(), F.concat(F.lit("HTTP "), F.col("status").cast("string")))
-        .otherwise(F.col("code"))
-        if "status" in pages.columns
-        else F.col("code"),
+    staged = pages.withColumn("_lower", F.lower("html")).withColumn(
+        "_visible", F.when(_may_be_wall(F.col("_lower")), F.lower(visible_text(F.col("html"))))
     )
+    coded = staged.withColumn("code", F.coalesce(refused, access_wall(F.col("_visible"))))
+    said = F.concat(F.lit("HTTP "), F.col("status").cast("string")) if "status" in pages.columns else None
+    return coded.withColumn(
+        "message",
+        F.col("code") if said is None else F.when(refused.isNotNull(), said).otherwise(F.col("code")),
+    ).drop("_lower", "_visible")
 
 
 def url_policy(urls: DataFrame, policies: DataFrame, url: str = "url") -> DataFrame:
