@@ -15,6 +15,15 @@ from . import vocabulary as V
 SPACE = r"(?U)\s+"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row, however often the body uses it.
+
+    Also when the result is filtered on: a filter pushed below a projection repeats the
+    expression it tests, and a plain repeated reference would be repeated with it.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..functions.text import contains_any
+from ..functions.text import contains_any, let
 from ..functions.urls import host, path, query, scheme, status_code_name
 
 PAGE_DDL = "page_id bigint, source string, url string, html string, status int"
@@ -52,12 +52,11 @@ def visible_text(html: Column) -> Column:
 
 def access_wall(text: Column) -> Column:
     """Error code if lower-cased page text asks the visitor to prove or identify themselves."""
-    t = text
     return (
-        F.when(contains_any(t, V.CAPTCHA_WORDS), F.lit("CAPTCHA_DETECTED"))
-        .when(contains_any(t, V.LOGIN_WORDS), F.lit("LOGIN_REQUIRED"))
-        .when(contains_any(t, V.RATE_WORDS), F.lit("HTTP_RATE_LIMITED"))
-        .when(contains_any(t, V.FORBIDDEN_WORDS), F.lit("HTTP_FORBIDDEN"))
+        F.when(contains_any(text, V.CAPTCHA_WORDS), F.lit("CAPTCHA_DETECTED"))
+        .when(contains_any(text, V.LOGIN_WORDS), F.lit("LOGIN_REQUIRED"))
+        .when(contains_any(text, V.RATE_WORDS), F.lit("HTTP_RATE_LIMITED"))
+        .when(contains_any(text, V.FORBIDDEN_WORDS), F.lit("HTTP_FORBIDDEN"))
     )
 
 
@@ -79,15 +78,15 @@ def page_errors(pages: DataFrame) -> DataFrame:
     refused = (
         status_code_name(F.col("status")) if "status" in pages.columns else F.lit(None).cast("string")
     )
-    staged = pages.withColumn("_lower", F.lower("html")).withColumn(
-        "_visible", F.when(_may_be_wall(F.col("_lower")), F.lower(visible_text(F.col("html"))))
+    visible = let(
+        F.lower("html"),
+        lambda raw: F.when(_may_be_wall(raw), F.lower(visible_text(F.col("html")))),
     )
-    coded = staged.withColumn("code", F.coalesce(refused, access_wall(F.col("_visible"))))
-    said = F.concat(F.lit("HTTP "), F.col("status").cast("string")) if "status" in pages.columns else None
-    return coded.withColumn(
-        "message",
-        F.col("code") if said is None else F.when(refused.isNotNull(), said).otherwise(F.col("code")),
-    ).drop("_lower", "_visible")
+    coded = pages.withColumn("code", F.coalesce(refused, let(visible, access_wall)))
+    if "status" not in pages.columns:
+        return coded.withColumn("message", F.col("code"))
+    said = F.concat(F.lit("HTTP "), F.col("status").cast("string"))
+    return coded.withColumn("message", F.when(refused.isNotNull(), said).otherwise(F.col("code")))
 
 
 def url_policy(urls: DataFrame, policies: DataFrame, url: str = "url") -> DataFrame:
