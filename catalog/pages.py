@@ -28,8 +28,9 @@ CLEAN = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
     WITH t AS (SELECT page_id, regexp_extract(url, 'example\\.(?:com|net|org)/[a-z]{{2}}/(\\d+)', 1) AS listing_id,
         {CLEAN.format("replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), ' - ', ' ')")} AS title FROM pages),
     f AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY page_id) = 1)
-    SELECT page_id, listing_id, substr(replace(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&middot;', '·'),
-        '&amp;', '&'), 1, 120) AS title FROM f""")
+    SELECT page_id, listing_id, substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(title,
+        '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&middot;?', '·', 'g'), '&amp;?', '&', 'g'), 1, 120)
+        AS title FROM f""")
 def page_extract_detail(spark, sf):
     records, _ = extract_records(_pages(spark, sf), DETAIL, gazetteer(spark, sf))
     return records.filter("strategy = 3").select("page_id", "listing_id", "title")
