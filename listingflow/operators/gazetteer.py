@@ -308,36 +308,40 @@ def address_in_text(
     return F.when(at > 0, blank_to_null(strip(F.concat(prefix, district, rest))))
 
 
-def names_in_text(texts: DataFrame, names: DataFrame, key: str, text: str, name: str) -> DataFrame:
+def names_in_text(
+    texts: DataFrame, names: DataFrame, key: str, text: str, name: str, salts: int = 16
+) -> DataFrame:
     """Earliest (longest on a tie) of arbitrarily many names per text: ``key, name, position``.
 
     Every substring whose length is that of some name is a candidate; candidates meet the
-    names in an equi-join, so neither side is broadcast or held on the driver. Distinct
-    candidates of a text are formed before the shuffle.
+    names in an equi-join, so neither side is broadcast or held on the driver (only the
+    distinct name lengths are). A text's equal candidates are merged before the shuffle, and a
+    name found in very many texts is spread over ``salts`` tasks.
     """
-    lengths = names.select(F.length(name).alias("_len")).distinct()
+    known = names.select(F.col(name).alias("_piece")).filter("_piece <> ''").distinct()
+    lengths = sorted(r[0] for r in known.select(F.length("_piece")).distinct().collect())
+    if not lengths:
+        return texts.limit(0).select(key, F.lit("").alias(name), F.lit(0).alias("position"))
     span = F.length(F.col(text))
-    candidates = (
-        texts.select(key, text)
-        .join(lengths, span >= F.col("_len"))
-        .select(
-            key,
-            F.explode(
-                F.transform(
-                    F.sequence(F.lit(1), span - F.col("_len") + 1),
-                    lambda i: F.struct(
-                        i.alias("position"), F.substr(F.col(text), i, F.col("_len")).alias("_piece")
-                    ),
-                )
-            ).alias("c"),
+    fitting = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= span)
+    pieces = F.flatten(
+        F.transform(
+            fitting,
+            lambda n: F.transform(
+                F.sequence(F.lit(1), span - n + 1),
+                lambda i: F.struct(i.alias("position"), F.substr(F.col(text), i, n).alias("_piece")),
+            ),
         )
-        .select(key, "c.position", "c._piece")
-        .groupBy(key, "_piece")
-        .agg(F.min("position").alias("position"))
     )
-    known = names.select(F.col(name).alias("_piece")).distinct()
+    candidates = (
+        texts.select(key, F.explode(pieces).alias("c"))
+        .groupBy(key, "c._piece")
+        .agg(F.min("c.position").alias("position"))
+        .withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+    )
+    salted = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return (
-        candidates.join(known, "_piece")
+        candidates.join(salted, ["_piece", "_salt"])
         .groupBy(key)
         .agg(
             F.min(F.struct("position", (-F.length("_piece")).alias("_n"), F.col("_piece"))).alias("m")

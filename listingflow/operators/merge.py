@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import attach_facts
+
 FILLED = (
     "title", "city", "district", "address", "rent", "total_monthly_cost", "area_ping",
     "room_type", "floor", "has_rent_subsidy", "has_tax_registration",
@@ -50,12 +52,18 @@ def merge_details(
     found = details.select(
         F.col("url"), F.struct(*[F.col(c) for c in details.columns if c != "url"]).alias("_d")
     )
-    chosen = (
+    uses = (
         marked.filter("_needy")
         .select(page, position, "url")
         .withColumn("_use", F.row_number().over(first_use))
         .filter("_use = 1")
-        .join(found, "url")
+        .drop("_use")
+    )
+    # A link that a third of all pages carry must not gather them in one task.
+    counted = uses.groupBy("url").agg(F.count("*").alias("_n")).join(found, "url")
+    chosen = (
+        attach_facts(uses, counted, ["url"], "_n", F.struct(page, position))
+        .filter("_d IS NOT NULL")
         .withColumn("_turn", F.row_number().over(turn))
         .filter(F.col("_turn") <= limit)
         .select(page, position, "_d")

@@ -97,14 +97,6 @@ def district_counts(df: DataFrame, order: Sequence[str], label: Column | None =
     )
 
 
-def _listing_text(counts: DataFrame) -> DataFrame:
-    items = F.array_sort(F.collect_list(F.struct("first_at", "label", "n")))
-    text = F.array_join(
-        F.transform(items, lambda x: F.concat(x["label"], x["n"].cast("string"), F.lit("間"))), "、"
-    )
-    return counts.agg(F.coalesce(blank_to_null(text), F.lit("0間")).alias("text"))
-
-
 def event_counts(df: DataFrame) -> DataFrame:
     """One row: new, price drops, other updates."""
     new = F.array_contains("reasons", V.NEW_RECORD)
@@ -135,12 +127,47 @@ def run_summary(
     sending_order: Sequence[str] = ("position",),
 ) -> DataFrame:
     """One row: the counts of a run and the sentence that announces them."""
-    both = (
-        candidates.agg(F.count("*").alias("n_candidates"))
-        .join(sending.agg(F.count("*").alias("n_sending")))
-        .join(event_counts(candidates))
-        .join(_listing_text(district_counts(candidates, order)).withColumnRenamed("text", "all_text"))
-        .join(_listing_text(district_counts(sending, sending_order)).withColumnRenamed("text", "sent_text"))
+    new = F.array_contains("reasons", V.NEW_RECORD)
+    drop = F.exists("reasons", lambda r: r.startswith(f"{V.PRICE_DROP} "))
+    every = candidates.select(
+        group_label().alias("label"),
+        F.struct(*order).alias("first_all"),
+        F.lit(1).alias("candidate"),
+        new.cast("int").alias("new"),
+        (~new & drop).cast("int").alias("drop"),
+    )
+    sent = sending.select(
+        group_label().alias("label"), F.struct(*sending_order).alias("first_sent"), F.lit(1).alias("sent")
+    )
+    # One row per group first; only these reach the single closing row.
+    groups = (
+        every.unionByName(sent, allowMissingColumns=True)
+        .groupBy("label")
+        .agg(
+            F.min("first_all").alias("first_all"),
+            F.min("first_sent").alias("first_sent"),
+            *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("candidate", "sent", "new", "drop")],
+        )
+    )
+
+    def listing(first: str, n: str) -> Column:
+        items = F.array_sort(F.collect_list(F.when(F.col(n) > 0, F.struct(first, "label", n))))
+        text = F.array_join(
+            F.transform(items, lambda x: F.concat(x["label"], x[n].cast("string"), F.lit("間"))), "、"
+        )
+        return F.coalesce(blank_to_null(text), F.lit("0間"))
+
+    def total(n: str) -> Column:
+        return F.coalesce(F.sum(n), F.lit(0))
+
+    both = groups.agg(
+        total("candidate").alias("n_candidates"),
+        total("sent").alias("n_sending"),
+        total("new").alias("n_new"),
+        total("drop").alias("n_drop"),
+        (total("candidate") - total("new") - total("drop")).alias("n_other"),
+        listing("first_all", "candidate").alias("all_text"),
+        listing("first_sent", "sent").alias("sent_text"),
     )
     events = event_text(F.col("n_new"), F.col("n_drop"), F.col("n_other"))
     suffix = F.when(events != "", F.concat(F.lit("（"), events, F.lit("）"))).otherwise("")

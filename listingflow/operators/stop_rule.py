@@ -51,7 +51,9 @@ def kept_pages(
     def count_new(ends: DataFrame | None) -> DataFrame:
         live = shown
         if ends is not None:
-            live = shown.join(ends, "search").filter("last_page IS NULL OR page <= last_page")
+            # Page by page, so that a search with a third of all records stays spread.
+            keep = base.join(ends, "search").filter("last_page IS NULL OR page <= last_page")
+            live = shown.join(keep.select("search", "page"), ["search", "page"], "left_semi")
         firsts = live.groupBy(*key).agg(F.min(F.struct("search", "page")).alias("_at"))
         news = firsts.groupBy("_at.search", "_at.page").agg(F.count("*").alias("n_new"))
         return base.join(news, ["search", "page"], "left").na.fill(0, ["n_new"])

@@ -10,8 +10,12 @@ from ..functions import text as X
 from ..functions import urls as U
 from ..functions import vocabulary as V
 from ..functions.text import blank_to_null
+from ..checkpoint import cut
+from ..operators.classify import recent
 from ..operators.dedupe import first_wins
 from ..operators.gazetteer import Gazetteer, address_in_text
+from ..operators.merge import merge_details
+from ..operators.stop_rule import kept_pages
 from .dom import CANDIDATE_DDL, CARD, DETAIL, JSONLD, STATE, page_reader
 from .pages import page_errors, spread_small
 from .specs import SourceSpec
@@ -305,14 +309,11 @@ def _position(spec: SourceSpec) -> list[Column]:
     ]
 
 
-def extract_records(pages: DataFrame, spec: SourceSpec, gazetteer: Gazetteer) -> tuple[DataFrame, DataFrame]:
-    """Records and quarantine of one source's pages (``page_id, url, html[, status]``).
+def page_records(readable: DataFrame, spec: SourceSpec, gazetteer: Gazetteer) -> DataFrame:
+    """Records per page, each key once per page, in the order strategy, position.
 
-    A page's page-text record counts only if nothing else was found on it. The first
-    occurrence of a key wins, in the order page, strategy, position.
+    A page's page-text record counts only if nothing else was found on it.
     """
-    own = page_errors(pages.withColumn("source", F.lit(spec.name)))
-    readable = own.filter("code IS NULL")
     found = page_candidates(readable, spec)
     build = portal_records if spec.kind == "portal" else generic_records
     rows = build(found, spec, gazetteer)
@@ -325,15 +326,79 @@ def extract_records(pages: DataFrame, spec: SourceSpec, gazetteer: Gazetteer) ->
         .filter(F.col("valid") & ((F.col("strategy") != DETAIL) | (F.col("_best") == DETAIL)))
         .drop("_best", "valid")
     )
-    records = first_wins(rows, ["source", "listing_id"], [F.col("page_id"), F.col("strategy"), F.col("pos")])
-    empty = readable.join(rows.select("page_id").distinct(), "page_id", "left_anti").select(
+    return first_wins(rows, ["page_id", "source", "listing_id"], [F.col("strategy"), F.col("pos")])
+
+
+def _quarantine(own: DataFrame, readable: DataFrame, rows: DataFrame) -> DataFrame:
+    """Refused pages, and pages without a record (only a search's first one, if pages are numbered)."""
+    first = readable.filter("page = 0") if "page" in readable.columns else readable
+    empty = first.join(rows.select("page_id").distinct(), "page_id", "left_anti").select(
         "source",
         "url",
         F.lit("EMPTY_RESULT").alias("code"),
         F.lit("no listings parsed from rendered HTML").alias("message"),
     )
     refused = own.filter("code IS NOT NULL").select("source", "url", "code", "message")
-    return records, refused.unionByName(empty)
+    return refused.unionByName(empty)
+
+
+def extract_records(pages: DataFrame, spec: SourceSpec, gazetteer: Gazetteer) -> tuple[DataFrame, DataFrame]:
+    """Records and quarantine of one source's pages (``page_id, url, html[, status]``).
+
+    The first occurrence of a key wins, in the order page, strategy, position.
+    """
+    own = page_errors(pages.withColumn("source", F.lit(spec.name)))
+    readable = own.filter("code IS NULL")
+    rows = page_records(readable, spec, gazetteer)
+    records = first_wins(rows, ["source", "listing_id"], [F.col("page_id"), F.col("strategy"), F.col("pos")])
+    return records, _quarantine(own, readable, rows)
+
+
+def collect_source(
+    pages: DataFrame, spec: SourceSpec, gazetteer: Gazetteer, detail_pages: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Records, quarantine and page counts of one source's searches.
+
+    ``pages``: page_id, search, page, url, html[, status]. Incomplete records are filled from
+    ``detail_pages`` (page_id, url, html[, status]), records known to be too old are left out, and
+    pages beyond the point where a search stopped showing anything new do not count. The
+    parsed rows are read several times, so they are computed once.
+    """
+    own = page_errors(pages.withColumn("source", F.lit(spec.name)))
+    readable = own.filter("code IS NULL")
+    rows = cut(page_records(readable, spec, gazetteer))
+    refused = _quarantine(own, readable, rows)
+    numbered = readable.select("page_id", "search", "page")
+    counts = rows.groupBy("page_id").agg(F.count("*").alias("n_parsed"))
+    shown = numbered.join(counts, "page_id", "left").na.fill(0, ["n_parsed"])
+    if detail_pages is not None and spec.detail_limit:
+        fetched = page_errors(detail_pages.withColumn("source", F.lit(spec.name)))
+        good = fetched.filter("code IS NULL")
+        details = first_wins(
+            page_records(good, spec, gazetteer), ["page_id"], [F.col("strategy"), F.col("pos")]
+        )
+        names = [c for c in details.columns if c not in ("source", "url", "page_id", "strategy", "pos", "source_ord")]
+        by_url = details.join(good.select("page_id", F.col("url").alias("_at")), "page_id").select(
+            F.col("_at").alias("url"), *names
+        )
+        position = F.struct("strategy", "pos")
+        rows = merge_details(
+            rows.withColumn("_position", position),
+            first_wins(by_url, ["url"], [F.col("listing_id")]),
+            "page_id",
+            "_position",
+            spec.detail_limit,
+            U.is_detail_url(F.col("url"), spec.detail_url_patterns),
+        ).drop("_position")
+        skipped = fetched.filter("code IS NOT NULL").select(
+            "source", "url", "code", F.concat(F.lit("detail skipped: "), "message").alias("message")
+        )
+        refused = refused.unionByName(skipped)
+    fresh = recent(rows, spec.max_age_days).join(numbered, "page_id")
+    kept = kept_pages(fresh, shown, ["source", "listing_id"], spec.stop_after_misses)
+    used = fresh.join(kept.filter("kept").select("search", "page"), ["search", "page"], "left_semi")
+    order = [F.col(c) for c in ("search", "page", "strategy", "pos")]
+    return first_wins(used, ["source", "listing_id"], order), refused, kept
 
 
 def preview(records: DataFrame, source: str, limit: int = 3) -> DataFrame:

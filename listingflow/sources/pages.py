@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import vocabulary as V
 from ..functions.text import contains_any, let
 from ..functions.urls import host, path, query, scheme, status_code_name
+from ..operators.skew import attach_facts
 
 PAGE_DDL = "page_id bigint, source string, url string, html string, status int"
 
@@ -100,13 +101,13 @@ def url_policy(urls: DataFrame, policies: DataFrame, url: str = "url") -> DataFr
     u = F.col(url)
     target = F.coalesce(F.when(path(u) != "", path(u)), F.lit("/"))
     target = F.when(query(u) != "", F.concat(target, F.lit("?"), query(u))).otherwise(target)
-    joined = urls.withColumn("_origin", F.concat(scheme(u), F.lit("://"), host(u))).join(
-        policies.select(
-            F.col("origin").alias("_origin"), F.col("state").alias("_state"), F.col("rules").alias("_rules")
-        ),
-        "_origin",
-        "left",
+    with_origin = urls.withColumn("_origin", F.concat(scheme(u), F.lit("://"), host(u)))
+    known = policies.select(
+        F.col("origin").alias("_origin"), F.col("state").alias("_state"), F.col("rules").alias("_rules")
     )
+    # One host may hold a third of all pages.
+    facts = with_origin.groupBy("_origin").agg(F.count("*").alias("_n")).join(known, "_origin")
+    joined = attach_facts(with_origin, facts, ["_origin"], "_n", u)
     fitting = F.filter("_rules", lambda r: target.startswith(r["prefix"]))
     allowed = F.coalesce(F.try_element_at(fitting, F.lit(1))["allow"], F.lit(True))
     return joined.withColumn(
@@ -114,7 +115,7 @@ def url_policy(urls: DataFrame, policies: DataFrame, url: str = "url") -> DataFr
         F.when(F.coalesce("_state", F.lit("unavailable")) == "unavailable", F.lit("ROBOTS_UNAVAILABLE"))
         .when(F.col("_state") == "absent", F.lit(None))
         .when(~allowed, F.lit("ROBOTS_DISALLOWED")),
-    ).drop("_origin", "_state", "_rules")
+    ).drop("_origin", "_state", "_rules", "_n")
 
 
 def quarantine_counts(quarantine: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from listingflow.operators.classify import add_female_only
 from listingflow.schema import conform
 from listingflow.sources import forum, pages
-from listingflow.sources.extract import extract_records
+from listingflow.sources.extract import collect_source, extract_records
 from listingflow.sources.registry import extract_all
 from listingflow.sources.specs import HOUSEPRICE, PORTAL, RAKUYA, SPECS, YUNGCHING
 
@@ -191,3 +191,41 @@ def test_policy(spark):
     assert got == ["ROBOTS_UNAVAILABLE", None, None, "ROBOTS_UNAVAILABLE"]
     deny = policies.withColumn("rules", F.expr("array(struct('/list' AS prefix, false AS allow))"))
     assert pages.url_policy(urls, deny).filter("url LIKE 'https://c%'").first().policy_code == "ROBOTS_DISALLOWED"
+
+
+def test_collecting_a_source(spark):
+    """Details fill gaps, old records drop out, pages after the last new one do not count."""
+
+    def card(n, more):
+        return f'<p><a href="https://rent.houseprice.tw/house/H{n:04d}">獨立套房 {n} 台北市大同區 {more} {"好" * 240}</a></p>'
+
+    def page(search, n, *cards):
+        return search, n, f"https://rent.houseprice.tw/list?s={search}&page={n}", "".join(cards)
+
+    rows = [
+        page(0, 0, card(1, "8坪 9,000 元/月"), card(2, "")),
+        page(0, 1, card(1, "8坪 9,000 元/月")),
+        page(0, 2, card(3, "8坪 9,000 元/月")),
+        page(1, 0, card(4, "30天前更新 8坪")),
+        page(2, 0, card(3, "8坪 9,000 元/月")),
+        page(2, 1, ""),
+        page(3, 0, "<p>請先登入</p>"),
+        page(4, 0, ""),
+    ]
+    pages_ = spark.createDataFrame(
+        [(i, *r) for i, r in enumerate(rows)], "page_id int, search int, page int, url string, html string"
+    )
+    detail = "<h1>x</h1><p>台北市大同區 獨立套房 5.5坪 12000 元/月</p>"
+    details = spark.createDataFrame(
+        [(100, "https://rent.houseprice.tw/house/H0002", detail), (101, "https://rent.houseprice.tw/house/H0009", "forbidden")],
+        "page_id int, url string, html string",
+    )
+    found, refused, kept = collect_source(pages_, HOUSEPRICE, gazetteer(spark), details)
+    rows = {r.listing_id: r for r in found.collect()}
+    # H0003 first stands on a page that no longer counts, so the later search has it.
+    assert {k: r.search for k, r in rows.items()} == {"H0001": 0, "H0002": 0, "H0003": 2}
+    assert (rows["H0002"].rent, rows["H0002"].area_ping) == (12000, 5.5)
+    assert sorted((r.code, r.message[:6]) for r in refused.collect()) == [
+        ("EMPTY_RESULT", "no lis"), ("HTTP_FORBIDDEN", "detail"), ("LOGIN_REQUIRED", "LOGIN_"),
+    ]
+    assert {(r.search, r.page) for r in kept.collect() if not r.kept} == {(0, 2)}
