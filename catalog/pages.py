@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from listingflow.operators.gazetteer import Gazetteer
 from listingflow.sources import forum
-from listingflow.sources.extract import extract_records, page_candidates
+from listingflow.sources.extract import collect_source, extract_records, page_candidates
 from listingflow.sources.registry import extract_all
 from listingflow.sources.specs import PORTAL, SourceSpec
 
@@ -177,3 +177,17 @@ def extract_all_sources(spark, sf):
         refused.select("source", F.col("code").alias("kind"))
     )
     return kinds.groupBy("source", "kind").agg(F.count("*").alias("n"))
+
+
+@query()
+def collect_pages(spark, sf):
+    """Every ten pages as one search: which of them a run would have fetched."""
+    pages = load(spark, sf, "pages").select(
+        "page_id",
+        F.floor(F.col("page_id") / 10).cast("int").alias("search"),
+        (F.col("page_id") % 10).cast("int").alias("page"),
+        "url",
+        "html",
+    )
+    _, _, kept = collect_source(pages, DETAIL, gazetteer(spark, sf))
+    return kept
