@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,23 +45,30 @@ class StateStore:
         return max((n for n, _, _ in self._folders()), default=0)
 
     def read(self) -> DataFrame:
+        """Newest whole snapshot, its changed keys replaced by their newest change.
+
+        Only the changes are folded. The snapshot is merely anti-joined to their keys, so it is
+        not shuffled while those fit a broadcast, and filters and column lists reach its scan.
+        """
         folders = self._folders()
         start = max((n for n, kind, _ in folders if kind == "whole"), default=0)
-        live = [f for f in folders if f[0] >= start]
-        if not live:
-            return self.spark.createDataFrame([], RECORD_DDL)
-        parts = [
-            self.spark.read.schema(record_schema())
-            .parquet(self._path(*folder))
-            .withColumn("_version", F.lit(folder[0]))
-            for folder in live
+        reader = self.spark.read.schema(record_schema())
+        whole = [reader.parquet(self._path(*f)) for f in folders if f[0] == start]
+        changes = [
+            reader.parquet(self._path(*f)).withColumn("_version", F.lit(f[0]))
+            for f in folders
+            if f[0] > start
         ]
-        if len(parts) == 1:
-            return parts[0].drop("_version")
-        rows = parts[0]
-        for part in parts[1:]:
-            rows = rows.unionByName(part)
-        return first_wins(rows, KEY, [F.desc("_version")]).drop("_version")
+        if not changes:
+            return whole[0] if whole else self.spark.createDataFrame([], RECORD_DDL)
+        newest = changes[0]
+        if len(changes) > 1:
+            newest = first_wins(reduce(DataFrame.unionByName, changes), KEY, [F.desc("_version")])
+        newest = newest.drop("_version")
+        if not whole:
+            return newest
+        untouched = whole[0].join(newest.select(*KEY), list(KEY), "left_anti")
+        return untouched.select(*newest.columns).unionByName(newest)
 
     def has_batch(self, batch_id: int) -> bool:
         """Whether a micro-batch of the stream that owns this store was already applied."""

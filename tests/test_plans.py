@@ -9,6 +9,7 @@ from listingflow.operators.dedupe import first_wins, mark_duplicates
 from listingflow.operators.outbox import watch_top_n
 from listingflow.operators.state import mark_notified, upsert
 from listingflow.schema import conform
+from listingflow.sources.store import StateStore
 
 from .fixtures import records
 
@@ -75,3 +76,19 @@ def test_filters_and_columns_reach_the_scan(spark, folder):
     text = plan(df)
     assert "EqualTo(status,active)" in text
     assert re.search(r"ReadSchema: struct<source:string,listing_id:string,rent:int,status:string>", text)
+
+
+def test_state_reads_prune_the_snapshot(spark, folder):
+    store = StateStore(spark, f"{folder}/state")
+    store.write(records(spark, {}, {}, {"status": "filtered_out"}), "whole")
+    store.write(records(spark, {"rent": 1}))
+    store.write(records(spark, {"rent": 2}))
+    live = store.read().filter("status = 'active'").select("source", "listing_id", "rent")
+    text = plan(live)
+    snapshot = next(line for line in text.splitlines() if "FileScan" in line)
+    assert "EqualTo(status,active)" in snapshot
+    assert "struct<source:string,listing_id:string,rent:int,status:string>" in snapshot
+    # The snapshot's side runs from the scan to the anti join without an exchange.
+    before = text[text.index("LeftAnti") : text.index("FileScan")]
+    assert "Exchange" not in before and "BroadcastHashJoin" in text
+    assert sorted(r.rent for r in live.collect()) == [2, 18000]
