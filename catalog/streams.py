@@ -25,8 +25,7 @@ def _folder(spark) -> str:
 
 
 def _stream(spark, sf):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    schema = load(spark, sf, "events").schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
     stream = reader.option("maxBytesPerTrigger", 1 << 30).parquet(sf)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.history import with_previous
 
+# The driver-side runner of stateful streams does not see files added to the session, so the
+# processor travels with its code instead of its import path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CHANGE_DDL = (
     "key string, ts timestamp, seq long, cost double, previous_cost double, "
     "is_new boolean, dropped boolean, gained boolean, relisted boolean"
