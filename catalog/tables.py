@@ -6,14 +6,10 @@ What a query computes is written twice: with the library here, by hand in its SQ
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import listingflow
+from listingflow.cluster import ship
 from listingflow.operators.gazetteer import Gazetteer
 from listingflow.sources.pages import spread_small
 
@@ -33,16 +29,6 @@ def query(sql: str | None = None):
     return add
 
 
-def ship(spark: SparkSession) -> None:
-    """Send the library to the Python workers once, as ``--py-files`` would."""
-    context = spark.sparkContext
-    if not getattr(context, "_library_shipped", False):
-        root = os.path.dirname(os.path.dirname(os.path.abspath(listingflow.__file__)))
-        folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        context.addPyFile(shutil.make_archive(f"{folder}/listingflow", "zip", root, "listingflow"))
-        context._library_shipped = True
-
-
 def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
     ship(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
