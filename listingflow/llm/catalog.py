@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from listingflow.llm import decontaminate, exact_dedup, simhash
+from listingflow.llm import bpe, decontaminate, exact_dedup, language, lm_score, main_text, pii, simhash, token_files, url_rules
 from listingflow.llm.common import table
 
 QUERIES: dict[str, object] = {}
 ORACLES: dict[str, str] = {}
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+# The rules of the URL query, as (host, path, verdict).
+RULES = (
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+)
+_RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+
 
 def query(sql: str | None = None):
     def add(fn):
@@ -64,6 +76,55 @@ def op2_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+@query()
+def op3_lm_score(spark: SparkSession, sf: str) -> DataFrame:
+    return lm_score.score(table(spark, sf, "documents"))
+
+
+@query()
+def op4_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    return token_files.encode_to_files(table(spark, sf, "documents"), TOKENIZER)
+
+
+@query(
+    rf"""
+    WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+         p AS (SELECT page_id,
+                      translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                      regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+         r AS (SELECT * FROM (VALUES {_RULES_SQL}) AS t(rh, rp, v)),
+         f AS (SELECT page_id, rh || rp AS rule, v, row_number() OVER (
+                      PARTITION BY page_id ORDER BY length(rh || rp) DESC, length(rh) DESC) AS n
+               FROM p JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
+    SELECT p.page_id AS page_id, host, path, rule, coalesce(v, 'allow') AS verdict
+    FROM p LEFT JOIN f ON p.page_id = f.page_id AND n = 1
+    """
+)
+def op5_url_rules(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    return url_rules.judge(pages, spark.createDataFrame(list(RULES), "host string, path string, verdict string"))
+
+
 @query()
 def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.find_near_copies(table(spark, sf, "documents"))
+
+
+@query()
+def op7_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf, "documents"), TOKENIZER)
+
+
+@query()
+def op8_language(spark: SparkSession, sf: str) -> DataFrame:
+    return language.identify(table(spark, sf, "documents"))
+
+
+@query()
+def op9_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    return main_text.extract_text(table(spark, sf, "pages"))
+
+
+@query()
+def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find(table(spark, sf, "documents"))
