@@ -491,8 +491,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows:
     def text(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
 
-    counts = [F.size(F.filter("base", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return out.select("doc_id", *counts, F.sha2(text("base").cast("binary"), 256).alias("base_sha256"), text("spans").alias("spans"))
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    return out.select("doc_id", *[count(k) for k in KINDS], F.sha2(text("base").cast("binary"), 256).alias("base_sha256"), text("spans").alias("spans"))
 
 
 def masked(text: str, spans) -> str:
