@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from listingflow.llm.common import partitions, staged, utf8
 
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_000_000
 BUCKET_CHARS = 32_000_000
 ROUNDS = 15
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -88,17 +88,18 @@ def pairs_of(tokens: np.ndarray, width: int) -> np.ndarray:
 
 def keys_of(hashes: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     """The keys of pairs, from their words' hashes."""
-    left, right = np.divmod(pairs, len(hashes))
-    x = hashes[left] * MIX[0] + (hashes[right] ^ (hashes[right] >> np.uint64(31))) * MIX[1]
+    x = hashes[pairs // len(hashes)] * MIX[0]
+    x += (hashes ^ (hashes >> np.uint64(31)))[pairs % len(hashes)] * MIX[1]
     x ^= x >> np.uint64(29)
     x *= MIX[0]
-    return x ^ (x >> np.uint64(32))
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def questions(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of the keys by bucket and key, and where each bucket starts."""
-    bucket = (keys % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((keys, bucket))
+    bucket = (keys % np.uint64(buckets)).astype(np.int32)
+    order = np.lexsort((keys, bucket)).astype(np.int32)
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
@@ -109,12 +110,17 @@ def _rows(block: Block, name: int, held: bool, buckets: int):
     hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in block.words], np.uint64)
     counted = np.repeat(docs[:, 2] != TEST, docs[:, 3])
     word_counts = np.bincount(tokens[counted], minlength=len(hashes))
-    pairs, place = np.unique(pairs_of(tokens, len(hashes)), return_inverse=True)
-    pair_counts = np.bincount(place[counted], minlength=len(pairs))
-    del place
-    for kind, keys, counts in ((0, hashes, word_counts), (1, keys_of(hashes, pairs), pair_counts)):
+    all_pairs = pairs_of(tokens, len(hashes))
+    pairs = np.unique(all_pairs)
+    known, found = np.unique(all_pairs[counted], return_counts=True)
+    pair_counts = np.zeros(len(pairs), np.int64)
+    pair_counts[np.searchsorted(pairs, known)] = found
+    del all_pairs, known, found, counted
+    for kind in (0, 1):
+        keys, counts = (hashes, word_counts) if kind == 0 else (keys_of(hashes, pairs), pair_counts)
         order, starts = questions(keys, buckets)
         keys, counts = keys[order], counts[order].astype(np.int64)
+        del order
         for b in range(buckets):
             low, high = starts[b], starts[b + 1]
             if low < high:
@@ -182,35 +188,31 @@ def _answer(buckets: int):
 
 
 class Known:
-    """A block with its answers: for each token its counts and its context's, of the first part and of the held-out one."""
+    """A block with its answers: for each distinct pair of its tokens the counts, over the given parts."""
 
-    def __init__(self, own: dict, answers: pa.Table, buckets: int):
+    def __init__(self, own: dict, answers: pa.Table, buckets: int, parts: tuple[int, ...]):
         self.docs = unpack(own["docs"], np.int64).reshape(-1, 4)
-        self.tokens, hashes = unpack(own["tokens"], np.int32), unpack(own["hashes"], np.uint64)
-        self.pairs, self.place = np.unique(pairs_of(self.tokens, len(hashes)), return_inverse=True)
-        self.left, self.right = np.divmod(self.pairs, len(hashes))
-        told = {t: (a, b) for t, a, b in zip(*(answers[c].to_pylist() for c in ("target", "docs", "tokens")), strict=True)}
-        self.words = self._counts(hashes, told, 0, buckets)
-        self.both = self._counts(keys_of(hashes, self.pairs), told, buckets, buckets)
+        hashes = unpack(own["hashes"], np.uint64)
+        pairs, place = np.unique(pairs_of(unpack(own["tokens"], np.int32), len(hashes)), return_inverse=True)
+        self.place = place.astype(np.int32)
+        del place
+        told = dict(zip(answers["target"].to_pylist(), zip(*(answers[c].to_pylist() for c in ("docs", "tokens")), strict=True), strict=True))
+        words = self._counts(hashes, told, 0, buckets, parts)
+        self.pair = self._counts(keys_of(hashes, pairs), told, buckets, buckets, parts)
+        self.word = words[pairs % len(hashes)]
+        words[0] = words[1]  # each document begins once and ends once
+        self.context = words[pairs // len(hashes)]
 
     @staticmethod
-    def _counts(keys, told, first, buckets):
+    def _counts(keys, told, first, buckets, parts):
         order, starts = questions(keys, buckets)
-        out = np.zeros((2, len(keys)), np.int64)
+        out = np.zeros(len(keys), np.int64)
         for b in range(buckets):
             low, high = starts[b], starts[b + 1]
             if low < high:
-                for part in (0, 1):
-                    out[part, order[low:high]] = unpack(told[first + b][part], np.int64)
+                out[order[low:high]] = sum(unpack(told[first + b][part], np.int64) for part in parts)
         return out
 
-    def of_pairs(self, parts: list[int]):
-        """For each distinct pair: its count, its context's, and its word's, over the given parts."""
-        words, both = self.words[parts].sum(0), self.both[parts].sum(0)
-        context = words.copy()
-        context[0] = words[1]  # each document begins once and ends once
-        return both, context[self.left], words[self.right]
-
 
 def bucket_of(context: np.ndarray) -> np.ndarray:
     """0 for a context never seen, else its count's number of binary digits."""
@@ -223,8 +225,8 @@ def _held_counts(buckets: int):
     def work(own: pa.Table, answers: pa.Table) -> pa.Table:
         if not own.num_rows:
             return pa.table({k: pa.array([], pa.int64()) for k in ("bucket", "pair", "context", "word", "n")})
-        block = Known(own.to_pylist()[0], answers, buckets)
-        pair, context, word = block.of_pairs([0])
+        block = Known(own.to_pylist()[0], answers, buckets, (0,))
+        pair, context, word = block.pair, block.context, block.word
         bucket = bucket_of(context)
         facts = np.stack([bucket, pair, np.where(pair > 0, context, 0), word], axis=1)
         every, place = np.unique(facts, axis=0, return_inverse=True)
@@ -259,8 +261,8 @@ def _scores(buckets: int, found: dict, distinct: int, total: int):
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         if not own.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names)
-        block = Known(own.to_pylist()[0], answers, buckets)
-        pair, context, word = block.of_pairs([0, 1])
+        block = Known(own.to_pylist()[0], answers, buckets, (0, 1))
+        pair, context, word = block.pair, block.context, block.word
         bucket = bucket_of(context)
         table = np.empty((int(bucket.max()) + 1, 3))
         for b in range(len(table)):
@@ -269,12 +271,13 @@ def _scores(buckets: int, found: dict, distinct: int, total: int):
         if not total:
             table[:] = (0.0, 0.0, 1.0)
         table[0] = (0.0, table[0, 0] + table[0, 1], table[0, 2])  # no context: the pairs' share goes to the words
-        a = table[bucket]
-        p = a[:, 0] * pair / np.maximum(context, 1) + a[:, 1] * word / max(total, 1) + a[:, 2] / (distinct + 1)
+        p = table[bucket, 0] * pair / np.maximum(context, 1)
+        p += table[bucket, 1] * word / max(total, 1)
+        p += table[bucket, 2] / (distinct + 1)
         base = np.log10((word + 0.1) / (total + 0.1 * (distinct + 1)))
         docs = block.docs
         starts = np.cumsum(docs[:, 3]) - docs[:, 3]
-        sums = [np.add.reduceat(v[block.place], starts) for v in ((word > 0).astype(np.int64), base, np.log10(p))]
+        sums = [np.add.reduceat(v[block.place], starts) for v in ((word > 0).astype(np.int64), base, np.log10(p, out=p))]
         values = (
             pa.array(docs[:, 0], pa.int64(), mask=docs[:, 1] == 0),
             pa.array(docs[:, 2] == TEST),
