@@ -5,6 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from listingflow.llm import bpe, decontaminate, exact_dedup, language, lm_score, main_text, pii, simhash, token_files, url_rules
 from listingflow.llm.common import table
 
@@ -128,3 +130,8 @@ def op9_main_text(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.find(table(spark, sf, "documents"))
+
+
+@query(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf)

@@ -60,6 +60,7 @@ DROPPED_WORDS = frozenset(
     "promoted related replies respond share sharing sidebar skip social sponsor sponsored subscribe tags toolbar widget".split()
 )
 MAIN_TAGS = frozenset(("article", "main"))
+CONTAINERS = frozenset("#page html body div section table tbody tr td center".split())
 ROOT = "#page"
 
 
@@ -109,6 +110,9 @@ def _label(tag, attrs):
 
 def parsed(html: str):
     dom = Dom()
+    open_comment = html.rfind("<!--")
+    if open_comment >= 0 and "-->" not in html[open_comment:] and "</script" not in html[open_comment:].lower():
+        html = html[:open_comment]
     try:
         dom.feed(html)
         dom.close()
@@ -205,8 +209,8 @@ def wrapper(tree: list) -> list:
     if not region:
         best = tree
         while True:
-            inner = [x for x in best[5] if x[0].split(" ")[0] not in INLINE and mass(x) >= MASS * max(mass(best), 1)]
-            if not inner or best[0].split(" ")[0] in INLINE:
+            inner = [x for x in best[5] if x[0].split(" ")[0] in CONTAINERS and mass(x) >= MASS * max(mass(best), 1)]
+            if not inner:
                 break
             best = inner[0]
         region = [best]
@@ -276,10 +280,10 @@ def extract(html: str, frame: list | None) -> str:
         if node[0] == "br":
             line.append(" ")
             continue
+        inside = inside or id(node) in tops
         if block and inside:
             flush()
             stack.append((node, True, True))
-        inside = inside or id(node) in tops
         quiet = not inside or kinds.get(id(node)) == "same"
         stack.extend((c, inside, False) for c in reversed(node[2]) if not (isinstance(c, str) and quiet))
     flush()

@@ -236,17 +236,16 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def _named(frame: DataFrame, shingle: int, distance: int) -> tuple[DataFrame, DataFrame]:
-    """``frame`` (doc_id, text, ...) with its fingerprint, and (fingerprint, component_id) of every fingerprint."""
-    prints = appended(frame, _fingerprints(shingle), "fingerprint long")
-    narrow = staged(prints.select("doc_id", "fingerprint"))
+    """(doc_id, tie, fingerprint) of ``frame`` (doc_id, text), and (fingerprint, root, component_id) of every fingerprint."""
+    prints = appended(frame.withColumn("tie", F.xxhash64("text")), _fingerprints(shingle), "fingerprint long")
+    narrow = staged(prints.select("doc_id", "tie", "fingerprint"))
     least = staged(narrow.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
     roots = components(links(least, distance))
     joined = least.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn(
         "root", F.coalesce("root", "fingerprint")
     )
     names = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = joined.join(names, "root").select("fingerprint", "component_id")
-    return narrow, named
+    return narrow, joined.join(names, "root").select("fingerprint", "root", "component_id")
 
 
 def find_near_copies(
@@ -257,3 +256,32 @@ def find_near_copies(
     narrow, named = _named(frame, shingle, distance)
     digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint")
     return narrow.join(named.hint("merge"), "fingerprint").select("doc_id", digits, "component_id")
+
+
+def drop_near_copies(
+    docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The documents with all their columns, of each component the one of the smallest id (then fingerprint, then text hash)."""
+    picked = {"doc_id": id_col, "text": text_col}
+    frame = with_row(docs, **picked)
+    narrow, named = _named(frame.select("doc_id", "text"), shingle, distance)
+    own = F.struct(F.isnull("doc_id"), "doc_id", "fingerprint", "tie")
+    member = narrow.join(named.hint("merge"), "fingerprint").select("root", "doc_id", "tie", "fingerprint", own.alias("own"))
+    member = staged(member.groupBy("root", "doc_id", "tie", "fingerprint", "own").count())
+    stays = member.groupBy("root").agg(F.min("own").alias("stays"))
+    judged = member.join(stays, "root").select("doc_id", "tie", "fingerprint", "count", (F.col("own") == F.col("stays")).alias("kept"))
+
+    def same(left, right):
+        return (left["doc_id"].eqNullSafe(right["doc_id"])) & (left["tie"] == right["tie"])
+
+    # A row is named by its id and text; what goes is usually little, so it is that which is looked up.
+    gone = judged.filter("NOT kept").select("doc_id", "tie")
+    keyed = frame.withColumn("tie", F.xxhash64("text"))
+    left = keyed.join(gone, same(keyed, gone), "left_anti")
+    repeated = judged.filter("kept AND count > 1").select("doc_id", "tie")
+    if not repeated.isEmpty():  # rows that repeat id and text: one of them
+        several = left.join(repeated, same(left, repeated), "left_semi")
+        single = left.join(repeated, same(left, repeated), "left_anti")
+        one = several.groupBy("doc_id", "tie").agg(F.first("text").alias("text"), F.first("row").alias("row"))
+        left = single.unionByName(one.select(*single.columns))
+    return without_row(left, docs.columns, **picked)
