@@ -225,7 +225,7 @@ def fingerprint_mark(spark, sf):
     rows = conform(listings(spark, sf)).withColumn("fingerprint", content_fingerprint()).withColumn(
         "k", F.col("listing_id").cast("bigint")
     )
-    got = mark_duplicates(rows, "fingerprint", ["k"], F.col("k"))
+    got = mark_duplicates(rows, "fingerprint", ["k"])
     return got.select("listing_id", "fingerprint", "possible_duplicate")
 
 
@@ -234,7 +234,7 @@ def fingerprint_mark(spark, sf):
     SELECT doc_id, row_number() OVER (PARTITION BY fp ORDER BY doc_id) > 1 AS possible_duplicate FROM d""")
 def text_copies_mark(spark, sf):
     rows = load(spark, sf, "documents").select("doc_id", F.sha2(F.trim("text"), 256).alias("fp"))
-    return mark_duplicates(rows, "fp", ["doc_id"], F.col("doc_id")).select("doc_id", "possible_duplicate")
+    return mark_duplicates(rows, "fp", ["doc_id"]).select("doc_id", "possible_duplicate")
 
 
 BASE_SQL = """

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from listingflow.cluster import ship
 from listingflow.operators.gazetteer import Gazetteer
-from listingflow.sources.pages import spread_small
 
 QUERIES: dict[str, object] = {}
 ORACLES: dict[str, str] = {}
@@ -91,7 +90,7 @@ def listings(spark: SparkSession, sf: str) -> DataFrame:
 def customers_orders(spark: SparkSession, sf: str) -> DataFrame:
     t = {n: load(spark, sf, n) for n in ("orders", "customer", "nation", "region")}
     return (
-        spread_small(t["orders"])
+        t["orders"]
         .join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
         .join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
         .join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))

@@ -163,8 +163,11 @@ def snapshot_cost(payload: Column) -> Column:
 
 
 def iso_timestamp(c: Column) -> Column:
-    """ISO text to a UTC timestamp; text without a zone is taken as UTC; invalid is null."""
-    return F.try_to_timestamp(c)
+    """ISO text to a UTC timestamp; text without a zone is taken as UTC; invalid is null.
+
+    A whole date is required: a bare time or year would depend on the day of the run.
+    """
+    return F.when(F.trim(c).rlike(r"\A\d{4}-\d{2}-\d{2}(?:[T ]\d{2}|\z)"), F.try_to_timestamp(c))
 
 
 def duration_minutes(c: Column) -> Column:

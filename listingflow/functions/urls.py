@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
-from urllib.parse import parse_qs, urlencode, urljoin, urlparse, urlunparse
+from urllib.parse import parse_qsl, urldefrag, urlencode, urljoin
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -159,17 +160,25 @@ def resolve_url(base: Column, href: Column) -> Column:
     )
 
 
-def canonical_link(base: str, href: str) -> str:
-    """The same two rules for one link, for use inside the page-parsing tasks."""
-    href = href.strip().strip("'\"")
-    url = urlparse("https:" + href if href.startswith("//") else urljoin(base, href))
-    kept = {
-        key: values
-        for key, values in parse_qs(url.query, keep_blank_values=True).items()
-        if key.lower() not in V.TRACKING_KEYS and not key.lower().startswith("utm_")
-    }
-    short = url.path.rstrip("/") or url.path
-    return urlunparse(url._replace(path=short, query=urlencode(kept, doseq=True), fragment=""))
+def page_link(base: str, href: str) -> str:
+    """``resolve_url`` and then ``canonical_url`` for one link, inside the page-parsing tasks.
+
+    A link without a scheme but with a host is taken as https. Parameters keep their order, with
+    repeated ones beside their first; tracking ones, the fragment and closing slashes go.
+    """
+    link = href.strip().strip("'\"")
+    address, _ = urldefrag(urljoin("https://" if link[:2] == "//" else base, link))
+    front, _, asked = address.partition("?")
+    pairs = [p for p in parse_qsl(asked, keep_blank_values=True) if not _tracks(p[0].lower())]
+    place = {key: -i for i, (key, _) in reversed(list(enumerate(pairs)))}
+    pairs.sort(key=lambda p: -place[p[0]])
+    kind, origin, whole = re.match(r"([^:/]*:)?(//[^/]*)?(.*)", front, re.DOTALL).groups("")
+    short = f"{kind.lower()}{origin}{whole.rstrip('/') or whole}"
+    return f"{short}?{urlencode(pairs)}" if pairs else short
+
+
+def _tracks(key: str) -> bool:
+    return key.startswith("utm_") or key in V.TRACKING_KEYS
 
 
 def canonical_id(source: Column, url: Column) -> Column:
@@ -182,13 +191,17 @@ def is_detail_url(url: Column, patterns: Sequence[str]) -> Column:
 
 
 def id_from_url(url: Column, patterns: Sequence[str]) -> Column:
-    """Pattern group, else an id parameter, else the last path part of four letters or more."""
-    groups = [blank_to_null(F.regexp_extract(url, p, 1)) for p in patterns]
+    """All groups of a pattern joined, else an id parameter, else the last path part of four letters or more."""
+    found = []
+    for pattern in patterns:
+        groups = [F.regexp_extract(url, pattern, i + 1) for i in range(re.compile(pattern).groups)]
+        if groups:  # a pattern without groups names no id
+            found.append(blank_to_null(F.array_join(F.filter(F.array(*groups), lambda g: g != ""), "_")))
     params = [query_value(url, k) for k in ("id", "case", "caseId", "houseId", "houseid")]
     parts = F.filter(F.split(path(url), "/"), lambda x: x != "")
     last = F.try_element_at(parts, F.lit(-1))
     tail = F.when(F.length(last) >= 4, F.regexp_replace(last, r"(?U)\W+", "_"))
-    return F.coalesce(*groups, *params, tail)
+    return F.coalesce(*found, *params, tail)
 
 
 PORTAL_HOST = "rent.591.com.tw"

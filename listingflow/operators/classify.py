@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .dedupe import first_wins
 from ..functions import vocabulary as V
 from ..functions.numbers import effective_cost
 from ..functions.text import (
@@ -87,16 +88,16 @@ def keyword_classification(text: Column, is_female_only: Column | None = None) -
 def classify(records: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """Add ``classification``: external labels where given, the keyword rules elsewhere.
 
-    ``labels`` has ``source, listing_id`` and the fields of the classification struct. Keys
-    are unique on both sides, so the join spreads evenly.
+    ``labels`` has ``source, listing_id`` and the fields of the classification struct. Of labels that
+    repeat a key one counts, the first by its fields, so that no record is multiplied.
     """
     marked = add_female_only(records).withColumn("_text", classification_text())
     rules = keyword_classification(F.col("_text"), F.col("female_only"))
     if labels is None:
         return marked.withColumn("classification", rules).drop("_text")
-    given = labels.select(
-        "source", "listing_id", F.struct(*LABEL_FIELDS).alias("_label")
-    )
+    fields = F.struct(*LABEL_FIELDS)
+    once = first_wins(labels, ["source", "listing_id"], [F.to_json(fields, {"ignoreNullFields": "false"})])
+    given = once.select("source", "listing_id", fields.alias("_label"))
     return (
         marked.join(given, ["source", "listing_id"], "left")
         .withColumn("classification", F.coalesce("_label", rules))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import effective_cost
 from ..functions.text import fingerprint_text
-from .skew import HOT_ROWS, attach_facts
+from .skew import attach_facts
 
 
 def first_wins(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -48,9 +48,7 @@ def mark_duplicates(
     df: DataFrame,
     fingerprint: str,
     order: Sequence[str],
-    spread_by: Column,
     eligible: Column | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Mark every row but the first of each fingerprint; nothing is dropped.
 
@@ -70,7 +68,7 @@ def mark_duplicates(
         .agg(F.min(place).alias("_first"), F.count("*").alias("_n"))
         .filter("_n > 1")
     )
-    out = attach_facts(keyed, firsts, ["_fp"], "_n", spread_by, hot_rows)
+    out = attach_facts(keyed, firsts, ["_fp"])
     duplicate = F.col("_first").isNotNull() & (place != F.col("_first"))
     suppressed = (
         F.col("notification_suppressed") if "notification_suppressed" in df.columns else F.lit(None)

@@ -245,6 +245,8 @@ class Gazetteer:
         the whole text, then the bracketed area of the title, where short names are known.
         """
         c = F.col
+        if city not in self.cities:  # a gazetteer without the board's city knows none of its places
+            return df.withColumn(out, F.lit(None).cast("struct<city: string, district: string>"))
         stems = [(d.removesuffix("區"), d) for d in self.cities[city]]
         staged = (
             df.withColumn("_name", normalize_spelling(c(text)))

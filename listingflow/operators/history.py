@@ -37,7 +37,7 @@ def with_previous(
         (F.row_number().over(Window.partitionBy(*key).orderBy("_bucket")) == 1).alias("_first_bucket"),
     )
     inner = Window.partitionBy(*key, "_bucket").orderBy(*order)
-    out = rows.withColumn("_lag", F.lag("_row").over(inner)).join(chain, [*key, "_bucket"])
+    out = _rejoined(rows.withColumn("_lag", F.lag("_row").over(inner)), chain, [*key, "_bucket"])
     before = F.coalesce("_lag", "_carried")
     return out.select(
         *df.columns,
@@ -46,6 +46,13 @@ def with_previous(
     )
 
 
+def _rejoined(rows: DataFrame, chain: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Each row with its bucket's summary; a null key or bucket is one like any other."""
+    named = chain.withColumnsRenamed({c: f"_of_{c}" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
+    return rows.join(named, same).drop(*[f"_of_{c}" for c in by])
+
+
 def running_total(
     df: DataFrame,
     key: Sequence[str],
@@ -64,11 +71,8 @@ def running_total(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return (
-        rows.withColumn("_in", F.sum("_v").over(inner))
-        .join(chain, [*key, "_bucket"])
-        .select(*df.columns, (F.col("_carried") + F.col("_in")).alias(out))
-    )
+    joined = _rejoined(rows.withColumn("_in", F.sum("_v").over(inner)), chain, [*key, "_bucket"])
+    return joined.select(*df.columns, (F.col("_carried") + F.coalesce("_in", F.lit(0))).alias(out))
 
 
 def observation_changes(
@@ -137,7 +141,7 @@ def gap_sessions(
     marked = with_previous(df, key, order, [ts], bucket)
     micros = [F.unix_micros(F.col(c).cast("timestamp")) for c in (ts, f"prev_{ts}")]
     wide = micros[0] - micros[1] > int(gap_seconds * 1_000_000)
-    starts = marked.withColumn("_start", (F.col("is_first") | wide).cast("int"))
+    starts = marked.withColumn("_start", (F.col("is_first") | F.coalesce(wide, F.lit(False))).cast("int"))
     numbered = running_total(starts, key, order, F.col("_start"), bucket, "session")
     return numbered.groupBy(*key, "session").agg(
         F.min(ts).alias("started_at"), F.max(ts).alias("ended_at"), F.count("*").alias("observations")

@@ -59,10 +59,8 @@ def merge_details(
         .filter("_use = 1")
         .drop("_use")
     )
-    # A link that a third of all pages carry must not gather them in one task.
-    counted = uses.groupBy("url").agg(F.count("*").alias("_n")).join(found, "url")
     chosen = (
-        attach_facts(uses, counted, ["url"], "_n", F.struct(page, position))
+        attach_facts(uses, found, ["url"])
         .filter("_d IS NOT NULL")
         .withColumn("_turn", F.row_number().over(turn))
         .filter(F.col("_turn") <= limit)

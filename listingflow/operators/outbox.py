@@ -11,7 +11,7 @@ from ..functions import text as X
 from ..functions import vocabulary as V
 from ..functions.text import blank_to_null
 from .score import rank_score
-from .skew import HOT_ROWS, attach_facts
+from .skew import attach_facts
 
 KEY = ("source", "listing_id")
 
@@ -27,8 +27,6 @@ def contiguous_order(
     inner: Sequence[Column],
     within: Sequence[str] = (),
     label: Column | None = None,
-    spread_by: Column | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> tuple[DataFrame, list[str]]:
     """Columns to sort by so that groups stand together, in order of first appearance.
 
@@ -40,10 +38,8 @@ def contiguous_order(
         "_inner", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(inner)])
     )
     group = [*within, "_label"]
-    heads = named.groupBy(*group).agg(F.min("_inner").alias("_head"), F.count("*").alias("_n"))
-    spread = spread_by if spread_by is not None else F.col("_inner")
-    out = attach_facts(named, heads, group, "_n", spread, hot_rows).drop("_n")
-    return out, [*within, "_head", "_inner"]
+    heads = named.groupBy(*group).agg(F.min("_inner").alias("_head"))
+    return attach_facts(named, heads, group), [*within, "_head", "_inner"]
 
 
 def _rank_inner(max_rent: int) -> list[Column]:
@@ -56,18 +52,23 @@ def _rank_inner(max_rent: int) -> list[Column]:
     ]
 
 
-def order_outbox(pending: DataFrame, max_rent: int = 18_600, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, list[str]]:
+def order_outbox(pending: DataFrame, max_rent: int = 18_600) -> tuple[DataFrame, list[str]]:
     """Priority, then rank, groups contiguous per priority: rows and the columns to sort by."""
-    return contiguous_order(pending, _rank_inner(max_rent), ("priority",), hot_rows=hot_rows)
+    return contiguous_order(pending, _rank_inner(max_rent), ("priority",))
 
 
-def watch_top_n(
-    pending: DataFrame, limit: int, max_rent: int = 18_600, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Order first, then cut: the watch rule. ``position`` starts at 1."""
-    rows, order = order_outbox(pending, max_rent, hot_rows)
-    top = rows.orderBy(*order).limit(limit)
-    return _number(top, order).drop("_label", "_inner", "_head")
+def watch_top_n(pending: DataFrame, limit: int, max_rent: int = 18_600) -> DataFrame:
+    """Order first, then cut: the watch rule. ``position`` starts at 1.
+
+    Places are found on keys and sort values alone; only the rows that made it are looked up whole.
+    """
+    inner = _rank_inner(max_rent)
+    narrow = pending.select(
+        *KEY, "priority", group_label().alias("_label"), *[c.alias(f"_o{i}") for i, c in enumerate(inner)]
+    )
+    rows, order = contiguous_order(narrow, [F.col(f"_o{i}") for i in range(len(inner))], ("priority",), F.col("_label"))
+    places = _number(rows.orderBy(*order).limit(limit), order).select(*KEY, "position")
+    return pending.join(places, list(KEY)).select(*pending.columns, "position").orderBy("position")
 
 
 def backfill_top_n(matched: DataFrame, limit: int, max_rent: int = 18_600) -> DataFrame:

@@ -243,20 +243,13 @@ def add_proximity(
     if commute is not None:
         measured = commute.filter("minutes IS NOT NULL").select(
             F.col("origin").alias("_origin"), F.col("minutes").cast("int").alias("_minutes")
-        )
+        )  # one row per origin
         with_origin = out.withColumn(
             "_origin", F.when(F.coalesce("address", F.lit("")) != "", route_origin())
         )
-
-        counts = with_origin.filter("_origin IS NOT NULL").groupBy("_origin").agg(
-            F.count("*").alias("_n")
-        )
-        facts = counts.join(measured, "_origin")
         minutes = F.col("_minutes")
         out = (
-            attach_facts(
-                with_origin, facts, ["_origin"], "_n", F.struct("source", "listing_id")
-            )
+            attach_facts(with_origin, measured, ["_origin"])
             .withColumn(
                 "_e",
                 F.when(

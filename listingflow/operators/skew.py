@@ -1,65 +1,22 @@
 """Joining per-group facts back to rows when one group may hold a third of them.
 
-A plain join would send every row of a hot group to one task. Here the largest groups
-(at most ``HOT_GROUPS``, a proven bound) are matched by a broadcast, and their rows are
-spread over the shuffle partitions under keys that match nothing. All other groups take
-the ordinary shuffle join, so the result is exact whatever the distribution.
+The join is an ordinary left join of rows to one fact row per key. A sort-merge join's rows side may be cut
+anywhere, since each piece meets the same fact row: adaptive execution splits the partitions that
+a hot group fills, from what it measured in the shuffle, whatever the number of such groups.
+Small facts may be broadcast, which Spark decides from their measured size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_GROUPS = 1024
-HOT_ROWS = 100_000
 
-
-def attach_facts(
-    rows: DataFrame,
-    facts: DataFrame,
-    keys: Sequence[str],
-    count: str,
-    spread_by: Column,
-    hot_rows: int = HOT_ROWS,
-    hot_groups: int = HOT_GROUPS,
-) -> DataFrame:
-    """Left join ``facts`` (one row per key, ``count`` rows behind each) to ``rows``.
-
-    Null keys match nothing. ``spread_by`` is any well-distributed column of ``rows``.
-    """
+def attach_facts(rows: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join ``facts`` (one row per key) to ``rows``. Null keys match nothing."""
     values = [c for c in facts.columns if c not in keys]
-    hot = (
-        facts.filter(F.col(count) >= hot_rows)
-        .orderBy(F.desc(count), *keys)
-        .limit(hot_groups)
-        .select(
-            *[F.col(k).alias(f"_h_{k}") for k in keys],
-            F.struct(*values).alias("_hot"),
-        )
-    )
-    cold = facts.select(
-        *[F.col(k).alias(f"_c_{k}") for k in keys],
-        # Always 0, but not a literal: a literal would be folded out of the join keys, and the
-        # hot rows would again be shuffled by their group alone.
-        F.pmod(F.col(count), F.lit(1)).cast("int").alias("_c_salt"),
-        F.struct(*values).alias("_cold"),
-    )
-    marked = rows.join(
-        F.broadcast(hot),
-        [F.col(k) == F.col(f"_h_{k}") for k in keys],
-        "left",
-    ).withColumn(
-        "_salt",
-        F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(
-            F.lit(1) + F.pmod(F.xxhash64(spread_by), F.lit(1 << 30)).cast("int")
-        ),
-    )
-    joined = marked.join(
-        cold,
-        [F.col(k) == F.col(f"_c_{k}") for k in keys] + [F.col("_salt") == F.col("_c_salt")],
-        "left",
-    ).withColumn("_facts", F.coalesce("_hot", "_cold"))
+    named = facts.select(*[F.col(k).alias(f"_f_{k}") for k in keys], F.struct(*values).alias("_facts"))
+    joined = rows.join(named, [F.col(k) == F.col(f"_f_{k}") for k in keys], "left")
     return joined.select(*rows.columns, *[F.col(f"_facts.{v}").alias(v) for v in values])

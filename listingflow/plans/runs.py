@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..checkpoint import cut
 from ..operators import classify as C
-from ..operators.dedupe import content_fingerprint, mark_duplicates
+from ..operators.dedupe import content_fingerprint, first_wins, mark_duplicates
 from ..operators.outbox import backfill_top_n, message, order_outbox, run_summary, watch_top_n
 from ..operators.score import add_proximity
 from ..operators.state import mark_notified, pending, upsert
@@ -67,9 +67,7 @@ def assess(
         "dedupe_fingerprint", F.when(F.col("status") == "active", content_fingerprint())
     )
     # Read twice by the marking; everything up to here is computed once.
-    marked = mark_duplicates(
-        cut(routed), "dedupe_fingerprint", carried or list(KEY), F.struct(*KEY)
-    )
+    marked = mark_duplicates(cut(routed), "dedupe_fingerprint", carried or list(KEY))
     return marked.select(*carried, *shaped)
 
 
@@ -82,9 +80,12 @@ class WatchResult:
 def ingest(store: StateStore, assessed: DataFrame, now: datetime) -> int:
     """Upsert a batch; reads the matching state rows and writes only the batch's rows."""
     # Used twice below and costly to derive from pages, so it is materialised once.
-    batch = cut(assessed.drop(*[c for c in ORDER if c in assessed.columns]))
-    merged = upsert(store.read(), batch, F.lit(now), full=False)
-    return store.write(merged, "changes" if store.version() else "whole")
+    order = [F.col(c) for c in ORDER if c in assessed.columns]
+    unique = first_wins(assessed, KEY, order or [F.to_json(F.struct(*assessed.columns))])
+    batch = cut(unique.drop(*[c for c in ORDER if c in assessed.columns]))
+    base = store.version()
+    merged = upsert(store.read(base), batch, F.lit(now), full=False)
+    return store.write(merged, "changes" if base else "whole", based_on=base)
 
 
 def watch(store: StateStore, rules: Rules) -> WatchResult:
@@ -99,7 +100,8 @@ def watch(store: StateStore, rules: Rules) -> WatchResult:
 
 def deliver(store: StateStore, delivered: DataFrame, at: datetime, log: RunLog | None = None) -> int:
     """Mark what was really delivered; the rest stays pending for the next run."""
-    n = store.write(mark_notified(store.read(), delivered, F.lit(at), full=False))
+    base = store.version()
+    n = store.write(mark_notified(store.read(base), delivered, F.lit(at), full=False), based_on=base)
     if log is not None:
         log.record("watch", at)
     return n

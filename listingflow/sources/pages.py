@@ -15,21 +15,10 @@ from ..operators.skew import attach_facts
 PAGE_DDL = "page_id bigint, source string, url string, html string, status int"
 
 
-def read_pages(spark: SparkSession, location: str) -> DataFrame:
-    return spark.read.parquet(location)
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Give every core a share of an input too small to be split by the scan.
-
-    Decided from the plan's size estimate, without a job. An input with at least one full
-    scan split per core stays where it is, so large tables are never moved for this.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    split = 128 * 1024 * 1024
-    return df.repartition(cores) if size < cores * split else df
+def read_pages(spark: SparkSession, location: str, partitions: int | None = None) -> DataFrame:
+    """The pages; ``partitions`` deals them out anew, for tables whose files are too few or too large."""
+    pages = spark.read.parquet(location)
+    return pages.repartition(partitions) if partitions else pages
 
 
 def worst_status(responses: DataFrame, page: str = "page_id") -> DataFrame:
@@ -105,9 +94,8 @@ def url_policy(urls: DataFrame, policies: DataFrame, url: str = "url") -> DataFr
     known = policies.select(
         F.col("origin").alias("_origin"), F.col("state").alias("_state"), F.col("rules").alias("_rules")
     )
-    # One host may hold a third of all pages.
-    facts = with_origin.groupBy("_origin").agg(F.count("*").alias("_n")).join(known, "_origin")
-    joined = attach_facts(with_origin, facts, ["_origin"], "_n", u)
+    # One host may hold a third of all pages; the policies are a table of their own, so it is joined as it is.
+    joined = attach_facts(with_origin, known, ["_origin"])
     fitting = F.filter("_rules", lambda r: target.startswith(r["prefix"]))
     allowed = F.coalesce(F.try_element_at(fitting, F.lit(1))["allow"], F.lit(True))
     return joined.withColumn(
@@ -115,7 +103,7 @@ def url_policy(urls: DataFrame, policies: DataFrame, url: str = "url") -> DataFr
         F.when(F.coalesce("_state", F.lit("unavailable")) == "unavailable", F.lit("ROBOTS_UNAVAILABLE"))
         .when(F.col("_state") == "absent", F.lit(None))
         .when(~allowed, F.lit("ROBOTS_DISALLOWED")),
-    ).drop("_origin", "_state", "_rules", "_n")
+    ).drop("_origin", "_state", "_rules")
 
 
 def quarantine_counts(quarantine: DataFrame) -> DataFrame:

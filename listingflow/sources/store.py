@@ -1,95 +1,180 @@
-"""Record state on disk: immutable version folders, complete ones marked by ``_SUCCESS``.
+"""Record state on disk: immutable versions, published one number at a time.
 
-A version is a whole snapshot or the rows one run changed. Reading folds the newest whole
-snapshot with the changes after it, so a run writes in proportion to its batch. A folder a
-failed run left behind has no ``_SUCCESS`` and is not read.
+Data goes to a folder of the attempt's own (``data/<attempt>``). A version exists once its manifest,
+``log/<number>.json``, does: the manifest is made whole elsewhere and then takes its final name, which
+fails if the name is taken. So a crashed write leaves nothing that is read, two writers cannot take one
+number, and a version never changes.
+
+A version is a whole snapshot or the rows one run changed. A whole one says up to which number it
+covers; reading folds the newest one with all changes after that number, so a batch that commits while
+a snapshot is made is kept. Steps of a stream carry its query's id, the batch and the step's name.
 """
 
 from __future__ import annotations
 
-import re
+import json
+import os
+import uuid
 from collections.abc import Sequence
-from functools import reduce
+from dataclasses import asdict, dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedupe import first_wins
 from ..schema import KEY, RECORD_DDL, RUN_LOG_DDL, record_schema
 
+MANIFEST_DDL = "number long, kind string, attempt string, covers long, stream string, batch long, step string"
+
+
+class VersionTaken(RuntimeError):
+    """Another writer published the number, or a newer version than the one this write is based on."""
+
+
+@dataclass(frozen=True)
+class Version:
+    number: int
+    kind: str  # whole, changes, or step: a stream's step without rows of its own
+    attempt: str | None = None
+    covers: int = 0
+    stream: str | None = None
+    batch: int | None = None
+    step: str | None = None
+
 
 class StateStore:
-    def __init__(self, spark: SparkSession, location: str) -> None:
+    """``compact_after`` changes since the last snapshot make a write fold them into a new one."""
+
+    def __init__(self, spark: SparkSession, location: str, compact_after: int = 50) -> None:
         self.spark = spark
         self.location = location.rstrip("/")
+        self.compact_after = compact_after
 
-    def _folders(self) -> list[tuple[int, str, int | None]]:
-        """(number, kind, micro-batch) of every complete version, oldest first."""
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.location)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        found = []
-        for status in fs.listStatus(root):
-            hit = re.fullmatch(r"v(\d+)-(whole|changes)(?:-b(\d+))?", status.getPath().getName())
-            if hit and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-                batch = int(hit.group(3)) if hit.group(3) else None
-                found.append((int(hit.group(1)), hit.group(2), batch))
-        return sorted(found, key=lambda f: f[0])
-
-    def _path(self, n: int, kind: str, batch: int | None) -> str:
-        return f"{self.location}/v{n:010d}-{kind}" + ("" if batch is None else f"-b{batch}")
+    def versions(self) -> list[Version]:
+        """Every published version, oldest first: one small read, however many there are."""
+        try:
+            rows = self.spark.read.schema(MANIFEST_DDL).json(f"{self.location}/log").collect()
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" in str(error):
+                return []
+            raise
+        return sorted((Version(**r.asDict()) for r in rows), key=lambda v: v.number)
 
     def version(self) -> int:
-        return max((n for n, _, _ in self._folders()), default=0)
+        return max((v.number for v in self.versions()), default=0)
 
-    def read(self) -> DataFrame:
+    def _data(self, attempt: str) -> str:
+        return f"{self.location}/data/{attempt}"
+
+    def read(self, upto: int | None = None) -> DataFrame:
         """Newest whole snapshot, its changed keys replaced by their newest change.
 
-        Only the changes are folded. The snapshot is merely anti-joined to their keys, so it is
-        not shuffled while those fit a broadcast, and filters and column lists reach its scan.
+        Only the changes are folded, in one scan. The snapshot is merely anti-joined to their keys, so
+        it is not shuffled while those fit a broadcast, and filters and column lists reach its scan.
         """
-        folders = self._folders()
-        start = max((n for n, kind, _ in folders if kind == "whole"), default=0)
+        known = [v for v in self.versions() if v.attempt and (upto is None or v.number <= upto)]
+        whole = max((v for v in known if v.kind == "whole"), key=lambda v: (v.covers, v.number), default=None)
+        changes = [v for v in known if v.kind == "changes" and v.number > (whole.covers if whole else 0)]
         reader = self.spark.read.schema(record_schema())
-        whole = [reader.parquet(self._path(*f)) for f in folders if f[0] == start]
-        changes = [
-            reader.parquet(self._path(*f)).withColumn("_version", F.lit(f[0]))
-            for f in folders
-            if f[0] > start
-        ]
+        snapshot = reader.parquet(self._data(whole.attempt)) if whole else None
         if not changes:
-            return whole[0] if whole else self.spark.createDataFrame([], RECORD_DDL)
-        newest = changes[0]
+            return snapshot if whole else self.spark.createDataFrame([], RECORD_DDL)
+        newest = reader.parquet(*[self._data(v.attempt) for v in changes])
         if len(changes) > 1:
-            newest = first_wins(reduce(DataFrame.unionByName, changes), KEY, [F.desc("_version")])
-        newest = newest.drop("_version")
+            numbers = F.create_map(*[F.lit(x) for v in changes for x in (v.attempt, v.number)])
+            attempt = F.regexp_extract("_metadata.file_path", "/data/([0-9a-f]+)/", 1)
+            newest = first_wins(newest.withColumn("_version", numbers[attempt]), KEY, [F.desc("_version")]).drop("_version")
         if not whole:
             return newest
-        untouched = whole[0].join(newest.select(*KEY), list(KEY), "left_anti")
+        untouched = snapshot.join(newest.select(*KEY), list(KEY), "left_anti")
         return untouched.select(*newest.columns).unionByName(newest)
 
-    def has_batch(self, batch_id: int) -> bool:
-        """Whether a micro-batch of the stream that owns this store was already applied."""
-        return any(b == batch_id for _, _, b in self._folders())
+    def find(self, stream: str, batch: int, step: str) -> Version | None:
+        """The published step of a stream's micro-batch, if it was published."""
+        return next((v for v in self.versions() if (v.stream, v.batch, v.step) == (stream, batch, step)), None)
 
-    def write(self, rows: DataFrame, kind: str = "changes", batch_id: int | None = None) -> int:
-        """A new version; fails rather than overwrite if another writer took the number."""
-        n = self.version() + 1
+    def write(
+        self, rows: DataFrame, kind: str = "changes", stream: str | None = None, batch: int | None = None,
+        step: str | None = None, based_on: int | None = None,
+    ) -> int:
+        """Write rows to a folder of their own and publish them as the next version.
+
+        ``based_on`` is the version the rows were derived from: a newer one makes the write fail, since
+        it could undo what that one changed.
+        """
+        attempt = uuid.uuid4().hex
         columns = [f.name for f in record_schema().fields]
-        (
-            rows.select(*columns)
-            .write.mode("errorifexists")
-            .option("parquet.block.size", 128 * 1024 * 1024)
-            .parquet(self._path(n, kind, batch_id))
-        )
-        return n
+        writer = rows.select(*columns).write.mode("errorifexists").option("parquet.block.size", 128 * 1024 * 1024)
+        writer.parquet(self._data(attempt))
+        number = self.publish(kind, attempt, stream=stream, batch=batch, step=step, based_on=based_on)
+        if kind == "changes":
+            since = [v for v in self.versions() if v.kind == "changes" and v.number > self._covered()]
+            if len(since) >= self.compact_after:
+                self.compact()
+        return number
+
+    def _covered(self) -> int:
+        return max((v.covers for v in self.versions() if v.kind == "whole"), default=0)
+
+    def publish(
+        self, kind: str, attempt: str | None = None, covers: int | None = None, stream: str | None = None,
+        batch: int | None = None, step: str | None = None, based_on: int | None = None,
+    ) -> int:
+        latest = self.version()
+        if based_on is not None and latest != based_on:
+            raise VersionTaken(f"derived from version {based_on}, but {latest} is published")
+        number = latest + 1
+        if covers is None:
+            covers = number if kind == "whole" else 0
+        self._claim(number, json.dumps(asdict(Version(number, kind, attempt, covers, stream, batch, step))))
+        return number
+
+    def _claim(self, number: int, text: str) -> None:
+        """Give a finished manifest its final name, unless that is taken."""
+        final = f"{self.location}/log/{number:010d}.json"
+        if "://" not in self.location or self.location.startswith("file:"):
+            path = final.split("file:", 1)[-1]
+            path = "/" + path.lstrip("/") if final.startswith("file:") else path
+            made = f"{os.path.dirname(os.path.dirname(path))}/made-{uuid.uuid4().hex}"
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(made, "w", encoding="utf-8") as out:
+                out.write(text)
+            try:
+                os.link(made, path)
+            except FileExistsError:
+                raise VersionTaken(f"version {number} is published") from None
+            finally:
+                os.unlink(made)
+            return
+        # Other stores: their file system's rename refuses to replace.
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        target = hadoop.Path(final)
+        files = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        files.mkdirs(target.getParent())
+        made = hadoop.Path(f"{self.location}/made-{uuid.uuid4().hex}")
+        stream = files.create(made, False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        if files.exists(target) or not files.rename(made, target):
+            files.delete(made, False)
+            raise VersionTaken(f"version {number} is published")
 
     def compact(self) -> int:
-        """Fold everything into one snapshot, laid out for pruning by status and key."""
-        rows = self.read()
-        return self.write(rows.repartition(*KEY).sortWithinPartitions("status", *KEY), "whole")
+        """Fold all up to now into one snapshot, laid out for pruning by status and key.
+
+        What other writers publish meanwhile is not covered, and stays in force.
+        """
+        upto = self.version()
+        rows = self.read(upto).repartition(*KEY).sortWithinPartitions("status", *KEY)
+        attempt = uuid.uuid4().hex
+        columns = [f.name for f in record_schema().fields]
+        rows.select(*columns).write.mode("errorifexists").parquet(self._data(attempt))
+        while True:
+            try:
+                return self.publish("whole", attempt, covers=upto)
+            except VersionTaken:  # it depends on no number of its own
+                continue
 
 
 class RunLog:

@@ -17,59 +17,77 @@ from ..sources.registry import extract_all
 from ..sources.store import StateStore
 
 Deliver = Callable[[DataFrame, int], DataFrame]
+Records = DataFrame | tuple[DataFrame, DataFrame]
+OUTBOX_DDL = "source string, listing_id string, priority int, position int, reasons array<string>, message string"
 
 
-def page_batches(gazetteer: Gazetteer, rules: Rules) -> Callable[[DataFrame], DataFrame]:
-    """Micro-batch of pages to assessed records."""
+def page_batches(gazetteer: Gazetteer, rules: Rules) -> Callable[[DataFrame], Records]:
+    """Micro-batch of pages to assessed records and refused pages."""
 
-    def step(pages: DataFrame) -> DataFrame:
-        records, _ = extract_all(pages, gazetteer)
-        return assess(records, rules)
+    def step(pages: DataFrame) -> Records:
+        records, refused = extract_all(pages, gazetteer)
+        return assess(records, rules), refused
 
     return step
 
 
+def _stream_id(batch: DataFrame, checkpoint: str) -> str:
+    """The query's id, which its checkpoint keeps: another checkpoint is another stream."""
+    return batch.sparkSession.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
+
+
 def watch_stream(
     source: DataFrame,
     store: StateStore,
     outbox: str,
     checkpoint: str,
     rules: Rules,
-    to_records: Callable[[DataFrame], DataFrame],
+    to_records: Callable[[DataFrame], Records],
     deliver: Deliver | None = None,
     available_now: bool = True,
+    quarantine: str | None = None,
 ):
     """Ingest each micro-batch, write what it made announceable, mark what was delivered.
 
-    ``to_records`` turns a micro-batch into assessed records. ``deliver`` gets the outbox and
-    the batch id and returns the keys that went out; without it nothing is marked, and
-    everything stays pending. A batch that is replayed after a failure finds its state version
-    recorded and is not applied twice; its outbox folder is replaced, so delivery is at least
-    once per (key, batch id).
+    ``to_records`` turns a micro-batch into assessed records, or these and the refused pages, which go
+    to ``quarantine``. ``deliver`` gets the outbox and the batch id and returns the keys that went out;
+    without it nothing is marked, and everything stays pending.
+
+    Each step is published once under the query's id and the batch's number. A batch that is replayed
+    does only the steps not yet published: its rows are not applied twice, its outbox is the one already
+    written, so ``deliver`` gets the same records again, and its marks are made once.
     """
     spark = source.sparkSession
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        if not store.has_batch(batch_id):
-            rows = to_records(batch)
+        stream = _stream_id(batch, checkpoint)
+        named = {"stream": stream, "batch": batch_id}
+        place = f"stream={stream}/batch={batch_id}"
+        if not store.find(**named, step="rows"):
+            found = to_records(batch)
+            rows, refused = found if isinstance(found, tuple) else (found, None)
+            if refused is not None and quarantine is not None:
+                refused.write.mode("overwrite").json(f"{quarantine}/{place}")
             order = [F.col(c) for c in ORDER if c in rows.columns]
-            unique = first_wins(rows, KEY, order or [F.col("listing_id")])
+            # Without a column that says which came first, the row's own text decides.
+            unique = first_wins(rows, KEY, order or [F.to_json(F.struct(*rows.columns))])
             # Read twice by the incremental upsert, so it is computed once.
             unique = cut(conform(unique))
-            merged = upsert(store.read(), unique, F.current_timestamp(), full=False)
-            store.write(merged, batch_id=batch_id)
-        folder = f"{outbox}/batch={batch_id}"
-        result = watch(store, rules)
-        result.outbox.select(*KEY, "priority", "position", "reasons", "message").write.mode(
-            "overwrite"
-        ).json(folder)
-        if deliver is not None:
-            written = spark.read.schema(
-                "source string, listing_id string, priority int, position int, "
-                "reasons array<string>, message string"
-            ).json(folder)
-            sent = deliver(written, batch_id)
-            store.write(mark_notified(store.read(), sent, F.current_timestamp(), full=False))
+            base = store.version()
+            merged = upsert(store.read(base), unique, F.current_timestamp(), full=False)
+            store.write(merged, **named, step="rows", based_on=base)
+        folder = f"{outbox}/{place}"
+        if not store.find(**named, step="outbox"):
+            result = watch(store, rules)
+            columns = [f.split()[0] for f in OUTBOX_DDL.split(", ")]
+            # Overwrites only what a failed attempt left: nothing was delivered from it.
+            result.outbox.select(*columns).write.mode("overwrite").json(folder)
+            store.publish("step", **named, step="outbox")
+        if deliver is not None and not store.find(**named, step="marks"):
+            sent = deliver(spark.read.schema(OUTBOX_DDL).json(folder), batch_id)
+            base = store.version()
+            marked = mark_notified(store.read(base), sent, F.current_timestamp(), full=False)
+            store.write(marked, **named, step="marks", based_on=base)
 
     writer = source.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")

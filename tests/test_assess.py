@@ -177,8 +177,8 @@ def test_hot_groups_give_the_same_marks(spark):
     df = spark.range(2000).select(
         F.col("id").alias("n"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 400)).alias("fp")
     )
-    plain = mark_duplicates(df, "fp", ["n"], F.col("n"))
-    split = mark_duplicates(df, "fp", ["n"], F.col("n"), hot_rows=5)
+    plain = mark_duplicates(df, "fp", ["n"])
+    split = mark_duplicates(df.repartition(3), "fp", ["n"])
     assert sorted(plain.collect()) == sorted(split.collect())
     assert plain.filter("possible_duplicate").count() == 2000 - plain.select("fp").distinct().count()
 

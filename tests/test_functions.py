@@ -138,7 +138,7 @@ def test_urls_match_the_standard_library(spark):
     for row in got:
         expected = "https:" + row.href if row.href.startswith("//") else urljoin(row.base, row.href)
         assert row.url.lower() == expected.lower(), row
-        assert row.canonical == U.canonical_link(row.base, row.href), row
+        assert row.canonical == U.page_link(row.base, row.href), row
 
 
 def test_ids(spark):

@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from listingflow.operators import history as H
@@ -172,3 +173,16 @@ def test_catch_up(spark, last, now, pages):
     df = spark.createDataFrame([(last and day + last, day + now)], "a string, b string")
     depth = S.catch_up_pages(F.col("a").cast("timestamp"), F.col("b").cast("timestamp"))
     assert df.select(depth.alias("p")).first().p == pages
+
+
+def test_null_keys_and_times_stay(spark):
+    rows = [("a", 1, 10.0), ("a", None, 5.0), (None, 2, 3.0), (None, 1, 4.0), (None, None, 7.0), ("b", 3, 1.0)]
+    df = spark.createDataFrame(rows, "k string, t int, cost double")
+    got = H.with_previous(df, ["k"], ["t"], ["cost"], F.expr("t div 2"))
+    plain = df.withColumn("p", F.lag("cost").over(Window.partitionBy("k").orderBy("t")))
+    assert sorted(map(str, got.select("k", "t", "cost", "prev_cost").collect())) == sorted(
+        str(r) for r in plain.withColumnRenamed("p", "prev_cost").collect()
+    )
+    total = H.running_total(df, ["k"], ["t"], F.col("cost"), F.expr("t div 2"), "s")
+    running = df.withColumn("s", F.sum("cost").over(Window.partitionBy("k").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)))
+    assert sorted(map(str, total.collect())) == sorted(map(str, running.collect()))

@@ -9,6 +9,7 @@ from listingflow.operators.dedupe import first_wins, mark_duplicates
 from listingflow.operators.outbox import watch_top_n
 from listingflow.operators.state import mark_notified, upsert
 from listingflow.schema import conform
+from listingflow.sources.pages import url_policy
 from listingflow.sources.store import StateStore
 
 from .fixtures import records
@@ -33,24 +34,49 @@ def test_first_wins_prunes_before_the_shuffle(spark):
     assert text.index("Exchange hashpartitioning(k") < text.rindex("WindowGroupLimit")
 
 
-def test_hot_groups_are_spread_in_the_join(shuffled):
-    df = shuffled.range(5000).select("id", F.concat(F.lit("k"), F.col("id") % 2).alias("fp"))
-    text = plan(mark_duplicates(df, "fp", ["id"], F.col("id"), hot_rows=10))
-    # The salt is part of the partitioning, so a hot group's rows go to many tasks.
-    assert "hashpartitioning(_fp, _salt" in text
-    assert "TakeOrderedAndProject(limit=1024" in text
+@pytest.fixture
+def splitting(shuffled):
+    """Adaptive execution that calls small partitions skewed."""
+    small = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    for key, value in small.items():
+        shuffled.conf.set(key, value)
+    yield shuffled
+    for key in small:
+        shuffled.conf.unset(key)
+
+
+def test_a_hot_group_is_split_over_tasks(splitting):
+    df = splitting.range(0, 60_000, 1, 8).select("id", F.when(F.col("id") % 3 > 0, F.col("id")).otherwise(-1).alias("fp"))
+    got = mark_duplicates(df, "fp", ["id"])
+    got.select("id", F.spark_partition_id().alias("p"), "fp").filter("fp = -1").groupBy("p").count()
+    held = [r["count"] for r in got.withColumn("p", F.spark_partition_id()).filter("fp = -1").groupBy("p").count().collect()]
+    assert sum(held) == 20_000 and len(held) > 3 and max(held) < 10_000
+    assert got.filter("possible_duplicate").count() == 19_999
+    text = plan(got)
     assert "partial_min(id)" in text and "CartesianProduct" not in text
 
 
-def test_hot_group_rows_reach_many_tasks(shuffled):
-    shuffled.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        df = shuffled.range(0, 8000, 1, 4).select("id", F.lit("same").alias("fp"))
-        got = mark_duplicates(df, "fp", ["id"], F.col("id"), hot_rows=10)
-        sizes = [r.n for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
-    finally:
-        shuffled.conf.unset("spark.sql.adaptive.enabled")
-    assert len(sizes) == 8 and max(sizes) < 8000 / 4
+def scans(text: str) -> int:
+    return text.count("Scan ")
+
+
+def test_top_n_reads_wide_rows_once_and_keys_twice(shuffled, folder):
+    waiting = records(shuffled, {}, {}).withColumn("priority", F.lit(0)).withColumn("reasons", F.array(F.lit("新房源")))
+    waiting.write.parquet(f"{folder}/waiting")
+    text = plan(watch_top_n(shuffled.read.parquet(f"{folder}/waiting"), 10))
+    assert scans(text) == 3
+    narrow = [line for line in text.splitlines() if "FileScan" in line and "description" not in line]
+    assert len(narrow) == 2
+
+
+def test_a_policy_scans_the_pages_once(shuffled, folder):
+    shuffled.createDataFrame([("https://a.example/x",)], "url string").write.parquet(f"{folder}/pages")
+    policies = shuffled.createDataFrame([("https://a.example", "absent", None)], "origin string, state string, rules array<struct<prefix:string,allow:boolean>>")
+    assert plan(url_policy(shuffled.read.parquet(f"{folder}/pages"), policies)).count("FileScan") == 1
 
 
 def test_top_n_needs_no_global_window_over_all_rows(shuffled):
@@ -58,7 +84,7 @@ def test_top_n_needs_no_global_window_over_all_rows(shuffled):
     text = plan(watch_top_n(waiting, 10))
     assert "TakeOrderedAndProject(limit=10" in text
     # The one window without a partition runs on the rows already cut.
-    assert text.index("Window [") < text.index("TakeOrderedAndProject")
+    assert text.index("Window [") < text.index("TakeOrderedAndProject(limit=10")
     assert text.count("Window [") == 1
 
 

@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from listingflow.operators import outbox as O
@@ -15,7 +16,7 @@ from listingflow.operators.state import (
     upsert,
 )
 from listingflow.schema import RECORD_COLUMNS, RECORD_DDL, record_schema
-from listingflow.sources.store import RunLog, StateStore, high_water
+from listingflow.sources.store import RunLog, StateStore, VersionTaken, high_water
 
 from .fixtures import records
 
@@ -164,6 +165,48 @@ def test_store_versions(spark, folder):
     assert {r.listing_id: r.rent for r in store.read().collect()} == {"r000": 7, "r001": 18000}
     store.compact()
     assert store.version() == 3 and store.read().count() == 2
+
+
+def test_a_crashed_write_blocks_nothing(spark, folder):
+    store = StateStore(spark, f"{folder}/state")
+    store.write(records(spark, {}), "whole")
+    spark.range(1).write.parquet(f"{folder}/state/data/halfway")  # data without a manifest
+    assert store.write(records(spark, {"rent": 5})) == 2
+    assert [r.rent for r in store.read().collect()] == [5]
+
+
+def test_two_writers_cannot_take_one_number(spark, folder):
+    one, two = StateStore(spark, f"{folder}/state"), StateStore(spark, f"{folder}/state")
+    one.write(records(spark, {}), "whole")
+    base = two.version()
+    one.write(records(spark, {"rent": 5}), based_on=base)
+    with pytest.raises(VersionTaken):
+        two.write(records(spark, {"rent": 6}), based_on=base)
+    with pytest.raises(VersionTaken):
+        two._claim(2, "{}")
+    assert [r.rent for r in one.read().collect()] == [5]
+
+
+def test_a_batch_beside_a_compaction_stays(spark, folder):
+    store = StateStore(spark, f"{folder}/state")
+    store.write(records(spark, {}, {}), "whole")
+    store.write(records(spark, {"rent": 5}))
+    upto = store.version()
+    snapshot = store.read(upto)
+    snapshot.write.parquet(store._data("folded"))
+    store.write(records(spark, {"rent": 6}))  # commits while the snapshot is made
+    store.publish("whole", "folded", covers=upto)
+    assert {r.listing_id: r.rent for r in store.read().collect()} == {"r000": 6, "r001": 18000}
+    store.compact()
+    assert {r.listing_id: r.rent for r in store.read().collect()} == {"r000": 6, "r001": 18000}
+
+
+def test_many_changes_are_folded(spark, folder):
+    store = StateStore(spark, f"{folder}/state", compact_after=3)
+    for rent in range(1, 8):
+        store.write(records(spark, {"rent": rent}))
+    kinds = [v.kind for v in store.versions()]
+    assert kinds.count("whole") == 2 and [r.rent for r in store.read().collect()] == [7]
     log = RunLog(spark, f"{folder}/log")
     assert log.read().count() == 0
     log.record("watch", T0)
@@ -185,7 +228,7 @@ def test_groups_stand_together(spark):
     df = waiting(spark, *[({"district": d}, ["新房源"], 0) for d in districts])
     rows, order = O.contiguous_order(df, [F.col("listing_id")])
     assert [r.listing_id for r in rows.orderBy(*order).collect()] == ["r000", "r002", "r001", "r004", "r003"]
-    hot, order = O.contiguous_order(df, [F.col("listing_id")], hot_rows=2)
+    hot, order = O.contiguous_order(df.repartition(5), [F.col("listing_id")])
     assert [r.listing_id for r in hot.orderBy(*order).collect()] == ["r000", "r002", "r001", "r004", "r003"]
 
 

@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from listingflow.plans.runs import Rules, assess, backfill, deliver, ingest, watch
@@ -10,7 +11,7 @@ from listingflow.streaming import diff as D
 from listingflow.streaming import watch as W
 
 from .fixtures import gazetteer, records
-from .test_sources import RAKUYA_LIST, table
+from .test_sources import LINKED_LIST, table
 
 T0 = datetime(2026, 7, 19, 2, 20)
 
@@ -48,20 +49,20 @@ def test_watch_run_end_to_end(spark, folder):
     from listingflow.sources.registry import extract_all
     from listingflow.sources.specs import RAKUYA
 
-    found, _ = extract_all(table(spark, ("rakuya", "https://rent.rakuya.com.tw/a", RAKUYA_LIST)), gazetteer(spark), [RAKUYA])
+    found, _ = extract_all(table(spark, ("rakuya", "https://rent.rakuya.com.tw/a", LINKED_LIST)), gazetteer(spark), [RAKUYA])
     first = assess(found, rules)
     ingest(store, first, T0)
     result = watch(store, rules)
     (row,) = result.outbox.collect()
-    assert row.listing_id == "0d2bec34544563b" and row.reasons == ["新房源"] and "16,800 元" in row.message
+    assert row.listing_id == "77ab01" and row.reasons == ["新房源"] and "14,300 元" in row.message
     assert result.summary.first().message == "待通知 1 間（新房源 1）：大安區1間。"
     deliver(store, result.outbox, T0, log)
     assert watch(store, rules).outbox.count() == 0
     assert high_water(log.read()).first().completed_at == T0
-    cheaper = assess(found.withColumn("rent", F.lit(15000)).withColumn("total_monthly_cost", F.lit(None).cast("int")), rules)
+    cheaper = assess(found.withColumn("rent", F.lit(12500)).withColumn("total_monthly_cost", F.lit(None).cast("int")), rules)
     ingest(store, cheaper, T0 + timedelta(hours=1))
     again = watch(store, rules).outbox
-    assert again.first().reasons == ["價格下降 16800 -> 15000"]
+    assert again.first().reasons == ["價格下降 14300 -> 12500"]
     # Not delivered, so still pending.
     assert watch(store, rules).outbox.count() == 1
     assert backfill(cheaper, rules).count() == 1
@@ -82,13 +83,68 @@ def test_watch_stream_marks_only_what_was_delivered(spark, folder):
     rows = {r.listing_id: r for r in store.read().collect()}
     assert rows["a"].rent == 7 and rows["a"].notified_snapshot.rent == 7 and rows["c"].status == "filtered_out"
     assert rows["b"].notified_snapshot is None
-    outbox = spark.read.json(f"{folder}/outbox")
+    outbox = spark.read.option("basePath", f"{folder}/outbox").json(f"{folder}/outbox/*/*")
     assert sorted((r.batch, r.listing_id, r.reasons[0]) for r in outbox.collect()) == [
         (0, "a", "新房源"), (0, "b", "新房源"), (1, "a", "價格下降 9 -> 7"), (1, "b", "新房源"),
     ]
     before = store.version()
     run(None)  # nothing new has arrived
-    assert store.version() == before and store.has_batch(1) and not store.has_batch(2)
+    assert store.version() == before
+    (stream_id,) = {v.stream for v in store.versions() if v.stream}
+    assert store.find(stream_id, 1, "marks") and not store.find(stream_id, 2, "rows")
+
+
+DDL = "listing_id string, rent int, status string"
+
+
+def as_records(batch):
+    return batch.select(F.lit("s").alias("source"), "*")
+
+
+def test_a_fresh_checkpoint_loses_nothing(spark, folder):
+    store = StateStore(spark, f"{folder}/state")
+    first = write_parts(spark, f"{folder}/1", [[("a", 9, "active")]], DDL)
+    finish(W.watch_stream(first, store, f"{folder}/outbox", f"{folder}/check1", Rules(), as_records))
+    second = write_parts(spark, f"{folder}/2", [[("a", 9, "active"), ("b", 8, "active")]], DDL)
+    finish(W.watch_stream(second, store, f"{folder}/outbox", f"{folder}/check2", Rules(), as_records))
+    assert sorted(r.listing_id for r in store.read().collect()) == ["a", "b"]
+    assert len({v.stream for v in store.versions() if v.stream}) == 2
+
+
+def test_a_replay_after_delivery_announces_the_same(spark, folder):
+    store = StateStore(spark, f"{folder}/state")
+    stream = write_parts(spark, folder, [[(x, 5, "active") for x in "abcd"]], DDL)
+    told = []
+
+    def fails_once(outbox, batch_id):
+        told.append(sorted(r.listing_id for r in outbox.collect()))
+        if len(told) == 1:
+            raise RuntimeError("sent, but not marked")
+        return outbox
+
+    def run():
+        finish(W.watch_stream(stream, store, f"{folder}/outbox", f"{folder}/check", Rules(max_results=2), as_records, fails_once))
+
+    with pytest.raises(Exception, match="sent, but not marked"):
+        run()
+    run()
+    assert told[0] == told[1] and len(told[0]) == 2
+    marked = {r.listing_id for r in store.read().collect() if r.notified_snapshot}
+    assert marked == set(told[0])
+    steps = [(v.step, v.kind) for v in store.versions()]
+    assert steps == [("rows", "changes"), ("outbox", "step"), ("marks", "changes")]
+
+
+def test_refused_pages_are_kept(spark, folder):
+    store = StateStore(spark, f"{folder}/state")
+    stream = write_parts(spark, folder, [[("a", 9, "active"), ("b", 9, "refused")]], DDL)
+
+    def split(batch):
+        return as_records(batch.filter("status = 'active'")), batch.filter("status = 'refused'").select("listing_id")
+
+    finish(W.watch_stream(stream, store, f"{folder}/outbox", f"{folder}/check", Rules(), split, quarantine=f"{folder}/refused"))
+    assert [r.listing_id for r in spark.read.json(f"{folder}/refused").collect()] == ["b"]
+    assert [r.listing_id for r in store.read().collect()] == ["a"]
 
 
 def test_first_seen_and_exact_form(spark, folder):
