@@ -36,19 +36,22 @@ SNAP = {
 }
 
 
-def _latest(where: str) -> str:
+def _latest(where: str | None) -> str:
+    kept = f"WHERE ts {where} TIMESTAMP '{SPLIT}'" if where else ""
     cols = ", ".join(f"{e} AS {n}" for n, e in RECORD.items())
     snap = ", ".join(f"CASE WHEN event_id % 3 = 0 THEN {e} END AS n_{n}" for n, e in SNAP.items())
-    return f"""SELECT {cols}, {snap}, CASE WHEN event_id % 3 = 0 THEN ts END AS told_at FROM events WHERE ts {where}
-        TIMESTAMP '{SPLIT}' QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) = 1"""
+    return f"""SELECT {cols}, {snap}, CASE WHEN event_id % 3 = 0 THEN ts END AS told_at FROM events {kept}
+        QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) = 1"""
 
 
-def _rows(spark, sf, before: bool):
-    events = load(spark, sf, "events")
-    part = events.filter(F.col("ts") < SPLIT if before else F.col("ts") >= SPLIT)
+def _rows(spark, sf, before: bool | None):
+    """The newest event of each key as a record: of those before the split, after it, or all."""
+    part = load(spark, sf, "events")
+    if before is not None:
+        part = part.filter(F.col("ts") < SPLIT if before else F.col("ts") >= SPLIT)
     last = first_wins(part, ["event_type", "user_id"], [F.desc("ts"), F.desc("event_id")])
     cols = [F.expr(e).alias(n) for n, e in RECORD.items()]
-    if before:
+    if before is not False:
         snap = F.struct(*[F.expr(e).alias(n) for n, e in SNAP.items()]).cast(SNAPSHOT_DDL)
         cols += [
             F.when(F.col("event_id") % 3 == 0, snap).alias("notified_snapshot"),
@@ -151,31 +154,31 @@ def mark_notified(spark, sf):
 
 
 @query(f"""
-    WITH o AS ({_latest('<')})
+    WITH o AS ({_latest(None)})
     SELECT source, listing_id, CASE WHEN listing_id LIKE '%7' THEN 'inactive' ELSE status END AS status,
         CASE WHEN listing_id LIKE '%7' THEN {NOW} ELSE ts END AS last_seen_at FROM o""")
 def mark_status(spark, sf):
-    state = _rows(spark, sf, True)
+    state = _rows(spark, sf, None)
     now = F.lit("2024-02-01 00:00:00").cast("timestamp")
     got = S.mark_status(state, state.filter("listing_id LIKE '%7'"), "inactive", now)
     return got.select(*KEYS, "status", "last_seen_at")
 
 
 @query(f"""
-    WITH o AS ({_latest('<')}) SELECT source, listing_id, concat('{{', {", ".join(
+    WITH o AS ({_latest(None)}) SELECT source, listing_id, concat('{{', {", ".join(
         f"CASE WHEN {i} > 0 THEN ',' ELSE '' END, '\"{c}\":', "
         + (f"'\"' || {c} || '\"'" if c == 'status' else f"coalesce(CAST({c} AS VARCHAR), 'null')")
         for i, c in enumerate(sorted(SNAP)))}, '}}') AS payload FROM o""")
 def snapshot_payload(spark, sf):
-    rows = _rows(spark, sf, True)
+    rows = _rows(spark, sf, None)
     return rows.select(*KEYS, S.snapshot_json(F.struct(*rows.columns)).alias("payload"))
 
 
 @query(f"""
-    WITH o AS ({_latest('<')}) SELECT source, listing_id, rent AS told_rent, has_rent_subsidy AS told_subsidy,
+    WITH o AS ({_latest(None)}) SELECT source, listing_id, rent AS told_rent, has_rent_subsidy AS told_subsidy,
         status AS told_status, CAST(NULL AS BOOLEAN) AS has_garbage_collection FROM o""")
 def schema_evolution(spark, sf):
-    old = _rows(spark, sf, True).drop("notified_snapshot", "has_garbage_collection")
+    old = _rows(spark, sf, None).drop("notified_snapshot", "has_garbage_collection")
     return S.read_evolved(old).select(
         *KEYS,
         F.col("notified_snapshot.rent").alias("told_rent"),
@@ -186,20 +189,20 @@ def schema_evolution(spark, sf):
 
 
 @query(f"""
-    WITH o AS ({_latest('<')}) SELECT source, listing_id, ts AS last_seen_at FROM o
+    WITH o AS ({_latest(None)}) SELECT source, listing_id, ts AS last_seen_at FROM o
     ORDER BY ts DESC NULLS LAST, source, listing_id LIMIT 20""")
 def recent_scan(spark, sf):
-    return S.recent_records(_rows(spark, sf, True), 20).select(*KEYS, "last_seen_at")
+    return S.recent_records(_rows(spark, sf, None), 20).select(*KEYS, "last_seen_at")
 
 
 @query(f"""
-    WITH o AS ({_latest('<')}) SELECT source, listing_id, rent FROM o WHERE source = 'view' AND listing_id IN
+    WITH o AS ({_latest(None)}) SELECT source, listing_id, rent FROM o WHERE source = 'view' AND listing_id IN
         (SELECT CAST(user_id AS VARCHAR) FROM events WHERE value > 50)""")
 def keyed_read(spark, sf):
     keys = load(spark, sf, "events").filter("value > 50").select(
         F.lit("view").alias("source"), F.col("user_id").cast("string").alias("listing_id")
     )
-    return S.get(_rows(spark, sf, True), keys).select(*KEYS, "rent")
+    return S.get(_rows(spark, sf, None), keys).select(*KEYS, "rent")
 
 
 @query(f"""

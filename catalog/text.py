@@ -30,16 +30,21 @@ def url_canonicalize(spark, sf):
 
 
 @query(f"""
-    WITH p AS (SELECT page_id, regexp_extract(html, 'href="([^"]+)"', 1) AS href, {URL_PARTS} FROM pages),
+    WITH p AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]+)"', 1) AS hrefs, {URL_PARTS} FROM pages),
     d AS (SELECT *, regexp_replace(pth, '[^/]*$', '') AS dir FROM p)
-    SELECT page_id, sch || '://' || hst || href AS link,
-        sch || '://' || hst || regexp_replace(dir, '[^/]+/$', '') || 'x/' || page_id AS up_link FROM d""")
+    SELECT page_id, CAST(pos - 1 AS INT) AS pos, sch || '://' || hst || hrefs[pos] AS link,
+        sch || '://' || hst || regexp_replace(dir, '[^/]+/$', '') || 'x/' || page_id AS up_link
+    FROM (SELECT *, unnest(range(1, len(hrefs) + 1)) AS pos FROM d)""")
 def url_resolve(spark, sf):
-    href = F.regexp_extract("html", 'href="([^"]+)"', 1)
+    """Every link of every page."""
     up = F.concat(F.lit(".././x//"), F.col("page_id").cast("string"))
-    return load(spark, sf, "pages").select(
+    links = load(spark, sf, "pages").select(
+        "page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("pos", "href")
+    )
+    return links.select(
         "page_id",
-        U.resolve_url(F.col("url"), href).alias("link"),
+        "pos",
+        U.resolve_url(F.col("url"), F.col("href")).alias("link"),
         U.resolve_url(F.col("url"), up).alias("up_link"),
     )
 

@@ -30,7 +30,6 @@ def kept_pages(
     pages: DataFrame,
     key: Sequence[str],
     misses: int = 1,
-    max_rounds: int = 1_000,
 ) -> DataFrame:
     """``search, page, n_parsed, n_new, kept`` for every fetched page.
 
@@ -59,7 +58,7 @@ def kept_pages(
         return base.join(news, ["search", "page"], "left").na.fill(0, ["n_new"])
 
     ends = None
-    for _ in range(max_rounds):
+    while True:  # ends: every round settles at least one more page
         counted = count_new(ends)
         proposal = cut(
             searches.join(_stops(counted.filter("n_parsed > 0"), misses), "search", "left")
@@ -76,4 +75,3 @@ def kept_pages(
                     "search", "page", "n_parsed", "n_new", kept.alias("kept")
                 )
         ends = proposal
-    raise RuntimeError(f"page depth not settled after {max_rounds} rounds")

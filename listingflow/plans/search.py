@@ -10,21 +10,19 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 from ..functions.urls import PORTAL_DETAIL_BASE, query_value, set_query
 
-MAX_SEARCHES = 120
-
 
 def search_plan(
     allowlist: DataFrame,
     gazetteer: DataFrame,
     kinds: Sequence[int] = (2, 3),
     base: str = f"{PORTAL_DETAIL_BASE}/list",
-    max_searches: int | None = MAX_SEARCHES,
+    max_searches: int | None = None,
 ) -> DataFrame:
     """One search per selected place and kind: ``ord, city, district, kind, url``.
 
     ``allowlist`` is ``(city, district)`` where ``*`` selects the whole city with one search
     per kind. Rows come in gazetteer order (``ord``, then kind order). More than
-    ``max_searches`` is an error, checked by counting one row beyond it.
+    ``max_searches``, where given, is an error, checked by counting one row beyond it.
     """
     wild = allowlist.filter("district = '*'").select("city").distinct()
     whole = (
