@@ -314,7 +314,11 @@ def page_records(readable: DataFrame, spec: SourceSpec, gazetteer: Gazetteer) ->
 
     A page's page-text record counts only if nothing else was found on it.
     """
-    found = page_candidates(readable, spec)
+    return records_of(page_candidates(readable, spec), spec, gazetteer)
+
+
+def records_of(found: DataFrame, spec: SourceSpec, gazetteer: Gazetteer) -> DataFrame:
+    """The same from candidates that were read already."""
     build = portal_records if spec.kind == "portal" else generic_records
     rows = build(found, spec, gazetteer)
     # A page is one HTML value, so its records are a small group. Whether a candidate is

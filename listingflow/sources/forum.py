@@ -62,7 +62,7 @@ def _post(html: str) -> dict | None:
     }
 
 
-def _read_posts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def read_posts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for page_id, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"], strict=True):
@@ -131,8 +131,13 @@ def forum_records(pages: DataFrame, gazetteer: Gazetteer, spec: SourceSpec = FOR
     """Posts (``page_id, url, html``) to records; wanted and exchange posts are rejected."""
     kind = pages.schema["page_id"].dataType.simpleString()
     posts = pages.select("page_id", "url", "html").mapInPandas(
-        _read_posts, f"page_id {kind}, url string, {POST_DDL}"
+        read_posts, f"page_id {kind}, url string, {POST_DDL}"
     )
+    return post_records(posts, gazetteer, spec)
+
+
+def post_records(posts: DataFrame, gazetteer: Gazetteer, spec: SourceSpec = FORUM) -> DataFrame:
+    """The same from posts that were read already: ``page_id, url`` and the post's parts."""
     body = F.col("body")
     worded = (
         posts.withColumn("body", own_words(body))

@@ -10,6 +10,8 @@ from listingflow.operators.outbox import watch_top_n
 from listingflow.operators.state import mark_notified, upsert
 from listingflow.schema import conform
 from listingflow.sources.pages import url_policy
+from listingflow.sources.registry import read_once
+from listingflow.sources.specs import SPECS
 from listingflow.sources.store import StateStore
 
 from .fixtures import records
@@ -73,6 +75,12 @@ def test_top_n_reads_wide_rows_once_and_keys_twice(shuffled, folder):
     assert len(narrow) == 2
 
 
+def test_all_sources_are_read_in_one_pass(spark, folder):
+    spark.createDataFrame([(1, "rakuya", "https://a.example", "<p>")], "page_id int, source string, url string, html string").write.parquet(f"{folder}/pages")
+    text = plan(read_once(spark.read.parquet(f"{folder}/pages"), SPECS))
+    assert text.count("FileScan") == 1 and text.count("MapInPandas") == 1
+
+
 def test_a_policy_scans_the_pages_once(shuffled, folder):
     shuffled.createDataFrame([("https://a.example/x",)], "url string").write.parquet(f"{folder}/pages")
     policies = shuffled.createDataFrame([("https://a.example", "absent", None)], "origin string, state string, rules array<struct<prefix:string,allow:boolean>>")

@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from listingflow.operators.classify import add_female_only
+from listingflow.operators.gazetteer import Gazetteer
 from listingflow.schema import conform
 from listingflow.sources import forum, pages
 from listingflow.sources.extract import collect_source, extract_records
@@ -165,6 +166,25 @@ def test_sources_in_order_first_key_wins(spark):
     assert pages.quarantine_counts(refused).count() == 0
 
 
+def test_all_kinds_of_source_at_once(spark):
+    """Portal, forum and linked pages, refusals, and a gazetteer that lacks the forum's city."""
+    rows = [
+        ("591", LIST, CARDS), ("591", LIST, "<p>Access <b>denied</b></p>"), ("591", LIST, "<p>nothing</p>"),
+        ("rakuya", "https://rent.rakuya.com.tw/a", LINKED_LIST), ("ptt_rent_tao", "https://www.ptt.cc/bbs/Rent_tao/M.7.html", POST),
+        ("ptt_rent_tao", "https://www.ptt.cc/bbs/Rent_tao/x.html", "<p>no post</p>"), ("unknown", "https://u.example/", "<p>x</p>"),
+    ]
+    found, refused = extract_all(table(spark, *rows), gazetteer(spark))
+    assert sorted((r.source, r.listing_id) for r in found.collect()) == [
+        ("591", "204801"), ("591", "204802"), ("ptt_rent_tao", "M.7"), ("rakuya", "77ab01"),
+    ]
+    assert sorted(r.code for r in refused.collect()) == ["EMPTY_RESULT", "HTTP_FORBIDDEN"]
+    small = Gazetteer((("台北市", 1, "大安區", 5),))
+    found, _ = extract_all(table(spark, *rows[3:5]), small)
+    assert [(r.source, r.district) for r in found.collect()] == [("rakuya", "大安區")]
+    none, gone = extract_all(table(spark, *rows).limit(0), gazetteer(spark))
+    assert none.count() == gone.count() == 0
+
+
 def test_statuses_and_walls(spark):
     df = spark.createDataFrame([(1, 403), (1, 429), (2, 200), (3, 401), (3, 403)], "page_id int, status int")
     assert {r.page_id: r.status for r in pages.worst_status(df).collect()} == {1: 429, 2: None, 3: 403}
