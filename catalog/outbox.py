@@ -3,7 +3,6 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from listingflow.functions.numbers import effective_cost
 from listingflow.operators import outbox as O
 from listingflow.operators.score import rank_score
 from listingflow.operators.state import pending
@@ -128,10 +127,7 @@ def source_preview(spark, sf):
 
 @query(T + f""" SELECT source, count(*) AS n_records, count(*) FILTER ({COST} <= 18600) AS n_affordable FROM t GROUP BY source""")
 def source_counts(spark, sf):
-    cost = effective_cost(F.col("total_monthly_cost"), F.col("rent"))
-    return listings(spark, sf).groupBy("source").agg(
-        F.count("*").alias("n_records"), F.count_if(cost <= 18_600).alias("n_affordable")
-    )
+    return O.source_counts(listings(spark, sf), 18_600)
 
 
 @query()

@@ -320,11 +320,40 @@ def json_walk(spark, sf):
 def first_key(spark, sf):
     text = F.expr("""concat('{"title": "', CASE WHEN event_id % 3 = 0 THEN ' ' ELSE event_type END, '", "name": ',
         get_json_object(props, '$.k'), '}')""")
-    obj = F.try_parse_json(text)
-    keys = ("subject", "title", "name")
+    return load(spark, sf, "events").select(
+        "event_id", X.first_key(F.try_parse_json(text), ("subject", "title", "name")).alias("value")
+    )
+
+
+# What a record's own words may say about dates, and amounts and lists as stored; the expected values stand beside.
+SAID = """CASE event_id % 6 WHEN 0 THEN concat('套房 ', CAST(event_id % 50 AS STRING), ' 天前更新') WHEN 1 THEN '今日更新 刊登：2024/01/05'
+    WHEN 2 THEN '更新時間：2024-01-07' WHEN 3 THEN '上架日期 2023年12月3日' ELSE '沒有日期' END"""
+STORED = """CASE event_id % 5 WHEN 0 THEN concat('{"rent":', CAST(event_id % 9000 AS STRING), ',"total_monthly_cost":0}')
+    WHEN 1 THEN concat('{"rent":1,"total_monthly_cost":', CAST(event_id % 9000 AS STRING), '.7}')
+    WHEN 2 THEN '{"rent":true}' WHEN 3 THEN 'no json' ELSE '{"rent":"77"}' END"""
+LISTED = """CASE event_id % 3 WHEN 0 THEN concat('["a","', event_type, '"]') WHEN 1 THEN event_type END"""
+
+
+@query("""
+    SELECT event_id,
+        CASE event_id % 6 WHEN 0 THEN (event_id % 50) || ' 天前更新' WHEN 1 THEN '今日更新' WHEN 2 THEN '更新時間：2024-01-07' END AS updated,
+        CASE event_id % 6 WHEN 1 THEN '刊登：2024/01/05' WHEN 3 THEN '上架日期 2023年12月3日' END AS listed,
+        CASE WHEN floor(value * 1000) BETWEEN 3000 AND 80000 THEN CAST(floor(value * 1000) AS INT) END AS price,
+        CAST(CASE event_id % 5 WHEN 0 THEN nullif(event_id % 9000, 0) WHEN 1 THEN CASE WHEN event_id % 9000 > 0 THEN event_id % 9000 ELSE 1 END
+            WHEN 4 THEN 77 END AS INT) AS told,
+        CASE event_id % 3 WHEN 0 THEN 'a|' || event_type WHEN 1 THEN event_type ELSE '' END AS items,
+        CASE event_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS n_items FROM events""")
+def said_and_stored(spark, sf):
+    price = F.concat(F.lit("約 "), F.format_number(F.floor(F.col("value") * 1000), 0), F.lit(" 元"))
+    items = X.string_list(F.expr(LISTED))
     return load(spark, sf, "events").select(
         "event_id",
-        F.coalesce(*[X.blank_to_null(X.strip(F.try_variant_get(obj, f"$.{k}", "string"))) for k in keys]).alias("value"),
+        X.updated_text(F.expr(SAID)).alias("updated"),
+        X.listed_text(F.expr(SAID)).alias("listed"),
+        N.price_like(price).alias("price"),
+        N.snapshot_cost(F.try_parse_json(F.expr(STORED))).alias("told"),
+        F.array_join(items, "|").alias("items"),
+        F.size(items).alias("n_items"),
     )
 
 

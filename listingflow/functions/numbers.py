@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import vocabulary as V
 from .text import blank_to_null, clean, contains_any, narrow_digits, squeeze
 
-LABELLED_RENT = r"(?:租金|月租|價格|房租|租)\D{0,%d}(\d[\d,]{3,6})"
-SUFFIXED_RENT = r"(\d[\d,]{3,6})(?U:\s*)(?:元/月|元|/月|每月)"
-LABELLED_FEE = r"(?:管理費|管費)\D{0,8}(\d[\d,]{1,5})"
-SUFFIXED_FEE = r"(\d[\d,]{1,5})(?U:\s*)(?:元)?(?U:\s*)(?:管理費|管費)"
 
 
 def _as_long(c: Column) -> Column:
@@ -46,12 +43,12 @@ def _matches(c: Column, patterns: tuple[str, ...], low: int, high: int) -> Colum
 
 def rent_in_text(c: Column, high: int, low: int = 3_000, gap: int = 12, pick: str = "max") -> Column:
     """Labelled or suffixed amounts within bounds; the largest, or the smallest for forums."""
-    values = _matches(c, (LABELLED_RENT % gap, SUFFIXED_RENT), low, high)
+    values = _matches(c, (V.LABELLED_RENT % gap, V.SUFFIXED_RENT), low, high)
     return (F.array_max if pick == "max" else F.array_min)(values).cast("int")
 
 
 def fee_in_text(c: Column, high: int) -> Column:
-    return F.array_max(_matches(c, (LABELLED_FEE, SUFFIXED_FEE), 0, high)).cast("int")
+    return F.array_max(_matches(c, (V.LABELLED_FEE, V.SUFFIXED_FEE), 0, high)).cast("int")
 
 
 def total_cost(rent: Column, fee: Column) -> Column:
@@ -100,22 +97,10 @@ FORUM_ROOM_RULES = (*PORTAL_ROOM_RULES, (("雅房",), "雅房"))
 
 
 def layout(c: Column) -> Column:
-    t = F.coalesce(
-        blank_to_null(
-            F.regexp_extract(c, r"(?U)(\d+\s*房(?:\s*\d+\s*廳)?(?:\s*\d+\s*衛)?(?:\s*\d+\s*陽台)?)", 1)
-        ),
-        blank_to_null(F.regexp_extract(c, r"(?U)(\d+\s*廳\s*\d+\s*衛)", 1)),
-    )
-    return squeeze(t)
-
-
-FLOOR = (
-    r"(?iU)(?<!\w)((?:B\d+|地下\d+|頂樓加蓋|頂樓|\d+|--)\s*/\s*(?:B?\d+|地下\d+|\d+|--)\s*(?:F|樓))"
-)
-PORTAL_FLOOR = r"(?iU)(?<!\w)((?:B\d+|地下\d+|頂樓加蓋|\d+)\s*F?\s*/\s*(?:B?\d+|地下\d+|\d+)\s*F)"
+    return squeeze(F.coalesce(*[blank_to_null(F.regexp_extract(c, p, 1)) for p in V.LAYOUTS]))
 
 
-def floor_text(c: Column, pattern: str = FLOOR) -> Column:
+def floor_text(c: Column, pattern: str = V.FLOOR) -> Column:
     return F.upper(squeeze(blank_to_null(F.regexp_extract(c, pattern, 1))))
 
 

@@ -148,18 +148,16 @@ def first_match(c: Column, patterns: Iterable[str], group: int = 0) -> Column:
 
 
 def updated_text(c: Column) -> Column:
-    return first_match(
-        c,
-        (
-            r"(?:新上架|剛剛更新|今天更新|今日更新|昨日更新|昨天更新)",
-            r"(?U)\d+\s*(?:分鐘|小時|天)(?:內|前)?更新",
-            r"更新(?:時間|日期)?[:：]?(?U:\s*)[0-9/\-.年月日 ]{4,20}",
-        ),
-    )
+    return first_match(c, V.UPDATED_TEXTS)
 
 
 def listed_text(c: Column) -> Column:
-    return first_match(c, (r"(?:刊登|上架)(?:時間|日期)?[:：]?(?U:\s*)[0-9/\-.年月日 ]{4,20}",))
+    return first_match(c, V.LISTED_TEXTS)
+
+
+def first_key(obj: Column, keys: Sequence[str]) -> Column:
+    """First non-blank value of the keys of a JSON object (a variant), trimmed."""
+    return F.coalesce(*[blank_to_null(strip(F.try_variant_get(obj, f"$.{k}", "string"))) for k in keys])
 
 
 def labelled_field(c: Column, labels: Sequence[str]) -> Column:

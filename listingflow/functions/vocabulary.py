@@ -221,3 +221,25 @@ WEBHOOK_PATTERN = (
 REDACTED_WEBHOOK = "<redacted Discord webhook>"
 COLOUR_NEW = 0x42A66A
 COLOUR_CHANGED = 0xF2A93B
+
+# --- numbers, floors and dates in text: patterns whose matches are the results ---------
+LABELLED_RENT = r"(?:租金|月租|價格|房租|租)\D{0,%d}(\d[\d,]{3,6})"
+SUFFIXED_RENT = r"(\d[\d,]{3,6})(?U:\s*)(?:元/月|元|/月|每月)"
+LABELLED_FEE = r"(?:管理費|管費)\D{0,8}(\d[\d,]{1,5})"
+SUFFIXED_FEE = r"(\d[\d,]{1,5})(?U:\s*)(?:元)?(?U:\s*)(?:管理費|管費)"
+FLOOR = (
+    r"(?iU)(?<!\w)((?:B\d+|地下\d+|頂樓加蓋|頂樓|\d+|--)\s*/\s*(?:B?\d+|地下\d+|\d+|--)\s*(?:F|樓))"
+)
+PORTAL_FLOOR = (
+    r"(?iU)(?<!\w)((?:B\d+|地下\d+|頂樓加蓋|\d+)\s*F?\s*/\s*(?:B?\d+|地下\d+|\d+)\s*F)"
+)
+LAYOUTS = (
+    r"(?U)(\d+\s*房(?:\s*\d+\s*廳)?(?:\s*\d+\s*衛)?(?:\s*\d+\s*陽台)?)",
+    r"(?U)(\d+\s*廳\s*\d+\s*衛)",
+)
+UPDATED_TEXTS = (
+    r"(?:新上架|剛剛更新|今天更新|今日更新|昨日更新|昨天更新)",
+    r"(?U)\d+\s*(?:分鐘|小時|天)(?:內|前)?更新",
+    r"更新(?:時間|日期)?[:：]?(?U:\s*)[0-9/\-.年月日 ]{4,20}",
+)
+LISTED_TEXTS = (r"(?:刊登|上架)(?:時間|日期)?[:：]?(?U:\s*)[0-9/\-.年月日 ]{4,20}",)

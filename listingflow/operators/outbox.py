@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vocabulary as V
+from ..functions.numbers import effective_cost
 from ..functions.text import blank_to_null
 from .score import rank_score
 from .skew import attach_facts
@@ -98,6 +99,14 @@ def district_counts(df: DataFrame, order: Sequence[str], label: Column | None =
     )
 
 
+def source_counts(records: DataFrame, max_rent: int) -> DataFrame:
+    """Records per source, and those of them whose cost is known and within ``max_rent``."""
+    cost = effective_cost(F.col("total_monthly_cost"), F.col("rent"))
+    return records.groupBy("source").agg(
+        F.count("*").alias("n_records"), F.count_if(cost <= max_rent).alias("n_affordable")
+    )
+
+
 def event_counts(df: DataFrame) -> DataFrame:
     """One row: new, price drops, other updates."""
     new = F.array_contains("reasons", V.NEW_RECORD)

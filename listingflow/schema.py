@@ -57,7 +57,6 @@ RECORD_COLUMNS = tuple(
 )
 
 RUN_LOG_DDL = "pipeline string, completed_at timestamp"
-QUARANTINE_DDL = "source string, url string, code string, message string"
 GAZETTEER_DDL = "city string, region_id int, district string, section_id int, ord int"
 
 

@@ -278,7 +278,7 @@ def portal_records(found: DataFrame, spec: SourceSpec, gazetteer: Gazetteer) ->
             N.area_in_text(text, *spec.area_bounds),
         ).alias("area_ping"),
         F.coalesce(F.col("text_room"), F.when(~jsonld, F.col("page_room"))).alias("room_type"),
-        F.when(state, floor_given).when(card, N.floor_text(text, N.PORTAL_FLOOR)).alias("floor"),
+        F.when(state, floor_given).when(card, N.floor_text(text, V.PORTAL_FLOOR)).alias("floor"),
         F.substring(F.when(jsonld, F.coalesce("description", F.lit(""))).otherwise(text), 1, DESCRIPTION_CHARS)
         .alias("description"),
         F.when(state, F.slice(F.coalesce("tags", empty), 1, TAGS)).otherwise(empty).alias("tags"),

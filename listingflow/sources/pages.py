@@ -12,8 +12,6 @@ from ..functions.text import contains_any, let
 from ..functions.urls import host, path, query, scheme, status_code_name
 from ..operators.skew import attach_facts
 
-PAGE_DDL = "page_id bigint, source string, url string, html string, status int"
-
 
 def read_pages(spark: SparkSession, location: str, partitions: int | None = None) -> DataFrame:
     """The pages; ``partitions`` deals them out anew, for tables whose files are too few or too large."""

@@ -21,7 +21,6 @@ class SourceSpec:
     ordinal: int
     detail_url_patterns: tuple[str, ...] = ()
     kind: str = "generic"  # generic | portal | forum
-    page_param: str = "page"
     detail_limit: int = 3
     max_age_days: int = 7
     stop_after_misses: int = 1

@@ -15,7 +15,6 @@ from __future__ import annotations
 import json
 import os
 import uuid
-from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
 from pyspark.errors import AnalysisException
@@ -202,6 +201,6 @@ def high_water(run_log: DataFrame) -> DataFrame:
     return run_log.groupBy("pipeline").agg(F.max("completed_at").alias("completed_at"))
 
 
-def write_outbox(messages: DataFrame, location: str, partition_by: Sequence[str] = ()) -> None:
-    """Messages to deliver, as JSON lines; the sender reports delivered keys back."""
-    messages.write.mode("append").partitionBy(*partition_by).json(location)
+def write_outbox(messages: DataFrame, folder: str) -> None:
+    """Messages to deliver, as JSON lines in a folder of their own; the sender reports delivered keys back."""
+    messages.write.mode("overwrite").json(folder)

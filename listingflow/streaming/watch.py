@@ -14,7 +14,7 @@ from ..operators.state import mark_notified, upsert
 from ..plans.runs import ORDER, Rules, assess, watch
 from ..schema import KEY, conform
 from ..sources.registry import extract_all
-from ..sources.store import StateStore
+from ..sources.store import StateStore, write_outbox
 
 Deliver = Callable[[DataFrame, int], DataFrame]
 Records = DataFrame | tuple[DataFrame, DataFrame]
@@ -81,7 +81,7 @@ def watch_stream(
             result = watch(store, rules)
             columns = [f.split()[0] for f in OUTBOX_DDL.split(", ")]
             # Overwrites only what a failed attempt left: nothing was delivered from it.
-            result.outbox.select(*columns).write.mode("overwrite").json(folder)
+            write_outbox(result.outbox.select(*columns), folder)
             store.publish("step", **named, step="outbox")
         if deliver is not None and not store.find(**named, step="marks"):
             sent = deliver(spark.read.schema(OUTBOX_DDL).json(folder), batch_id)

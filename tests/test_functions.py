@@ -152,7 +152,6 @@ def test_ids(spark):
         "/home/77",
     ]
     assert column(spark, portal, U.portal_id) == ["123", "12345", None, "77"]
-    assert column(spark, portal, U.is_portal_detail_url) == [True, True, False, True]
     assert column(spark, [429, 401, 403, 200], U.status_code_name, "t int") == [
         "HTTP_RATE_LIMITED", "LOGIN_REQUIRED", "HTTP_FORBIDDEN", None,
     ]
