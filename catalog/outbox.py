@@ -82,9 +82,8 @@ SUMMARY_ORDER = "priority, head, rn"
     SELECT n AS n_candidates, m AS n_sending, '待通知 ' || n || ' 間（新房源 ' || x || '、價格下降 ' || y || '、其他更新 ' || z || '）：' || a.txt
         || '。這次依新房源、價格下降、其他更新的順序先傳 ' || m || ' 間：' || s.txt || '。' AS message FROM c, a, s""")
 def run_summary(spark, sf):
-    rows, order = O.order_outbox(_waiting(spark, sf))
-    got = O.run_summary(rows, O.watch_top_n(_waiting(spark, sf), 20), order)
-    return got.select("n_candidates", "n_sending", "message")
+    _, summary = O.announce(_waiting(spark, sf), 20)
+    return summary.select("n_candidates", "n_sending", "message")
 
 
 @query(f"""WITH l AS ({L_SQL}) SELECT listing_id,

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoint import cut
 from ..functions import text as X
 from ..functions import vocabulary as V
 from ..functions.numbers import effective_cost
@@ -72,6 +73,22 @@ def watch_top_n(pending: DataFrame, limit: int, max_rent: int = 18_600) -> DataF
     return pending.join(places, list(KEY)).select(*pending.columns, "position").orderBy("position")
 
 
+def announce(pending: DataFrame, limit: int, max_rent: int = 18_600) -> tuple[DataFrame, DataFrame]:
+    """What :func:`watch_top_n` gives, and the run's summary, from one reading of the pending set.
+
+    Keys, reasons, places and sort values are computed once and written; both results work on those,
+    and the few rows that made it are looked up whole.
+    """
+    inner = _rank_inner(max_rent)
+    narrow = cut(
+        pending.select(*KEY, "priority", "reasons", "city", "district", *[c.alias(f"_o{i}") for i, c in enumerate(inner)])
+    )
+    rows, order = contiguous_order(narrow, [F.col(f"_o{i}") for i in range(len(inner))], ("priority",))
+    few = cut(_number(rows.orderBy(*order).limit(limit), order).select(*KEY, "city", "district", "position"))
+    top = pending.join(few.select(*KEY, "position"), list(KEY)).select(*pending.columns, "position").orderBy("position")
+    return top, run_summary(rows, few, order)
+
+
 def backfill_top_n(matched: DataFrame, limit: int, max_rent: int = 18_600) -> DataFrame:
     """Cut by rank first, then group the survivors: the backfill rule."""
     inner = _rank_inner(max_rent)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..checkpoint import cut
 from ..operators import classify as C
 from ..operators.dedupe import content_fingerprint, first_wins, mark_duplicates
-from ..operators.outbox import backfill_top_n, message, order_outbox, run_summary, watch_top_n
+from ..operators.outbox import announce, backfill_top_n, message
 from ..operators.score import add_proximity
 from ..operators.state import mark_notified, pending, upsert
 from ..functions.text import blank_to_null, normalize_spelling
@@ -90,12 +90,8 @@ def ingest(store: StateStore, assessed: DataFrame, now: datetime) -> int:
 
 def watch(store: StateStore, rules: Rules) -> WatchResult:
     """What the current state has to announce, ordered and cut, with the run's summary."""
-    waiting = pending(store.read())
-    top = watch_top_n(waiting, min(rules.watch_limit, rules.max_results), rules.max_rent)
-    outbox = top.withColumn("message", message(show_proximity=rules.proximity))
-    # Groups are listed in the order they will be announced.
-    rows, order = order_outbox(waiting, rules.max_rent)
-    return WatchResult(outbox, run_summary(rows, top, order))
+    top, summary = announce(pending(store.read()), min(rules.watch_limit, rules.max_results), rules.max_rent)
+    return WatchResult(top.withColumn("message", message(show_proximity=rules.proximity)), summary)
 
 
 def deliver(store: StateStore, delivered: DataFrame, at: datetime, log: RunLog | None = None) -> int:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from listingflow.operators.dedupe import first_wins, mark_duplicates
-from listingflow.operators.outbox import watch_top_n
+from listingflow.operators.outbox import announce, watch_top_n
 from listingflow.operators.state import mark_notified, upsert
 from listingflow.schema import conform
 from listingflow.sources.pages import url_policy
@@ -75,6 +75,15 @@ def test_top_n_reads_wide_rows_once_and_keys_twice(shuffled, folder):
     assert len(narrow) == 2
 
 
+def test_an_announcement_reads_the_pending_set_twice(shuffled, folder):
+    waiting = records(shuffled, {}, {}).withColumn("priority", F.lit(0)).withColumn("reasons", F.array(F.lit("新房源")))
+    waiting.write.parquet(f"{folder}/waiting")
+    top, summary = announce(shuffled.read.parquet(f"{folder}/waiting"), 10)
+    # Once for the narrow table, which both use, and once for the rows that made it.
+    assert plan(top).count("FileScan") == 1 and plan(summary).count("FileScan") == 0
+    assert top.count() == 2 and "待通知 2 間" in summary.first().message
+
+
 def test_all_sources_are_read_in_one_pass(spark, folder):
     spark.createDataFrame([(1, "rakuya", "https://a.example", "<p>")], "page_id int, source string, url string, html string").write.parquet(f"{folder}/pages")
     text = plan(read_once(spark.read.parquet(f"{folder}/pages"), SPECS))
