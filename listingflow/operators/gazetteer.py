@@ -12,9 +12,11 @@ from dataclasses import dataclass
 from functools import cached_property
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoint import cut
 from ..functions import vocabulary as V
 from ..functions.text import blank_to_null, labelled_field, normalize_spelling, strip
 from ..functions.urls import query_value
@@ -310,46 +312,61 @@ def address_in_text(
     return F.when(at > 0, blank_to_null(strip(F.concat(prefix, district, rest))))
 
 
+NAMES_PER_BLOCK = 100_000
+
+
 def names_in_text(
-    texts: DataFrame, names: DataFrame, key: str, text: str, name: str, salts: int = 16
+    texts: DataFrame, names: DataFrame, key: str, text: str, name: str, block: int = NAMES_PER_BLOCK
 ) -> DataFrame:
     """Earliest (longest on a tie) of arbitrarily many names per text: ``key, name, position``.
 
-    Every substring whose length is that of some name is a candidate; candidates meet the
-    names in an equi-join, so neither side is broadcast or held on the driver (only the
-    distinct name lengths are). A text's equal candidates are merged before the shuffle, and a
-    name found in very many texts is spread over ``salts`` tasks.
+    Names are sent to the tasks in blocks of about ``block``, each as one automaton that reads a text once
+    whatever the number of names; a row keeps the best name of the blocks before. So the work is the
+    texts' length times the number of blocks, nothing is shuffled, and the largest broadcast is one block.
     """
-    known = names.select(F.col(name).alias("_piece")).filter("_piece <> ''").distinct()
-    lengths = sorted(r[0] for r in known.select(F.length("_piece")).distinct().collect())
-    if not lengths:
-        return texts.limit(0).select(key, F.lit("").alias(name), F.lit(0).alias("position"))
-    span = F.length(F.col(text))
-    fitting = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= span)
-    pieces = F.flatten(
-        F.transform(
-            fitting,
-            lambda n: F.transform(
-                F.sequence(F.lit(1), span - n + 1),
-                lambda i: F.struct(i.alias("position"), F.substr(F.col(text), i, n).alias("_piece")),
-            ),
-        )
-    )
-    candidates = (
-        texts.select(key, F.explode(pieces).alias("c"))
-        .groupBy(key, "c._piece")
-        .agg(F.min("c.position").alias("position"))
-        .withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
-    )
-    salted = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return (
-        candidates.join(salted, ["_piece", "_salt"])
-        .groupBy(key)
-        .agg(
-            F.min(F.struct("position", (-F.length("_piece")).alias("_n"), F.col("_piece"))).alias("m")
-        )
-        .select(key, F.col("m._piece").alias(name), F.col("m.position").alias("position"))
+    known = names.select(F.col(name).alias("name")).filter("name <> ''").distinct()
+    blocks = max(1, -(-known.count() // block))
+    kind = texts.schema[key].dataType.simpleString()
+    schema = f"key {kind}, text string, name string, position int"
+    out = texts.select(
+        F.col(key).alias("key"), F.col(text).alias("text"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("position")
     )
+    context = texts.sparkSession.sparkContext
+    for part in range(blocks):
+        own = known.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == part)
+        shared = context.broadcast([r[0] for r in own.collect()])
+        out = (cut(out) if part else out).mapInArrow(_best_names(shared), schema)
+    return out.filter("name IS NOT NULL").select(F.col("key").alias(key), F.col("name").alias(name), "position")
+
+
+def _best_names(shared):
+    def work(batches):
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for n in shared.value:
+            found.add_word(n, len(n))
+        found.make_automaton()
+        longest = max(map(len, shared.value), default=0)
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("text", "name", "position")]
+            names, places = [], []
+            for text, name, position in zip(*columns, strict=True):
+                best = (position - 1, -len(name)) if name is not None else None
+                for end, length in found.iter(text) if text and longest else ():
+                    at = (end - length + 1, -length)
+                    if best is None or at < best:
+                        best = at
+                    if end - longest + 1 > best[0]:  # no match from here on starts as early
+                        break
+                names.append(text[best[0] : best[0] - best[1]] if best else None)
+                places.append(best[0] + 1 if best else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), batch.column("text"), pa.array(names, pa.string()), pa.array(places, pa.int32())],
+                ["key", "text", "name", "position"],
+            )
+
+    return work
 
 
 # --- table jobs ----------------------------------------------------------------------

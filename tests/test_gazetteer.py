@@ -92,6 +92,8 @@ def test_names_by_join_agree_with_expression(spark):
         r.k: r.v for r in texts.select("k", gazetteer(spark).earliest_district(F.col("t")).alias("v")).collect()
     }
     assert joined == {k: v for k, v in direct.items() if v}
+    blocked = {r.k: r.district for r in G.names_in_text(texts, names, "k", "t", "district", block=1).collect()}
+    assert blocked == joined
 
 
 def test_address(spark):
