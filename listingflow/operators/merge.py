@@ -81,7 +81,7 @@ def merge_details(
     if "image_urls" in have:
         none = F.size(F.coalesce("image_urls", F.array())) == 0
         new["image_urls"] = F.when(
-            none & (F.size("_d.image_urls") > 0), F.slice("_d.image_urls", 1, 3)
+            none & (F.size("_d.image_urls") > 0), F.col("_d.image_urls")
         ).otherwise(F.col("image_urls"))
     if "tags" in have:
         more = F.coalesce(F.col("_d.tags"), F.array().cast("array<string>"))

@@ -258,14 +258,21 @@ def proximity_text() -> Column:
     )
 
 
-def message(zone: str = "UTC", show_proximity: Column | bool = True) -> Column:
-    """The record as a JSON message: title, ordered fields, conditional parts, colour."""
+def message(
+    zone: str = "UTC", show_proximity: Column | bool = True, title_chars: int = 120, images: int = 3, changes: int = 5
+) -> Column:
+    """The record as a JSON message: title, ordered fields, conditional parts, colour.
+
+    Records hold whole values; what a message shows of them is cut here: ``title_chars`` of the title,
+    ``images`` of the images, ``changes`` of the reasons.
+    """
+    shown = F.substring("title", 1, title_chars)
     reasons = F.coalesce("reasons", F.array().cast("array<string>"))
     changed = F.size(reasons) > 0
     rent = X.money(F.col("rent"))
-    title = F.when(F.col("rent").isNotNull(), F.concat("title", F.lit(" - "), rent)).otherwise(F.col("title"))
+    title = F.when(F.col("rent").isNotNull(), F.concat(shown, F.lit(" - "), rent)).otherwise(shown)
     show = F.lit(show_proximity) if isinstance(show_proximity, bool) else show_proximity
-    more = F.slice("image_urls", 2, 2)
+    more = F.slice("image_urls", 2, images - 1)
 
     def field(name: str, value: Column, inline: bool) -> Column:
         return F.struct(
@@ -277,7 +284,7 @@ def message(zone: str = "UTC", show_proximity: Column | bool = True) -> Column:
 
     fields = F.array_compact(
         F.array(
-            F.when(changed, field("重要更新", F.array_join(F.slice(reasons, 1, 5), "\n"), False)),
+            F.when(changed, field("重要更新", F.array_join(F.slice(reasons, 1, changes), "\n"), False)),
             field("地區/地址", X.location_text(F.col("city"), F.col("district"), F.col("address")), False),
             field("月租/總月租", F.concat(rent, F.lit(" / "), X.money(F.col("total_monthly_cost"))), True),
             field("坪數", X.number_with_unit(F.col("area_ping"), " 坪"), True),

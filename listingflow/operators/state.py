@@ -97,8 +97,6 @@ def upsert(state: DataFrame, batch: DataFrame, now: Column, full: bool = True) -
             value = F.when(came_back, F.lit(True)).otherwise(F.coalesce(now_is, was))
         elif name in STICKY:
             value = F.coalesce(now_is, was)
-        elif name == "image_urls":
-            value = F.slice(now_is, 1, 3)
         else:
             value = now_is
         out.append(F.when(seen, value).otherwise(was).alias(name))

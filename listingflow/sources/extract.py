@@ -20,9 +20,6 @@ from .dom import CANDIDATE_DDL, CARD, DETAIL, JSONLD, STATE, page_reader
 from .pages import page_errors
 from .specs import SourceSpec
 
-# Lengths of stored fields.
-TITLE_CHARS, DESCRIPTION_CHARS, IMAGES, TAGS = 120, 4_000, 3, 12
-
 
 def page_candidates(pages: DataFrame, spec: SourceSpec) -> DataFrame:
     """One row per possible record of each page. Only columns the parser needs go to Python."""
@@ -138,7 +135,7 @@ def generic_records(found: DataFrame, spec: SourceSpec, gazetteer: Gazetteer) ->
             U.canonical_id(F.lit(spec.name), F.when(is_object, F.concat(url, "title")).otherwise(url)),
         ).alias("listing_id"),
         url.alias("url"),
-        F.substring("title", 1, TITLE_CHARS).alias("title"),
+        F.col("title"),
         city.alias("city"),
         district.alias("district"),
         F.coalesce("address", address_in_text(F.col("place_text"), city, district)).alias("address"),
@@ -150,12 +147,10 @@ def generic_records(found: DataFrame, spec: SourceSpec, gazetteer: Gazetteer) ->
             N.ROOM_RULES,
         ).alias("room_type"),
         floor.alias("floor"),
-        F.substring("raw_text", 1, DESCRIPTION_CHARS).alias("description"),
-        F.slice(
-            F.array_distinct(F.concat(F.coalesce("tags", F.array().cast("array<string>")), labels)), 1, TAGS
-        ).alias("tags"),
+        F.col("raw_text").alias("description"),
+        F.array_distinct(F.concat(F.coalesce("tags", F.array().cast("array<string>")), labels)).alias("tags"),
         *[c.alias(n) for n, c in flags.items()],
-        F.slice(F.coalesce("images", F.array().cast("array<string>")), 1, IMAGES).alias("image_urls"),
+        F.coalesce("images", F.array().cast("array<string>")).alias("image_urls"),
         N.update_age_days(F.col("raw_text")).alias("update_age_days"),
         F.to_json(audit).alias("raw"),
     )
@@ -248,7 +243,7 @@ def portal_records(found: DataFrame, spec: SourceSpec, gazetteer: Gazetteer) ->
         _parser_name().alias("parser"),
         F.col("page_url"),
         F.col("fee").alias("management_fee"),
-        F.when(state, F.substring(blank_to_null(deep), 1, 200)).alias("gender_restriction"),
+        F.when(state, blank_to_null(deep)).alias("gender_restriction"),
         F.when(jsonld, F.try_parse_json("payload")).alias("jsonld"),
     )
     floor_given = F.when(
@@ -265,7 +260,7 @@ def portal_records(found: DataFrame, spec: SourceSpec, gazetteer: Gazetteer) ->
         *_position(spec),
         F.coalesce("own_id", U.canonical_id(F.lit(spec.name), F.col("url"))).alias("listing_id"),
         F.col("url"),
-        F.substring(title, 1, TITLE_CHARS).alias("title"),
+        title.alias("title"),
         city.alias("city"),
         district.alias("district"),
         F.when(card, address_in_text(text, city, district, 40, portal=True))
@@ -279,11 +274,10 @@ def portal_records(found: DataFrame, spec: SourceSpec, gazetteer: Gazetteer) ->
         ).alias("area_ping"),
         F.coalesce(F.col("text_room"), F.when(~jsonld, F.col("page_room"))).alias("room_type"),
         F.when(state, floor_given).when(card, N.floor_text(text, V.PORTAL_FLOOR)).alias("floor"),
-        F.substring(F.when(jsonld, F.coalesce("description", F.lit(""))).otherwise(text), 1, DESCRIPTION_CHARS)
-        .alias("description"),
-        F.when(state, F.slice(F.coalesce("tags", empty), 1, TAGS)).otherwise(empty).alias("tags"),
+        F.when(jsonld, F.coalesce("description", F.lit(""))).otherwise(text).alias("description"),
+        F.when(state, F.coalesce("tags", empty)).otherwise(empty).alias("tags"),
         *[F.lit(None).cast("boolean").alias(n) for n in _flags(text)],
-        F.slice(F.coalesce("images", empty), 1, IMAGES).alias("image_urls"),
+        F.coalesce("images", empty).alias("image_urls"),
         N.update_age_days(text, day_words="前").alias("update_age_days"),
         F.to_json(audit).alias("raw"),
     )

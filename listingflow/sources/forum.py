@@ -173,13 +173,13 @@ def post_records(posts: DataFrame, gazetteer: Gazetteer, spec: SourceSpec = FORU
         F.col("title"),
         F.col("place.city").alias("city"),
         district.alias("district"),
-        F.coalesce(F.substring(X.labelled_field(body, V.FORUM_ADDRESS_LABELS), 1, 120), line).alias("address"),
+        F.coalesce(X.labelled_field(body, V.FORUM_ADDRESS_LABELS), line).alias("address"),
         rent.alias("rent"),
         N.total_cost(rent, fee).alias("total_monthly_cost"),
         N.area_in_text(text, *spec.area_bounds, units="坪|p|P").alias("area_ping"),
         N.room_type(text, N.FORUM_ROOM_RULES).alias("room_type"),
         X.labelled_field(body, V.FORUM_FLOOR_LABELS).alias("floor"),
-        F.substring(body, 1, 4_000).alias("description"),
+        body.alias("description"),
         F.array_compact(F.array(*tags)).alias("tags"),
         *[
             F.lit(None).cast("boolean").alias(n)
@@ -190,7 +190,7 @@ def post_records(posts: DataFrame, gazetteer: Gazetteer, spec: SourceSpec = FORU
                 "has_garbage_collection",
             )
         ],
-        F.slice("images", 1, 3).alias("image_urls"),
+        F.col("images").alias("image_urls"),
         F.lit(None).cast("int").alias("update_age_days"),
         F.to_json(F.struct(F.col("url").alias("source_url"), fee.alias("management_fee"))).alias("raw"),
     )

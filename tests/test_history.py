@@ -127,7 +127,7 @@ def test_detail_merge(spark):
     )
     got = {r.listing_id: r for r in merge_details(base, details, "page", "pos").collect()}
     assert got["r000"].rent == 9000 and got["r000"].area_ping == 8.0 and got["r000"].tags == ["a", "b"]
-    assert got["r000"].description.startswith("long") and got["r000"].image_urls == ["i1", "i2", "i3"]
+    assert got["r000"].description.startswith("long") and got["r000"].image_urls == ["i1", "i2", "i3", "i4"]
     assert got["r001"].rent is None  # the same URL is used once per page
     assert got["r002"].room_type == "雅房" and got["r002"].rent == 18000
     assert got["r003"].description == "d" * 50  # complete records are left alone
