@@ -38,12 +38,15 @@ def merge_details(
     position: str,
     limit: int = 3,
     candidate: Column | None = None,
+    fetched: DataFrame | None = None,
 ) -> DataFrame:
     """Fill nulls and blanks of incomplete records from ``details`` (unique per url).
 
     At most ``limit`` records per page are enriched, in page order, each URL once: that is
-    the rule of the source, not a shortcut. Only the page's first ``limit`` candidates leave
-    each map task. Complete records never enter the join.
+    the rule of the source, not a shortcut. ``fetched`` (url) names the detail pages that were
+    fetched, with a record or without: each counts against the limit; by default those with one.
+    A detail's ``raw`` is kept under ``detail_raw_json`` in the record's. Complete records never
+    enter the join.
     """
     wanted = needs_detail() if candidate is None else needs_detail() & candidate
     marked = records.withColumn("_needy", wanted)
@@ -59,9 +62,12 @@ def merge_details(
         .filter("_use = 1")
         .drop("_use")
     )
+    if fetched is not None:
+        found = fetched.select("url").distinct().join(found, "url", "left")
+    found = found.withColumn("_seen", F.lit(True))
     chosen = (
         attach_facts(uses, found, ["url"])
-        .filter("_d IS NOT NULL")
+        .filter("_seen")
         .withColumn("_turn", F.row_number().over(turn))
         .filter(F.col("_turn") <= limit)
         .select(page, position, "_d")
@@ -88,4 +94,9 @@ def merge_details(
         new["tags"] = F.concat(
             "tags", F.filter(F.array_distinct(more), lambda t: ~F.array_contains(F.col("tags"), t))
         )
+    if "raw" in have and "raw" in types:
+        own = F.regexp_replace(F.coalesce("raw", F.lit("{}")), r"\s*\}\s*\z", "")
+        gap = F.when(F.trim(own) == "{", F.lit("")).otherwise(F.lit(","))
+        whole = F.concat(own, gap, F.lit('"detail_raw_json":'), F.col("_d.raw"), F.lit("}"))
+        new["raw"] = F.coalesce(whole, F.col("raw"))
     return joined.withColumns(new).select(*records.columns)

@@ -30,8 +30,9 @@ def kept_pages(
     pages: DataFrame,
     key: Sequence[str],
     misses: int = 1,
+    with_end: bool = False,
 ) -> DataFrame:
-    """``search, page, n_parsed, n_new, kept`` for every fetched page.
+    """``search, page, n_parsed, n_new, kept`` for every fetched page (``with_end``: and ``ended``, its search's last).
 
     ``pages``: search, page (0, 1, 2, … per search; searches run in order of their value)
     and n_parsed, the number of records read from the page; a page with none ends its
@@ -71,7 +72,7 @@ def kept_pages(
             )
             if moved.isEmpty():
                 kept = F.col("last_page").isNull() | (F.col("page") <= F.col("last_page"))
-                return counted.join(ends, "search").select(
-                    "search", "page", "n_parsed", "n_new", kept.alias("kept")
-                )
+                ended = F.coalesce(F.col("page") == F.col("last_page"), F.lit(False))
+                columns = ["search", "page", "n_parsed", "n_new", kept.alias("kept")]
+                return counted.join(ends, "search").select(*columns, *([ended.alias("ended")] if with_end else []))
         ends = proposal

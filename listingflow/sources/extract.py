@@ -359,13 +359,15 @@ def collect_source(
 
     ``pages``: page_id, search, page, url, html[, status]. Incomplete records are filled from
     ``detail_pages`` (page_id, url, html[, status]), records known to be too old are left out, and
-    pages beyond the point where a search stopped showing anything new do not count. The
-    parsed rows are read several times, so they are computed once.
+    pages beyond the point where a search stopped showing anything new do not count. A page that
+    is refused ends the source: no later page or search counts, and only that refusal is reported.
+    The parsed rows are read several times, so they are computed once.
     """
     own = page_errors(pages.withColumn("source", F.lit(spec.name)))
     readable = own.filter("code IS NULL")
     rows = cut(page_records(readable, spec, gazetteer))
-    refused = _quarantine(own, readable, rows)
+    parsed = rows
+    skipped = None
     numbered = readable.select("page_id", "search", "page")
     counts = rows.groupBy("page_id").agg(F.count("*").alias("n_parsed"))
     shown = numbered.join(counts, "page_id", "left").na.fill(0, ["n_parsed"])
@@ -387,13 +389,27 @@ def collect_source(
             "_position",
             spec.detail_limit,
             U.is_detail_url(F.col("url"), spec.detail_url_patterns),
+            fetched=good.select("url"),
         ).drop("_position")
         skipped = fetched.filter("code IS NOT NULL").select(
             "source", "url", "code", F.concat(F.lit("detail skipped: "), "message").alias("message")
         )
-        refused = refused.unionByName(skipped)
     fresh = recent(rows, spec.max_age_days).join(numbered, "page_id")
-    kept = kept_pages(fresh, shown, ["source", "listing_id"], spec.stop_after_misses)
+    kept = cut(kept_pages(fresh, shown, ["source", "listing_id"], spec.stop_after_misses, with_end=True))
+    # A refused page is met if it is its search's first, or if the search went on after the page before.
+    before = kept.select("search", (F.col("page") + 1).alias("page"), (F.col("kept") & ~F.col("ended")).alias("_on"))
+    blocked = own.filter("code IS NOT NULL").select("search", "page").join(before, ["search", "page"], "left")
+    first = blocked.filter("page = 0 OR _on").agg(F.min(F.struct("search", "page")).alias("at")).first()["at"]
+    kept = kept.drop("ended")
+    place = F.struct("search", "page")
+    own = own.filter("code IS NULL")
+    if first is not None:
+        end = F.struct(F.lit(first["search"]).alias("search"), F.lit(first["page"]).alias("page"))
+        kept, readable = kept.filter(place < end), readable.filter(place < end)
+        own = page_errors(pages.withColumn("source", F.lit(spec.name))).filter(place == end)
+    refused = _quarantine(own, readable, parsed)
+    if skipped is not None:
+        refused = refused.unionByName(skipped)
     used = fresh.join(kept.filter("kept").select("search", "page"), ["search", "page"], "left_semi")
     order = [F.col(c) for c in ("search", "page", "strategy", "pos")]
     return first_wins(used, ["source", "listing_id"], order), refused, kept

@@ -186,3 +186,15 @@ def test_null_keys_and_times_stay(spark):
     total = H.running_total(df, ["k"], ["t"], F.col("cost"), F.expr("t div 2"), "s")
     running = df.withColumn("s", F.sum("cost").over(Window.partitionBy("k").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)))
     assert sorted(map(str, total.collect())) == sorted(map(str, running.collect()))
+
+
+def test_a_fetched_page_without_a_record_counts(spark):
+    rows = [(0, i, f"u{i}", None, "{}") for i in range(5)]
+    base = spark.createDataFrame(rows, "page int, pos int, url string, rent int, raw string").selectExpr(
+        "*", "1.0D AS area_ping", "'d' AS district", "'r' AS room_type", "repeat('x', 50) AS description"
+    )
+    details = spark.createDataFrame([(f"u{i}", 100 + i, '{"k":1}') for i in (1, 2, 3, 4)], "url string, rent int, raw string")
+    fetched = spark.createDataFrame([(f"u{i}",) for i in range(5)], "url string")
+    got = {r.url: r for r in merge_details(base, details, "page", "pos", 3, fetched=fetched).collect()}
+    assert [got[f"u{i}"].rent for i in range(5)] == [None, 101, 102, None, None]
+    assert got["u1"].raw == '{"detail_raw_json":{"k":1}}' and got["u0"].raw == "{}"
