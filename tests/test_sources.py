@@ -1,4 +1,5 @@
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -243,7 +244,43 @@ def test_collecting_a_source(spark):
     # H0003 first stands on a page that no longer counts, so the later search has it.
     assert {k: r.search for k, r in rows.items()} == {"H0001": 0, "H0002": 0, "H0003": 2}
     assert (rows["H0002"].rent, rows["H0002"].area_ping) == (12000, 5.5)
+    # The refusal ends the source: the empty search after it was never asked.
     assert sorted((r.code, r.message[:6]) for r in refused.collect()) == [
-        ("EMPTY_RESULT", "no lis"), ("HTTP_FORBIDDEN", "detail"), ("LOGIN_REQUIRED", "LOGIN_"),
+        ("HTTP_FORBIDDEN", "detail"), ("LOGIN_REQUIRED", "LOGIN_"),
     ]
     assert {(r.search, r.page) for r in kept.collect() if not r.kept} == {(0, 2)}
+    assert json.loads(rows["H0002"].raw)["detail_raw_json"]["parser"] == "detail_text"
+
+
+def test_a_refusal_ends_the_source(spark):
+    def card(n):
+        return f'<p><a href="https://rent.houseprice.tw/house/H{n:04d}">獨立套房 {n} 台北市大同區 8坪 9,000 元/月 {"好" * 240}</a></p>'
+
+    rows = [
+        (0, 0, card(1)), (0, 1, card(1)), (0, 2, "<p>請先登入</p>"),  # never met: the search had ended
+        (1, 0, card(2)), (1, 1, "<p>請先登入</p>"), (1, 2, card(3)), (2, 0, card(4)),
+    ]
+    pages_ = spark.createDataFrame(
+        [(i, s, p, f"https://rent.houseprice.tw/list?s={s}&page={p}", h) for i, (s, p, h) in enumerate(rows)],
+        "page_id int, search int, page int, url string, html string",
+    )
+    found, refused, kept = collect_source(pages_, HOUSEPRICE, gazetteer(spark))
+    assert {r.listing_id for r in found.collect()} == {"H0001", "H0002"}
+    assert [(r.code, "s=1&page=1" in r.url) for r in refused.collect()] == [("LOGIN_REQUIRED", True)]
+    assert max((r.search, r.page) for r in kept.collect()) == (1, 0)
+
+
+def test_a_page_with_many_links_is_read_in_linear_time():
+    from listingflow.sources.dom import candidates
+
+    rules = HOUSEPRICE.page_rules()
+
+    def seconds(n):
+        html = "<div>" + "".join(f'<p><a href="/house/H{i}_1">套房 {i}</a><img src="/{i}.jpg"></p>' for i in range(n)) + "</div>"
+        start = time.process_time()
+        rows = list(candidates("https://rent.houseprice.tw/list", html, rules))
+        assert len(rows) == n and rows[5]["images"] == ["https://rent.houseprice.tw/5.jpg"]
+        return time.process_time() - start
+
+    seconds(500)
+    assert seconds(10_000) < 12 * seconds(2_000)
