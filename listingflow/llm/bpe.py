@@ -36,7 +36,8 @@ from listingflow.llm.common import appended, partitions, staged
 
 LEAF = 1 << 16
 SPREAD = 1 << 22
-CACHE_ROWS = 600_000
+CACHE_ROWS = 400_000
+TOGETHER = 1_000_000  # characters whose pieces are held at a time
 CHAIN = 500
 LONG_PIECE = 4_096
 
@@ -227,6 +228,16 @@ class Coder:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Many texts: what isn't cached yet goes to the library in one call."""
+        out, held, size = [], [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= TOGETHER:
+                out += self._encode_few(held)
+                held, size = [], 0
+        return out + self._encode_few(held)
+
+    def _encode_few(self, texts: list[str]) -> list[bytes]:
         pieces = [
             self.split(x) if len(x) <= self.leaf and not (self.cut and self.cut.search(x)) else None for x in texts
         ]
