@@ -253,12 +253,12 @@ class Coder:
 _CODERS: dict[tuple, Coder] = {}
 
 
-def coder(spec: str, leaf: int = LEAF) -> Coder:
+def coder(spec: str, leaf: int = LEAF, cache_rows: int = CACHE_ROWS) -> Coder:
     """A worker's coder for a vocabulary; kept from task to task."""
-    key = (hashlib.sha256(spec.encode()).digest(), leaf)
+    key = (hashlib.sha256(spec.encode()).digest(), leaf, cache_rows)
     if key not in _CODERS:
         _CODERS.clear()
-        _CODERS[key] = Coder(spec, leaf)
+        _CODERS[key] = Coder(spec, leaf, cache_rows)
     return _CODERS[key]
 
 

@@ -39,6 +39,7 @@ from listingflow.llm.common import partitions, shared_folder, staged
 FRAME_BYTES = 1 << 20
 FILE_BYTES = 256 << 20
 END_ID = 0
+CACHED_PIECES = 600_000
 LEVEL = 1
 # Fixed values of the seekable zstandard format.
 SKIPPABLE = 0x184D2A5E
@@ -158,7 +159,7 @@ def _write(spec, folder, frame_bytes):
         from pyspark import TaskContext
 
         part, place, out, name = TaskContext.get().partitionId(), 0, None, None
-        own = coder(spec.value)
+        own = coder(spec.value, cache_rows=CACHED_PIECES)
         store, path = _folder(folder)
         for batch in batches:
             texts = [x or "" for x in batch.column("text").to_pylist()]
