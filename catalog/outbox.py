@@ -86,32 +86,50 @@ def run_summary(spark, sf):
     return summary.select("n_candidates", "n_sending", "message")
 
 
-@query(f"""WITH l AS ({L_SQL}) SELECT listing_id,
+# Six reasons on some records, of which a message shows five; none to four images, of which it shows three.
+SAID = "CASE WHEN CAST(listing_id AS BIGINT) % 6 = 1 THEN '價格下降 9 -> 8;b;c;d;e;f' WHEN CAST(listing_id AS BIGINT) % 3 = 1 THEN '價格下降 9 -> 8' END"
+IMAGES = "substr('p1;p2;p3;p4', 1, CAST(CAST(listing_id AS BIGINT) % 5 AS INT) * 3 - 1)"
+
+
+def _mark(column: str) -> str:
+    return f"CASE {column} WHEN TRUE THEN '✅' WHEN FALSE THEN '❌' ELSE '未知' END"
+
+
+def _seen(column: str) -> str:
+    return f"coalesce(strftime({column}, '%Y-%m-%d %H:%M'), '未知')"
+
+
+@query(f"""WITH l AS ({L_SQL}),
+    s AS (SELECT *, {SAID} AS said, CASE WHEN CAST(listing_id AS BIGINT) % 5 > 0 THEN string_split({IMAGES}, ';') ELSE [] END AS images FROM l)
+    SELECT listing_id,
     title || CASE WHEN rent IS NULL THEN '' ELSE ' - ' || format('{{:,}}', rent) || ' 元' END AS title,
-    CASE WHEN {PRIORITY} = 1 THEN 15903035 ELSE 4367978 END AS color,
-    CAST(11 + CASE WHEN {PRIORITY} = 1 THEN 1 ELSE 0 END AS BIGINT) AS n_fields,
-    coalesce(format('{{:,}}', rent) || ' 元', '未知') || ' / ' || coalesce(format('{{:,}}', total_monthly_cost) || ' 元', '未知') AS cost,
-    CASE WHEN commute_minutes IS NOT NULL THEN commute_minutes || ' 分鐘' WHEN near_ntu_score IS NOT NULL
-        THEN '近似 ' || near_ntu_score || '/100（近似）' ELSE '未知' END AS near FROM l""")
+    CASE WHEN said IS NULL THEN 4367978 ELSE 15903035 END AS color, url, substr(description, 1, 300) AS description,
+    images[1] AS image, source || ' | ' || listing_id AS footer,
+    concat_ws('|', '重要更新=' || array_to_string(string_split(said, ';')[:5], chr(10)),
+        '地區/地址=' || coalesce(nullif(concat(city, district, address), ''), '未知'),
+        '月租/總月租=' || coalesce(format('{{:,}}', rent) || ' 元', '未知') || ' / ' || coalesce(format('{{:,}}', total_monthly_cost) || ' 元', '未知'),
+        '坪數=' || coalesce(format('{{:g}}', area_ping) || ' 坪', '未知'), '房型=' || coalesce(nullif(room_type, ''), '未知'),
+        '樓層=' || coalesce(nullif(floor, ''), '未知'), '是否租補=' || {_mark('has_rent_subsidy')}, '是否可報稅=' || {_mark('has_tax_registration')},
+        '是否獨立洗衣機=' || {_mark('has_independent_washer')}, '垃圾代收=' || {_mark('has_garbage_collection')},
+        '距台大=' || CASE WHEN commute_minutes IS NOT NULL THEN commute_minutes || ' 分鐘' WHEN near_ntu_score IS NOT NULL
+            THEN '近似 ' || near_ntu_score || '/100（近似）' ELSE '未知' END,
+        '更新時間/首次看到=' || {_seen('last_seen_at')} || ' / ' || {_seen('first_seen_at')},
+        '其他圖片=' || nullif(array_to_string(images[2:3], chr(10)), '')) AS fields FROM s""")
 def render_outbox(spark, sf):
-    rows = conform(listings(spark, sf)).withColumn(
-        "reasons", F.when(F.expr(PRIORITY) == 1, F.array(F.lit("價格下降 9 -> 8"))).otherwise(F.array())
-    )
-    schema = (
-        "title string, color int, fields array<struct<name:string,value:string,inline:boolean>>"
+    """Every part of every message."""
+    rows = conform(listings(spark, sf)).withColumns(
+        {
+            "reasons": F.split(F.expr(SAID), ";"),
+            "image_urls": F.when(F.expr("CAST(listing_id AS BIGINT) % 5 > 0"), F.split(F.expr(IMAGES), ";")).otherwise(F.array()),
+        }
     )
+    schema = """title string, url string, description string, color int, image struct<url:string>, footer struct<text:string>,
+        fields array<struct<name:string,value:string,inline:boolean>>"""
     read = rows.select("listing_id", F.from_json(O.message(), schema).alias("m"))
-
-    def value(name: str):
-        return F.filter("m.fields", lambda f: f["name"] == name)[0]["value"]
-
+    fields = F.transform("m.fields", lambda f: F.concat_ws("=", f["name"], f["value"]))
     return read.select(
-        "listing_id",
-        "m.title",
-        "m.color",
-        F.size("m.fields").cast("bigint").alias("n_fields"),
-        value("月租/總月租").alias("cost"),
-        value("距台大").alias("near"),
+        "listing_id", "m.title", "m.color", "m.url", "m.description",
+        F.col("m.image.url").alias("image"), F.col("m.footer.text").alias("footer"), F.array_join(fields, "|").alias("fields"),
     )
 
 
