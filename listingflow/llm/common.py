@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from listingflow.cluster import ship
 
 ROWS_PER_BATCH = 1_000
 BYTES_PER_BATCH = 8 << 20
+STRETCH_BYTES = 4 << 20
 
 
 def ready(spark: SparkSession) -> None:
@@ -60,14 +62,9 @@ def without_row(frame: DataFrame, names: list[str], **columns: str) -> DataFrame
     return frame.select(*[F.col(own[c]).alias(c) if c in own else F.col(f"row.`{c}`").alias(c) for c in names])
 
 
-def mapped(frame: DataFrame, work: Callable, schema: str | T.StructType) -> DataFrame:
-    """``mapInArrow`` where ``work`` gets and gives record batches of the declared schema."""
-    return frame.mapInArrow(work, schema)
-
-
 def appended(frame: DataFrame, make: Callable, added: str) -> DataFrame:
     """Columns added batch by batch: ``make()`` runs once a task and returns a function from a batch to arrays."""
-    extra = T._parse_datatype_string(added)
+    extra = T.StructType.fromDDL(added)
     schema = T.StructType(frame.schema.fields + extra.fields)
     names = schema.names
 
@@ -84,6 +81,21 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def stretches(text: bytes, size: int | None = None) -> Iterator[bytes]:
+    """A text in stretches of about ``size`` bytes, cut at white space: the words of a very long text a few at a time."""
+    at, size = 0, size or STRETCH_BYTES
+    while len(text) - at > size:
+        found = _BLANK.search(text, at + size)
+        if found is None:
+            break
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:]
+
+
 def crc_bucket(column: str, divisor: int):
     """The remainder of crc32 of an id written as text; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(divisor))

@@ -16,7 +16,6 @@ one by one. Empty tables on either side give no hits. Other columns never clash:
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listingflow.llm.common import appended, staged, utf8, with_row, without_row
+from listingflow.llm.common import appended, staged, stretches, utf8, with_row, without_row
 
 BLOCK_WINDOWS = 500_000
 _KEPT = b"0123456789abcdefghijklmnopqrstuvwxyz"
@@ -59,10 +58,16 @@ class Block:
             k: np.unique(_numbers(np.array([g for g in self.grams if len(g) == k], np.uint64).ravel(), k)[::k]) for k in self.sizes
         }
 
-    def scan(self, found: list[bytes]) -> list[tuple[int, int, list[str]]]:
+    def read(self, text: bytes) -> np.ndarray:
+        """The numbers of a text's words, 0 for words that the benchmark doesn't have."""
+        get, parts = self.ids.get, []
+        for part in stretches(text.translate(TABLE)):
+            found = part.split()
+            parts.append(np.fromiter((get(w, 0) for w in found), np.uint64, len(found)))
+        return np.concatenate(parts)
+
+    def scan(self, ids: np.ndarray) -> list[tuple[int, int, list[str]]]:
         """(first word, number of words, items) of every occurrence of a window."""
-        get = self.ids.get
-        ids = np.fromiter((get(w, 0) for w in found), np.uint64, len(found))
         out = []
         for k in self.sizes:
             if len(ids) < k:
@@ -137,7 +142,7 @@ def _first(shared):
         def columns(batch):
             counts, hits, items = [], [], []
             for text in utf8(batch.column("text")):
-                found = words(text)
+                found = block.read(text)
                 counts.append(len(found))
                 places, names = _merged(block.scan(found), [], [])
                 hits.append(places)
@@ -157,7 +162,7 @@ def _next(shared):
             hits, items = [], []
             before = zip(utf8(batch.column("text")), batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True)
             for text, places, names in before:
-                places, names = _merged(block.scan(words(text)), places, names)
+                places, names = _merged(block.scan(block.read(text)), places, names)
                 hits.append(places)
                 items.append(names)
             return [pa.array(hits, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))]
@@ -180,10 +185,6 @@ def _merged(found, places, names):
     return out, sorted({*names, *(x for _, _, items in found for x in items)})
 
 
-def _digest(names: list[str]) -> str:
-    return hashlib.sha256(",".join(names).encode()).hexdigest()
-
-
 def _benchmark(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     return benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item_id"), F.col(f"`{text_col}`").alias("text"))
 

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listingflow.llm.common import partitions, staged, utf8
+from listingflow.llm.common import partitions, staged, stretches, utf8
 
 BLOCK_TOKENS = 2_000_000
 BUCKET_CHARS = 32_000_000
@@ -41,10 +41,6 @@ TABLE = "target long, block long, held boolean, keys binary, counts binary, docs
 NAMES = ("target", "block", "held", "keys", "counts", "docs", "tokens", "hashes")
 
 
-def words(text: bytes) -> list[bytes]:
-    return text.translate(LOWER).split()
-
-
 def pack(values: np.ndarray) -> bytes:
     """An array's bytes plane by plane, compressed: small numbers cost little whatever their type."""
     flat = np.ascontiguousarray(values)
@@ -68,10 +64,11 @@ class Block:
         self.tokens, self.docs, self.size = [], [], 0
 
     def add(self, doc_id, fold: int, text: bytes) -> None:
-        found = words(text)
-        ids = np.empty(len(found) + 1, np.int32)
-        ids[:-1] = np.fromiter(map(self.words.__getitem__, found), np.int32, len(found))
-        ids[-1] = 1
+        parts = []
+        for part in stretches(text.translate(LOWER)):
+            found = part.split()
+            parts.append(np.fromiter(map(self.words.__getitem__, found), np.int32, len(found)))
+        ids = np.concatenate([*parts, np.ones(1, np.int32)])
         self.tokens.append(ids)
         self.docs.append((doc_id or 0, doc_id is not None, fold, len(ids)))
         self.size += len(ids)

@@ -20,7 +20,7 @@ no other. Rows that repeat are judged alike. An empty table gives an empty resul
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listingflow.llm.common import appended, partitions, staged, utf8, with_row, without_row
+from listingflow.llm.common import appended, partitions, staged, stretches, utf8, with_row, without_row
 
 SHINGLE = 3
 DISTANCE = 3
@@ -39,22 +39,32 @@ LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     """The SimHash of a text: a bit is one if it is set in over half the shingles' hashes."""
-    found = text.translate(LOWER).split()
-    if not found:
-        return 0
+    set_bits, count, held = np.zeros(64, np.int64), 0, []
+    for part in stretches(text.translate(LOWER)):
+        held += part.split()
+        if len(held) >= shingle:
+            set_bits += _set_bits(held, shingle)
+            count += len(held) - shingle + 1
+            held = held[len(held) - shingle + 1 :]
+    if not count:
+        if not held:
+            return 0
+        set_bits, count = _set_bits(held, len(held)), 1
+    return int.from_bytes(np.packbits(set_bits * 2 > count, bitorder="little").tobytes(), "little")
+
+
+def _set_bits(found: list[bytes], shingle: int) -> np.ndarray:
+    """How many of the shingles' hashes have each bit."""
     joined = memoryview(b" ".join(found))
-    starts, at = [], 0
-    for word in found:
-        starts.append(at)
-        at += len(word) + 1
-    ends = [s - 1 for s in starts[shingle:]] + [len(joined)]
-    digest = xxhash.xxh64_intdigest
-    count = max(len(found) - shingle + 1, 1)
-    set_bits = np.zeros(64, np.int64)
+    ends = list(accumulate(map(len, found), lambda at, n: at + n + 1))
+    starts = [0, *(e + 1 for e in ends)]
+    digest, out = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    count = len(found) - shingle + 1
     for low in range(0, count, 65_536):
-        hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts[low : low + 65_536], ends[low : low + 65_536])], "<u8")  # noqa: B905
-        set_bits += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(set_bits * 2 > count, bitorder="little").tobytes(), "little")
+        places = range(low, min(low + 65_536, count))
+        hashes = np.array([digest(joined[starts[i] : ends[i + shingle - 1]], 42) for i in places], "<u8")
+        out += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return out
 
 
 def _fingerprints(shingle):
