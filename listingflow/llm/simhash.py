@@ -33,7 +33,7 @@ from listingflow.llm.common import appended, partitions, staged, stretches, utf8
 SHINGLE = 3
 DISTANCE = 3
 SEGMENT = 2
-SMALL_CELL = 1_500
+SMALL_CELL = 30_000
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
 
@@ -132,14 +132,12 @@ def forest(prints: np.ndarray, distance: int = DISTANCE, segment: int = SEGMENT)
     """Positions of linked pairs that connect all that links connect, without a circle."""
     sets, out = Sets(len(prints)), []
     counts = bit_counts(prints, segment).astype(np.int8)
-    cells = [np.arange(len(prints))]
+    cells = [(np.arange(len(prints)), np.arange(64, dtype=np.uint64))]
     while cells:
-        cell = cells.pop()
-        if len(cell) > SMALL_CELL:
-            smaller = _cut(prints, cell, distance)
-            if all(len(x) < len(cell) for x in smaller):
-                cells.extend(smaller)
-                continue
+        cell, bits = cells.pop()
+        if len(cell) > SMALL_CELL and len(bits) > distance:
+            cells.extend(_cut(prints, cell, distance, bits))
+            continue
         for i in range(len(cell) - 1):
             mine, rest = cell[i], cell[i + 1 :]
             near = rest[np.bitwise_count(prints[rest] ^ prints[mine]) <= distance] if len(cell) > 64 else None
@@ -150,15 +148,17 @@ def forest(prints: np.ndarray, distance: int = DISTANCE, segment: int = SEGMENT)
     return out
 
 
-def _cut(prints, cell, distance):
-    """Of distance + 1 parts of the bits, linked fingerprints agree in one: a cell for each value of each part."""
+def _cut(prints, cell, distance, bits):
+    """Of distance + 1 parts of the given bits, linked fingerprints agree in one: a cell for each value of each
+    part, with the bits that are left to differ."""
     out = []
-    for part in np.array_split(np.arange(64, dtype=np.uint64), distance + 1):
+    for part in np.array_split(bits, distance + 1):
         mask = np.bitwise_or.reduce(np.uint64(1) << part)
         order = np.argsort(prints[cell] & mask, kind="stable")
         values = (prints[cell] & mask)[order]
         cuts = np.flatnonzero(values[1:] != values[:-1]) + 1
-        out.extend(x for x in np.split(cell[order], cuts) if len(x) > 1)
+        left = np.setdiff1d(bits, part)
+        out.extend((x, left) for x in np.split(cell[order], cuts) if len(x) > 1)
     return out
 
 

@@ -55,7 +55,8 @@ def test_near_copies_and_chains(spark):
     assert cases.rows_of(simhash.find_near_copies(docs)) == brute(rows)
 
 
-def test_every_linked_pair_shares_a_cell_and_large_cells_are_cut():
+def test_every_linked_pair_shares_a_cell_and_large_cells_are_cut(monkeypatch):
+    monkeypatch.setattr(simhash, "SMALL_CELL", 300)
     draw = np.random.default_rng(1)
     base = draw.integers(0, 1 << 63, 300, dtype=np.uint64)
     near = base.copy()
