@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from listingflow.functions import vocabulary as V
 from listingflow.functions.text import blank_to_null, normalize_spelling
 from listingflow.operators import classify as C
 from listingflow.operators import merge as M
@@ -11,18 +10,19 @@ from listingflow.operators.dedupe import content_fingerprint, first_wins, mark_d
 from listingflow.plans.runs import Rules, assess
 from listingflow.schema import conform
 
+from . import words
 from .tables import L_SQL, TEXT_SQL, like_any, listings, load, query
 
 FEMALE = "regexp_matches(regexp_replace(txt, '\\s', '', 'g'), '限女')"
 T = f"WITH l AS ({L_SQL}), t AS (SELECT *, CAST(listing_id AS BIGINT) AS k, {TEXT_SQL} AS txt FROM l)"
 RULES_SQL = f""",
     f AS (SELECT *, ({FEMALE} OR k % 12 IN (0, 2)) AS female_only FROM t),
-    c AS (SELECT *, {like_any('txt', V.SUITE_WORDS)} AND NOT {like_any('txt', V.EXCLUDED_WORDS)} AS is_suite,
-        CASE WHEN {like_any('txt', V.SUBSIDY_DENIED)} THEN FALSE WHEN {like_any('txt', V.SUBSIDY_WORDS)} THEN TRUE END AS c_subsidy,
-        CASE WHEN {like_any('txt', V.TAX_DENIED)} THEN FALSE WHEN {like_any('txt', V.TAX_WORDS)} THEN TRUE END AS c_tax,
-        CASE WHEN {like_any('txt', V.WASHER_WORDS)} THEN TRUE WHEN {like_any('txt', V.WASHER_SHARED)} THEN FALSE END AS c_washer,
-        CASE WHEN {like_any('txt', V.GARBAGE_DENIED)} THEN FALSE WHEN {like_any('txt', V.GARBAGE_WORDS)} THEN TRUE END AS c_garbage,
-        concat_ws(';', {", ".join(f"CASE WHEN contains(txt, '{w}') THEN '{w}' END" for w in V.EXCLUDED_WORDS)},
+    c AS (SELECT *, {like_any('txt', words.SUITE_WORDS)} AND NOT {like_any('txt', words.EXCLUDED_WORDS)} AS is_suite,
+        CASE WHEN {like_any('txt', words.SUBSIDY_DENIED)} THEN FALSE WHEN {like_any('txt', words.SUBSIDY_WORDS)} THEN TRUE END AS c_subsidy,
+        CASE WHEN {like_any('txt', words.TAX_DENIED)} THEN FALSE WHEN {like_any('txt', words.TAX_WORDS)} THEN TRUE END AS c_tax,
+        CASE WHEN {like_any('txt', words.WASHER_WORDS)} THEN TRUE WHEN {like_any('txt', words.WASHER_SHARED)} THEN FALSE END AS c_washer,
+        CASE WHEN {like_any('txt', words.GARBAGE_DENIED)} THEN FALSE WHEN {like_any('txt', words.GARBAGE_WORDS)} THEN TRUE END AS c_garbage,
+        concat_ws(';', {", ".join(f"CASE WHEN contains(txt, '{w}') THEN '{w}' END" for w in words.EXCLUDED_WORDS)},
             CASE WHEN female_only THEN '限女' END) AS red FROM f)
 """
 FLAGS = ("has_rent_subsidy", "has_tax_registration", "has_independent_washer", "has_garbage_collection")
@@ -95,10 +95,10 @@ ALLOW_SQL = """(coalesce(city = 'ASIA' AND district IS NOT NULL
 COST = "coalesce(nullif(total_monthly_cost, 0), rent)"
 REASONS_SQL = f"""concat_ws(';',
     CASE WHEN NOT {ALLOW_SQL} THEN '地區不符: ' || coalesce(city, '未知') || ' ' || coalesce(district, '未知') END,
-    CASE WHEN {like_any('txt', V.EXCLUDED_WORDS)} THEN '排除房型/用途' END,
+    CASE WHEN {like_any('txt', words.EXCLUDED_WORDS)} THEN '排除房型/用途' END,
     CASE WHEN female_only THEN '限女/女性限定' END,
     CASE WHEN contains(coalesce(room_type, ''), '雅房') THEN '雅房' END,
-    CASE WHEN NOT contains(coalesce(room_type, ''), '套房') AND NOT {like_any('txt', V.SUITE_WORDS)} THEN '不是明確套房' END,
+    CASE WHEN NOT contains(coalesce(room_type, ''), '套房') AND NOT {like_any('txt', words.SUITE_WORDS)} THEN '不是明確套房' END,
     CASE WHEN {COST} IS NULL THEN '租金未知' WHEN {COST} > 18600 THEN '租金超過 18600: ' || {COST} END,
     CASE WHEN area_ping IS NULL THEN '坪數未知' WHEN area_ping < 6 THEN '坪數小於 6.0: ' || area_ping END)"""
 

@@ -10,6 +10,7 @@ from listingflow.operators.classify import raw_is_female_only
 from listingflow.sources import pages as P
 from listingflow.sources.walk import json_leaves, walk_objects
 
+from . import words
 from .tables import L_SQL, like_any, listings, load, query, sql_list
 
 URL_PARTS = """
@@ -21,7 +22,7 @@ URL_PARTS = """
 @query(f"""
     WITH p AS (SELECT page_id, {URL_PARTS} FROM pages),
     k AS (SELECT *, array_to_string(list_filter(string_split(qry, '&'), lambda x: x <> '' AND NOT
-        (lower(split_part(x, '=', 1)) IN {sql_list(V.TRACKING_KEYS)}
+        (lower(split_part(x, '=', 1)) IN {sql_list(words.TRACKING_KEYS)}
          OR lower(x) LIKE 'utm\\_%' ESCAPE '\\')), '&') AS kept FROM p)
     SELECT page_id, sch || '://' || hst || CASE WHEN rtrim(pth, '/') = '' THEN pth ELSE rtrim(pth, '/') END
         || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END AS url FROM k""")
@@ -104,10 +105,10 @@ WALL_SQL = f"""
         '<i>', 'g'), '\\s*(?:<[^>]*>\\s*)+', ' ', 'g')) AS txt FROM p),
     c AS (SELECT page_id, url, CASE status WHEN 429 THEN 'HTTP_RATE_LIMITED' WHEN 401 THEN 'LOGIN_REQUIRED'
         WHEN 403 THEN 'HTTP_FORBIDDEN' ELSE
-        CASE WHEN {like_any('txt', V.CAPTCHA_WORDS)} THEN 'CAPTCHA_DETECTED'
-        WHEN {like_any('txt', V.LOGIN_WORDS)} THEN 'LOGIN_REQUIRED'
-        WHEN {like_any('txt', V.RATE_WORDS)} THEN 'HTTP_RATE_LIMITED'
-        WHEN {like_any('txt', V.FORBIDDEN_WORDS)} THEN 'HTTP_FORBIDDEN' END END AS code FROM t)
+        CASE WHEN {like_any('txt', words.CAPTCHA_WORDS)} THEN 'CAPTCHA_DETECTED'
+        WHEN {like_any('txt', words.LOGIN_WORDS)} THEN 'LOGIN_REQUIRED'
+        WHEN {like_any('txt', words.RATE_WORDS)} THEN 'HTTP_RATE_LIMITED'
+        WHEN {like_any('txt', words.FORBIDDEN_WORDS)} THEN 'HTTP_FORBIDDEN' END END AS code FROM t)
 """
 
 
