@@ -8,7 +8,7 @@ from listingflow.sources.extract import collect_source, extract_records, page_ca
 from listingflow.sources.registry import extract_all
 from listingflow.sources.specs import PORTAL, SourceSpec
 
-from .tables import customers_orders, gazetteer, load, query
+from .tables import customers_orders, dealt, gazetteer, load, query
 
 # Every page of the table counts as a detail page of its site; cards are its menu links.
 DETAIL = SourceSpec("web", 1, (r"example\.(?:com|net|org)/[a-z]{2}/(\d+)",))
@@ -16,7 +16,7 @@ LINKS = SourceSpec("web", 1, (r"^https?://[^/]*example\.[a-z]+/([^/]+)$",))
 
 
 def _pages(spark, sf):
-    return load(spark, sf, "pages").select("page_id", F.lit("web").alias("source"), "url", "html")
+    return dealt(load(spark, sf, "pages")).select("page_id", F.lit("web").alias("source"), "url", "html")
 
 
 BODY = "regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', '<i>', 'g')" \
@@ -92,7 +92,7 @@ PORTAL_PAGE = """concat('<body><a href="https://rent.591.com.tw/', CAST(p_partke
         '分租套房' AS room_type, '2F/4F' AS floor, 3 AS update_age_days, 'https://i.example/' || p_partkey || '.jpg' AS image
     FROM part JOIN nation ON n_nationkey = p_partkey % 25 JOIN region ON n_regionkey = r_regionkey""")
 def page_extract_portal(spark, sf):
-    pages = load(spark, sf, "part").select(
+    pages = dealt(load(spark, sf, "part")).select(
         F.col("p_partkey").alias("page_id"),
         F.lit("591").alias("source"),
         F.expr("concat('https://rent.591.com.tw/list?kind=3&region=', CAST(p_partkey % 5 AS STRING))").alias("url"),
@@ -129,7 +129,7 @@ def forum_extract(spark, sf):
         )
         + (("台北市", 1, "大安區", 5),)
     )
-    pages = load(spark, sf, "supplier").select(
+    pages = dealt(load(spark, sf, "supplier")).select(
         F.col("s_suppkey").alias("page_id"),
         F.expr("concat('https://www.ptt.cc/bbs/Rent_tao/M.', CAST(s_suppkey AS STRING), '.html')").alias("url"),
         F.expr(POST).alias("html"),
@@ -151,7 +151,7 @@ INDEX = """concat('<div class="r-ent"><div class="title"><a href="/bbs/Rent_tao/
     UNION ALL SELECT s_suppkey, 'entry', 'https://www.ptt.cc/bbs/Rent_tao/M.' || s_suppkey || '.html' FROM supplier
         WHERE s_suppkey % 4 IN (1, 2)""")
 def forum_index(spark, sf):
-    pages = load(spark, sf, "supplier").select(
+    pages = dealt(load(spark, sf, "supplier")).select(
         F.col("s_suppkey").alias("page_id"),
         F.lit("https://www.ptt.cc/bbs/Rent_tao/index.html").alias("url"),
         F.expr(INDEX).alias("html"),
@@ -182,7 +182,7 @@ def extract_all_sources(spark, sf):
 @query()
 def collect_pages(spark, sf):
     """Every ten pages as one search: which of them a run would have fetched."""
-    pages = load(spark, sf, "pages").select(
+    pages = dealt(load(spark, sf, "pages")).select(
         "page_id",
         F.floor(F.col("page_id") / 10).cast("int").alias("search"),
         (F.col("page_id") % 10).cast("int").alias("page"),

@@ -34,6 +34,15 @@ def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows dealt to as many tasks as ``spark.listingflow.partitions`` says; as the files are where it is unset.
+
+    For tables whose files are fewer than the cores; large tables are left as they are read.
+    """
+    wanted = df.sparkSession.conf.get("spark.listingflow.partitions", None)
+    return df.repartition(int(wanted)) if wanted else df
+
+
 K = "o_orderkey"
 LISTING = {
     "source": "o_orderpriority",
@@ -90,7 +99,7 @@ def listings(spark: SparkSession, sf: str) -> DataFrame:
 def customers_orders(spark: SparkSession, sf: str) -> DataFrame:
     t = {n: load(spark, sf, n) for n in ("orders", "customer", "nation", "region")}
     return (
-        t["orders"]
+        dealt(t["orders"])
         .join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
         .join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
         .join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))

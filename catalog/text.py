@@ -11,7 +11,7 @@ from listingflow.sources import pages as P
 from listingflow.sources.walk import json_leaves, walk_objects
 
 from . import words
-from .tables import L_SQL, like_any, listings, load, query, sql_list
+from .tables import L_SQL, dealt, like_any, listings, load, query, sql_list
 
 URL_PARTS = """
     regexp_extract(url, '^([^:]+)://', 1) AS sch, regexp_extract(url, '^[^:]+://([^/?#]*)', 1) AS hst,
@@ -27,7 +27,7 @@ URL_PARTS = """
     SELECT page_id, sch || '://' || hst || CASE WHEN rtrim(pth, '/') = '' THEN pth ELSE rtrim(pth, '/') END
         || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END AS url FROM k""")
 def url_canonicalize(spark, sf):
-    return load(spark, sf, "pages").select("page_id", U.canonical_url(F.col("url")).alias("url"))
+    return dealt(load(spark, sf, "pages")).select("page_id", U.canonical_url(F.col("url")).alias("url"))
 
 
 @query(f"""
@@ -39,7 +39,7 @@ def url_canonicalize(spark, sf):
 def url_resolve(spark, sf):
     """Every link of every page."""
     up = F.concat(F.lit(".././x//"), F.col("page_id").cast("string"))
-    links = load(spark, sf, "pages").select(
+    links = dealt(load(spark, sf, "pages")).select(
         "page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("pos", "href")
     )
     return links.select(
@@ -57,7 +57,7 @@ def url_resolve(spark, sf):
         WHEN starts_with(pth, '/en/7') THEN NULL WHEN starts_with(pth, '/en') THEN 'ROBOTS_DISALLOWED'
         END AS policy_code FROM s""")
 def url_policy_filter(spark, sf):
-    pages = load(spark, sf, "pages").select("page_id", "url")
+    pages = dealt(load(spark, sf, "pages")).select("page_id", "url")
     kind = F.length(U.host(F.col("url"))) % 4
     rule = "array(struct('/en/7' AS prefix, true AS allow), struct('/en' AS prefix, false AS allow))"
     policies = (
@@ -87,7 +87,7 @@ def url_policy_filter(spark, sf):
 def record_ids(spark, sf):
     patterns = (r"example\.com/(?:en|fr)/(\d+)",)
     url = F.col("url")
-    return load(spark, sf, "pages").select(
+    return dealt(load(spark, sf, "pages")).select(
         "page_id",
         U.id_from_url(url, patterns).alias("record_id"),
         U.is_detail_url(url, patterns).alias("is_detail"),
@@ -113,7 +113,7 @@ WALL_SQL = f"""
 
 
 def _walled(spark, sf):
-    pages = load(spark, sf, "pages").select(
+    pages = dealt(load(spark, sf, "pages")).select(
         "page_id", F.lit("web").alias("source"), "url", F.expr(STATUS).alias("status"),
         F.expr(f"concat(html, {WALLS})").alias("html"),
     )
@@ -151,7 +151,7 @@ POSITIVE, NEGATIVE = ("hation", "erung", "ciónue"), ("hable", "enkeit", "étion
     SELECT doc_id, CASE WHEN {like_any('text', NEGATIVE)} THEN FALSE
         WHEN {like_any('text', POSITIVE)} THEN TRUE END AS flag FROM documents""")
 def keyword_tristate(spark, sf):
-    return load(spark, sf, "documents").select(
+    return dealt(load(spark, sf, "documents")).select(
         "doc_id", X.tri_state(F.col("text"), POSITIVE, NEGATIVE).alias("flag")
     )
 
@@ -165,7 +165,7 @@ def keyword_tristate(spark, sf):
         length(regexp_replace(text, '\\s', '', 'g')) AS n_visible FROM t""")
 def text_summary(spark, sf):
     text = F.col("text")
-    return load(spark, sf, "documents").select(
+    return dealt(load(spark, sf, "documents")).select(
         "doc_id",
         X.short_title(text).alias("title"),
         X.short_summary(text).alias("summary"),
@@ -210,7 +210,7 @@ def _money_sql(low: int, high: int, gap: int, how: str) -> str:
     FROM n""")
 def number_from_text(spark, sf):
     t = F.col("t")
-    rows = load(spark, sf, "orders").select("o_orderkey", F.expr(PHRASE).alias("t"))
+    rows = dealt(load(spark, sf, "orders")).select("o_orderkey", F.expr(PHRASE).alias("t"))
     rows = rows.withColumns({"rent": N.rent_in_text(t, 300_000), "fee": N.fee_in_text(t, 20_000), "fl": N.floor_text(t)})
     return rows.select(
         "o_orderkey", "rent",
@@ -289,7 +289,7 @@ HOOK = "concat(text, ' https://discord.com/api/webhooks/', CAST(doc_id AS STRING
         'https://discord\\.com/api/webhooks/[^\\s/]+/[^\\s]+', '<redacted Discord webhook>', 'g'),
         's3cret', '<redacted Discord webhook>')) AS digest FROM documents""")
 def redact(spark, sf):
-    return load(spark, sf, "documents").select(
+    return dealt(load(spark, sf, "documents")).select(
         "doc_id", F.sha2(X.redact(F.expr(HOOK), secret="s3cret"), 256).alias("digest")
     )
 
