@@ -14,8 +14,8 @@ text of its content slots block by block.
 
 Defined results: null and empty html, and pages without content, give the empty text. A null url, or one without
 a host, counts as host "". Text that is the same on all pages is kept when fewer than ``MIN_PAGES`` pages
-have it, when all of a region is the same, and inside a line. Broken markup is read as far as it goes. Repeated rows are extracted
-one by one. Empty tables give empty results; other columns never clash.
+have it, when all of a region is the same, and inside a line. Broken markup is read to its end, as browsers read it: an unknown
+declaration ends at ``>``, a comment that never closes takes the rest. Repeated rows are extracted one by one. Empty tables give empty results; other columns never clash.
 """
 
 from __future__ import annotations
@@ -64,11 +64,17 @@ CONTAINERS = frozenset("#page html body div section table tbody tr td center".sp
 ROOT = "#page"
 
 
+_COMMENT_END = re.compile("--!?>")
+
+
 class Dom(HTMLParser):
     """The page's tree: nodes are [tag, label, children]; children are nodes and strings."""
 
+    CDATA_CONTENT_ELEMENTS = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
+        self.unclosed = set()
         self.root = [ROOT, ROOT, []]
         self.open = [self.root]
 
@@ -100,6 +106,32 @@ class Dom(HTMLParser):
         self.open[-1][2].append(data)
 
 
+    # Comments and declarations end where browsers end them.
+
+    def parse_comment(self, i, report=1):
+        for empty in ("<!-->", "<!--->"):
+            if self.rawdata.startswith(empty, i):
+                return i + len(empty)
+        end = _COMMENT_END.search(self.rawdata, i + 4)
+        return end.end() if end else len(self.rawdata)
+
+    def parse_html_declaration(self, i):
+        return self.parse_bogus_comment(i)
+
+    def parse_starttag(self, i):
+        self.at = i
+        return super().parse_starttag(i)
+
+    def set_cdata_mode(self, elem):
+        # An element of plain text that never closes is read as markup, so that what follows it isn't lost.
+        if elem in self.unclosed:
+            return
+        if elem in ("script", "style") or re.compile(rf"</\s*{elem}\s*>", re.I).search(self.rawdata, self.at):
+            super().set_cdata_mode(elem)
+        else:
+            self.unclosed.add(elem)
+
+
 def _label(tag, attrs):
     words = []
     for name, value in attrs:
@@ -110,14 +142,8 @@ def _label(tag, attrs):
 
 def parsed(html: str):
     dom = Dom()
-    open_comment = html.rfind("<!--")
-    if open_comment >= 0 and "-->" not in html[open_comment:] and "</script" not in html[open_comment:].lower():
-        html = html[:open_comment]
-    try:
-        dom.feed(html)
-        dom.close()
-    except AssertionError:  # the parser gives up on some broken declarations: what it read so far counts
-        pass
+    dom.feed(html)
+    dom.close()
     return dom.root
 
 

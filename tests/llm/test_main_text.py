@@ -70,3 +70,21 @@ def test_trees_merge_alike_in_any_order():
     two = main_text.merged(shapes[2], main_text.merged(shapes[1], shapes[0]))
     assert one == two and one[1] == 3
     assert main_text.weight(shapes[0], shapes[0], lambda t: t[5]) == main_text.size(shapes[0])
+
+
+def test_declarations_and_comments_do_not_end_the_page():
+    for odd, kept in [
+        ("<![foo[x]]>", ""),
+        ("<![ b>", ""),
+        ("x <![0] y>", "x"),
+        ("<![CDATA[z]]>", ""),
+        ("<!-- x --!>", ""),
+        ("<!-->", ""),
+        ("<i title='<!--'>t</i>", "t"),
+        ("<textarea><!-- </textarea>", ""),
+        ("<style><!-- p{} </style>", ""),
+    ]:
+        found = main_text.extract(f"<article><p>one</p>{odd}<p>two</p></article>", None)
+        assert found.split("\n") == ["one", *([kept] if kept else []), "two"], odd
+    assert main_text.extract("<html><head><style><!-- p{} </style></head><body><article><p>body</article>", None) == "body"
+    assert main_text.extract("<title>never closed<body><article><p>kept</article>", None) == "kept"
