@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -36,7 +37,6 @@ MIN_PAGES = 3
 MASS = 0.7
 NODES = 100_000  # nodes of partial trees that a task holds
 SALT_TASKS = 64
-DEPTH = 100
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -77,30 +77,35 @@ class Dom(HTMLParser):
         self.unclosed = set()
         self.root = [ROOT, ROOT, []]
         self.open = [self.root]
+        self.places: dict[str, list[int]] = {}  # of the open nodes of each tag
+        self.scopes: list[int] = []
 
     def handle_starttag(self, tag, attrs):
-        closed = CLOSES.get(tag) or (None if tag in INLINE else {"p"})
-        if tag == "body":
-            closed = {"head", *(x[0] for x in self.open if x[0] == "head")}
-        for at in range(len(self.open) - 1, 0, -1):
-            if closed and self.open[at][0] in closed:
-                del self.open[at:]
-                break
-            if self.open[at][0] in SCOPES and not (closed and self.open[at][0] in closed):
-                break
+        closed = {"head"} if tag == "body" else CLOSES.get(tag) or (() if tag in INLINE else {"p"})
+        at = max((self.places[x][-1] for x in closed if self.places.get(x)), default=0)
+        if at and at >= (self.scopes[-1] if self.scopes else 0):
+            self.close_from(at)
         node = [tag, _label(tag, attrs), []]
         self.open[-1][2].append(node)
-        if tag not in VOID and len(self.open) < DEPTH:  # what is nested deeper stands side by side
+        if tag not in VOID:
+            self.places.setdefault(tag, []).append(len(self.open))
+            if tag in SCOPES:
+                self.scopes.append(len(self.open))
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # a slash closes void tags only
 
     def handle_endtag(self, tag):
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at][0] == tag:
-                del self.open[at:]
-                return
+        if self.places.get(tag):
+            self.close_from(self.places[tag][-1])
+
+    def close_from(self, at):
+        while len(self.open) > at:
+            tag = self.open.pop()[0]
+            self.places[tag].pop()
+            if tag in SCOPES:
+                self.scopes.pop()
 
     def handle_data(self, data):
         self.open[-1][2].append(data)
@@ -222,15 +227,59 @@ def merged(mine: list, other: list) -> list:
 
 
 def size(tree: list) -> int:
-    return 1 + sum(map(size, tree[5]))
+    count, rest = 0, [tree]
+    while rest:
+        count += 1
+        rest += rest.pop()[5]
+    return count
+
+
+def dumped(tree: list) -> str:
+    """A tree of any depth as text: its nodes in page order, each with its number of children."""
+    out, rest = [], [tree]
+    while rest:
+        *values, children = rest.pop()
+        out.append([*values, len(children)])
+        rest += reversed(children)
+    return json.dumps(out, separators=(",", ":"))
+
+
+def loaded(text: str) -> list:
+    nodes = json.loads(text)
+    wanting = []
+    for node in nodes:
+        n, node[-1] = node[-1], []
+        if wanting:
+            wanting[-1][0][-1].append(node)
+            wanting[-1][1] -= 1
+        wanting.append([node, n])
+        while wanting and not wanting[-1][1]:
+            wanting.pop()
+    return nodes[0]
+
+
+def any_depth() -> None:
+    """Let the walks below go as deep as pages nest: calls between Python functions take no C stack."""
+    sys.setrecursionlimit(1 << 30)
 
 
 def wrapper(tree: list) -> list:
-    """A host's tree as [label, kind, children]: kind is ``region``, ``slot``, ``same`` (template) or ``drop``."""
+    """A host's tree as [label, kind, 0, 0, 0, children]: kind is ``region``, ``slot``, ``same`` (template) or ``drop``."""
     region = _regions(tree)
 
+    masses: dict[int, int] = {}
+
+    def weigh(t):
+        total = t[4] if t[2] != t[3] else 0
+        for x in t[5]:
+            weigh(x)
+            total += mass(x)
+        masses[id(t)] = 0 if dropped(t[0]) else total
+
     def mass(t):
-        return 0 if dropped(t[0]) else (t[4] if t[2] != t[3] else 0) + sum(map(mass, t[5]))
+        return masses[id(t)]
+
+    weigh(tree)
 
     if not region:
         best = tree
@@ -248,7 +297,7 @@ def wrapper(tree: list) -> list:
         same = t[1] >= MIN_PAGES and t[2] == t[3] and t[4] > 0 and t[0].split(" ")[0] not in INLINE
         if kind == "slot" and same and varies:
             kind = "same"
-        return [t[0], kind, [mark(x, varies) for x in t[5]]]
+        return [t[0], kind, 0, 0, 0, [mark(x, varies) for x in t[5]]]
 
     return mark(tree, False)
 
@@ -258,11 +307,15 @@ def _regions(t):
         return []
     if t[0].split(" ")[0] in MAIN_TAGS or t[0].startswith("div ") and "role" in t[0] and "main" in t[0]:
         return [t]
-    return [x for child in t[5] for x in _regions(child)]
+    found = []
+    for child in t[5]:
+        found += _regions(child)
+    return found
 
 
 def extract(html: str, frame: list | None) -> str:
     """The text of the page's content slots: blocks in page order, one a line."""
+    any_depth()
     shape = collapsed([parsed(html)])
     kinds: dict[int, str] = {}
     found = []
@@ -273,8 +326,8 @@ def extract(html: str, frame: list | None) -> str:
         if w[1] == "region":
             found.append(s)
         if w[1] != "drop":
-            for a, b in _match(w[2], s[1]):
-                match(s[1][b], w[2][a])
+            for a, b in aligned(w[5], s[1], lambda x: x[1]):
+                match(s[1][b], w[5][a])
 
     if frame is not None and frame[0] == shape[0]:
         match(shape, frame)
@@ -316,24 +369,11 @@ def extract(html: str, frame: list | None) -> str:
     return "\n".join(blocks)
 
 
-def _match(left, right):
-    """Places of a wrapper's children matched with a page's, as (wrapper, page)."""
-    as_trees = [_bare_wrapper(x) for x in left]
-    return aligned(as_trees, [_bare_shape(x) for x in right], lambda t: t[5])
-
-
-def _bare_wrapper(w):
-    return [w[0], 0, 0, 0, 0, [_bare_wrapper(x) for x in w[2]]]
-
-
-def _bare_shape(s):
-    return [s[0], 0, 0, 0, 0, [_bare_shape(x) for x in s[1]]]
-
-
 def _partial_trees(batches):
     """Each task's pages as one tree a host."""
     from pyspark import TaskContext
 
+    any_depth()
     salt = TaskContext.get().partitionId() // SALT_TASKS
     held: dict[str, list] = {}
     nodes = 0
@@ -353,18 +393,19 @@ def _partial_trees(batches):
 
 def _trees(held, salt):
     hosts, trees = zip(*sorted(held.items()), strict=True)
-    text = [json.dumps(t, separators=(",", ":")) for t in trees]
+    text = [dumped(t) for t in trees]
     return pa.RecordBatch.from_arrays([pa.array(hosts), pa.array([salt] * len(hosts), pa.int32()), pa.array(text)], ["host", "salt", "tree"])
 
 
 def _fold(keys: list[str], finish):
     def work(rows: pa.Table) -> pa.Table:
+        any_depth()
         whole = None
         for text in sorted(rows["tree"].to_pylist()):  # in an order of their own, whatever the tasks' was
-            tree = json.loads(text)
+            tree = loaded(text)
             whole = tree if whole is None else merged(whole, tree)
         out = {k: rows[k].slice(0, 1) for k in keys}
-        return pa.table(out | {"tree": pa.array([json.dumps(finish(whole), separators=(",", ":"))])})
+        return pa.table(out | {"tree": pa.array([dumped(finish(whole))])})
 
     return work
 
@@ -395,7 +436,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                 if text not in cache:
                     if len(cache) > 500:
                         cache.clear()
-                    cache[text] = json.loads(text) if text else None
+                    cache[text] = loaded(text) if text else None
                 out.append(extract(html, cache[text]) if html else "")
             return [pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())]
 

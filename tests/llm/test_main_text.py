@@ -88,3 +88,16 @@ def test_declarations_and_comments_do_not_end_the_page():
         assert found.split("\n") == ["one", *([kept] if kept else []), "two"], odd
     assert main_text.extract("<html><head><style><!-- p{} </style></head><body><article><p>body</article>", None) == "body"
     assert main_text.extract("<title>never closed<body><article><p>kept</article>", None) == "kept"
+
+
+def test_nesting_of_any_depth():
+    deep = "<div>" * 120 + "</div>" * 120
+    assert main_text.extract(f"<div id=wrap><article>{deep}<p>rest</article></div>", None) == "rest"
+    for tag in ("b", "font", "span"):
+        unclosed = f"<{tag}>" * 20_000
+        assert main_text.extract(f"<div><article>{unclosed}a<div>b</div><p>rest</article></div>", None) == "a\nb\nrest"
+    hidden = "<article>" + "<div>" * 20_000 + "<script>no</script><nav>no</nav>yes" + "</div>" * 20_000 + "</article>"
+    assert main_text.extract(hidden, None) == "yes"
+    main_text.any_depth()
+    tree = main_text.tree_of(main_text.collapsed([main_text.parsed(hidden)]))
+    assert main_text.size(main_text.loaded(main_text.dumped(main_text.merged(tree, tree)))) == main_text.size(tree)
