@@ -1,10 +1,11 @@
 """Main text of web pages by wrapper induction.
 
-A page becomes a tree of labelled nodes (tag and class words without digits) in which like siblings are one repeating
+A page becomes a tree of labelled nodes (tag, and the words of class and id that many of the host's pages use) in which like siblings are one repeating
 node. The trees of a host's pages are aligned by simple tree matching (the best order-keeping match of equal labels) and
 merged into the host's tree, each node with the number of pages that have it, the smallest and largest hash of
-its own text and the length of that text. A node whose text is the same on all pages is template; one whose text
-varies is a slot. Subtrees whose tag or class says what they are (menus, headers, footers, sidebars, notices, adverts,
+its own text, the length of that text and a sample of the distinct pages. A node is template if nearly all pages that have
+its region have it with the same text, and nearly all of those that differ; else it is a slot. In an article, headings and
+paragraphs are never template. Subtrees whose tag or class says what they are (menus, headers, footers, sidebars, notices, adverts,
 forms, comments) are template too. The main region is the article of the host's tree, or without such a node the
 node that holds most of the varying text; its slots are the content.
 
@@ -14,7 +15,7 @@ text of its content slots block by block.
 
 Defined results: null and empty html, and pages without content, give the empty text. A null url, or one without
 a host, counts as host "". Text that is the same on all pages is kept when fewer than ``MIN_PAGES`` pages
-have it, when all of a region is the same, and inside a line. Broken markup is read to its end, as browsers read it: an unknown
+that differ have it, when all of a region is the same, and inside a line that varies. Broken markup is read to its end, as browsers read it: an unknown
 declaration ends at ``>``, a comment that never closes takes the rest. Repeated rows are extracted one by one. Empty tables give empty results; other columns never clash.
 """
 
@@ -24,6 +25,7 @@ import hashlib
 import json
 import re
 import sys
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -34,6 +36,9 @@ from listingflow.llm.common import appended, staged
 from listingflow.llm.url_rules import host_of
 
 MIN_PAGES = 3
+NEARLY = 0.9  # share of a region's pages that have a template node
+SAMPLE = 20  # marks of distinct pages that a node keeps
+COMMON = 0.1  # share of a host's pages that use a class or id which tells its nodes apart
 MASS = 0.7
 NODES = 100_000  # nodes of partial trees that a task holds
 SALT_TASKS = 64
@@ -59,6 +64,8 @@ DROPPED_WORDS = frozenset(
     "disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo "
     "promoted related replies respond share sharing sidebar skip social sponsor sponsored subscribe tags toolbar widget".split()
 )
+#: Text of these is content in an article, also where it is the same on all pages.
+KEPT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 MAIN_TAGS = frozenset(("article", "main"))
 CONTAINERS = frozenset("#page html body div section table tbody tr td center".split())
 ROOT = "#page"
@@ -72,8 +79,9 @@ class Dom(HTMLParser):
 
     CDATA_CONTENT_ELEMENTS = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")
 
-    def __init__(self):
+    def __init__(self, known=None):
         super().__init__(convert_charrefs=True)
+        self.known = known
         self.unclosed = set()
         self.root = [ROOT, ROOT, []]
         self.open = [self.root]
@@ -85,7 +93,7 @@ class Dom(HTMLParser):
         at = max((self.places[x][-1] for x in closed if self.places.get(x)), default=0)
         if at and at >= (self.scopes[-1] if self.scopes else 0):
             self.close_from(at)
-        node = [tag, _label(tag, attrs), []]
+        node = [tag, _label(tag, attrs, self.known), []]
         self.open[-1][2].append(node)
         if tag not in VOID:
             self.places.setdefault(tag, []).append(len(self.open))
@@ -137,27 +145,36 @@ class Dom(HTMLParser):
             self.unclosed.add(elem)
 
 
-def _label(tag, attrs):
-    words = []
+def _words(value: str) -> list[str]:
+    return re.findall(r"[a-z]+", re.sub("([a-z])([A-Z])", r"\1 \2", value).lower())
+
+
+def _label(tag, attrs, known):
+    """The tag and those words of its class, id and role that are in ``known`` (None: all); ``!`` before what is dropped."""
+    words = set()
     for name, value in attrs:
         if value and name in ("class", "id", "role"):
-            words += re.findall(r"[a-z]+", re.sub("([a-z])([A-Z])", r"\1 \2", value).lower())
-    return " ".join([tag, *sorted(set(words))])
+            words.update(_words(value))
+    mark = "!" if _is_dropped(tag, words) else ""
+    return mark + " ".join([tag, *sorted(words if known is None else words & known)])
+
+
+def _is_dropped(tag, words) -> bool:
+    return tag in DROPPED_TAGS or not DROPPED_WORDS.isdisjoint(words) and tag not in ("body", "html") and tag not in MAIN_TAGS
 
 
-def parsed(html: str):
-    dom = Dom()
+def parsed(html: str, known=None):
+    dom = Dom(known)
     dom.feed(html)
     dom.close()
     return dom.root
 
 
 def dropped(label: str) -> bool:
-    tag, *words = label.split(" ")
-    return tag in DROPPED_TAGS or not DROPPED_WORDS.isdisjoint(words) and tag not in ("body", "html") and tag not in MAIN_TAGS
+    return label.startswith("!")
 
 
-# Trees: [label, pages, smallest hash, largest hash, text length, children]
+# Trees: [label, pages, smallest hash, largest hash, text length, children, smallest marks of distinct pages]
 
 
 def collapsed(nodes: list):
@@ -174,10 +191,33 @@ def collapsed(nodes: list):
 
 
 def tree_of(shape) -> list:
+    tree = _unsigned(shape)
+    _sign(tree, tree[6], False)
+    return tree
+
+
+def _unsigned(shape) -> list:
+    """The tree with a hash of all text below a node in place of its marks."""
     label, children, text, _ = shape
-    mark = int.from_bytes(hashlib.blake2b(text.encode(), digest_size=6).digest(), "big")
-    kept = [] if dropped(label) else [tree_of(x) for x in children]
-    return [label, 1, mark, mark, len(text), kept]
+    mark = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=6).digest(), "big")
+    kept = [] if dropped(label) else [_unsigned(x) for x in children]
+    below = hash((mark, *[x[6] for x in kept if not dropped(x[0])])) % (1 << 48) if kept else mark
+    return [label, 1, mark, mark, len(text), kept, below]
+
+
+def _sign(tree, mark, inside) -> None:
+    """Nodes are marked with the text of their article, or of the page: copies of one have equal marks."""
+    if not inside and _is_main(tree[0]):
+        mark, inside = tree[6], True
+    tree[6] = [mark]
+    for child in tree[5]:
+        _sign(child, mark, inside)
+
+
+def _marks(mine: list[int], other: list[int]) -> list[int]:
+    if mine == other or len(mine) == SAMPLE and other[0] > mine[-1]:
+        return mine
+    return sorted({*mine, *other})[:SAMPLE]
 
 
 def weight(a, b, child_of) -> int:
@@ -223,7 +263,8 @@ def merged(mine: list, other: list) -> list:
         if a < len(mine[5]):
             children.append(merged(mine[5][a], other[5][b]))
         i, j = a + 1, b + 1
-    return [mine[0], mine[1] + other[1], min(mine[2], other[2]), max(mine[3], other[3]), mine[4] + other[4], children]
+    values = [mine[0], mine[1] + other[1], min(mine[2], other[2]), max(mine[3], other[3]), mine[4] + other[4]]
+    return [*values, children, _marks(mine[6], other[6])]
 
 
 def size(tree: list) -> int:
@@ -238,9 +279,9 @@ def dumped(tree: list) -> str:
     """A tree of any depth as text: its nodes in page order, each with its number of children."""
     out, rest = [], [tree]
     while rest:
-        *values, children = rest.pop()
-        out.append([*values, len(children)])
-        rest += reversed(children)
+        node = rest.pop()
+        out.append([*node[:5], len(node[5]), *node[6:]])
+        rest += reversed(node[5])
     return json.dumps(out, separators=(",", ":"))
 
 
@@ -248,9 +289,9 @@ def loaded(text: str) -> list:
     nodes = json.loads(text)
     wanting = []
     for node in nodes:
-        n, node[-1] = node[-1], []
+        n, node[5] = node[5], []
         if wanting:
-            wanting[-1][0][-1].append(node)
+            wanting[-1][0][5].append(node)
             wanting[-1][1] -= 1
         wanting.append([node, n])
         while wanting and not wanting[-1][1]:
@@ -289,23 +330,43 @@ def wrapper(tree: list) -> list:
                 break
             best = inner[0]
         region = [best]
-    kept = {id(x): mass(x) > 0 for x in region}
+    tops = {id(x) for x in region}
+
+    def mark(t, top):
+        tag = t[0].split(" ")[0]
+        kind = "region" if id(t) in tops else "drop" if dropped(t[0]) else "slot"
+        if kind == "region":
+            top = t
+        elif kind == "slot" and top is not None and mass(top) > 0 and _is_template(t, top):
+            if tag not in INLINE and not (tag in KEPT_TAGS and _is_main(top[0])):
+                kind = "same"
+        return [t[0], kind, 0, 0, 0, [mark(x, top) for x in t[5]]]
+
+    return mark(tree, None)
+
 
-    def mark(t, varies):
-        kind = "region" if id(t) in kept else "drop" if dropped(t[0]) else "slot"
-        varies = kept.get(id(t), varies)
-        same = t[1] >= MIN_PAGES and t[2] == t[3] and t[4] > 0 and t[0].split(" ")[0] not in INLINE
-        if kind == "slot" and same and varies:
-            kind = "same"
-        return [t[0], kind, 0, 0, 0, [mark(x, varies) for x in t[5]]]
+def _is_template(t, top) -> bool:
+    """Whether nearly all pages that have ``top``, and of them nearly all that differ, have the node with the same text."""
+    if t[2] != t[3] or not t[4] or len(t[6]) < MIN_PAGES or t[1] < NEARLY * top[1] or not _constant_line(t):
+        return False
+    return len({*t[6]} & {*top[6]}) >= NEARLY * len(top[6])
 
-    return mark(tree, False)
+
+def _constant_line(t) -> bool:
+    for x in t[5]:
+        if x[0].split(" ")[0] in INLINE and (x[2] != x[3] or not _constant_line(x)):
+            return False
+    return True
+
+
+def _is_main(label: str) -> bool:
+    return label.split(" ")[0] in MAIN_TAGS or label.startswith("div ") and "role" in label and "main" in label
 
 
 def _regions(t):
     if dropped(t[0]):
         return []
-    if t[0].split(" ")[0] in MAIN_TAGS or t[0].startswith("div ") and "role" in t[0] and "main" in t[0]:
+    if _is_main(t[0]):
         return [t]
     found = []
     for child in t[5]:
@@ -313,10 +374,10 @@ def _regions(t):
     return found
 
 
-def extract(html: str, frame: list | None) -> str:
+def extract(html: str, frame: list | None, known=None) -> str:
     """The text of the page's content slots: blocks in page order, one a line."""
     any_depth()
-    shape = collapsed([parsed(html)])
+    shape = collapsed([parsed(html, known)])
     kinds: dict[int, str] = {}
     found = []
 
@@ -336,6 +397,7 @@ def extract(html: str, frame: list | None) -> str:
     tops = {id(node) for s in found for node in s[3]}
     blocks: list[str] = []
     line: list[str] = []
+    silent: set[int] = set()  # nodes in template; those inside a line are template with it
 
     def flush():
         text = " ".join("".join(line).split())
@@ -363,12 +425,47 @@ def extract(html: str, frame: list | None) -> str:
         if block and inside:
             flush()
             stack.append((node, True, True))
-        quiet = not inside or kinds.get(id(node)) == "same"
+        quiet = not inside or kinds.get(id(node)) == "same" or not block and id(node) in silent
+        if quiet and inside:
+            silent.update(id(c) for c in node[2] if not isinstance(c, str))
         stack.extend((c, inside, False) for c in reversed(node[2]) if not (isinstance(c, str) and quiet))
     flush()
     return "\n".join(blocks)
 
 
+_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+
+
+def _word_counts(batches):
+    """(host, word, pages): pages of the host that use the word in a class, id or role; word "" counts all pages."""
+    held: dict[tuple[str, str], int] = {}
+
+    def rows():
+        keys = [*held]
+        columns = [pa.array([h for h, _ in keys], pa.string()), pa.array([w for _, w in keys], pa.string()), pa.array(held.values(), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["host", "word", "n"])
+
+    for batch in batches:
+        for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            values = {*_NAMES.findall(html or "")}
+            for word in {"", *(w for value in values for w in _words(unescape(value)))}:
+                held[host, word] = held.get((host, word), 0) + 1
+        if len(held) > NODES:
+            yield rows()
+            held.clear()
+    if held:
+        yield rows()
+
+
+def layout_words(pages: DataFrame) -> DataFrame:
+    """(host, words): words of classes and ids on at least ``COMMON`` of the host's pages; a page's own aren't layout."""
+    counted = pages.select("host", "html").mapInArrow(_word_counts, "host string, word string, n long")
+    counted = staged(counted.groupBy("host", "word").agg(F.sum("n").alias("n")))
+    total = counted.where("word = ''").select("host", F.col("n").alias("pages"))
+    common = counted.where("word != ''").join(total, "host").where(F.col("n") >= COMMON * F.col("pages"))
+    return staged(common.groupBy("host").agg(F.sort_array(F.collect_list("word")).alias("words")))
+
+
 def _partial_trees(batches):
     """Each task's pages as one tree a host."""
     from pyspark import TaskContext
@@ -378,8 +475,8 @@ def _partial_trees(batches):
     held: dict[str, list] = {}
     nodes = 0
     for batch in batches:
-        for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            tree = tree_of(collapsed([parsed(html or "")]))
+        for host, html, words in zip(*(batch.column(x).to_pylist() for x in ("host", "html", "words")), strict=True):
+            tree = tree_of(collapsed([parsed(html or "", frozenset(words or ()))]))
             before = held.get(host)
             held[host] = tree if before is None else merged(before, tree)
             if before is None:
@@ -411,8 +508,8 @@ def _fold(keys: list[str], finish):
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, tree) of the wrapper of each host of ``pages`` (host, html)."""
-    partial = pages.select("host", "html").mapInArrow(_partial_trees, "host string, salt int, tree string")
+    """(host, tree) of the wrapper of each host of ``pages`` (host, html, words)."""
+    partial = pages.select("host", "html", "words").mapInArrow(_partial_trees, "host string, salt int, tree string")
     first = partial.groupBy("host", "salt").applyInArrow(_fold(["host", "salt"], lambda t: t), "host string, salt int, tree string")
     return first.select("host", "tree").groupBy("host").applyInArrow(_fold(["host"], wrapper), "host string, tree string")
 
@@ -425,6 +522,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         host_of(F.col(f"`{url_col}`")).alias("host"),
         F.col(f"`{html_col}`").alias("html"),
     )
+    frame = frame.join(layout_words(frame), "host", "left")
     known = staged(wrappers(frame))
 
     def make():
@@ -432,15 +530,15 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
         def columns(batch):
             out = []
-            for html, text in zip(batch.column("html").to_pylist(), batch.column("tree").to_pylist(), strict=True):
+            for html, words, text in zip(*(batch.column(x).to_pylist() for x in ("html", "words", "tree")), strict=True):
                 if text not in cache:
                     if len(cache) > 500:
                         cache.clear()
                     cache[text] = loaded(text) if text else None
-                out.append(extract(html, cache[text]) if html else "")
+                out.append(extract(html, cache[text], frozenset(words or ())) if html else "")
             return [pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())]
 
         return columns
 
-    found = appended(frame.join(known, "host", "left").select("page_id", "url", "html", "tree"), make, "text string, n_chars long")
+    found = appended(frame.join(known, "host", "left").select("page_id", "url", "html", "words", "tree"), make, "text string, n_chars long")
     return found.select("page_id", "url", "text", "n_chars")

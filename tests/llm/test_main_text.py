@@ -101,3 +101,30 @@ def test_nesting_of_any_depth():
     main_text.any_depth()
     tree = main_text.tree_of(main_text.collapsed([main_text.parsed(hidden)]))
     assert main_text.size(main_text.loaded(main_text.dumped(main_text.merged(tree, tree)))) == main_text.size(tree)
+
+
+def test_repeated_blocks_in_articles_are_kept(spark):
+    def body(n, more=""):
+        return f"<article><h1 id=head-{'abcdefghij'[n % 10]}>Head {n}</h1><div class=byline>By the <a>editors</a></div><p>Body {n}</p>{more}</article>"
+
+    slug = "<h2 id=conclusion>Conclusion</h2><p>End</p>"
+    block = "<blockquote>Said once</blockquote><table><tr><td>cell</table><div class=quote>Classed</div><div class=sum>Total <b>{n}</b> items</div>"
+    rows = [(n, "http://a.com/", page(n, body(n, slug if n % 10 == 3 else ""))) for n in range(30)]
+    rows += [(100 + n, "http://a.com/", page(n, body(100, block.replace("{n}", "7")))) for n in range(4)]  # copies
+    rows += [(200 + n, "http://d.com/", page(n, f"<article><h1>One head</h1><p>Near copy {n}</article>")) for n in range(3)]
+    rows += [(300 + n, "http://e.com/", page(n, body(300, block))) for n in range(9)] + [(309, "http://e.com/", page(9, body(309)))]
+    rows += [(400 + n, "http://f.com/", page(n, body(n, block.replace("{n}", str(n))))) for n in range(5)]
+    got = dict(texts(spark, rows))
+    end = "\nConclusion\nEnd"
+    assert [got[n] for n in range(30)] == [f"Head {n}\nBody {n}" + (end if n % 10 == 3 else "") for n in range(30)]
+    assert {got[100 + n] for n in range(4)} == {"Head 100\nBody 100\nSaid once\ncell\nClassed\nTotal 7 items"}
+    assert [got[200 + n] for n in range(3)] == [f"One head\nNear copy {n}" for n in range(3)]
+    # Nine copies and one other article are two pages that differ: too few to tell.
+    assert got[300] == "Head 300\nBy the editors\nBody 300\nSaid once\ncell\nClassed\nTotal {n} items"
+    assert got[403].startswith("Head 3\nBody 3") and got[403].endswith("Total 3 items")
+
+
+def test_ids_and_classes_of_few_pages_are_not_layout(spark):
+    rows = [(n, "h", f"<div id=content class='post p{chr(97 + n)}'>x</div><i title=\"id='{'no' * n}'\">") for n in range(20)]
+    frame = spark.createDataFrame(rows, "id long, host string, html string")
+    assert [tuple(r) for r in main_text.layout_words(frame).collect()] == [("h", ["content", "post"])]
