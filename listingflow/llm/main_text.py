@@ -5,8 +5,9 @@ node. The trees of a host's pages are aligned by simple tree matching (the best
 merged into the host's tree, each node with the number of pages that have it, the smallest and largest hash of
 its own text, the length of that text and a sample of the distinct pages. A node is template if nearly all pages that have
 its region have it with the same text, and nearly all of those that differ; else it is a slot. In an article, headings and
-paragraphs are never template. Subtrees whose tag or class says what they are (menus, headers, footers, sidebars, notices, adverts,
-forms, comments) are template too. The main region is the article of the host's tree, or without such a node the
+paragraphs are never template. Subtrees whose tag, or the last word of a class or id, says what they are (menus, headers,
+footers, sidebars, notices, adverts, forms, comments) are template too, unless they hold the page's article or, on a page
+without one, most of its text. The main region is the article of the host's tree, or without such a node the
 node that holds most of the varying text; its slots are the content.
 
 All pages count. Tasks merge the trees of their pages before anything is shuffled; a host's partial trees meet first
@@ -55,15 +56,19 @@ CLOSES = {
 }
 #: An open tag of these ends the search for what a start tag closes.
 SCOPES = frozenset("article aside body button div footer form header html main nav ol section table td th ul dl".split())
-DROPPED_TAGS = frozenset(
-    "head script style noscript template iframe object svg math nav header footer aside form button select textarea input "
-    "dialog menu canvas audio video".split()
+#: Never text of the page.
+HIDDEN_TAGS = frozenset(
+    "head script style noscript template iframe object svg math button select textarea input dialog menu canvas audio video".split()
 )
+#: These, and nodes named by the words below, are dropped unless they hold the page's text.
+DROPPED_TAGS = frozenset("nav header footer aside form".split())
 DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies "
     "disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo "
     "promoted related replies respond share sharing sidebar skip social sponsor sponsored subscribe tags toolbar widget".split()
 )
+#: A name that has one of these says what a node does without, or lies beside.
+NOT_NAMED = frozenset("no not non without with has have hide hides hidden show shows".split())
 #: Text of these is content in an article, also where it is the same on all pages.
 KEPT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 MAIN_TAGS = frozenset(("article", "main"))
@@ -150,26 +155,60 @@ def _words(value: str) -> list[str]:
 
 
 def _label(tag, attrs, known):
-    """The tag and those words of its class, id and role that are in ``known`` (None: all); ``!`` before what is dropped."""
-    words = set()
+    """The tag and those words of its class, id and role that are in ``known`` (None: all); ``!`` before what may be dropped."""
+    words, named = set(), False
     for name, value in attrs:
         if value and name in ("class", "id", "role"):
-            words.update(_words(value))
-    mark = "!" if _is_dropped(tag, words) else ""
+            for token in value.split():
+                found = _words(token)
+                words.update(found)
+                named = named or bool(found) and found[-1] in DROPPED_WORDS and NOT_NAMED.isdisjoint(found)
+    named = named and tag not in ("body", "html") and tag not in MAIN_TAGS
+    mark = "!" if tag in HIDDEN_TAGS or tag in DROPPED_TAGS or named else ""
     return mark + " ".join([tag, *sorted(words if known is None else words & known)])
 
 
-def _is_dropped(tag, words) -> bool:
-    return tag in DROPPED_TAGS or not DROPPED_WORDS.isdisjoint(words) and tag not in ("body", "html") and tag not in MAIN_TAGS
-
-
 def parsed(html: str, known=None):
     dom = Dom(known)
     dom.feed(html)
     dom.close()
+    _keep_holders(dom.root)
     return dom.root
 
 
+def _keep_holders(root) -> None:
+    """Take the ``!`` from nodes that hold the page's article or main, or most of the text of one or of a page without.
+
+    With an article or main outside of ``!`` nodes, those beside it stay as they are, whatever their size.
+    """
+    order, held = [], []  # (node, place of its parent, place of its article); length of text, and whether an article is, below
+    stack = [(root, 0, 0, False)]
+    outside = False
+    while stack:
+        node, parent, top, below = stack.pop()
+        if node[0] in HIDDEN_TAGS:
+            continue
+        at, main = len(order), _is_main(node[1])
+        below = below or dropped(node[1])
+        if main and not below and not top:
+            top, outside = at, True
+        order.append((node, parent, top))
+        held.append([0, main])
+        for child in node[2]:
+            if isinstance(child, str):
+                held[at][0] += len(child.strip())
+            else:
+                stack.append((child, at, top, below))
+    for at in range(len(order) - 1, 0, -1):
+        above = held[order[at][1]]
+        above[0] += held[at][0]
+        above[1] = above[1] or held[at][1]
+    for (node, _, top), (text, has_main) in zip(order, held, strict=True):
+        if dropped(node[1]) and (top or not outside):
+            if 2 * text > held[top][0] if top or not held[0][1] else has_main:
+                node[1] = node[1][1:]
+
+
 def dropped(label: str) -> bool:
     return label.startswith("!")
 

@@ -128,3 +128,23 @@ def test_ids_and_classes_of_few_pages_are_not_layout(spark):
     rows = [(n, "h", f"<div id=content class='post p{chr(97 + n)}'>x</div><i title=\"id='{'no' * n}'\">") for n in range(20)]
     frame = spark.createDataFrame(rows, "id long, host string, html string")
     assert [tuple(r) for r in main_text.layout_words(frame).collect()] == [("h", ["content", "post"])]
+
+
+def test_listed_names_around_the_text_do_not_drop_it(spark):
+    article = "<article><h1>Head {n}</h1><p>Body {n}</p></article>"
+    plain = "<div class=left>Menu words</div><div class=body><p>{n} is the first line of a long text</p><p>and {n} the second</p></div>"
+    bodies = [
+        f"<form id=aspnetForm><nav>Menu {{n}}</nav>{article}<div class=comments>me {{n}}</div></form>",
+        *(f"<div {name}>{article}<aside>More {{n}}</aside></div>" for name in (
+            "class=content-sidebar-wrap", "class=no-sidebar", "class=has-banner", "id=menu-page", "class='x sidebar'")),
+        f"<div class=comments><article>me {{n}}</article></div><main>{article[9:-10]}</main>",
+        "<article><div class=elementor-widget><h1>Head {n}</h1><p>Body {n}</p></div><div class=share>To {n}</div></article>",
+        f"<form action=x>{plain}<input value=1></form>",
+        f"<div class='page no-sidebar'>{plain}<div class=site-footer>Foot {{n}}</div></div>",
+    ]
+    hosts = range(len(bodies))
+    rows = [(100 * h + n, f"http://h{h}.com/", f"<body>{bodies[h].replace('{n}', str(n))}</body>") for h in hosts for n in range(5)]
+    got = dict(texts(spark, rows))
+    for h in hosts:
+        want = "Head 3\nBody 3" if "Head" in bodies[h] else "3 is the first line of a long text\nand 3 the second"
+        assert got[100 * h + 3] == want, bodies[h]
