@@ -7,8 +7,9 @@ its own text, the length of that text and a sample of the distinct pages. A node
 its region have it with the same text, and nearly all of those that differ; else it is a slot. In an article, headings and
 paragraphs are never template. Subtrees whose tag, or the last word of a class or id, says what they are (menus, headers,
 footers, sidebars, notices, adverts, forms, comments) are template too, unless they hold the page's article or, on a page
-without one, most of its text. The main region is the article of the host's tree, or without such a node the
-node that holds most of the varying text; its slots are the content.
+without one, most of its text. A host's pages with an article or main and those without have trees of their own. The main region is
+the article, or without such a node, for each layout, the smallest container of most of the varying text; its slots are the
+content. Of a page without a region of its host's, all that isn't template is content.
 
 All pages count. Tasks merge the trees of their pages before anything is shuffled; a host's partial trees meet first
 in groups by a salt, then all. Each page is then aligned with its host's tree, which a join brings to it, and gives the
@@ -362,26 +363,34 @@ def wrapper(tree: list) -> list:
     weigh(tree)
 
     if not region:
-        best = tree
-        while True:
-            inner = [x for x in best[5] if x[0].split(" ")[0] in CONTAINERS and mass(x) >= MASS * max(mass(best), 1)]
-            if not inner:
-                break
-            best = inner[0]
-        region = [best]
+        region = _largest(tree, mass)
     tops = {id(x) for x in region}
 
-    def mark(t, top):
+    def mark(t, top, around):
         tag = t[0].split(" ")[0]
         kind = "region" if id(t) in tops else "drop" if dropped(t[0]) else "slot"
         if kind == "region":
             top = t
-        elif kind == "slot" and top is not None and mass(top) > 0 and _is_template(t, top):
-            if tag not in INLINE and not (tag in KEPT_TAGS and _is_main(top[0])):
+        elif kind == "slot":
+            within = top or around
+            if mass(within) > 0 and _is_template(t, within) and tag not in INLINE and not (tag in KEPT_TAGS and _is_main(within[0])):
                 kind = "same"
-        return [t[0], kind, 0, 0, 0, [mark(x, top) for x in t[5]]]
+        if tag in CONTAINERS and mass(t) > 0 and t[1] >= COMMON * tree[1]:
+            around = t  # what a page without a region has its template by
+        return [t[0], kind, 0, 0, 0, [mark(x, top, around) for x in t[5]]]
 
-    return mark(tree, None)
+    return mark(tree, None, tree)
+
+
+def _largest(t, mass) -> list:
+    """The smallest containers that hold most of the varying text of pages that have them: one for each layout."""
+    inner = [x for x in t[5] if x[0].split(" ")[0] in CONTAINERS and mass(x) * t[1] >= MASS * max(mass(t), 1) * x[1]]
+    if sum([mass(x) for x in inner]) < MASS * max(mass(t), 1):
+        return [t]
+    found = []
+    for x in inner:
+        found += _largest(x, mass)
+    return found
 
 
 def _is_template(t, top) -> bool:
@@ -413,7 +422,17 @@ def _regions(t):
     return found
 
 
-def extract(html: str, frame: list | None, known=None) -> str:
+def has_main(shape) -> bool:
+    """Whether the page has an article or main; a host's pages with and without have wrappers of their own."""
+    if dropped(shape[0]):
+        return False
+    for child in shape[1]:
+        if has_main(child):
+            return True
+    return _is_main(shape[0])
+
+
+def extract(html: str, frames: dict[bool, list] | None, known=None) -> str:
     """The text of the page's content slots: blocks in page order, one a line."""
     any_depth()
     shape = collapsed([parsed(html, known)])
@@ -429,9 +448,13 @@ def extract(html: str, frame: list | None, known=None) -> str:
             for a, b in aligned(w[5], s[1], lambda x: x[1]):
                 match(s[1][b], w[5][a])
 
-    if frame is not None and frame[0] == shape[0]:
+    main = has_main(shape)
+    frame = (frames or {}).get(main)
+    if frame is not None:
         match(shape, frame)
-    if not found:  # a page that has nothing of its host's region stands for itself
+        if not found and not main:  # a page without a region of its host's: all that isn't template
+            found.append(shape)
+    if not found:
         match(shape, wrapper(tree_of(shape)))
     tops = {id(node) for s in found for node in s[3]}
     blocks: list[str] = []
@@ -506,18 +529,19 @@ def layout_words(pages: DataFrame) -> DataFrame:
 
 
 def _partial_trees(batches):
-    """Each task's pages as one tree a host."""
+    """Each task's pages as one tree for a host's pages with an article or main and one for those without."""
     from pyspark import TaskContext
 
     any_depth()
     salt = TaskContext.get().partitionId() // SALT_TASKS
-    held: dict[str, list] = {}
+    held: dict[tuple[str, bool], list] = {}
     nodes = 0
     for batch in batches:
         for host, html, words in zip(*(batch.column(x).to_pylist() for x in ("host", "html", "words")), strict=True):
-            tree = tree_of(collapsed([parsed(html or "", frozenset(words or ()))]))
-            before = held.get(host)
-            held[host] = tree if before is None else merged(before, tree)
+            shape = collapsed([parsed(html or "", frozenset(words or ()))])
+            tree, key = tree_of(shape), (host, has_main(shape))
+            before = held.get(key)
+            held[key] = tree if before is None else merged(before, tree)
             if before is None:
                 nodes += size(tree)
         if nodes > NODES:
@@ -528,9 +552,9 @@ def _partial_trees(batches):
 
 
 def _trees(held, salt):
-    hosts, trees = zip(*sorted(held.items()), strict=True)
-    text = [dumped(t) for t in trees]
-    return pa.RecordBatch.from_arrays([pa.array(hosts), pa.array([salt] * len(hosts), pa.int32()), pa.array(text)], ["host", "salt", "tree"])
+    keys, trees = zip(*sorted(held.items()), strict=True)
+    columns = [pa.array([h for h, _ in keys]), pa.array([m for _, m in keys]), pa.array([salt] * len(keys), pa.int32())]
+    return pa.RecordBatch.from_arrays([*columns, pa.array([dumped(t) for t in trees])], ["host", "main", "salt", "tree"])
 
 
 def _fold(keys: list[str], finish):
@@ -547,10 +571,14 @@ def _fold(keys: list[str], finish):
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, tree) of the wrapper of each host of ``pages`` (host, html, words)."""
-    partial = pages.select("host", "html", "words").mapInArrow(_partial_trees, "host string, salt int, tree string")
-    first = partial.groupBy("host", "salt").applyInArrow(_fold(["host", "salt"], lambda t: t), "host string, salt int, tree string")
-    return first.select("host", "tree").groupBy("host").applyInArrow(_fold(["host"], wrapper), "host string, tree string")
+    """(host, plain, main): the wrappers of each host of ``pages`` (host, html, words), for pages without and with a main."""
+    of = "host string, main boolean, salt int, tree string"
+    partial = pages.select("host", "html", "words").mapInArrow(_partial_trees, of)
+    first = partial.groupBy("host", "main", "salt").applyInArrow(_fold(["host", "main", "salt"], lambda t: t), of)
+    whole = first.drop("salt").groupBy("host", "main").applyInArrow(_fold(["host", "main"], wrapper), "host string, main boolean, tree string")
+    return whole.groupBy("host").agg(
+        F.max(F.when(~F.col("main"), F.col("tree"))).alias("plain"), F.max(F.when(F.col("main"), F.col("tree"))).alias("main")
+    )
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -565,19 +593,20 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     known = staged(wrappers(frame))
 
     def make():
-        cache: dict[str, list] = {}
+        cache: dict[tuple, dict] = {}
 
         def columns(batch):
             out = []
-            for html, words, text in zip(*(batch.column(x).to_pylist() for x in ("html", "words", "tree")), strict=True):
-                if text not in cache:
+            for html, words, *trees in zip(*(batch.column(x).to_pylist() for x in ("html", "words", "plain", "main")), strict=True):
+                key = tuple(trees)
+                if key not in cache:
                     if len(cache) > 500:
                         cache.clear()
-                    cache[text] = loaded(text) if text else None
-                out.append(extract(html, cache[text], frozenset(words or ())) if html else "")
+                    cache[key] = {bool(i): loaded(t) for i, t in enumerate(key) if t}
+                out.append(extract(html, cache[key], frozenset(words or ())) if html else "")
             return [pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())]
 
         return columns
 
-    found = appended(frame.join(known, "host", "left").select("page_id", "url", "html", "words", "tree"), make, "text string, n_chars long")
+    found = appended(frame.join(known, "host", "left").select("page_id", "url", "html", "words", "plain", "main"), make, "text string, n_chars long")
     return found.select("page_id", "url", "text", "n_chars")

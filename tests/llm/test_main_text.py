@@ -148,3 +148,18 @@ def test_listed_names_around_the_text_do_not_drop_it(spark):
     for h in hosts:
         want = "Head 3\nBody 3" if "Head" in bodies[h] else "3 is the first line of a long text\nand 3 the second"
         assert got[100 * h + 3] == want, bodies[h]
+
+
+def test_a_host_with_several_layouts(spark):
+    menu = "<div><div>Menu words</div></div>"
+    one = "<div class=a>" + menu + "<div class=body><p>{n} is the first line of a long text</p><p>and {n} the second</p></div></div>"
+    two = "<section>" + menu + "<p>{n} is the first line of another text</p><p>and {n} the second</p></section>"
+    other = "<article><p>Alone {n}</article>"
+    rows = [(0, "http://b.com/", page(0, menu + other.replace("{n}", "0")))]
+    rows += [(n, "http://b.com/", page(n, one.replace("{n}", str(n)))) for n in range(1, 9)]
+    rows += [(n, "http://b.com/", page(n, two.replace("{n}", str(n)))) for n in range(9, 15)]
+    rows += [(15, "http://b.com/", page(15, "<table><tr><td>15 stands in a layout of its own</table>"))]
+    got = dict(texts(spark, rows))
+    assert got[0] == "Alone 0" and got[15] == "15 stands in a layout of its own"
+    assert [got[n] for n in range(1, 9)] == [f"{n} is the first line of a long text\nand {n} the second" for n in range(1, 9)]
+    assert [got[n] for n in range(9, 15)] == [f"{n} is the first line of another text\nand {n} the second" for n in range(9, 15)]
