@@ -11,7 +11,8 @@ without one, most of its text. A host's pages with an article or main and those
 the article, or without such a node, for each layout, the smallest container of most of the varying text; its slots are the
 content. Of a page without a region of its host's, all that isn't template is content.
 
-All pages count. Tasks merge the trees of their pages before anything is shuffled; a host's partial trees meet first
+All pages count. A tree is as large as its layout: classes and ids of few of a host's pages and unknown tags don't tell nodes
+apart, and above ``TREE_NODES`` nodes those on the fewest pages go. A wrapper holds only regions, template and what is above them. Tasks merge the trees of their pages before anything is shuffled; a host's partial trees meet first
 in groups by a salt, then all. Each page is then aligned with its host's tree, which a join brings to it, and gives the
 text of its content slots block by block.
 
@@ -43,6 +44,7 @@ SAMPLE = 20  # marks of distinct pages that a node keeps
 COMMON = 0.1  # share of a host's pages that use a class or id which tells its nodes apart
 MASS = 0.7
 NODES = 100_000  # nodes of partial trees that a task holds
+TREE_NODES = 5_000  # nodes of a host's tree that are kept: those of most pages
 SALT_TASKS = 64
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -70,6 +72,15 @@ DROPPED_WORDS = frozenset(
 )
 #: A name that has one of these says what a node does without, or lies beside.
 NOT_NAMED = frozenset("no not non without with has have hide hides hidden show shows".split())
+#: Other tags count as one, as code and placeholders in pages make up their own.
+KNOWN_TAGS = (
+    VOID | INLINE | SCOPES | HIDDEN_TAGS | DROPPED_TAGS
+    | frozenset(
+        "address blockquote caption center colgroup dd details dir dt fieldset figcaption figure frame frameset h1 h2 h3 h4 h5 "
+        "h6 hgroup label legend li marquee noembed noframes optgroup option output p plaintext pre progress rb rtc search "
+        "slot summary tbody tfoot thead title tr xmp".split()
+    )
+)
 #: Text of these is content in an article, also where it is the same on all pages.
 KEPT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 MAIN_TAGS = frozenset(("article", "main"))
@@ -166,7 +177,7 @@ def _label(tag, attrs, known):
                 named = named or bool(found) and found[-1] in DROPPED_WORDS and NOT_NAMED.isdisjoint(found)
     named = named and tag not in ("body", "html") and tag not in MAIN_TAGS
     mark = "!" if tag in HIDDEN_TAGS or tag in DROPPED_TAGS or named else ""
-    return mark + " ".join([tag, *sorted(words if known is None else words & known)])
+    return mark + " ".join([tag if tag in KNOWN_TAGS else "#other", *sorted(words if known is None else words & known)])
 
 
 def parsed(html: str, known=None):
@@ -315,6 +326,30 @@ def size(tree: list) -> int:
     return count
 
 
+def pruned(tree: list) -> list:
+    """The tree, if it has more than ``TREE_NODES`` nodes with only those on the most pages, parents before children.
+
+    What is cut is on few pages, so it is no template, and its text stays content.
+    """
+    counts, rest = [], [tree]
+    while rest:
+        node = rest.pop()
+        counts.append(node[1])
+        rest += node[5]
+    if len(counts) <= TREE_NODES:
+        return tree
+    least = sorted(counts)[-TREE_NODES]  # all nodes on this many pages or fewer go: no tie depends on an order
+    top = [*tree[:5], [], *tree[6:]]
+    rest = [(tree, top)]
+    while rest:
+        node, copy = rest.pop()
+        for x in node[5]:
+            if x[1] > least:
+                copy[5].append([*x[:5], [], *x[6:]])
+                rest.append((x, copy[5][-1]))
+    return top
+
+
 def dumped(tree: list) -> str:
     """A tree of any depth as text: its nodes in page order, each with its number of children."""
     out, rest = [], [tree]
@@ -377,7 +412,12 @@ def wrapper(tree: list) -> list:
                 kind = "same"
         if tag in CONTAINERS and mass(t) > 0 and t[1] >= COMMON * tree[1]:
             around = t  # what a page without a region has its template by
-        return [t[0], kind, 0, 0, 0, [mark(x, top, around) for x in t[5]]]
+        children = []
+        for x in t[5]:
+            child = mark(x, top, around)
+            if child[5] or child[1] in ("region", "same"):  # others are slots, or dropped, without being named
+                children.append(child)
+        return [t[0], kind, 0, 0, 0, children]
 
     return mark(tree, None, tree)
 
@@ -535,18 +575,23 @@ def _partial_trees(batches):
     any_depth()
     salt = TaskContext.get().partitionId() // SALT_TASKS
     held: dict[tuple[str, bool], list] = {}
+    sizes: dict[tuple[str, bool], int] = {}
     nodes = 0
     for batch in batches:
         for host, html, words in zip(*(batch.column(x).to_pylist() for x in ("host", "html", "words")), strict=True):
             shape = collapsed([parsed(html or "", frozenset(words or ()))])
             tree, key = tree_of(shape), (host, has_main(shape))
-            before = held.get(key)
-            held[key] = tree if before is None else merged(before, tree)
-            if before is None:
-                nodes += size(tree)
-        if nodes > NODES:
-            yield _trees(held, salt)
-            held, nodes = {}, 0
+            if key in held:
+                tree = merged(held[key], tree)
+            count = size(tree)
+            if count > 4 * TREE_NODES:
+                tree = pruned(tree)
+                count = size(tree)
+            nodes += count - sizes.get(key, 0)
+            held[key], sizes[key] = tree, count
+            if nodes > NODES:
+                yield _trees(held, salt)
+                held, sizes, nodes = {}, {}, 0
     if held:
         yield _trees(held, salt)
 
@@ -554,7 +599,7 @@ def _partial_trees(batches):
 def _trees(held, salt):
     keys, trees = zip(*sorted(held.items()), strict=True)
     columns = [pa.array([h for h, _ in keys]), pa.array([m for _, m in keys]), pa.array([salt] * len(keys), pa.int32())]
-    return pa.RecordBatch.from_arrays([*columns, pa.array([dumped(t) for t in trees])], ["host", "main", "salt", "tree"])
+    return pa.RecordBatch.from_arrays([*columns, pa.array([dumped(pruned(t)) for t in trees])], ["host", "main", "salt", "tree"])
 
 
 def _fold(keys: list[str], finish):
@@ -563,7 +608,7 @@ def _fold(keys: list[str], finish):
         whole = None
         for text in sorted(rows["tree"].to_pylist()):  # in an order of their own, whatever the tasks' was
             tree = loaded(text)
-            whole = tree if whole is None else merged(whole, tree)
+            whole = tree if whole is None else pruned(merged(whole, tree))
         out = {k: rows[k].slice(0, 1) for k in keys}
         return pa.table(out | {"tree": pa.array([dumped(finish(whole))])})
 

@@ -163,3 +163,33 @@ def test_a_host_with_several_layouts(spark):
     assert got[0] == "Alone 0" and got[15] == "15 stands in a layout of its own"
     assert [got[n] for n in range(1, 9)] == [f"{n} is the first line of a long text\nand {n} the second" for n in range(1, 9)]
     assert [got[n] for n in range(9, 15)] == [f"{n} is the first line of another text\nand {n} the second" for n in range(9, 15)]
+
+
+def test_a_hot_hosts_tree_is_as_large_as_its_layout(spark):
+    def name(n):
+        return "".join("abcdefghij"[int(x)] for x in str(n))
+
+    def body(n):
+        own = f"<div id={name(n)} class='post {name(n)}-x'><{name(n)}>Own {n}</{name(n)}></div>"
+        return f"<article><h1 id=h{name(n)}>Head {n}</h1><div class=byline>By the editors</div>{own}</article>"
+
+    rows = [(n, "http://a.com/", page(n, body(n))) for n in range(400)]
+    frame = spark.createDataFrame([("a.com", h) for _, _, h in rows], "host string, html string").coalesce(1)
+    frame = frame.join(main_text.layout_words(frame), "host")
+    trees = frame.mapInArrow(main_text._partial_trees, "host string, main boolean, salt int, tree string").collect()
+    assert max(main_text.size(main_text.loaded(r.tree)) for r in trees) < 40
+    known = main_text.wrappers(frame).collect()
+    assert len(known) == 1 and known[0].plain is None and len(known[0].main) < 400
+    got = dict(texts(spark, rows))
+    assert all(got[n] == f"Head {n}\nOwn {n}" for n in range(400))
+
+
+def test_trees_of_many_nodes_keep_those_of_most_pages(monkeypatch):
+    monkeypatch.setattr(main_text, "TREE_NODES", 12)
+    whole = None
+    for n in range(30):
+        page_tree = main_text.tree_of(main_text.collapsed([main_text.parsed(f"<article><p>{n}</p><div class=by>By</div><div class=o{n * 'x'}>{n}</div></article>")]))
+        whole = page_tree if whole is None else main_text.pruned(main_text.merged(whole, page_tree))
+    assert main_text.size(whole) <= 13
+    frames = {True: main_text.wrapper(whole)}
+    assert main_text.extract("<article><p>a</p><div class=by>By</div><div class=new>b</div></article>", frames) == "a\nb"
