@@ -6,8 +6,9 @@ numpy, adds spans of the same kinds that the patterns miss (a phone number witho
 "(at)"). It is trained on labelled spans: windows of a bounded sample of the documents labelled by the base, and
 generated windows of written-out variants and of look-alikes (dates, amounts, versions, codes).
 
-Where a text holds a digit, an at sign or a written-out one, overlapping windows cover it with its surroundings; a
-span of these kinds holds one of these, so no window elsewhere could give one. Windows are decoded by Viterbi and
+Where a text holds a digit of any script, an at sign, a bracketed "at", or "at" or "dot" between blanks, overlapping windows
+cover it with its surroundings; numbers in words and other ways to write an at sign get no window. The network reads all
+scripts' digits and full-width ASCII as ASCII. Windows are decoded by Viterbi and
 reconciled over the whole text: each character takes the tag of the window in which it stands farthest from an edge.
 An added span must pass its kind's check and not overlap a base span; base spans always stay.
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import random
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +42,7 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-SIGN = re.compile(r"[0-9@]|[(\[{] ?at ?[)\]}]", re.IGNORECASE)
+SIGN = re.compile(r"\d|[@＠]|[(\[{] ?at ?[)\]}]|(?<=\s)(?:at|dot)(?=\s)", re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:
@@ -102,13 +104,32 @@ def written(spans) -> str:
 
 _SIGNS = ".-+()@_%,:;/!?\"'#$&*=<>[]{}|~^`\\"
 _CLASS = {c: 8 + i for i, c in enumerate(_SIGNS)}
-CLASSES = 8 + len(_SIGNS)
+SAID_AT, LOUD_AT, SAID_DOT = range(8 + len(_SIGNS), 11 + len(_SIGNS))  # letters of these words as emails are spoken
+CLASSES = 11 + len(_SIGNS)
+_SAID = re.compile(r"(?<=\s)(?:(?P<loud>(?-i:AT))(?=\s+[\w-]+(?:(?P<point>\.)|\s+dot\s+)\w)|(?P<at>at)(?=\s+[\w-]+\s+dot\s+\w)|(?P<dot>dot)(?=\s))", re.IGNORECASE)
 PAD, DIGIT, SMALL, LARGE, BLANK, LINE, OTHER, BEYOND = range(8)
 TAGS = 1 + 2 * len(KINDS)  # outside, then first and inner of each kind
 
 
 def classes(text: str) -> np.ndarray:
-    return np.array([_class(c) for c in text], np.int32)
+    text = plain(text)
+    out = np.array([_class(c) for c in text], np.int32)
+    for m in _SAID.finditer(text):
+        out[m.start() : m.end()] = LOUD_AT if m["loud"] else SAID_AT if m["at"] else SAID_DOT
+        if m["point"]:
+            out[m.start("point")] = SAID_DOT
+    return out
+
+
+def plain(text: str) -> str:
+    """The text with every script's digits and full-width ASCII as ASCII, character by character."""
+    return text if text.isascii() else "".join(map(_plain, text))
+
+
+def _plain(c: str) -> str:
+    if "\uff01" <= c <= "\uff5e":
+        return chr(ord(c) - 0xFEE0)
+    return str(unicodedata.decimal(c)) if c.isdecimal() else c
 
 
 def _class(c: str) -> int:
@@ -342,7 +363,11 @@ def generated_windows(count: int, seed: int = 11) -> list[tuple[np.ndarray, np.n
         return gap.join(body[i : i + 4] for i in range(0, 16, 4))
 
     def email():
-        at = draw.choice(["@", " @ ", "(at)", "[at]", " (at) ", " [at] "])
+        at = draw.choice(["@", " @ ", "(at)", "[at]", " (at) ", " [at] ", " at ", " at ", " at ", " AT ", " AT ", " AT "])
+        if at in (" at ", " AT "):  # without brackets, and mostly without digits
+            dot = draw.choice([" dot ", ".", " DOT "]) if at == " AT " else " dot "
+            local = word() + draw.choice(["", "", digits(2), f" dot {word()}" if dot != "." else f".{word()}"])
+            return f"{local}{at}{word()}{dot}{draw.choice(['com', 'org', 'net', 'de'])}"
         dot = "." if "@" in at else draw.choice([".", ".", ".", "(dot)", "[dot]", " [dot] "])
         return f"{word()}{draw.choice(['.', '_', ''])}{digits(2)}{at}{word()}{dot}{draw.choice(['com', 'org', 'net', 'de'])}"
 
@@ -358,6 +383,8 @@ def generated_windows(count: int, seed: int = 11) -> list[tuple[np.ndarray, np.n
         lambda: f"{draw.randint(1900, 2030)}-{digits(2)}-{digits(2)}", lambda: f"{digits(2)}.{digits(2)}.{digits(4)}", lambda: f"{digits(1)}.{digits(1)}.{digits(2)}",
         lambda: f"${digits(3)},{digits(3)}.{digits(2)}", lambda: f'"{digits(3)}{word()}{digits(4)}{word()}{digits(3)}"', lambda: digits(draw.randint(1, 9)),
         lambda: f"{digits(4)}-{digits(4)}", lambda: f"@{word()}", lambda: f"{word()}@{word()}", lambda: f"{digits(2)}:{digits(2)}", lambda: f"{word()}{digits(2)}",
+        lambda: f"{word()} at {word()}", lambda: f"{word()} at {word()}. {word()} dot {word()}", lambda: f"{word()} dot {word()}",
+        lambda: f"{word()} at {word()}.com", lambda: f"{word()} at {digits(2)}:{digits(2)}", lambda: f"{word()} AT {word()}",
     )
     makers = {"email": email, "ip": ip, "card": card, "phone": phone}
     out = []
@@ -399,11 +426,16 @@ def reconciled(length: int, places: list[int], tags: np.ndarray) -> list[tuple[s
 
 
 _AT = re.compile(r"@|[(\[{] ?at ?[)\]}]", re.IGNORECASE)
+_DOT = r"(?:\.|\s+dot\s+)"
+_WRITTEN = re.compile(rf"[\w%+-]+(?:{_DOT}[\w%+-]+)*\s+at\s+[\w-]+(?:{_DOT}[\w-]+)+", re.IGNORECASE)
 
 
 def checked(kind: str, value: str) -> bool:
+    value = plain(value)
     digits = digits_of(value)
     if kind == "email":
+        if not _AT.search(value):
+            return _WRITTEN.fullmatch(value) is not None
         return len(_AT.findall(value)) == 1 and re.search(r"\.|dot", value, re.IGNORECASE) is not None and len(value) >= 6
     if kind == "ip":
         return small_parts(re.findall("[0-9]+", value)) and len(re.findall("[0-9]+", value)) == 4 and not re.search("[A-Za-z]", value)

@@ -107,3 +107,15 @@ def test_awkward_documents(spark):
     assert cases.rows_of(pii.mask(private)) == cases.rows_of(
         spark.createDataFrame([(1, "é 😀 to [email], [ip] and [phone]"), (2, None), (2, "")], "doc_id long, text string")
     )
+
+
+def test_spoken_emails_and_digits_of_any_script(tagger):
+    arabic = "212-555-0199".translate({48 + i: 0x660 + i for i in range(10)})
+    wide = "".join(chr(ord(c) + 0xFEE0) if c.isdigit() else c for c in "212-555-0199")
+    wanted = [("email", "jane at example dot com"), ("email", "jane AT example.com"), ("phone", arabic), ("phone", wide)]
+    texts = [f"please write to me: {value} thank you very much" for _, value in wanted]
+    prose = ["she looked at the river. a dot on the map and nothing at all", "we met at noon and were at home again", "x " * 50 + "look at this"]
+    added = pii.added_spans(tagger, [*texts, *prose], [pii.base_spans(t) for t in [*texts, *prose]])
+    assert [[(k, t[a:b]) for k, a, b in new] for t, new in zip(texts, added, strict=False)] == [[w] for w in wanted]
+    assert added[len(texts) :] == [[], [], []]
+    assert pii.checked("email", "jane at example dot com") and not pii.checked("email", "jane at example")
