@@ -7,13 +7,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from listingflow.llm import bpe, decontaminate, exact_dedup, language, lm_score, main_text, pii, simhash, token_files, url_rules
+from listingflow.llm import (
+    bpe,
+    centroids,
+    decontaminate,
+    exact_dedup,
+    language,
+    lm_score,
+    main_text,
+    packing,
+    phrases,
+    pii,
+    simhash,
+    token_files,
+    url_rules,
+)
 from listingflow.llm.common import table
 
 QUERIES: dict[str, object] = {}
 ORACLES: dict[str, str] = {}
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 # The rules of the URL query, as (host, path, verdict).
 RULES = (
     ("com", "/en/", "block"),
@@ -132,6 +147,80 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.find(table(spark, sf, "documents"))
 
 
+def _centroids_sql(rounds: int = 5) -> str:
+    """Rounds written one after the other; vectors as one row a component."""
+
+    def nearest(i: int) -> str:
+        return f"""
+    d{i} AS MATERIALIZED (SELECT r, min_by(c, (d, c)) AS c, min(d) AS d FROM (
+            SELECT v.r AS r, m.c AS c, sum((v.x - m.x) * (v.x - m.x)) AS d FROM v JOIN m{i} AS m ON v.i = m.i GROUP BY v.r, m.c)
+        GROUP BY r)"""
+
+    def moved(i: int) -> str:
+        return f"""
+    m{i + 1} AS MATERIALIZED (SELECT m.c AS c, m.i AS i, coalesce(s.x, m.x) AS x FROM m{i} AS m LEFT JOIN (
+            SELECT c, i, CAST((t - ((t % n) + n) % n) // n AS HUGEINT) AS x FROM (
+                SELECT c, i, CAST(sum(x) AS HUGEINT) AS t, count(*) AS n FROM v JOIN d{i} ON v.r = d{i}.r GROUP BY c, i))
+        AS s ON m.c = s.c AND m.i = s.i)"""
+
+    steps = ",".join(f"{nearest(i)},{moved(i)}" for i in range(rounds))
+    return f"""
+    WITH k AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings
+            WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+    v AS MATERIALIZED (SELECT r, i, CAST(floor(256 * CAST(embedding[i] AS DOUBLE)) AS HUGEINT) AS x
+            FROM (SELECT r, embedding, unnest(range(1, 65)) AS i FROM k)),
+    f AS (SELECT r, row_number() OVER (ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')), embedding) - 1 AS c FROM k),
+    m0 AS MATERIALIZED (SELECT f.c AS c, v.i AS i, v.x AS x FROM f JOIN v ON f.r = v.r WHERE f.c < 40),{steps},{nearest(rounds)},
+    h AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS s FROM m{rounds} GROUP BY c)
+    SELECT k.vec_id AS vec_id, CAST(d.c AS INTEGER) AS cluster, CAST(d.d AS BIGINT) AS distance,
+           CAST(sum(d.d) OVER (PARTITION BY d.c) AS BIGINT) AS cluster_inertia,
+           CAST(sum(d.d) OVER () AS BIGINT) AS inertia, h.s AS centroid_sha256
+    FROM k JOIN d{rounds} AS d ON k.r = d.r JOIN h ON d.c = h.c
+    """
+
+
+@query(_centroids_sql())
+def op11_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    return centroids.describe(table(spark, sf, "embeddings"))
+
+
+@query()
+def op12_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.describe(table(spark, sf, "documents"), WORD_TOKENIZER)
+
+
+@query(
+    r"""
+    WITH p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+         t AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+         f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM (
+                SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (
+                    SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k))
+            GROUP BY lang, k, phrase HAVING count(*) >= 100),
+         c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+         x AS (SELECT c.lang AS lang, c.phrase AS phrase, a, l.f AS l, r.f AS r, t.n AS n, cut,
+                      (1000::HUGEINT * a::HUGEINT * t.n::HUGEINT) // (l.f::HUGEINT * r.f::HUGEINT) AS score
+               FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) AS c
+               JOIN f AS l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:cut], ' ')
+               JOIN f AS r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[cut + 1:c.k], ' ')
+               JOIN t ON t.lang = c.lang),
+         s AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS first FROM x),
+         g AS (SELECT lang, max(f) AS f, phrase FROM (
+                SELECT lang, f, unnest([array_to_string(w[i:i + j - 1], ' ') for i in range(1, k - j + 2)]) AS phrase FROM (
+                    SELECT lang, k, w, a AS f, unnest(range(2, k)) AS j FROM c WHERE k > 2)) GROUP BY lang, phrase),
+         o AS (SELECT s.* FROM s LEFT JOIN g ON s.lang = g.lang AND s.phrase = g.phrase
+               WHERE first = 1 AND (g.f IS NULL OR 100 * g.f < 100 * a)),
+         q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM o)
+    SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM q WHERE rank <= 2000
+    """
+)
+def op13_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
