@@ -9,9 +9,11 @@ shuffled, by window, and joined. A boundary window has at most as many records a
 
 The stream's rest, shorter than a window, is cut at powers of two, the largest first: no sequence needs padding.
 
-A text's ids are those of its chunks between blanks and line feeds, which no token of the vocabulary crosses (its
-normaliser makes every run of white space one blank, its splitter removes blanks, and its added tokens hold none), so
-each distinct chunk is encoded by the tokenizers library once while it stays in a bounded cache.
+Texts of ASCII and common Latin letters are lower-cased and split into pieces here, and the tokenizers library's model
+encodes each distinct piece once while it stays in a bounded cache. In other texts the same goes for words between
+blanks and line feeds, which no token of the vocabulary crosses (its normaliser makes every run of white space one
+blank, its splitter removes blanks, and its added tokens hold none); words of other characters go through the whole
+library. A vocabulary with another normaliser or splitter gets whole texts.
 
 Defined results: null and empty texts are the end id alone. Repeated rows are packed one by one. Ids of documents may
 have any type and may be null. An empty table gives an empty result. Other columns never clash: only id and text are
@@ -22,7 +24,9 @@ nothing, since the second pass reads what the first one committed.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import zlib
 from array import array
 from itertools import chain
@@ -33,19 +37,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from listingflow.llm.bpe import vocabulary
+from listingflow.llm.bpe import byte_letters, vocabulary
 from listingflow.llm.common import staged
 
 WINDOW = 4_096
 END_ID = 2
-CHUNK_IDS = 1 << 18
-STRETCH = 1 << 20
-CACHED = 500_000
-LONG_WORD = 4_096
-
-
-class Words:
-    """Ids of texts by their chunks between blanks and line feeds."""
+CHUNK_IDS = 1 << 16
+STRETCH = 1 << 18
+CACHED = 400_000
+LONG_PIECE = 256
+WORD = "\0"
+
+# The normaliser and splitter of vocabularies whose texts are encoded word by word.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+# The same splitter for lower-cased texts whose characters' classes are all written out.
+_PLAIN = re.compile(r"[\t-\r !-;=-~À-ÖØ-öø-ÿ]*")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t-\r 0-9a-zß-öø-ÿ]+")
+
+
+class Words(dict):
+    """Ids of pieces, and of words after a mark; what is looked up and missing is encoded. A full one starts anew."""
 
     def __init__(self, spec: str, cached: int = CACHED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,51 +80,51 @@ class Words:
         self.library = Tokenizer.from_str(spec)
         self.library.no_padding()
         self.library.no_truncation()
+        stated = json.loads(spec)
         added = self.library.get_added_tokens_decoder().values()
-        self.whole = any(set(t.content) & set(" \n") or t.lstrip or t.rstrip or t.single_word for t in added)
+        # Added tokens must start with a character that makes a word go through the library.
+        simple = not any(set(t.content) & set(" \n") or t.lstrip or t.rstrip or t.single_word for t in added)
+        simple = simple and not any(_PLAIN.fullmatch(t.content[:1]) for t in added)
+        self.by_words = simple and stated["normalizer"] == NORMALIZER and stated["pre_tokenizer"] == SPLITTER
+        self.letters = byte_letters()
         self.cached = cached
-        self.cache: dict[str, bytes] = {}
-
-    def learn(self, wanted: set[str]) -> dict[str, bytes]:
-        """The ids of chunks; long ones aren't kept."""
-        new = [x for x in wanted if x not in self.cache]
-        if len(self.cache) + len(new) > self.cached:
-            self.cache = {}
-            new = list(wanted)
-        found = self.library.encode_batch_fast(new, add_special_tokens=False)
-        long = {}
-        for text, one in zip(new, found, strict=True):
-            (self.cache if len(text) <= LONG_WORD else long)[text] = array("I", one.ids).tobytes()
-        return long
-
-    def _joined(self, parts: list[list[str]]) -> list[bytes]:
-        long = self.learn(set(chain.from_iterable(parts)))
-        of = (self.cache | long if long else self.cache).__getitem__
-        return [b"".join(map(of, x)) for x in parts]
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of texts as little-endian unsigned 32-bit integers; about STRETCH characters are split at a time."""
-        if self.whole:
-            return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        out: list[list[bytes]] = [[] for _ in texts]
-        held, owners, size = [], [], 0
-        for i, text in enumerate(texts):
-            for part in stretches(text):
-                held.append(part.replace("\n", " ").split(" "))
-                owners.append(i)
-                size += len(part)
-                if size >= STRETCH:
-                    for owner, ids in zip(owners, self._joined(held), strict=True):
-                        out[owner].append(ids)
-                    held, owners, size = [], [], 0
-        for owner, ids in zip(owners, self._joined(held), strict=True):
-            out[owner].append(ids)
-        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
-
-
-def stretches(text: str, size: int = STRETCH):
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece[0] == WORD:
+            ids = self.library.encode(piece[1:], add_special_tokens=False).ids
+        else:
+            name = piece if piece.isascii() else "".join([self.letters[x] for x in piece.encode()])
+            ids = [t.id for t in self.library.model.tokenize(name)]
+        found = array("I", ids).tobytes()
+        if len(piece) <= LONG_PIECE:
+            if len(self) >= self.cached:
+                self.clear()
+            self[piece] = found
+        return found
+
+    def encode(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
+        if not self.by_words:
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join([b"".join(map(self.__getitem__, split(part))) for part in stretches(text)])
+
+
+def split(text: str) -> list[str]:
+    """The pieces of a text, and marked words where these need the library."""
+    if _PLAIN.fullmatch(text):
+        return _PIECES.findall(text.lower())
+    out = []
+    for word in text.replace("\n", " ").split(" "):
+        if _PLAIN.fullmatch(word):
+            out += _PIECES.findall(word.lower())
+        else:
+            out.append(WORD + word)
+    return out
+
+
+def stretches(text: str, size: int | None = None):
     """A text in parts of about ``size`` characters, cut at blanks."""
-    at = 0
+    at, size = 0, size or STRETCH
     while len(text) - at > size:
         cut = text.find(" ", at + size)
         if cut < 0:
@@ -185,8 +211,8 @@ def _encode(spec, end_id: int, chunk_ids: int):
         for batch in batches:
             id_kind = batch.column("doc_id").type
             texts = [x or "" for x in batch.column("text").to_pylist()]
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), own.encode_all(texts), strict=True):
-                for row in stream.add(doc_id, ids + end):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
+                for row in stream.add(doc_id, own.encode(text) + end):
                     yield _batch([row], _CHUNK, id_kind)
         if stream.size:
             yield _batch([stream.chunk()], _CHUNK, id_kind)

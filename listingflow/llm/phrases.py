@@ -2,16 +2,21 @@
 
 Phrases are counted per language. First a sample of the documents (a fixed share, drawn by a hash of id and text)
 proposes phrases: those frequent in it at a lowered threshold, found in three readings of the sample (words, pairs,
-longer ones made of proposed pairs). Then one reading of all documents counts exactly every proposed phrase together
-with the negative border: phrases that weren't proposed, but whose first and last part (all words but one) were; of
-words, all. A border phrase that turns out frequent is a failure: phrases that hold it may be frequent and uncounted.
-The failures are added to what is proposed, and a further reading counts what that newly makes countable, until no
-reading finds a failure. Then every frequent phrase has been counted, whatever the sample held.
-
-What is proposed reaches the tasks as a Bloom filter of 16 bits a phrase, at most ``filter_bits`` of them in all; a
-phrase it lets through by mistake is counted exactly like others and costs only work. The same filter says what earlier
-readings have counted, so nothing is counted twice. Tasks count in blocks of words by sorting pairs of codes, and Spark
-adds the blocks' counts up by language and phrase; no phrase, word or language is held in one place.
+longer ones made of proposed pairs). Then one reading of all documents counts every proposed phrase together with the
+negative border: phrases that weren't proposed, but whose first and last part (all words but one) were; of words, all.
+A border phrase that turns out frequent is a failure: phrases that hold it may be frequent and uncounted.
+
+These counts are by 64-bit hashes, so that the many rare phrases of the border cross the network as two numbers each;
+two phrases under one hash can only make a count too high. The expansion reading counts by name, exactly, all phrases
+whose hash is frequent, and ahead, whatever their hash, those that the first reading could not count: phrases with a
+part that was neither proposed nor in the border of what was. A phrase counted ahead may be a part in its turn. So by
+induction on the number of words every frequent phrase is counted by name, whatever the sample held: its parts are
+frequent and were counted; either the first reading has counted it too, and its hash is frequent, or it is counted ahead.
+One expansion therefore closes the border.
+
+What is proposed or frequent reaches the tasks as a Bloom filter of 16 bits a phrase, at most ``filter_bits`` of them
+in all; a phrase it lets through by mistake is counted like others and costs only work. Tasks count in blocks of
+words by sorting pairs of codes, and Spark adds the blocks' counts up; no phrase, word or language is held in one place.
 
 Scores are exact integers (decimals of 38 digits in products). Joins of candidates with the counts of their parts and
 the ranking (by language and a salt first, then by language) are Spark's.
@@ -24,8 +29,6 @@ each time. An empty table gives an empty result. Other columns never clash: only
 from __future__ import annotations
 
 import re
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -45,15 +48,14 @@ BLOCK_WORDS = 1_000_000
 STRETCH_BYTES = 4 << 20
 SALTS = 32
 PROBES = 3
+ROWS = 50_000
+LEAST_BITS = 1 << 10
 
 # Lower-cases A-Z, makes tabs blanks, and marks the ends of pieces by a byte that UTF-8 never has.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _TO = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + _ENDS, b"abcdefghijklmnopqrstuvwxyz " + b"\xff" * len(_ENDS))
 _GAP = re.compile(rb"[ \xff]")
 _MIX = 0x9E3779B97F4A7C15
-_ALL = (1 << 64) - 1
-COUNTS = "lang string, k int, phrase string, n long"
-_ARROW_COUNTS = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
 
 
 def tokens(text: bytes, context: int) -> list[tuple[list[bytes], int]]:
@@ -107,22 +109,15 @@ def mixed(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
         return (hashes ^ hashes >> np.uint64(29)) * np.uint64(_MIX) + words
 
 
-def phrase_hash(lang: bytes, phrase: bytes) -> int:
-    first, *rest = phrase.split(b" ")
-    held = word_hash(lang, first)
-    for word in rest:
-        held = ((held ^ held >> 29) * _MIX + word_hash(lang, word)) & _ALL
-    return held
-
-
 class Plan:
     """What one reading counts.
 
-    Phrases of ``low`` to ``high`` words whose two parts are alive. Alive are phrases of up to ``checked`` words that
-    the filter holds, and longer ones whose parts are alive. Phrases whose parts ``done`` holds are counted already.
+    ``known``, if given, are the phrases that may be parts, checked for those of up to ``checked`` words; longer ones
+    whose own parts may be parts may be, too. A named reading counts only phrases that ``known`` holds, and those with
+    a part that ``done`` lacks (counted ahead; they may be parts).
     """
 
-    def __init__(self, low: int, high: int, checked: int, known: Filter, done: Filter):
+    def __init__(self, low: int, high: int, checked: int, known: Filter, done: Filter | None = None):
         self.low, self.high, self.checked, self.known, self.done = low, high, checked, known, done
 
 
@@ -145,122 +140,130 @@ class Block:
         self.size += len(words) + 1
 
     def count(self, plan: Plan):
-        """(words in a phrase, phrases, counts), level by level; level 0 is the number of words, under no name."""
-        names = list(self.code)
+        """(words in a phrase, hashes, phrases (none in a reading by hashes), counts), level by level.
+
+        Level 0 of a named reading is the number of words, under no name.
+        """
+        names, named = list(self.code), plan.done is not None
         ids, fresh = np.concatenate(self.ids), np.concatenate(self.fresh)
+        words = np.array([0, *(word_hash(self.lang, x) for x in names[1:])], np.uint64)
+        # Per code: its hash, its last word, its text. Codes of words are their ids, 0 stands between pieces.
+        hashes, last, texts = words, np.arange(len(names)), names
         at = np.flatnonzero(ids)
-        if plan.low == 1:
-            yield 0, [b""], [int(fresh[at].sum())]
-        word_hashes = np.array([0, *(word_hash(self.lang, x) for x in names[1:])], np.uint64)
-        # Per code: its hash, its text, whether earlier readings knew it. Codes of words are their ids.
-        hashes, texts, last = word_hashes, names, np.arange(len(names))
-        if plan.low == 1:
-            n = np.bincount(ids, fresh, len(names)).astype(np.int64)
-            n[0] = 0
-            some = np.flatnonzero(n)
-            yield 1, [names[i] for i in some.tolist()], n[some].tolist()
-        code = ids[at]
-        for k in range(2, plan.high + 1):
-            # Those that stay alive get new codes; their places and codes move on.
-            if k - 1 <= plan.checked:
-                alive = plan.known.holds(hashes)
-                alive[0] &= k > 2
-                here = alive[code]
-                at, code = at[here], (np.cumsum(alive) - 1)[code[here]]
-                keep = np.flatnonzero(alive)
-                hashes, last = hashes[keep], last[keep]
+        code, ahead = ids[at], np.zeros(len(names), bool)
+        if named:
+            yield 0, None, [b""], [int(fresh[at].sum())]
+        for k in range(1, plan.high + 1):
+            alive = ahead | plan.known.holds(hashes) if k <= plan.checked else np.ones(len(hashes), bool)
+            if k >= plan.low:
+                n = np.bincount(code, fresh[at + k - 1], len(hashes)).astype(np.int64)
+                some = np.flatnonzero((n > 0) & alive if named else n > 0)
+                yield k, hashes[some], [texts[i] for i in some.tolist()] if named else None, n[some]
+            if k == plan.high:
+                return
+            # Those that may be parts get new codes; two that overlap in all words but one make a phrase.
+            here = alive[code]
+            at, code = at[here], (np.cumsum(alive) - 1)[code[here]]
+            keep = np.flatnonzero(alive)
+            hashes, last = hashes[keep], last[keep]
+            if named:
                 texts = [texts[i] for i in keep.tolist()]
-            done = plan.done.holds(hashes)
+                done = plan.done.holds(hashes)
             pair = np.flatnonzero(np.diff(at) == 1)
             if not len(pair):
                 return
-            first, second, at = code[pair], code[pair + 1], at[pair]
-            keys, where, code = np.unique(first * len(texts) + second, return_index=True, return_inverse=True)
+            at, first, second = at[pair], code[pair], code[pair + 1]
+            keys, where, code = np.unique(first * len(hashes) + second, return_index=True, return_inverse=True)
             first, second = first[where], second[where]
-            hashes, last = mixed(hashes[first], word_hashes[last[second]]), last[second]
-            texts = [texts[a] + b" " + names[w] for a, w in zip(first.tolist(), last.tolist(), strict=True)]
-            if k >= plan.low:
-                n = np.bincount(code, fresh[at + k - 1], len(keys)).astype(np.int64)
-                some = np.flatnonzero((n > 0) & ~(done[first] & done[second]))
-                yield k, [texts[i] for i in some.tolist()], n[some].tolist()
+            hashes, last = mixed(hashes[first], words[last[second]]), last[second]
+            ahead = np.zeros(len(keys), bool)
+            if named:
+                ahead = ~(done[first] & done[second])
+                texts = [texts[a] + b" " + names[w] for a, w in zip(first.tolist(), last.tolist(), strict=True)]
+
+
+def _blocks(batches, plan: Plan):
+    """The batches' documents in blocks of about BLOCK_WORDS words, each of one language."""
+    blocks: dict[bytes, Block] = {}
+    held = 0
+    for batch in batches:
+        for lang, text in zip(utf8(batch.column("lang")), utf8(batch.column("text")), strict=True):
+            for words, old in tokens(text, plan.high - 1):
+                if lang not in blocks:
+                    blocks[lang] = Block(lang)
+                blocks[lang].add(words, old)
+                held += len(words)
+                if held >= BLOCK_WORDS:
+                    yield from blocks.values()
+                    blocks, held = {}, 0
+    yield from blocks.values()
+
+
+def by_hash(texts: DataFrame, low: int, high: int, checked: int, known=None) -> DataFrame:
+    """hash, n: how often the phrases of ``low`` to ``high`` words occur whose two parts may be parts."""
+
+    def work(batches):
+        plan = Plan(low, high, checked, Filter(known.value if known else None))
+        for block in _blocks(batches, plan):
+            for _, hashes, _, n in block.count(plan):
+                for at in range(0, len(n), ROWS):
+                    arrays = [pa.array(hashes[at : at + ROWS].view(np.int64)), pa.array(n[at : at + ROWS])]
+                    yield pa.RecordBatch.from_arrays(arrays, ["hash", "n"])
 
+    found = texts.select("lang", "text").mapInArrow(work, "hash long, n long")
+    return found.groupBy("hash").agg(F.sum("n").alias("n"))
+
+
+def by_name(texts: DataFrame, high: int, known, done) -> DataFrame:
+    """lang, k, phrase, n of the phrases that ``known`` holds or that have a part that ``done`` lacks; words in all as k = 0."""
 
-def _counting(low: int, high: int, checked: int, known, done):
     def work(batches):
-        plan = Plan(low, high, checked, Filter(known.value if known else None), Filter(done.value if done else None))
-        blocks: dict[bytes, Block] = {}
-        held = 0
-        for batch in batches:
-            for lang, text in zip(utf8(batch.column("lang")), utf8(batch.column("text")), strict=True):
-                for words, old in tokens(text, high - 1):
-                    if lang not in blocks:
-                        blocks[lang] = Block(lang)
-                    blocks[lang].add(words, old)
-                    held += len(words)
-                    if held >= BLOCK_WORDS:
-                        yield from rows(blocks, plan)
-                        blocks, held = {}, 0
-        yield from rows(blocks, plan)
-
-    def rows(blocks, plan):
-        for lang, block in blocks.items():
-            for k, phrases, counts in block.count(plan):
-                for low in range(0, len(phrases), 50_000):
-                    part, n = phrases[low : low + 50_000], counts[low : low + 50_000]
-                    arrays = [pa.array([lang] * len(part), pa.binary()).cast(pa.string()), pa.array([k] * len(part), pa.int32())]
-                    arrays += [pa.array(part, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())]
-                    yield pa.RecordBatch.from_arrays(arrays, _ARROW_COUNTS.names)
-
-    return work
-
-
-def _counted(texts: DataFrame, low: int, high: int, checked: int, known=None, done=None) -> DataFrame:
-    found = texts.select("lang", "text").mapInArrow(_counting(low, high, checked, known, done), COUNTS)
+        plan = Plan(1, high, high, Filter(known.value), Filter(done.value))
+        for block in _blocks(batches, plan):
+            for k, _, phrases, n in block.count(plan):
+                for at in range(0, len(n), ROWS):
+                    part = pa.array(phrases[at : at + ROWS], pa.binary()).cast(pa.string())
+                    lang = pa.array([block.lang] * len(part), pa.binary()).cast(pa.string())
+                    arrays = [lang, pa.array([k] * len(part), pa.int32()), part, pa.array(n[at : at + ROWS], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(arrays, ["lang", "k", "phrase", "n"])
+
+    found = texts.select("lang", "text").mapInArrow(work, "lang string, k int, phrase string, n long")
     return found.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
 
 
-def _bits(phrases: DataFrame, size: int) -> np.ndarray:
-    """The filter's bits that phrases (lang, phrase) set, put together by place."""
+def filter_of(hashes: DataFrame, most: int) -> np.ndarray:
+    """The Bloom filter of a column ``hash``: a power of two of bits, put together by place."""
+    size = max(hashes.count(), 1) * BITS_A_PHRASE
+    size = min(max(1 << (size - 1).bit_length(), LEAST_BITS), 1 << (most.bit_length() - 1))
 
     def work(batches):
         for batch in batches:
-            pairs = zip(utf8(batch.column("lang")), utf8(batch.column("phrase")), strict=True)
-            hashes = np.array([phrase_hash(a, b) for a, b in pairs], np.uint64)
-            if len(hashes):
-                place = np.concatenate(places(hashes, np.uint64(size - 1)))
-                bit = (np.uint64(1) << (place & np.uint64(63))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array((place >> np.uint64(6)).astype(np.int32)), pa.array(bit)], ["slot", "bits"])
-
-    parts = phrases.select("lang", "phrase").mapInArrow(work, "slot int, bits long")
+            own = batch.column("hash").to_numpy(zero_copy_only=False).view(np.uint64)
+            place = np.concatenate(places(own, np.uint64(size - 1)))
+            bit = (np.uint64(1) << (place & np.uint64(63))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((place >> np.uint64(6)).astype(np.int32)), pa.array(bit)], ["slot", "bits"])
+
+    parts = hashes.select("hash").mapInArrow(work, "slot int, bits long")
     found = parts.groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most size / 64 rows
     out = np.zeros(size // 64, np.uint64)
     out[found.column("slot").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return out
 
 
-def filter_size(phrases: int, most: int) -> int:
-    """Bits for so many phrases: a power of two."""
-    return min(max(1 << (max(phrases, 1) * BITS_A_PHRASE - 1).bit_length(), 1 << 16), 1 << (most.bit_length() - 1))
-
-
-def proposed(texts: DataFrame, min_count: int, max_words: int, every: int, filter_bits: int) -> tuple[np.ndarray, int]:
-    """The filter of the phrases that a sample proposes, and the readings that took."""
-    spark = texts.sparkSession
+def proposed(texts: DataFrame, min_count: int, max_words: int, every: int, filter_bits: int) -> np.ndarray:
+    """The filter of the phrases that a sample proposes."""
+    send = texts.sparkSession.sparkContext.broadcast
     sample = texts.filter(F.pmod(F.xxhash64("id", "text"), F.lit(every)) == 0) if every > 1 else texts
     expected = min_count / every
     least = max(2, round(expected - 2 * expected**0.5)) if every > 1 else min_count
-    found = staged(_counted(sample, 1, 1, 0).filter((F.col("n") >= least) & (F.col("k") > 0)))
-    size = filter_size(found.count(), filter_bits)
-    bits = _bits(found, size)
-    pairs = staged(_counted(sample, 2, 2, 1, spark.sparkContext.broadcast(bits)).filter(F.col("n") >= least))
-    found = found.unionByName(pairs)
+    often = F.col("n") >= least
+    found = staged(by_hash(sample, 1, 1, 0).filter(often))
+    bits = filter_of(found, filter_bits)
+    found = found.unionByName(staged(by_hash(sample, 2, 2, 1, send(bits)).filter(often)))
     if max_words > 2:
-        size = filter_size(found.count(), filter_bits)
-        both = spark.sparkContext.broadcast(_bits(found, size))
-        longer = staged(_counted(sample, 3, max_words, 2, both).filter(F.col("n") >= least))
-        found = found.unionByName(longer)
-    # Room for as many again: failures join the filter.
-    return _bits(found, filter_size(2 * found.count(), filter_bits)), least
+        both = filter_of(found, filter_bits)
+        found = found.unionByName(staged(by_hash(sample, 3, max_words, 2, send(both)).filter(often)))
+    return filter_of(found, filter_bits)
 
 
 def frequent(
@@ -272,52 +275,26 @@ def frequent(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-) -> tuple[DataFrame, DataFrame, int]:
-    """All phrases of up to ``max_words`` words that occur ``min_count`` times in a language (lang, k, phrase, n); the
-    number of words of each language (lang, n); how many readings of all documents that took."""
-    spark = docs.sparkSession
+) -> tuple[DataFrame, DataFrame]:
+    """All phrases of up to ``max_words`` words that occur ``min_count`` times in a language (lang, k, phrase, n), and
+    the number of words of each language (lang, n)."""
+    send = docs.sparkSession.sparkContext.broadcast
     texts = docs.select(
         F.col(f"`{id_col}`").cast("string").alias("id"),
         F.col(f"`{text_col}`").alias("text"),
         F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"),
     )
-    bits, _ = proposed(texts, min_count, max_words, every, filter_bits)
-    known, done = spark.sparkContext.broadcast(bits), None
-    parts, readings = [], 0
-    while True:
-        low = 1 if done is None else 2
-        counts = _counted(texts, low, max_words, max_words, known, done)
-        kept = staged(counts.filter((F.col("n") >= min_count) | (F.col("k") == 0)))
-        parts.append(kept)
-        readings += 1
-        failures = staged(_missing(kept.filter((F.col("k") > 0) & (F.col("k") < max_words)), known))
-        if failures.isEmpty():
-            break
-        bits = bits | _bits(failures, 64 * len(bits))
-        known, done = spark.sparkContext.broadcast(bits), known
-    everything = parts[0]
-    for part in parts[1:]:
-        everything = everything.unionByName(part)
-    totals = parts[0].filter(F.col("k") == 0).select("lang", "n")
-    return everything.filter(F.col("k") > 0), totals, readings
-
-
-def _missing(phrases: DataFrame, known) -> DataFrame:
-    """The phrases (lang, phrase) that the filter doesn't hold."""
-
-    def work(batches):
-        own = Filter(known.value)
-        for batch in batches:
-            pairs = zip(utf8(batch.column("lang")), utf8(batch.column("phrase")), strict=True)
-            out = ~own.holds(np.array([phrase_hash(a, b) for a, b in pairs], np.uint64))
-            yield batch.filter(pa.array(out))
-
-    return phrases.select("lang", "phrase").mapInArrow(work, "lang string, phrase string")
+    proposals = send(proposed(texts, min_count, max_words, every, filter_bits))
+    often = F.col("n") >= min_count
+    hashes = staged(by_hash(texts, 1, max_words, max_words, proposals).filter(often))
+    counts = by_name(texts, max_words, send(filter_of(hashes, filter_bits)), proposals)
+    counts = staged(counts.filter(often | (F.col("k") == 0)))
+    return counts.filter(F.col("k") > 0), counts.filter(F.col("k") == 0).select("lang", "n")
 
 
 def collocations(docs: DataFrame, keep: int = KEEP, share: int = SHARE, **options) -> DataFrame:
     """Each language's first ``keep`` phrases by score: lang, rank, phrase, a, l, r, n, score."""
-    found, totals, _ = frequent(docs, **options)
+    found, totals = frequent(docs, **options)
     counts = found.select("lang", "phrase", F.col("n").alias("f"))
     candidates = found.filter(F.col("k") > 1).select("lang", "k", "phrase", F.col("n").alias("a"))
     cuts = candidates.select("*", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut"))

@@ -15,7 +15,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 AWKWARD = [
     "", " ", "\n", "a\tb\r\nc\x0bd\x0ce", "a b c\u0085d\x1ce\x1ff", "Ünïcode É é ́x \ńy İstanbul ǅ ß ſ",
     "<|endoftext|>", "x<|endoftext|>y <|startoftext|>\n<|endof", "it's we'RE 12 345 ½ ²", "漢字 かな 😀👍🏽 ‍", "Σίσυφος ΌΣΟΣ ς",
-    "a" * 5_000, "!?" * 3_000, "'S 't", "    x", "한글 한", "ﬁ ŉ ﻿ ­-", "The the THE",
+    "a" * 5_000, "!?" * 3_000, "don't 'tis we'll'd 'sss ''s !'re O'Réilly's x'S'T <a|b> a<|b", "ÄÖÜ äöü Straße ÿŸ × ÷ªº", "'S 't", "    x", "한글 한", "ﬁ ŉ ﻿ ­-", "The the THE",
 ]
 
 
@@ -81,11 +81,15 @@ def test_random_documents_against_the_library(spark, library):
 def test_words_encode_as_the_library_does(library, monkeypatch):
     with open(PATH, encoding="utf-8") as file:
         own = packing.Words(file.read(), cached=20)
-    texts = [*AWKWARD, LONG, " ".join(AWKWARD), "\n".join(AWKWARD), "".join(AWKWARD)]
+    assert own.by_words
+    plain = [t for t in AWKWARD if t.isascii() and "<" not in t]
+    texts = [*AWKWARD, LONG, " ".join(plain), "\n".join(plain), " ".join(AWKWARD), "\n".join(AWKWARD), "".join(AWKWARD)]
     wanted = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    assert own.encode_all(texts) == wanted
+    assert [own.encode(t) for t in texts] == wanted
     monkeypatch.setattr(packing, "STRETCH", 10)
-    assert own.encode_all(texts) == wanted
+    assert [own.encode(t) for t in texts] == wanted
+    own.by_words = False
+    assert [own.encode(t) for t in texts] == wanted
     for size in (1, 2, 7):
         assert all(" ".join(packing.stretches(t, size)) == t for t in texts)
 

@@ -77,16 +77,22 @@ def test_like_brute_force(spark, every, filter_bits):
     assert rows_of(phrases.collocations(frame(spark, rows), min_count=5, every=every, filter_bits=filter_bits)) == wanted
 
 
-def test_border_failures_are_counted_by_further_readings(spark):
+def test_the_sample_makes_no_difference(spark):
+    """Proposals of a sample without documents: everything is counted ahead."""
     ready(spark)
-    rows = corpus(7)
-    data = frame(spark, rows)
-    full, _, once = phrases.frequent(data, min_count=5, every=1)
-    poor, _, many = phrases.frequent(data, min_count=5, every=100_000)
-    assert once == 1 and many > 1
+    data = frame(spark, corpus(7))
+    full, _ = phrases.frequent(data, min_count=5, every=1)
+    poor, _ = phrases.frequent(data, min_count=5, every=100_000)
     assert rows_of(full) == rows_of(poor)
 
 
+def test_phrases_under_one_hash_are_told_apart(spark, monkeypatch):
+    """A filter so small that it lets everything through."""
+    ready(spark)
+    rows = corpus(8)
+    assert rows_of(phrases.collocations(frame(spark, rows), min_count=30, every=2, filter_bits=64)) == brute(rows, 30)
+
+
 def test_ranks_cut_and_shares(spark):
     ready(spark)
     rows = corpus(9)
@@ -109,7 +115,9 @@ def test_stretches_and_blocks_make_no_difference(monkeypatch):
         block = phrases.Block(b"en")
         for words, old in phrases.tokens(text.encode(), 4):
             block.add(words, old)
-        return {(k, p): n for k, ps, ns in block.count(phrases.Plan(1, 5, 0, phrases.Filter(None), phrases.Filter(None))) for p, n in zip(ps, ns, strict=True)}
+        everything = phrases.Filter(np.full(1, 2**64 - 1, np.uint64))
+        found = block.count(phrases.Plan(1, 5, 5, everything, phrases.Filter(None)))
+        return {(k, p): n for k, _, ps, ns in found for p, n in zip(ps, ns, strict=True)}
 
     whole = counted(1 << 20)
     assert whole[5, b"two three four five six"] == 30 and whole[0, b""] == 30 * 13
@@ -117,13 +125,14 @@ def test_stretches_and_blocks_make_no_difference(monkeypatch):
         assert counted(stretch) == whole
 
 
-def test_hashes_agree():
-    words = [b"a", b"bc", b"\xc3\xa9", b"d"]
-    h = np.array([phrases.word_hash(b"en", w) for w in words], np.uint64)
-    held = h[:1]
-    for i in range(1, 4):
-        held = phrases.mixed(held, h[i : i + 1])
-        assert int(held[0]) == phrases.phrase_hash(b"en", b" ".join(words[: i + 1]))
+def test_counts_by_hash_are_those_by_name():
+    block = phrases.Block(b"en")
+    for words, old in phrases.tokens("a b c a b, c a b d é é é é a b c".encode(), 4):
+        block.add(words, old)
+    everything, nothing = phrases.Filter(np.full(1, 2**64 - 1, np.uint64)), phrases.Filter(None)
+    named = [(k, h.tolist(), n.tolist()) for k, h, _, n in block.count(phrases.Plan(1, 5, 5, everything, nothing)) if k]
+    assert [(k, h.tolist(), n.tolist()) for k, h, _, n in block.count(phrases.Plan(1, 5, 0, nothing))] == named
+    assert len({x for _, h, _ in named for x in h}) == sum(len(h) for _, h, _ in named)
 
 
 def test_large_products_are_exact(spark):
