@@ -49,6 +49,7 @@ STRETCH_BYTES = 4 << 20
 SALTS = 32
 PROBES = 3
 ROWS = 50_000
+HELD = 300_000  # phrases whose counts a task keeps before it hands them on
 LEAST_BITS = 1 << 10
 
 # Lower-cases A-Z, makes tabs blanks, and marks the ends of pieces by a byte that UTF-8 never has.
@@ -152,7 +153,7 @@ class Block:
         at = np.flatnonzero(ids)
         code, ahead = ids[at], np.zeros(len(names), bool)
         if named:
-            yield 0, None, [b""], [int(fresh[at].sum())]
+            yield 0, None, [b""], np.array([fresh[at].sum()], np.int64)
         for k in range(1, plan.high + 1):
             alive = ahead | plan.known.holds(hashes) if k <= plan.checked else np.ones(len(hashes), bool)
             if k >= plan.low:
@@ -219,13 +220,31 @@ def by_name(texts: DataFrame, high: int, known, done) -> DataFrame:
 
     def work(batches):
         plan = Plan(1, high, high, Filter(known.value), Filter(done.value))
+        held: dict[bytes, dict[bytes, int]] = {}
         for block in _blocks(batches, plan):
-            for k, _, phrases, n in block.count(plan):
-                for at in range(0, len(n), ROWS):
-                    part = pa.array(phrases[at : at + ROWS], pa.binary()).cast(pa.string())
-                    lang = pa.array([block.lang] * len(part), pa.binary()).cast(pa.string())
-                    arrays = [lang, pa.array([k] * len(part), pa.int32()), part, pa.array(n[at : at + ROWS], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(arrays, ["lang", "k", "phrase", "n"])
+            own = held.setdefault(block.lang, {})
+            for _, _, phrases, n in block.count(plan):
+                for phrase, more in zip(phrases, n.tolist(), strict=True):
+                    own[phrase] = own.get(phrase, 0) + more
+            if sum(map(len, held.values())) > HELD:
+                yield from rows(held)
+                held = {}
+        yield from rows(held)
+
+    def rows(held):
+        for lang, own in held.items():
+            phrases, n = list(own), list(own.values())
+            for at in range(0, len(n), ROWS):
+                part = phrases[at : at + ROWS]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([lang] * len(part), pa.binary()).cast(pa.string()),
+                        pa.array([x.count(b" ") + 1 if x else 0 for x in part], pa.int32()),
+                        pa.array(part, pa.binary()).cast(pa.string()),
+                        pa.array(n[at : at + ROWS], pa.int64()),
+                    ],
+                    ["lang", "k", "phrase", "n"],
+                )
 
     found = texts.select("lang", "text").mapInArrow(work, "lang string, k int, phrase string, n long")
     return found.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
