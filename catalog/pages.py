@@ -11,8 +11,8 @@ from listingflow.sources.specs import PORTAL, SourceSpec
 from .tables import customers_orders, dealt, gazetteer, load, query
 
 # Every page of the table counts as a detail page of its site; cards are its menu links.
-DETAIL = SourceSpec("web", 1, (r"example\.(?:com|net|org)/[a-z]{2}/(\d+)",))
-LINKS = SourceSpec("web", 1, (r"^https?://[^/]*example\.[a-z]+/([^/]+)$",))
+DETAIL = SourceSpec(name="web", ordinal=1, detail_url_patterns=(r"example\.(?:com|net|org)/[a-z]{2}/(\d+)",))
+LINKS = SourceSpec(name="web", ordinal=1, detail_url_patterns=(r"^https?://[^/]*example\.[a-z]+/([^/]+)$",))
 
 
 def _pages(spark, sf):
@@ -165,7 +165,7 @@ def forum_index(spark, sf):
     SELECT 'site' || m AS source, 'record' AS kind, count(*) AS n FROM n WHERE rn = 1 GROUP BY m
     UNION ALL SELECT 'site' || m, 'LOGIN_REQUIRED', count(*) FROM p WHERE page_id % 10 = 4 GROUP BY m""")
 def extract_all_sources(spark, sf):
-    specs = [SourceSpec(f"site{i}", i, DETAIL.detail_url_patterns) for i in range(3)]
+    specs = [SourceSpec(name=f"site{i}", ordinal=i, detail_url_patterns=DETAIL.detail_url_patterns) for i in range(3)]
     pages = _pages(spark, sf).withColumns(
         {
             "source": F.concat(F.lit("site"), (F.col("page_id") % 3).cast("string")),

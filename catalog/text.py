@@ -6,9 +6,8 @@ from listingflow.functions import numbers as N
 from listingflow.functions import text as X
 from listingflow.functions import urls as U
 from listingflow.functions import vocabulary as V
-from listingflow.operators.classify import raw_is_female_only
 from listingflow.sources import pages as P
-from listingflow.sources.walk import json_leaves, walk_objects
+from listingflow.sources.walk import names_women_only, walk_objects
 
 from . import words
 from .tables import L_SQL, dealt, like_any, listings, load, query, sql_list
@@ -362,5 +361,5 @@ def said_and_stored(spark, sf):
     WITH l AS ({L_SQL}) SELECT listing_id, (CAST(listing_id AS BIGINT) % 12) IN (0, 2) AS female_only FROM l""")
 def gender_key_predicate(spark, sf):
     return listings(spark, sf).select(
-        "listing_id", raw_is_female_only(json_leaves(F.col("raw"))).alias("female_only")
+        "listing_id", names_women_only(F.col("raw")).alias("female_only")
     )

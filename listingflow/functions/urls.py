@@ -169,12 +169,13 @@ def page_link(base: str, href: str) -> str:
     link = href.strip().strip("'\"")
     address, _ = urldefrag(urljoin("https://" if link[:2] == "//" else base, link))
     front, _, asked = address.partition("?")
-    pairs = [p for p in parse_qsl(asked, keep_blank_values=True) if not _tracks(p[0].lower())]
-    place = {key: -i for i, (key, _) in reversed(list(enumerate(pairs)))}
-    pairs.sort(key=lambda p: -place[p[0]])
+    values: dict[str, list[str]] = {}
+    for key, value in parse_qsl(asked, keep_blank_values=True):
+        if not _tracks(key.lower()):
+            values.setdefault(key, []).append(value)
     kind, origin, whole = re.match(r"([^:/]*:)?(//[^/]*)?(.*)", front, re.DOTALL).groups("")
     short = f"{kind.lower()}{origin}{whole.rstrip('/') or whole}"
-    return f"{short}?{urlencode(pairs)}" if pairs else short
+    return f"{short}?{urlencode(values, doseq=True)}" if values else short
 
 
 def _tracks(key: str) -> bool:

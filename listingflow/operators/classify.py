@@ -13,12 +13,11 @@ from ..functions.text import (
     classification_text,
     contains_any,
     female_only,
-    female_only_value,
     normalize_spelling,
     short_summary,
     words_found,
 )
-from ..sources.walk import json_leaves
+from ..sources.walk import names_women_only
 
 LABEL_FIELDS = (
     "is_suite",
@@ -34,25 +33,9 @@ LABEL_FIELDS = (
 )
 
 
-def raw_is_female_only(leaves: Column) -> Column:
-    """Any value under a gender-like key, at any depth, that restricts to women."""
-    return F.exists(
-        leaves, lambda x: x["path"].rlike(V.GENDER_KEY_PATTERN) & female_only_value(x["text"])
-    )
-
-
 def add_female_only(records: DataFrame, raw: str = "raw", out: str = "female_only") -> DataFrame:
-    """Only payloads that name a gender-like key at all are walked."""
-    walkable = F.when(F.col(raw).rlike(V.GENDER_KEY_PATTERN), F.col(raw))
-    return (
-        records.withColumn("_leaves", json_leaves(walkable))
-        .withColumn(
-            out,
-            female_only(classification_text())
-            | F.coalesce(raw_is_female_only(F.col("_leaves")), F.lit(False)),
-        )
-        .drop("_leaves")
-    )
+    """By the record's words, or by a value under a gender-like key of its payload, at any depth."""
+    return records.withColumn(out, female_only(classification_text()) | names_women_only(F.col(raw)))
 
 
 def keyword_classification(text: Column, is_female_only: Column | None = None) -> Column:

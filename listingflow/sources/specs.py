@@ -15,7 +15,7 @@ PORTAL_DETAIL_PATTERNS = (
 )
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, kw_only=True)
 class SourceSpec:
     name: str
     ordinal: int
@@ -38,30 +38,30 @@ class SourceSpec:
 
 
 # The sources in the order their records win.
-FORUM = SourceSpec("ptt_rent_tao", 0, kind="forum", max_rent=80_000, max_fee=10_000, area_bounds=(1, 80))
+FORUM = SourceSpec(name="ptt_rent_tao", ordinal=0, kind="forum", max_rent=80_000, max_fee=10_000, area_bounds=(1, 80))
 PORTAL = SourceSpec(
-    "591", 1, PORTAL_DETAIL_PATTERNS, "portal", "firstRow", stop_after_misses=2,
+    name="591", ordinal=1, detail_url_patterns=PORTAL_DETAIL_PATTERNS, kind="portal", stop_after_misses=2,
     max_rent=200_000, max_fee=10_000, area_bounds=(None, None),
 )
 RAKUYA = SourceSpec(
-    "rakuya", 2,
-    (
+    name="rakuya", ordinal=2,
+    detail_url_patterns=(
         r"community\.rakuya\.com\.tw/\d+/rent/([A-Za-z0-9_-]+)",
         r"rent\.rakuya\.com\.tw/(?:rent_detail|detail|house)/([A-Za-z0-9_-]+)",
         r"rent\.rakuya\.com\.tw/.*/rent/([A-Za-z0-9_-]+)",
     ),
 )
 YUNGCHING = SourceSpec(
-    "yungching", 3,
-    (
+    name="yungching", ordinal=3,
+    detail_url_patterns=(
         r"rent\.yungching\.com\.tw/house/([A-Za-z0-9_-]+)",
         r"rent\.yungching\.com\.tw/list/.*/house/([A-Za-z0-9_-]+)",
     ),
 )
-HOUSEPRICE = SourceSpec("houseprice_5168", 4, (r"rent\.houseprice\.tw/house/([A-Za-z0-9_-]+)",))
+HOUSEPRICE = SourceSpec(name="houseprice_5168", ordinal=4, detail_url_patterns=(r"rent\.houseprice\.tw/house/([A-Za-z0-9_-]+)",))
 SINYI = SourceSpec(
-    "sinyi", 5,
-    (
+    name="sinyi", ordinal=5,
+    detail_url_patterns=(
         r"www\.sinyi\.com\.tw/rent/houseno/([A-Za-z0-9_-]+)",
         r"www\.sinyi\.com\.tw/rent/([A-Za-z0-9_-]{4,})(?:/|$)",
     ),

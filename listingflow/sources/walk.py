@@ -1,73 +1,226 @@
-"""Leaves of nested JSON text, for predicates on keys at any depth."""
+"""Nested JSON without recursion: one pass over a text's signs, strings and plain values.
+
+A text of any depth is read with a list of the containers that are open; each object is known by its place in the
+text. Malformed text gives nothing; it never fails a run.
+"""
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def leaves(value: object, path: tuple[str, ...] = ()) -> Iterator[tuple[str, str]]:
-    """(keys on the way, one per line; text) of every non-blank string and every number."""
-    if isinstance(value, dict):
-        for key, child in value.items():
-            yield from leaves(child, (*path, str(key)))
-    elif isinstance(value, list):
-        for child in value:
-            yield from leaves(child, path)
-    elif isinstance(value, str):
-        if value.strip():
-            yield "\n".join(path), value.strip()
-    elif value is not None:
-        yield "\n".join(path), str(value)
-
-
-def objects(value: object) -> Iterator[dict]:
-    """Every nested object, outer before inner."""
-    if isinstance(value, dict):
-        yield value
-        value = list(value.values())
-    if isinstance(value, list):
-        for child in value:
-            yield from objects(child)
-
-
-def parse(text: str | None) -> object | None:
-    try:
-        return json.loads(text) if text else None
-    except ValueError:
+from ..functions import vocabulary as V
+from ..functions.text import female_only_value
+
+_TOKEN = re.compile(
+    r"[ \t\n\r]*(?:([{}\[\],:])"
+    r'|("[^"\\\x00-\x1f]*(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*)*")'
+    r"|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null|NaN|-?Infinity))"
+)
+_PLAIN = {"true": True, "false": False, "null": None, "NaN": float("nan"), "Infinity": float("inf"), "-Infinity": float("-inf")}
+_DIGITS = 4_000  # longer integers are read as floating-point numbers
+VALUE, ITEM, KEY, FIRST_KEY, COLON, NEXT = range(6)
+
+
+def whole_characters(text: str) -> str:
+    """Halves of character pairs that stand alone become replacement characters."""
+    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+def _string(token: str) -> str:
+    return whole_characters(json.loads(token)) if "\\" in token else token[1:-1]
+
+
+def _plain(token: str) -> object:
+    if token in _PLAIN:
+        return _PLAIN[token]
+    return int(token) if token.lstrip("-").isdigit() and len(token) < _DIGITS else float(token)
+
+
+class Reading:
+    """One JSON value: its Python form, where it ends, and its objects in the order they open."""
+
+    def __init__(self, text: str, at: int = 0):
+        self.source = text
+        self.root: object = None
+        self.objects: list[tuple[dict, int]] = []  # with the index of their span
+        self.spans: list[list[int]] = []  # start, end, index of the object around it
+        self.repeated: list[tuple[int, int]] = []  # members that a later one of the same name replaces
+        self.end = self._read(at)
+
+    def _read(self, at: int) -> int:
+        """Where the value ends; -1 if the text is malformed."""
+        match, text = _TOKEN.match, self.source
+        stack: list[tuple[object, int, list]] = []  # open containers, the object they are or stand in, names and places of members
+        expect, key, inside = VALUE, "", -1
+        while True:
+            found = match(text, at)
+            if found is None:
+                return -1
+            sign, string, plain = found.groups()
+            at = found.end()
+            if expect == COLON:
+                if sign != ":":
+                    return -1
+                expect = VALUE
+                continue
+            if expect in (KEY, FIRST_KEY) and string is not None:
+                key, expect = _string(string), COLON
+                stack[-1][2].append((key, found.start(2)))
+                continue
+            closes = sign == "}" and expect in (FIRST_KEY, NEXT) or sign == "]" and expect in (ITEM, NEXT)
+            if closes and stack and isinstance(stack[-1][0], dict) == (sign == "}"):
+                done, index, members = stack.pop()
+                if sign == "}":
+                    self.spans[index][1] = at
+                    if len(members) > len(done):
+                        last = {name: i for i, (name, _) in enumerate(members)}
+                        self.repeated += [
+                            (start, members[i + 1][1]) for i, (name, start) in enumerate(members) if last[name] != i
+                        ]
+                inside = stack[-1][1] if stack else -1
+                if not stack:
+                    self.root = done
+                    return at
+                expect = NEXT
+                continue
+            if expect == NEXT:
+                if sign != ",":
+                    return -1
+                expect = KEY if isinstance(stack[-1][0], dict) else VALUE
+                continue
+            if expect not in (VALUE, ITEM) or sign not in (None, "{", "["):
+                return -1
+            value = {} if sign == "{" else [] if sign == "[" else _string(string) if string is not None else _plain(plain)
+            if stack:
+                holder = stack[-1][0]
+                if isinstance(holder, dict):
+                    holder[key] = value
+                else:
+                    holder.append(value)
+            if sign == "{":
+                self.objects.append((value, len(self.spans)))
+                self.spans.append([found.start(1), -1, inside])
+                inside = len(self.spans) - 1
+                stack.append((value, inside, []))
+                expect = FIRST_KEY
+            elif sign == "[":
+                stack.append((value, inside, []))
+                expect = ITEM
+            elif stack:
+                expect = NEXT
+            else:
+                self.root = value
+                return at
+
+    def text(self, index: int) -> str:
+        """An object's own text, without members that others replace."""
+        start, end, _ = self.spans[index]
+        out = []
+        for low, high in sorted(x for x in self.repeated if start < x[0] and x[1] <= end):
+            if low >= start:
+                out.append(self.source[start:low])
+                start = high
+        return "".join([*out, self.source[start:end]])
+
+
+def read(text: str | None) -> Reading | None:
+    """The one value that a text is; None if it isn't one."""
+    if not text:
         return None
+    found = Reading(text)
+    return found if found.end >= 0 and not text[found.end :].strip(" \t\n\r") else None
+
+
+def read_from(text: str, at: int) -> Reading | None:
+    """The value that starts at a place of a text, whatever follows it."""
+    found = Reading(text, at)
+    return found if found.end >= 0 else None
+
+
+def texts_under(value: object, key: re.Pattern) -> Iterator[str]:
+    """Every non-blank string and every number below a member whose name the pattern finds."""
+    todo = [(value, False)]
+    while todo:
+        item, under = todo.pop()
+        if isinstance(item, dict):
+            todo.extend((child, under or bool(key.search(name))) for name, child in reversed(item.items()))
+        elif isinstance(item, list):
+            todo.extend((child, under) for child in reversed(item))
+        elif under and item is not None:
+            text = item.strip() if isinstance(item, str) else str(item)
+            if text:
+                yield text
+
+
+_SPAN = T.StructType([T.StructField(n, T.IntegerType()) for n in ("pos", "parent", "start", "length")])
 
 
-_LEAF = T.StructType([T.StructField("path", T.StringType()), T.StructField("text", T.StringType())])
+@F.pandas_udf(T.ArrayType(_SPAN))
+def object_spans(texts: pd.Series) -> pd.Series:
+    """The objects of JSON texts, outer before inner: where each stands (from 1), and in which one."""
 
+    def spans(text: str | None) -> list[dict]:
+        found = read(text)
+        return [
+            {"pos": i, "parent": around if around >= 0 else None, "start": start + 1, "length": end - start}
+            for i, (start, end, around) in enumerate(found.spans if found else ())
+        ]
 
-@F.pandas_udf(T.ArrayType(_LEAF))
-def json_leaves(raw: pd.Series) -> pd.Series:
-    return raw.map(lambda t: [{"path": p, "text": x} for p, x in leaves(parse(t))] if t else None)
+    return texts.map(spans)
 
 
-def _object_rows(batches):
-    for pdf in batches:
-        rows = []
-        for key, text in zip(pdf.iloc[:, 0], pdf.iloc[:, 1], strict=True):
-            for pos, item in enumerate(objects(parse(text))):
-                rows.append((key, pos, json.dumps(item, ensure_ascii=False)))
-        yield pd.DataFrame(rows, columns=["key", "pos", "object"])
+def walk_objects(df: DataFrame, key: str, text: str) -> DataFrame:
+    """One row per nested object of a JSON column: ``<key>, pos, parent, start, length, object``.
 
+    What the reading returns is linear in the text, whatever its depth: places. ``object``, the object's text, is cut
+    out by Spark, and only if it is used; it is read further with variant functions. Malformed text yields no rows.
+    """
+    spans = df.select(F.col(key), F.col(text).alias("_text"), F.inline(object_spans(F.col(text))))
+    return spans.select(key, "pos", "parent", "start", "length", F.substr("_text", F.col("start"), F.col("length")).alias("object"))
+
+
+# --- stored payloads, on the JVM -----------------------------------------------------
+
+# Quantifiers that never give back, so that long strings and many escapes need no stack.
+_SIGNS = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}\[\]:,]|[^\s{}\[\]:,"]++'
 
-def walk_objects(df, key: str, text: str):
-    """One row per nested object of a JSON column: ``<key>, pos, object`` (JSON text).
 
-    Objects are read further with variant functions; malformed text yields no rows.
+def _unquoted(token: Column) -> Column:
+    plain = F.substr(token, F.lit(2), F.length(token) - 2)
+    return F.when(~F.contains(token, F.lit("\\")), plain).otherwise(F.try_variant_get(F.try_parse_json(token), "$", "string"))
+
+
+def names_women_only(raw: Column) -> Column:
+    """Whether any value under a gender-like key of a JSON text, at any depth, restricts to women.
+
+    One fold over the text's tokens: how deep it is, the depth of the gender-like member it is in (-1: none), and
+    the last string, which is a name if a colon follows and else a value. Texts that Spark's parser refuses count as
+    empty; only those that may name such a key are read.
     """
-    kind = df.schema[key].dataType.simpleString()
-    return (
-        df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-        .filter("text IS NOT NULL")
-        .mapInPandas(_object_rows, f"key {kind}, pos int, object string")
-        .withColumnRenamed("key", key)
+    start = F.struct(
+        F.lit(0).alias("depth"), F.lit(-1).alias("inside"), F.lit(None).cast("string").alias("last"), F.lit(False).alias("found")
     )
+
+    def step(state: Column, token: Column) -> Column:
+        depth, inside, last = state["depth"], state["inside"], state["last"]
+        named = F.when((inside < 0) & _unquoted(last).rlike(V.GENDER_KEY_PATTERN), depth).otherwise(inside)
+        left = ((token == ",") & (inside == depth)) | (token.isin("}", "]") & (inside >= depth))
+        signs = token.isin("{", "}", "[", "]", ":", ",")
+        value = F.when(last.isNotNull() & (token != ":"), _unquoted(last)).when(~signs & ~token.startswith('"') & (token != "null"), token)
+        return F.struct(
+            F.when(token.isin("{", "["), depth + 1).when(token.isin("}", "]"), depth - 1).otherwise(depth).alias("depth"),
+            F.when(token == ":", named).when(left, F.lit(-1)).otherwise(inside).alias("inside"),
+            F.when(token.startswith('"'), token).alias("last"),
+            (state["found"] | F.when(inside >= 0, F.coalesce(female_only_value(value), F.lit(False))).otherwise(F.lit(False))).alias("found"),
+        )
+
+    may = raw.rlike(V.GENDER_KEY_PATTERN) | F.contains(raw, F.lit("\\u"))
+    tokens = F.when(may & F.try_parse_json(raw).isNotNull(), F.regexp_extract_all(raw, F.lit(_SIGNS), F.lit(0)))
+    return F.coalesce(F.aggregate(tokens, start, step, lambda s: s["found"]), F.lit(False))
