@@ -1,8 +1,8 @@
 """Place names: which city and district a record is in, without guessing.
 
 The gazetteer is a table the caller supplies: ``city, region_id, district, section_id, ord``.
-A small one (checked) becomes literal expressions, so resolving needs no join at all; names
-of a larger one are found by ``names_in_text``, a shuffle join on substrings.
+A small one (checked) becomes literal expressions, so resolving needs no join at all; a larger
+one stays a table (``place_table``), with the same methods and results.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from ..checkpoint import cut
 from ..functions import vocabulary as V
 from ..functions.text import blank_to_null, labelled_field, normalize_spelling, strip
 from ..functions.urls import query_value
+from .place_table import PlaceTable
 
-MAX_LITERAL_ROWS = 5_000
+LITERAL_ROWS = 2_000
 
 
 def _any_of(names: Sequence[str]) -> str:
@@ -44,17 +45,14 @@ class Gazetteer:
     legacy: tuple[tuple[int, int, str], ...] = ()  # region id, section id, label
 
     @classmethod
-    def from_table(cls, table: DataFrame, legacy: Sequence[tuple[int, int, str]] = ()) -> Gazetteer:
-        got = (
-            table.select("city", "region_id", "district", "section_id", "ord")
-            .orderBy("ord")
-            .limit(MAX_LITERAL_ROWS + 1)
-            .collect()
-        )
-        if len(got) > MAX_LITERAL_ROWS:
-            raise ValueError(
-                f"more than {MAX_LITERAL_ROWS} gazetteer rows: use names_in_text and joins"
-            )
+    def from_table(
+        cls, table: DataFrame, legacy: Sequence[tuple[int, int, str]] = (), literal_rows: int = LITERAL_ROWS
+    ) -> Gazetteer | PlaceTable:
+        """As literal expressions up to ``literal_rows`` rows, as a table beyond; results are the same."""
+        own = table.select("city", "region_id", "district", "section_id", "ord")
+        got = own.orderBy("ord").limit(literal_rows + 1).collect()
+        if len(got) > literal_rows:
+            return PlaceTable(own, legacy)
         return cls(tuple((r.city, r.region_id, r.district, r.section_id) for r in got), tuple(legacy))
 
     @cached_property
@@ -71,6 +69,10 @@ class Gazetteer:
             out.setdefault(district, []).append(city)
         return out
 
+    def prepared(self, df: DataFrame) -> DataFrame:
+        """Rows that several methods are to place: expressions read them once as they are."""
+        return df
+
     # --- lookups as expressions ---------------------------------------------------
 
     def belongs(self, city: Column, district: Column) -> Column:
@@ -97,6 +99,10 @@ class Gazetteer:
         city = normalize_spelling(preferred)
         return F.when(self.belongs(city, name), city).otherwise(self.only_city(name))
 
+    def add_city_of(self, df: DataFrame, district: str, preferred: str, out: str) -> DataFrame:
+        """The preferred city if the district is in it, else the one city that it is in."""
+        return df.withColumn(out, self.city_of(F.col(district), F.col(preferred)))
+
     def earliest_city(self, text: Column) -> Column:
         return blank_to_null(F.regexp_extract(text, _any_of(sorted(self.cities)), 1))
 
@@ -240,19 +246,21 @@ class Gazetteer:
         city: str = V.FORUM_CITY,
         stem: str = V.FORUM_CITY_STEM,
         aliases: Sequence[tuple[str, str]] = V.FORUM_AREA_ALIASES,
+        elsewhere: str | None = None,
     ) -> DataFrame:
         """Add struct(city, district) for a post on one city's board.
 
         The address line is asked first; an address in another city rejects the post. Then
         the whole text, then the bracketed area of the title, where short names are known.
+        ``elsewhere`` names a column with the first city on the address line, if it is known already.
         """
         c = F.col
         if city not in self.cities:  # a gazetteer without the board's city knows none of its places
             return df.withColumn(out, F.lit(None).cast("struct<city: string, district: string>"))
         stems = [(d.removesuffix("區"), d) for d in self.cities[city]]
         staged = (
-            df.withColumn("_name", normalize_spelling(c(text)))
-            .withColumn("_line", normalize_spelling(labelled_field(c("_name"), V.FORUM_ADDRESS_LABELS)))
+            self.board_line(df, text, "_line")
+            .withColumn("_name", normalize_spelling(c(text)))
             .withColumn("_area", normalize_spelling(bracket_area(c("_name"), stem)))
         )
 
@@ -272,7 +280,7 @@ class Gazetteer:
                 out = F.when(compact.startswith(short), F.lit(known[short])).otherwise(out)
             return out
 
-        staged = staged.withColumn("_elsewhere", self.earliest_city(c("_line"))).withColumn(
+        staged = staged.withColumn("_other", c(elsewhere) if elsewhere else self.earliest_city(c("_line"))).withColumn(
             "_district",
             F.coalesce(
                 named(c("_line")),
@@ -282,7 +290,7 @@ class Gazetteer:
                 abbreviated(c("_area")),
             ),
         )
-        rejected = F.coalesce(c("_elsewhere") != city, F.lit(False))
+        rejected = F.coalesce(c("_other") != city, F.lit(False))
         found_city = F.when(c("_district").isNotNull() | F.contains("_name", F.lit(city)), F.lit(city))
         place = F.struct(
             F.when(~rejected, found_city).alias("city"), F.when(~rejected, c("_district")).alias("district")
@@ -290,6 +298,11 @@ class Gazetteer:
         return staged.select(*df.columns, place.alias(out))
 
 
+    def board_line(self, df: DataFrame, text: str, out: str) -> DataFrame:
+        """A post's address line, in one spelling."""
+        return df.withColumn(out, normalize_spelling(labelled_field(normalize_spelling(F.col(text)), V.FORUM_ADDRESS_LABELS)))
+
+
 def bracket_area(text: Column, stem: str = V.FORUM_CITY_STEM) -> Column:
     """``[kind/city/area]`` at the head of a title: the area."""
     pattern = rf"(?U)[\[［][^/\]］]{{1,16}}/\s*{stem}(?:市|縣)?\s*/\s*([^/\]］\r\n]+)[\]］]"

@@ -13,7 +13,7 @@ from ..functions.text import blank_to_null
 from ..checkpoint import cut
 from ..operators.classify import recent
 from ..operators.dedupe import first_wins
-from ..operators.gazetteer import Gazetteer, address_in_text
+from ..operators.gazetteer import Gazetteer, PlaceTable, address_in_text
 from ..operators.merge import merge_details
 from ..operators.stop_rule import kept_pages
 from .dom import CANDIDATE_DDL, CARD, DETAIL, JSONLD, STATE, page_reader
@@ -44,7 +44,7 @@ def _flags(text: Column) -> dict[str, Column]:
     }
 
 
-def generic_records(found: DataFrame, spec: SourceSpec, gazetteer: Gazetteer) -> DataFrame:
+def generic_records(found: DataFrame, spec: SourceSpec, gazetteer: Gazetteer | PlaceTable) -> DataFrame:
     """Candidates of an ordinary source to records; ``valid`` marks those with a listing signal."""
     text, url = F.col("text"), F.col("url")
     is_object = F.col("strategy").isin(JSONLD, STATE)
@@ -156,7 +156,7 @@ def generic_records(found: DataFrame, spec: SourceSpec, gazetteer: Gazetteer) ->
     )
 
 
-def portal_records(found: DataFrame, spec: SourceSpec, gazetteer: Gazetteer) -> DataFrame:
+def portal_records(found: DataFrame, spec: SourceSpec, gazetteer: Gazetteer | PlaceTable) -> DataFrame:
     """Candidates of the portal with numeric ids: its own precedence and bounds."""
     text = F.col("text")
     jsonld, state, card = (F.col("strategy") == s for s in (JSONLD, STATE, CARD))
@@ -207,9 +207,7 @@ def portal_records(found: DataFrame, spec: SourceSpec, gazetteer: Gazetteer) ->
     kept = gazetteer.add_place_of_page(kept, "page_url", "page_place")
     kept = gazetteer.add_place_longest_first(kept, "text", "page_url", out="from_page")
     kept = gazetteer.add_place_longest_first(kept, "jsonld_text", out="from_jsonld")
-    kept = kept.withColumn("scope", F.coalesce("named_city", "page_place.city")).withColumn(
-        "owner", gazetteer.city_of(F.col("named"), F.col("scope"))
-    )
+    kept = gazetteer.add_city_of(kept.withColumn("scope", F.coalesce("named_city", "page_place.city")), "named", "scope", "owner")
     place = (
         F.when(jsonld, F.col("from_jsonld"))
         .when(card, F.col("from_page"))
@@ -303,7 +301,7 @@ def _position(spec: SourceSpec) -> list[Column]:
     ]
 
 
-def page_records(readable: DataFrame, spec: SourceSpec, gazetteer: Gazetteer) -> DataFrame:
+def page_records(readable: DataFrame, spec: SourceSpec, gazetteer: Gazetteer | PlaceTable) -> DataFrame:
     """Records per page, each key once per page, in the order strategy, position.
 
     A page's page-text record counts only if nothing else was found on it.
@@ -311,10 +309,10 @@ def page_records(readable: DataFrame, spec: SourceSpec, gazetteer: Gazetteer) ->
     return records_of(page_candidates(readable, spec), spec, gazetteer)
 
 
-def records_of(found: DataFrame, spec: SourceSpec, gazetteer: Gazetteer) -> DataFrame:
+def records_of(found: DataFrame, spec: SourceSpec, gazetteer: Gazetteer | PlaceTable) -> DataFrame:
     """The same from candidates that were read already."""
     build = portal_records if spec.kind == "portal" else generic_records
-    rows = build(found, spec, gazetteer)
+    rows = build(gazetteer.prepared(found), spec, gazetteer)
     # A page is one HTML value, so its records are a small group. Whether a candidate is
     # valid is decided from many derived columns; filtering only after the window keeps that
     # test from being pushed down and repeated inside them.
@@ -340,7 +338,7 @@ def _quarantine(own: DataFrame, readable: DataFrame, rows: DataFrame) -> DataFra
     return refused.unionByName(empty)
 
 
-def extract_records(pages: DataFrame, spec: SourceSpec, gazetteer: Gazetteer) -> tuple[DataFrame, DataFrame]:
+def extract_records(pages: DataFrame, spec: SourceSpec, gazetteer: Gazetteer | PlaceTable) -> tuple[DataFrame, DataFrame]:
     """Records and quarantine of one source's pages (``page_id, url, html[, status]``).
 
     The first occurrence of a key wins, in the order page, strategy, position.
@@ -353,7 +351,7 @@ def extract_records(pages: DataFrame, spec: SourceSpec, gazetteer: Gazetteer) ->
 
 
 def collect_source(
-    pages: DataFrame, spec: SourceSpec, gazetteer: Gazetteer, detail_pages: DataFrame | None = None
+    pages: DataFrame, spec: SourceSpec, gazetteer: Gazetteer | PlaceTable, detail_pages: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Records, quarantine and page counts of one source's searches.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..checkpoint import cut
 from ..operators.dedupe import first_wins
-from ..operators.gazetteer import Gazetteer
+from ..operators.gazetteer import Gazetteer, PlaceTable
 from .dom import CANDIDATE_DDL, page_reader
 from .extract import records_of
 from .forum import POST_DDL, post_records, read_posts
@@ -31,7 +31,7 @@ class Extractor:
     """
 
     reader: Callable[[SourceSpec], Callable[[Frames], Frames]]
-    build: Callable[[DataFrame, SourceSpec, Gazetteer], DataFrame]
+    build: Callable[[DataFrame, SourceSpec, Gazetteer | PlaceTable], DataFrame]
     columns: str
     empty_is_refused: bool = True
 
@@ -44,7 +44,7 @@ def _posts(spec: SourceSpec) -> Callable[[Frames], Frames]:
     return read
 
 
-def _forum(read: DataFrame, spec: SourceSpec, gazetteer: Gazetteer) -> DataFrame:
+def _forum(read: DataFrame, spec: SourceSpec, gazetteer: Gazetteer | PlaceTable) -> DataFrame:
     return post_records(read.drop("url").withColumnRenamed("page_url", "url"), gazetteer, spec)
 
 
@@ -94,7 +94,7 @@ def read_once(pages: DataFrame, specs: Sequence[SourceSpec], extractors: dict[st
 
 def extract_all(
     pages: DataFrame,
-    gazetteer: Gazetteer,
+    gazetteer: Gazetteer | PlaceTable,
     specs: Sequence[SourceSpec] = SPECS,
     extractors: dict[str, Extractor] = EXTRACTORS,
 ) -> tuple[DataFrame, DataFrame]:

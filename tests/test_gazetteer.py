@@ -1,9 +1,13 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from listingflow.operators import gazetteer as G
+from listingflow.operators.place_table import PlaceTable
+from listingflow.sources.registry import extract_all
 
-from .fixtures import gazetteer, gazetteer_table
+from .fixtures import PLACES, gazetteer, gazetteer_table
 
 
 def resolve(spark, text, city=None, district=None):
@@ -105,3 +109,62 @@ def test_address(spark):
     assert got == ["台北市 大安區羅斯福路四段", "大安區 路 1 號"]
     portal = G.address_in_text(F.col("t"), F.col("c"), F.col("d"), 40, portal=True)
     assert [r.a for r in df.select(portal.alias("a")).collect()] == ["大安區羅斯福路四段", "大安區"]
+
+
+@pytest.mark.parametrize("block", [3, 100_000])
+def test_a_table_gives_what_expressions_give(spark, block):
+    draw = random.Random(block)
+    words = [*{x for c, _, d, _ in PLACES for x in (c, d)}, "高雄", "台北", "桃園", "臺南市", "套房", " ", "、", "x", "地址：", "\n", "[無/桃園/中壢] "]
+
+    def text(n):
+        return "".join(draw.choice(words) for _ in range(draw.randint(0, n)))
+
+    rows = [
+        (
+            i, text(6), draw.choice([None, "", text(1), text(2)]), draw.choice([None, "", text(1), text(2)]),
+            draw.choice([None, "https://x/list?region=%d&section=%s" % (draw.choice([1, 2, 8, 26, 99]), draw.choice(["5", "15", "104", "256", "1-2"]))]),
+        )
+        for i in range(400)
+    ]
+    rows += [(1_000, None, None, None, None), (1_001, "台北市", None, "大安區", ""), (1_001, "台北市", None, "大安區", "")]
+    df = spark.createDataFrame(rows, "i int, t string, c string, d string, u string")
+    legacy = [(26, 256, "東沙")]
+    both = gazetteer(spark), PlaceTable(gazetteer_table(spark), legacy, block)
+    named = df.withColumn("t2", F.col("t"))
+    for use in (
+        lambda g: g.add_place(df, "t", "c", "d"),
+        lambda g: g.add_place(df, "t"),
+        lambda g: g.add_place_longest_first(df, "t"),
+        lambda g: g.add_place_longest_first(df, "t", "u"),
+        lambda g: g.add_place_of_page(df, "u", "place"),
+        lambda g: g.add_city_of(named, "d", "c", "place"),
+        lambda g: g.add_place_on_board(df, "t"),
+    ):
+        literal, table = (sorted(map(str, use(g).collect())) for g in both)
+        assert literal == table and len(table) == len(rows)
+
+
+def test_extraction_with_over_100_000_names(spark):
+    """Names of the fixture among many others, read from pages of three kinds of source."""
+    places = spark.range(110_000).selectExpr(
+        "concat('City', id % 500, '縣') AS city", "100 + id % 500 AS region_id", "concat('Ward', id, '區') AS district",
+        "id AS section_id", "1000 + id AS ord",
+    ).unionByName(gazetteer_table(spark))
+    book = G.Gazetteer.from_table(places)
+    assert isinstance(book, PlaceTable)
+    card = '<p><a href="https://rent.rakuya.com.tw/detail/%s">獨立套房 %s 8坪 9,000 元/月 ' + "好" * 240 + "</a></p>"
+    post = '<div id="main-content">標題 [無/桃園/中壢] 套房\n租金：9000 元\n約 8 坪 獨立套房 Ward7區\n--\n</div>'
+    portal = '<p><a href="https://rent.591.com.tw/204801">獨立套房 8坪 永和區 9,000 元/月</a></p>'
+    rows = [
+        (0, "rakuya", "https://rent.rakuya.com.tw/a", card % ("77ab01", "Ward109999區") + card % ("77ab02", "City3縣 Ward503區") + card % ("77ab03", "大安區")),
+        (1, "591", "https://rent.591.com.tw/list?kind=2&region=1", portal),
+        (2, "ptt_rent_tao", "https://www.ptt.cc/bbs/Rent_tao/M.1.A.html", post),
+    ]
+    pages = spark.createDataFrame(rows, "page_id int, source string, url string, html string")
+    found, _ = extract_all(pages, book)
+    small, _ = extract_all(pages, gazetteer(spark))
+    got = {r.listing_id: (r.city, r.district) for r in found.collect()}
+    assert got["77ab01"] == ("City499縣", "Ward109999區") and got["77ab02"] == ("City3縣", "Ward503區")
+    wanted = {r.listing_id: (r.city, r.district) for r in small.collect()}
+    assert {k: v for k, v in got.items() if not k.startswith("77ab0")} == {k: v for k, v in wanted.items() if not k.startswith("77ab0")}
+    assert got["204801"] == ("新北市", "永和區")
