@@ -8,6 +8,7 @@ from listingflow.sources.extract import collect_source, extract_records, page_ca
 from listingflow.sources.registry import extract_all
 from listingflow.sources.specs import PORTAL, SourceSpec
 
+from .state import page_walk_sql
 from .tables import customers_orders, dealt, gazetteer, load, query
 
 # Every page of the table counts as a detail page of its site; cards are its menu links.
@@ -179,7 +180,8 @@ def extract_all_sources(spark, sf):
     return kinds.groupBy("source", "kind").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(page_walk_sql("""SELECT page_id // 10 AS search, page_id % 10 AS page, count(*) AS n_parsed,
+        list(DISTINCT regexp_extract(url, 'example\\.(?:com|net|org)/[a-z]{2}/(\\d+)', 1)) AS keys FROM pages GROUP BY ALL""", 1))
 def collect_pages(spark, sf):
     """Every ten pages as one search: which of them a run would have fetched."""
     pages = dealt(load(spark, sf, "pages")).select(

@@ -289,34 +289,29 @@ def catch_up(spark, sf):
     return rows.select("user_id", "event_id", pages.alias("pages"))
 
 
-def _stop_sql(misses: int, rounds: int = 40) -> str:
-    """The page rule, applied from the start ``rounds`` times over."""
-    parts = [
-        """b AS (SELECT user_id AS search, CAST(day AS INT) AS page, sum(n) AS n_parsed FROM (
-            SELECT user_id, dense_rank() OVER (PARTITION BY user_id ORDER BY CAST(ts AS DATE)) - 1 AS day,
-                CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS n FROM events) GROUP BY ALL)""",
-        """r AS (SELECT DISTINCT user_id AS search, CAST(day AS INT) AS page, event_type AS source, k FROM (
-            SELECT user_id, event_type, CAST(floor(value) AS INT) % 40 AS k,
-                dense_rank() OVER (PARTITION BY user_id ORDER BY CAST(ts AS DATE)) - 1 AS day FROM events)
-            WHERE source <> 'error')""",
-        "e0 AS (SELECT DISTINCT search, CAST(NULL AS INT) AS last_page FROM b)",
-    ]
-    for i in range(1, rounds + 1):
-        run = "z" if misses == 1 else "(SELECT a.* FROM z a SEMI JOIN z b2 ON a.search = b2.search AND a.page = b2.page + 1)"
-        parts += [
-            f"""f{i} AS MATERIALIZED (SELECT source, k, min((search, page)) AS a FROM r JOIN e{i - 1} USING (search)
-                WHERE last_page IS NULL OR page <= last_page GROUP BY source, k)""",
-            f"""c{i} AS MATERIALIZED (SELECT b.*, coalesce(w.n_new, 0) AS n_new FROM b LEFT JOIN (SELECT a[1] AS search, a[2] AS page,
-                count(*) AS n_new FROM f{i} GROUP BY ALL) w USING (search, page))""",
-            f"""e{i} AS MATERIALIZED (WITH z AS (SELECT search, page FROM c{i} WHERE n_parsed > 0 AND n_new = 0)
-                SELECT search, least(s.stop, t.blank) AS last_page FROM (SELECT DISTINCT search FROM b)
-                LEFT JOIN (SELECT search, min(page) AS stop FROM {run} GROUP BY search) s USING (search)
-                LEFT JOIN (SELECT search, min(page) AS blank FROM b WHERE n_parsed = 0 GROUP BY search) t USING (search))""",
-        ]
-    return (
-        "WITH " + ", ".join(parts)
-        + f""" SELECT search, page, CAST(n_parsed AS BIGINT) AS n_parsed, n_new, last_page IS NULL OR page <= last_page AS kept
-        FROM c{rounds} JOIN e{rounds - 1} USING (search)"""
+def page_walk_sql(pages: str, misses: int) -> str:
+    """The page rule walked page by page: ``pages`` gives search, page, n_parsed and the list of keys shown."""
+    return f"""
+    WITH RECURSIVE p AS (SELECT *, row_number() OVER (ORDER BY search, page) AS i FROM ({pages})),
+    w AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS search, CAST(NULL AS BIGINT) AS page, CAST(0 AS BIGINT) AS n_parsed,
+            CAST(0 AS BIGINT) AS n_new, FALSE AS kept, 0 AS run, TRUE AS over, CAST([] AS VARCHAR[]) AS seen
+        UNION ALL
+        SELECT i, search, page, n_parsed, n_new, live, run, NOT live OR n_parsed = 0 OR run >= {misses},
+            CASE WHEN live THEN list_distinct(list_concat(seen, keys)) ELSE seen END
+        FROM (SELECT *, CASE WHEN live AND n_parsed > 0 AND n_new = 0 THEN before + 1 ELSE 0 END AS run
+            FROM (SELECT p.*, seen, live, before, CASE WHEN live THEN len([x for x in keys if NOT list_contains(seen, x)]) ELSE 0 END AS n_new
+                FROM (SELECT p.i, p.search, p.page, p.n_parsed, p.keys, w.seen, w.search IS DISTINCT FROM p.search OR NOT w.over AS live,
+                    CASE WHEN w.search = p.search THEN w.run ELSE 0 END AS before FROM w JOIN p ON p.i = w.i + 1) AS p)))
+    SELECT CAST(search AS INT) AS search, CAST(page AS INT) AS page, CAST(n_parsed AS BIGINT) AS n_parsed, n_new, kept FROM w WHERE i > 0"""
+
+
+def _stop_sql(misses: int) -> str:
+    return page_walk_sql(
+        """SELECT user_id AS search, CAST(day AS BIGINT) AS page, sum(n) AS n_parsed,
+            coalesce(list(DISTINCT event_type || ':' || k) FILTER (n > 0), []) AS keys
+        FROM (SELECT user_id, event_type, CAST(floor(value) AS INT) % 40 AS k, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS n,
+            dense_rank() OVER (PARTITION BY user_id ORDER BY CAST(ts AS DATE)) - 1 AS day FROM events) GROUP BY ALL""",
+        misses,
     )
 
 

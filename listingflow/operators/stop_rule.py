@@ -4,25 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..checkpoint import cut
 
-
-def _stops(new_counts: DataFrame, misses: int) -> DataFrame:
-    """search, stop: the page (included) after which paging ends; null if it never does.
-
-    ``misses`` pages in a row without a new record end the search. A run of misses is
-    found by joining each page with its predecessors on (search, page), so no search is
-    gathered in one place.
-    """
-    empty = new_counts.filter("n_new = 0").select("search", "page")
-    run = empty
-    for back in range(1, misses):
-        earlier = empty.select("search", (F.col("page") + back).alias("page"))
-        run = run.join(earlier, ["search", "page"], "left_semi")
-    return run.groupBy("search").agg(F.min("page").alias("stop"))
+BLOCK_ROWS = 1_000_000
 
 
 def kept_pages(
@@ -31,48 +20,111 @@ def kept_pages(
     key: Sequence[str],
     misses: int = 1,
     with_end: bool = False,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """``search, page, n_parsed, n_new, kept`` for every fetched page (``with_end``: and ``ended``, its search's last).
 
     ``pages``: search, page (0, 1, 2, … per search; searches run in order of their value)
     and n_parsed, the number of records read from the page; a page with none ends its
-    search. ``records``: search, page and the key columns of the records that count. New is
-    what no kept page before it, in any search, has shown.
+    search, and so do ``misses`` pages in a row without a new record. ``records``: search,
+    page and the key columns of the records that count. New is what no kept page before it,
+    in any search, has shown.
 
-    Which pages are kept depends on what earlier pages showed, so the rule is applied to
-    the whole table repeatedly until nothing changes. Every round settles at least the
-    next undecided page; in practice a few rounds suffice.
+    Which pages are kept depends on what earlier pages showed. Searches are dealt in their
+    order into blocks of about ``block_rows`` rows. A task walks its block page by page, so
+    that searches of one block that depend on each other, however many, are settled in one
+    reading. Between blocks only first showings travel: after a reading, a record is marked
+    where an earlier block has shown it on a kept page, and only blocks whose marks changed
+    are walked again. Each round settles at least one more block, so there are at most as
+    many rounds as blocks, and one where everything fits one block.
     """
-    shown = cut(records.select("search", "page", *key).distinct())
-    base = cut(pages.select("search", "page", "n_parsed"))
-    blank = base.filter("n_parsed = 0").groupBy("search").agg(F.min("page").alias("blank"))
-    searches = base.select("search").distinct()
-
-    def count_new(ends: DataFrame | None) -> DataFrame:
-        live = shown
-        if ends is not None:
-            # Page by page, so that a search with a third of all records stays spread.
-            keep = base.join(ends, "search").filter("last_page IS NULL OR page <= last_page")
-            live = shown.join(keep.select("search", "page"), ["search", "page"], "left_semi")
-        firsts = live.groupBy(*key).agg(F.min(F.struct("search", "page")).alias("_at"))
-        news = firsts.groupBy("_at.search", "_at.page").agg(F.count("*").alias("n_new"))
-        return base.join(news, ["search", "page"], "left").na.fill(0, ["n_new"])
-
-    ends = None
-    while True:  # ends: every round settles at least one more page
-        counted = count_new(ends)
-        proposal = cut(
-            searches.join(_stops(counted.filter("n_parsed > 0"), misses), "search", "left")
-            .join(blank, "search", "left")
-            .select("search", F.least("stop", "blank").alias("last_page"))
-        )
-        if ends is not None:
-            moved = proposal.join(ends.withColumnRenamed("last_page", "_was"), "search").filter(
-                ~F.col("last_page").eqNullSafe(F.col("_was"))
-            )
-            if moved.isEmpty():
-                kept = F.col("last_page").isNull() | (F.col("page") <= F.col("last_page"))
-                ended = F.coalesce(F.col("page") == F.col("last_page"), F.lit(False))
-                columns = ["search", "page", "n_parsed", "n_new", kept.alias("kept")]
-                return counted.join(ends, "search").select(*columns, *([ended.alias("ended")] if with_end else []))
-        ends = proposal
+    name = F.unhex(F.sha2(F.to_json(F.struct(*key), {"ignoreNullFields": "false"}), 256))
+    listed = pages.select("search", "page").distinct()
+    # A search shows a record from the first of its pages on that has it: one row each, whatever the pages.
+    shown = records.join(listed, ["search", "page"], "left_semi").groupBy("search", name.alias("id")).agg(F.min("page").alias("page"))
+    asked = pages.groupBy("search", "page").agg(F.min("n_parsed").cast("long").alias("n_parsed"))
+    rows = shown.select("search", "page", F.lit(None).cast("long").alias("n_parsed"), "id").unionByName(
+        asked.withColumn("id", F.lit(None).cast("binary"))
+    )
+    rows = cut(rows)
+    blocks = max(1, -(-rows.count() // block_rows))
+    dealt = rows.repartitionByRange(blocks, "search").withColumn("block", F.spark_partition_id())
+    marked = cut(dealt.withColumn("before", F.lit(False)))
+    walked = cut(_walk(marked, blocks, misses))
+    while blocks > 1:  # at most one round a block
+        first = walked.filter("id IS NOT NULL").groupBy("id").agg(F.min("block").alias("_first"))
+        now = F.coalesce(F.col("_first") < F.col("block"), F.lit(False))
+        again = cut(marked.join(first, "id", "left").withColumn("_now", now).drop("_first"))
+        moved = [r["block"] for r in again.filter("_now <> before").select("block").distinct().collect()]
+        if not moved:
+            break
+        marked = again.drop("before").withColumnRenamed("_now", "before").select(*marked.columns)
+        redone = _walk(marked.filter(F.col("block").isin(moved)), blocks, misses)
+        walked = cut(walked.filter(~F.col("block").isin(moved)).unionByName(redone))
+    done = walked.filter("id IS NULL").select("search", "page", "n_new", "kept", "ended")
+    out = pages.select("search", "page", "n_parsed").join(done, ["search", "page"])
+    return out.select("search", "page", "n_parsed", "n_new", "kept", *(["ended"] if with_end else []))
+
+
+def _walk(marked: DataFrame, blocks: int, misses: int) -> DataFrame:
+    """Each block's pages in order: a row per page, and one per record (``id``) that is new on a kept page."""
+    search = marked.schema["search"]
+    schema = T.StructType(
+        [T.StructField("block", T.IntegerType()), T.StructField("search", search.dataType), T.StructField("page", marked.schema["page"].dataType)]
+        + [T.StructField("n_new", T.LongType()), T.StructField("kept", T.BooleanType()), T.StructField("ended", T.BooleanType())]
+        + [T.StructField("id", T.BinaryType())]
+    )
+    columns = ["block", "search", "page", "n_parsed", "id", "before"]
+    ordered = marked.select(*columns).repartition(blocks, "block").sortWithinPartitions("block", "search", "page")
+    return ordered.mapInArrow(_pages_of(misses), schema)
+
+
+def _pages_of(misses: int):
+    names = ["block", "search", "page", "n_new", "kept", "ended", "id"]
+
+    def work(batches):
+        out: list[tuple] = []
+        place, held, seen, over, run, kinds = None, [], set(), False, (0, None), None
+
+        def close():
+            """The page that was read last."""
+            nonlocal over, run
+            block, search, page = place
+            parsed = [n for n, i, _ in held if i is None][0]
+            kept, ends, n_new = not over, False, 0
+            if kept:
+                new = [i for _, i, before in held if i is not None and not before and i not in seen]
+                seen.update(new)
+                out.extend((block, search, page, None, None, None, i) for i in new)
+                n_new = len(new)
+                miss = parsed is not None and parsed > 0 and not n_new
+                run = (run[0] + 1 if miss and run[1] == page - 1 else int(miss), page if miss else None)
+                ends = over = parsed == 0 or run[0] >= misses
+            out.append((block, search, page, n_new, kept, ends, None))
+
+        def batch_of():
+            arrays = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, names)
+
+        for batch in batches:
+            of = {c: batch.schema.field(c).type for c in ("block", "search", "page", "id")}
+            kinds = [of["block"], of["search"], of["page"], pa.int64(), pa.bool_(), pa.bool_(), of["id"]]
+            values = (batch.column(c).to_pylist() for c in ("block", "search", "page", "n_parsed", "id", "before"))
+            for block, search, page, parsed, i, before in zip(*values, strict=True):
+                if place != (block, search, page):
+                    if place is not None:
+                        close()
+                        if place[0] != block:
+                            seen = set()
+                        if place[:2] != (block, search):
+                            over, run = False, (0, None)
+                    place, held = (block, search, page), []
+                held.append((parsed, i, before))
+            if len(out) > 10_000:
+                yield batch_of()
+                out.clear()
+        if place is not None:
+            close()
+            yield batch_of()
+
+    return work

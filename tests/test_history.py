@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from listingflow.operators import history as H
 from listingflow.operators.merge import merge_details
+from listingflow.operators import stop_rule
 from listingflow.operators.stop_rule import kept_pages
 from listingflow.plans import search as S
 
@@ -92,8 +93,8 @@ def crawl(pages, misses):
     return kept, new
 
 
-@pytest.mark.parametrize("misses,seed", [(1, 1), (1, 2), (2, 1), (2, 3)])
-def test_page_rule(spark, misses, seed):
+@pytest.mark.parametrize("misses,seed,block_rows", [(1, 1, 1_000_000), (1, 2, 15), (2, 1, 15), (2, 3, 1_000_000)])
+def test_page_rule(spark, misses, seed, block_rows):
     rng = random.Random(seed)
     pages = {}
     for s in range(6):
@@ -102,12 +103,29 @@ def test_page_rule(spark, misses, seed):
             pages[s, p] = (len(keys) + (rng.random() < 0.3), keys)
     table = spark.createDataFrame([(s, p, n) for (s, p), (n, _) in pages.items()], "search int, page int, n_parsed int")
     shown = spark.createDataFrame([(s, p, k) for (s, p), (_, ks) in pages.items() for k in ks], "search int, page int, k int")
-    got = kept_pages(shown, table, ["k"], misses).collect()
+    got = kept_pages(shown, table, ["k"], misses, block_rows=block_rows).collect()
     kept, new = crawl(pages, misses)
+    assert len(got) == len(pages)
     assert {(r.search, r.page) for r in got if r.kept} == kept
     assert {(r.search, r.page): r.n_new for r in got if r.kept and r.n_parsed} == new
 
 
+@pytest.mark.parametrize("block_rows", [1_000_000, 1_500])
+def test_a_chain_of_searches_that_depend_on_each_other(spark, block_rows, monkeypatch):
+    """Whether a search goes on depends on the one before it, a thousand times over."""
+    pages = {(s, p): (1, [s + p]) for s in range(1_000) for p in range(3)}
+    table = spark.createDataFrame([(s, p, n) for (s, p), (n, _) in pages.items()], "search int, page int, n_parsed int")
+    shown = spark.createDataFrame([(s, p, k) for (s, p), (_, ks) in pages.items() for k in ks], "search int, page int, k int")
+    walks = []
+    walk = stop_rule._walk
+    monkeypatch.setattr(stop_rule, "_walk", lambda marked, *rest: walks.append(marked.count()) or walk(marked, *rest))
+    got = kept_pages(shown, table, ["k"], 1, block_rows=block_rows).collect()
+    kept, _ = crawl(pages, 1)
+    assert {(r.search, r.page) for r in got if r.kept} == kept
+    assert sum(walks) < 3 * (len(pages) + shown.count())
+    assert (len(walks) == 1) == (block_rows == 1_000_000)
+
+
 def test_detail_merge(spark):
     base = records(
         spark,
