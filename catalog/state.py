@@ -292,7 +292,7 @@ def catch_up(spark, sf):
 def page_walk_sql(pages: str, misses: int) -> str:
     """The page rule walked page by page: ``pages`` gives search, page, n_parsed and the list of keys shown."""
     return f"""
-    WITH RECURSIVE p AS (SELECT *, row_number() OVER (ORDER BY search, page) AS i FROM ({pages})),
+    WITH RECURSIVE p AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY search, page) AS i FROM ({pages})),
     w AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS search, CAST(NULL AS BIGINT) AS page, CAST(0 AS BIGINT) AS n_parsed,
             CAST(0 AS BIGINT) AS n_new, FALSE AS kept, 0 AS run, TRUE AS over, CAST([] AS VARCHAR[]) AS seen
         UNION ALL
