@@ -88,9 +88,12 @@ def ingest(store: StateStore, assessed: DataFrame, now: datetime) -> int:
     return store.write(merged, "changes" if base else "whole", based_on=base)
 
 
-def watch(store: StateStore, rules: Rules) -> WatchResult:
-    """What the current state has to announce, ordered and cut, with the run's summary."""
-    top, summary = announce(pending(store.read()), min(rules.watch_limit, rules.max_results), rules.max_rent)
+def watch(store: StateStore, rules: Rules, state: DataFrame | None = None) -> WatchResult:
+    """What the current state has to announce, ordered and cut, with the run's summary.
+
+    ``state``: the state's rows, or at least all pending ones, where they are at hand.
+    """
+    top, summary = announce(pending(store.read() if state is None else state), min(rules.watch_limit, rules.max_results), rules.max_rent)
     return WatchResult(top.withColumn("message", message(show_proximity=rules.proximity)), summary)
 
 

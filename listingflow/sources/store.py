@@ -1,9 +1,8 @@
 """Record state on disk: immutable versions, published one number at a time.
 
-Data goes to a folder of the attempt's own (``data/<attempt>``). A version exists once its manifest,
-``log/<number>.json``, does: the manifest is made whole elsewhere and then takes its final name, which
-fails if the name is taken. So a crashed write leaves nothing that is read, two writers cannot take one
-number, and a version never changes.
+Data goes to a folder of the attempt's own (``data/<attempt>``). A version exists once its manifest does (``log``):
+a finished manifest takes its number, which fails if the number is taken. So a crashed write leaves nothing that is
+read, two writers cannot take one number, and a version never changes.
 
 A version is a whole snapshot or the rows one run changed. A whole one says up to which number it
 covers; reading folds the newest one with all changes after that number, so a batch that commits while
@@ -12,56 +11,40 @@ a snapshot is made is kept. Steps of a stream carry its query's id, the batch an
 
 from __future__ import annotations
 
-import json
-import os
 import uuid
-from dataclasses import asdict, dataclass
+from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedupe import first_wins
 from ..schema import KEY, RECORD_DDL, RUN_LOG_DDL, record_schema
-
-MANIFEST_DDL = "number long, kind string, attempt string, covers long, stream string, batch long, step string"
-
-
-class VersionTaken(RuntimeError):
-    """Another writer published the number, or a newer version than the one this write is based on."""
-
-
-@dataclass(frozen=True)
-class Version:
-    number: int
-    kind: str  # whole, changes, or step: a stream's step without rows of its own
-    attempt: str | None = None
-    covers: int = 0
-    stream: str | None = None
-    batch: int | None = None
-    step: str | None = None
+from .log import Files, Version, VersionExpired, VersionLog, VersionTaken
 
 
 class StateStore:
-    """``compact_after`` changes since the last snapshot make a write fold them into a new one."""
+    """``compact_after`` changes since the last snapshot make a write fold them into a new one.
+
+    ``only`` picks the rows that a snapshot keeps, if not all (see :class:`StateView`).
+    """
 
-    def __init__(self, spark: SparkSession, location: str, compact_after: int = 50) -> None:
+    def __init__(
+        self, spark: SparkSession, location: str, compact_after: int = 50, only: Callable[[DataFrame], DataFrame] | None = None,
+        put_if_absent: Callable[[str, bytes], bool] | None = None,
+    ) -> None:
         self.spark = spark
         self.location = location.rstrip("/")
         self.compact_after = compact_after
+        self.only = only
+        self.put_if_absent = put_if_absent
+        self.log = VersionLog(Files(self.location, put_if_absent))
 
     def versions(self) -> list[Version]:
-        """Every published version, oldest first: one small read, however many there are."""
-        try:
-            rows = self.spark.read.schema(MANIFEST_DDL).json(f"{self.location}/log").collect()
-        except AnalysisException as error:
-            if "PATH_NOT_FOUND" in str(error):
-                return []
-            raise
-        return sorted((Version(**r.asDict()) for r in rows), key=lambda v: v.number)
+        """Every version whose manifest is kept, oldest first."""
+        return self.log.all()
 
     def version(self) -> int:
-        return max((v.number for v in self.versions()), default=0)
+        return self.log.latest().number
 
     def _data(self, attempt: str) -> str:
         return f"{self.location}/data/{attempt}"
@@ -72,9 +55,8 @@ class StateStore:
         Only the changes are folded, in one scan. The snapshot is merely anti-joined to their keys, so
         it is not shuffled while those fit a broadcast, and filters and column lists reach its scan.
         """
-        known = [v for v in self.versions() if v.attempt and (upto is None or v.number <= upto)]
-        whole = max((v for v in known if v.kind == "whole"), key=lambda v: (v.covers, v.number), default=None)
-        changes = [v for v in known if v.kind == "changes" and v.number > (whole.covers if whole else 0)]
+        state = self.log.latest() if upto is None else self.log.at(upto)
+        whole, changes = state.whole, state.changes
         reader = self.spark.read.schema(record_schema())
         snapshot = reader.parquet(self._data(whole.attempt)) if whole else None
         if not changes:
@@ -89,9 +71,18 @@ class StateStore:
         untouched = snapshot.join(newest.select(*KEY), list(KEY), "left_anti")
         return untouched.select(*newest.columns).unionByName(newest)
 
+    def rows_of(self, version: Version) -> DataFrame:
+        """The rows that one version wrote."""
+        return self.spark.read.schema(record_schema()).parquet(self._data(version.attempt))
+
     def find(self, stream: str, batch: int, step: str) -> Version | None:
-        """The published step of a stream's micro-batch, if it was published."""
-        return next((v for v in self.versions() if (v.stream, v.batch, v.step) == (stream, batch, step)), None)
+        """The published step of a stream's micro-batch, if it was published.
+
+        Batches come in order, so of a batch before the stream's newest every step was.
+        """
+        steps = self.log.latest().streams.get(stream, {})
+        newest = max((v.batch for v in steps.values()), default=-1)
+        return next(iter(steps.values())) if batch < newest else steps.get(step) if batch == newest else None
 
     def write(
         self, rows: DataFrame, kind: str = "changes", stream: str | None = None, batch: int | None = None,
@@ -102,19 +93,18 @@ class StateStore:
         ``based_on`` is the version the rows were derived from: a newer one makes the write fail, since
         it could undo what that one changed.
         """
+        attempt = self._write_data(rows)
+        number = self.publish(kind, attempt, stream=stream, batch=batch, step=step, based_on=based_on)
+        if len(self.log.latest().changes) >= self.compact_after:
+            self.compact()
+        return number
+
+    def _write_data(self, rows: DataFrame) -> str:
         attempt = uuid.uuid4().hex
         columns = [f.name for f in record_schema().fields]
         writer = rows.select(*columns).write.mode("errorifexists").option("parquet.block.size", 128 * 1024 * 1024)
         writer.parquet(self._data(attempt))
-        number = self.publish(kind, attempt, stream=stream, batch=batch, step=step, based_on=based_on)
-        if kind == "changes":
-            since = [v for v in self.versions() if v.kind == "changes" and v.number > self._covered()]
-            if len(since) >= self.compact_after:
-                self.compact()
-        return number
-
-    def _covered(self) -> int:
-        return max((v.covers for v in self.versions() if v.kind == "whole"), default=0)
+        return attempt
 
     def publish(
         self, kind: str, attempt: str | None = None, covers: int | None = None, stream: str | None = None,
@@ -126,54 +116,63 @@ class StateStore:
         number = latest + 1
         if covers is None:
             covers = number if kind == "whole" else 0
-        self._claim(number, json.dumps(asdict(Version(number, kind, attempt, covers, stream, batch, step))))
+        self.log.publish(Version(number, kind, attempt, covers, stream, batch, step))
         return number
 
-    def _claim(self, number: int, text: str) -> None:
-        """Give a finished manifest its final name, unless that is taken."""
-        final = f"{self.location}/log/{number:010d}.json"
-        if "://" not in self.location or self.location.startswith("file:"):
-            path = final.split("file:", 1)[-1]
-            path = "/" + path.lstrip("/") if final.startswith("file:") else path
-            made = f"{os.path.dirname(os.path.dirname(path))}/made-{uuid.uuid4().hex}"
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            with open(made, "w", encoding="utf-8") as out:
-                out.write(text)
-            try:
-                os.link(made, path)
-            except FileExistsError:
-                raise VersionTaken(f"version {number} is published") from None
-            finally:
-                os.unlink(made)
-            return
-        # Other stores: their file system's rename refuses to replace.
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        target = hadoop.Path(final)
-        files = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        files.mkdirs(target.getParent())
-        made = hadoop.Path(f"{self.location}/made-{uuid.uuid4().hex}")
-        stream = files.create(made, False)
-        stream.write(bytearray(text.encode()))
-        stream.close()
-        if files.exists(target) or not files.rename(made, target):
-            files.delete(made, False)
-            raise VersionTaken(f"version {number} is published")
-
     def compact(self) -> int:
-        """Fold all up to now into one snapshot, laid out for pruning by status and key.
+        """Fold all up to now into one snapshot, laid out for pruning by status and key; trim the log.
 
         What other writers publish meanwhile is not covered, and stays in force.
         """
         upto = self.version()
-        rows = self.read(upto).repartition(*KEY).sortWithinPartitions("status", *KEY)
-        attempt = uuid.uuid4().hex
-        columns = [f.name for f in record_schema().fields]
-        rows.select(*columns).write.mode("errorifexists").parquet(self._data(attempt))
+        rows = self.read(upto)
+        rows = self.only(rows) if self.only else rows
+        attempt = self._write_data(rows.repartition(*KEY).sortWithinPartitions("status", *KEY))
         while True:
             try:
-                return self.publish("whole", attempt, covers=upto)
+                number = self.publish("whole", attempt, covers=upto)
+                break
             except VersionTaken:  # it depends on no number of its own
                 continue
+        self.log.trim(lambda old: self.log.files.delete(f"data/{old}"))
+        return number
+
+
+class StateView:
+    """The rows of a state that ``only`` picks, kept beside it and brought up to date from its log.
+
+    Only keys that a version wrote can enter or leave, so a refresh reads the rows of the versions since the last
+    one, never the state; the view's own snapshots hold only picked rows. It starts with one reading of the state,
+    and again where the versions it needs are no longer kept.
+    """
+
+    def __init__(self, store: StateStore, name: str, only: Callable[[DataFrame], DataFrame]) -> None:
+        columns = [f.name for f in record_schema().fields]
+        self.store = store
+        self.only = lambda rows: only(rows).select(*columns)
+        self.own = StateStore(
+            store.spark, f"{store.location}/{name}", store.compact_after, self.only, store.put_if_absent
+        )
+
+    def _applied(self) -> int:
+        steps = self.own.log.latest().streams.get("state", {})
+        return max((v.batch for v in steps.values()), default=0)
+
+    def refresh(self) -> DataFrame:
+        """The view after the state's newest version; rows that left it since its last snapshot are among them."""
+        now, done = self.store.version(), self._applied()
+        try:
+            new = self.store.log.between(done, now) if done else []
+        except VersionExpired:
+            done = 0
+        # A snapshot that covers itself was written as one; others only fold what was applied already.
+        if now and (not done or any(v.kind == "whole" and v.covers == v.number for v in new)):
+            self.own.write(self.only(self.store.read(now)), "whole", stream="state", batch=now, step="rows")
+        else:
+            for v in new:
+                if v.kind == "changes":
+                    self.own.write(self.store.rows_of(v), stream="state", batch=v.number, step="rows")
+        return self.own.read()
 
 
 class RunLog:

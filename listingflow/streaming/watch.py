@@ -9,19 +9,19 @@ from pyspark.sql import functions as F
 
 from ..checkpoint import cut
 from ..operators.dedupe import first_wins
-from ..operators.gazetteer import Gazetteer
-from ..operators.state import mark_notified, upsert
+from ..operators.gazetteer import Gazetteer, PlaceTable
+from ..operators.state import mark_notified, pending, upsert
 from ..plans.runs import ORDER, Rules, assess, watch
 from ..schema import KEY, conform
 from ..sources.registry import extract_all
-from ..sources.store import StateStore, write_outbox
+from ..sources.store import StateStore, StateView, write_outbox
 
 Deliver = Callable[[DataFrame, int], DataFrame]
 Records = DataFrame | tuple[DataFrame, DataFrame]
 OUTBOX_DDL = "source string, listing_id string, priority int, position int, reasons array<string>, message string"
 
 
-def page_batches(gazetteer: Gazetteer, rules: Rules) -> Callable[[DataFrame], Records]:
+def page_batches(gazetteer: Gazetteer | PlaceTable, rules: Rules) -> Callable[[DataFrame], Records]:
     """Micro-batch of pages to assessed records and refused pages."""
 
     def step(pages: DataFrame) -> Records:
@@ -56,8 +56,12 @@ def watch_stream(
     Each step is published once under the query's id and the batch's number. A batch that is replayed
     does only the steps not yet published: its rows are not applied twice, its outbox is the one already
     written, so ``deliver`` gets the same records again, and its marks are made once.
+
+    What is pending is a view kept beside the state: announcing and marking read it and the batch's rows,
+    not the state.
     """
     spark = source.sparkSession
+    view = StateView(store, "pending", pending)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         stream = _stream_id(batch, checkpoint)
@@ -78,15 +82,16 @@ def watch_stream(
             store.write(merged, **named, step="rows", based_on=base)
         folder = f"{outbox}/{place}"
         if not store.find(**named, step="outbox"):
-            result = watch(store, rules)
+            result = watch(store, rules, view.refresh())
             columns = [f.split()[0] for f in OUTBOX_DDL.split(", ")]
             # Overwrites only what a failed attempt left: nothing was delivered from it.
             write_outbox(result.outbox.select(*columns), folder)
             store.publish("step", **named, step="outbox")
         if deliver is not None and not store.find(**named, step="marks"):
             sent = deliver(spark.read.schema(OUTBOX_DDL).json(folder), batch_id)
+            # What was announced is pending, so the view holds the whole rows to be marked.
             base = store.version()
-            marked = mark_notified(store.read(base), sent, F.current_timestamp(), full=False)
+            marked = mark_notified(view.refresh(), sent, F.current_timestamp(), full=False)
             store.write(marked, **named, step="marks", based_on=base)
 
     writer = source.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)

@@ -1,3 +1,5 @@
+import os
+import random
 from datetime import datetime
 
 import pytest
@@ -15,8 +17,9 @@ from listingflow.operators.state import (
     snapshot_json,
     upsert,
 )
-from listingflow.schema import RECORD_COLUMNS, RECORD_DDL, record_schema
-from listingflow.sources.store import RunLog, StateStore, VersionTaken, high_water
+from listingflow.schema import KEY, RECORD_COLUMNS, RECORD_DDL, record_schema
+from listingflow.sources.log import Files, Version, VersionExpired, VersionLog, VersionTaken
+from listingflow.sources.store import RunLog, StateStore, StateView, high_water
 
 from .fixtures import records
 
@@ -183,7 +186,7 @@ def test_two_writers_cannot_take_one_number(spark, folder):
     with pytest.raises(VersionTaken):
         two.write(records(spark, {"rent": 6}), based_on=base)
     with pytest.raises(VersionTaken):
-        two._claim(2, "{}")
+        two.log.publish(Version(2, "changes"))
     assert [r.rent for r in one.read().collect()] == [5]
 
 
@@ -302,3 +305,82 @@ def test_message(spark):
     assert {f["name"]: f["value"] for f in got[1]["fields"]}["距台大"] == "12 分鐘（Google Routes）"
     hidden = df.select(O.message(show_proximity=False).alias("m")).first().m
     assert "距台大" not in hidden
+
+
+def test_a_log_of_10_000_versions_is_read_in_a_bounded_number_of_files(folder):
+    writer = VersionLog(Files(folder), every=100, keep=1_000)
+    for n in range(1, 10_001):
+        kind = "whole" if n % 50 == 0 else "step" if n % 7 == 0 else "changes"
+        covers = n - 1 if kind == "whole" else 0
+        writer.publish(Version(n, kind, None if kind == "step" else f"a{n}", covers, "q", n // 3, f"s{n % 3}"))
+    files = Files(folder)
+    reader = VersionLog(files, every=100)
+    state = reader.latest()
+    assert state.number == 10_000 and state.whole.attempt == "a10000" and state.changes == ()
+    assert files.reads < 10
+    assert [v.number for v in state.streams["q"].values()] == [9_999, 10_000]
+    files.reads = 0
+    assert [c.number for c in reader.at(9_957).changes] == [9_951, 9_952, 9_953, 9_955, 9_956, 9_957]
+    assert files.reads < 120
+    gone: list[str] = []
+    idle = VersionLog(Files(folder), every=100)
+    idle.state = VersionLog(Files(folder), every=100).at(50)  # a reader that last looked long ago
+    assert reader.trim(gone.append) == 9_000
+    assert "a8999" in gone and "a9000" not in gone and len(gone) == len(set(gone))
+    assert reader.trim(gone.append) == 0
+    fresh = VersionLog(Files(folder), every=100)
+    assert fresh.latest() == reader.latest() and idle.latest() == reader.latest()
+    assert fresh.at(9_001).number == 9_001 and fresh.all()[0].number == 9_001
+    with pytest.raises(VersionExpired):
+        fresh.at(8_999)
+    fresh.publish(Version(10_001, "changes", "b"))
+    assert reader.latest().changes[-1].attempt == "b"
+
+
+def test_a_store_without_atomic_names_needs_a_conditional_put(folder):
+    taken: dict[str, bytes] = {}
+    files = Files(folder, put_if_absent=lambda path, content: taken.setdefault(path, content) is content)
+    log = VersionLog(files)
+    log.publish(Version(1, "changes", "a"))
+    with pytest.raises(VersionTaken):
+        log.publish(Version(1, "changes", "b"))
+    assert len(taken) == 1
+    with pytest.raises(ValueError, match="put_if_absent"):
+        Files("mock://bucket/state")
+
+
+def test_old_snapshots_are_deleted(spark, folder):
+    store = StateStore(spark, f"{folder}/state", compact_after=1)
+    store.log.every, store.log.keep = 2, 2
+    for rent in range(1, 7):
+        store.write(records(spark, {"rent": rent}))
+    assert [r.rent for r in store.read().collect()] == [6]
+    assert len(os.listdir(f"{folder}/state/data")) < 8 and len(store.versions()) < 12
+
+
+def test_a_view_follows_the_state_without_reading_it(spark, folder):
+    store = StateStore(spark, f"{folder}/state")
+    view = StateView(store, "pending", pending)
+    assert view.refresh().count() == 0
+    store.write(records(spark, *[{"rent": i} for i in range(20)]), "whole")
+    assert view.refresh().count() == 20
+
+    def ids(rows):
+        return sorted(r.listing_id for r in pending(rows).collect())
+
+    draw = random.Random(4)
+    for _ in range(6):
+        batch = records(spark, *[{"rent": draw.randint(1, 50), "status": draw.choice(["active", "filtered_out"])} for _ in range(4)])
+        store.write(upsert(store.read(), batch, F.lit(T0), full=False))
+        if draw.random() < 0.5:
+            told = pending(store.read()).select(*KEY).limit(3)
+            store.write(mark_notified(store.read(), told, F.lit(T0), full=False))
+        rows = view.refresh()
+        assert ids(rows) == ids(store.read())
+        assert not any("/state/data/" in f for f in rows.inputFiles())
+    store.compact()
+    assert ids(view.refresh()) == ids(store.read())
+    view.own.compact()
+    assert view.own.read().count() == len(ids(store.read()))
+    late = StateView(store, "pending2", pending)
+    assert ids(late.refresh()) == ids(store.read())
