@@ -193,3 +193,54 @@ def collect_pages(spark, sf):
     )
     _, _, kept = collect_source(pages, DETAIL, gazetteer(spark, sf))
     return kept
+
+
+# Five cards a list page, none with a price; a detail page of each record tells it.
+PORTAL_CARD = """concat('<p><a href="https://rent.591.com.tw/', CAST(100000 + k AS STRING), '">獨立套房 NATION_', CAST(k % 25 AS STRING),
+    '-路 ', repeat('好', 240), '</a></p>')"""
+PORTAL_DETAIL = """concat('<script type="application/ld+json">{"name": "獨立套房", "description": "8坪", "offers": {"price": ',
+    CAST(5000 + k % 9000 AS STRING), '}}</script>')"""
+
+
+@query("""
+    WITH c AS (SELECT g * 5 + i AS k, i FROM (SELECT DISTINCT p_partkey // 5 AS g FROM part), (SELECT unnest(range(5)) AS i))
+    SELECT CAST(100000 + k AS VARCHAR) AS listing_id, n_name AS district, CASE WHEN i < 3 THEN CAST(5000 + k % 9000 AS INT) END AS rent,
+        CASE WHEN i < 3 THEN CAST(8 AS DOUBLE) END AS area_ping FROM c JOIN nation ON n_nationkey = k % 25""")
+def portal_details(spark, sf):
+    """What the list pages don't say is filled from detail pages, of three records a page."""
+    groups = load(spark, sf, "part").select(F.expr("CAST(floor(p_partkey / 5) AS INT) AS g")).distinct()
+    cards = groups.select("g", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i")).select("g", "i", F.expr("g * 5 + i AS k"))
+    lists = cards.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("i", F.expr(PORTAL_CARD).alias("card")))).alias("cards"))  # five a page
+    pages = lists.select(
+        F.col("g").alias("page_id"), F.col("g").alias("search"), F.lit(0).alias("page"),
+        F.expr("concat('https://rent.591.com.tw/list?kind=2&s=', CAST(g AS STRING))").alias("url"),
+        F.array_join(F.col("cards.card"), "").alias("html"),
+    )
+    details = cards.select(
+        F.col("k").alias("page_id"),
+        F.expr("concat('https://rent.591.com.tw/', CAST(100000 + k AS STRING))").alias("url"),
+        F.expr(PORTAL_DETAIL).alias("html"),
+    )
+    records, _, _ = collect_source(pages, PORTAL, gazetteer(spark, sf), details)
+    return records.select("listing_id", "district", "rent", "area_ping")
+
+
+BROKEN = """CASE s_suppkey % 5 WHEN 0 THEN concat('<a href="/en/', CAST(s_suppkey AS STRING), '">NATION_1 8坪 9,000 元/月</a>')
+    WHEN 1 THEN concat('<script>window.__INITIAL_STATE__ = ', repeat('[', 50000 + s_suppkey), '</script>')
+    WHEN 2 THEN concat('<script type="application/ld+json">', repeat('{"url":', 50000), '1', repeat('}', 50000), '</script>')
+    WHEN 3 THEN concat('<script>window.__INITIAL_STATE__ = ', repeat('{"title":"\\\\ud800","x":[', 3000), '</script>')
+    ELSE repeat('<div><b>', 20000) END"""
+
+
+@query("""
+    SELECT s_suppkey AS page_id, CASE WHEN s_suppkey % 5 = 0 THEN 'record' ELSE 'EMPTY_RESULT' END AS outcome FROM supplier""")
+def broken_pages(spark, sf):
+    """Scripts nested deeper than any reader that recurses could follow: each page has its own outcome."""
+    pages = dealt(load(spark, sf, "supplier")).select(
+        F.col("s_suppkey").alias("page_id"), F.lit("web").alias("source"),
+        F.expr("concat('https://web.example.com/list?p=', CAST(s_suppkey AS STRING))").alias("url"), F.expr(BROKEN).alias("html"),
+    )
+    records, refused = extract_all(pages, gazetteer(spark, sf), [DETAIL])
+    return refused.select(F.regexp_extract("url", "p=([0-9]+)", 1).cast("bigint").alias("page_id"), F.col("code").alias("outcome")).unionByName(
+        records.select(F.col("listing_id").cast("bigint").alias("page_id"), F.lit("record").alias("outcome"))
+    )

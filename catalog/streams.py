@@ -1,11 +1,10 @@
 """Streaming forms, run to the end of the events table and read back as tables."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
-from listingflow.checkpoint import prepare
+from listingflow.checkpoint import shared_folder
 from listingflow.plans.runs import Rules
 from listingflow.sources.store import StateStore
 from listingflow.streaming import diff as D
@@ -16,12 +15,7 @@ from .tables import load, query
 
 
 def _folder(spark) -> str:
-    """Below the folder the cluster shares; a temporary one only where none is configured."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        prepare(spark)
-        return tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    return f"{shared.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
 
 
 def _stream(spark, sf):

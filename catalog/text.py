@@ -363,3 +363,20 @@ def gender_key_predicate(spark, sf):
     return listings(spark, sf).select(
         "listing_id", names_women_only(F.col("raw")).alias("female_only")
     )
+
+
+ISO = """concat('2024-0', CAST(o_orderkey % 9 + 1 AS STRING), '-1', CAST(o_orderkey % 10 AS STRING), CASE o_orderkey % 4 WHEN 0 THEN ''
+    WHEN 1 THEN 'T07:30:00' WHEN 2 THEN ' 07:30:00+08:00' ELSE 'T07:30:00Z' END)"""
+
+
+@query(f"""
+    SELECT o_orderkey, epoch_us(CAST(substr(t, 1, 10) AS TIMESTAMP)) + CAST(1000000 AS BIGINT) * CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 2 THEN 27000 - 28800
+        ELSE 27000 END AS micros FROM (SELECT o_orderkey, {ISO} AS t FROM orders)""")
+def naive_times(spark, sf):
+    """Text without a zone is UTC whatever the session's zone is."""
+    orders = load(spark, sf, "orders")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Taipei")
+    try:
+        return orders.select("o_orderkey", F.unix_micros(N.iso_timestamp(F.expr(ISO))).alias("micros"))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

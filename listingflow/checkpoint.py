@@ -32,3 +32,10 @@ def cut(df: DataFrame) -> DataFrame:
     """
     prepare(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder below which results may be kept that all executors read: the configured one, or the context's."""
+    prepare(spark)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return folder.removeprefix("file:").rstrip("/") if folder.startswith("file:/") else folder.rstrip("/")

@@ -152,7 +152,11 @@ def iso_timestamp(c: Column) -> Column:
 
     A whole date is required: a bare time or year would depend on the day of the run.
     """
-    return F.when(F.trim(c).rlike(r"\A\d{4}-\d{2}-\d{2}(?:[T ]\d{2}|\z)"), F.try_to_timestamp(c))
+    t = F.trim(c)
+    zoned = F.when(t.rlike(r"\A\d{4}-\d{2}-\d{2}\z"), F.concat(t, F.lit("T00:00:00Z"))).otherwise(
+        F.when(t.rlike(r"[T ]\d{2}[^T ]*(?:[Zz]|[+-]\d{2}(?::?\d{2})?)\z"), t).otherwise(F.concat(t, F.lit("Z")))
+    )
+    return F.when(t.rlike(r"\A\d{4}-\d{2}-\d{2}(?:[T ]\d{2}|\z)"), F.try_to_timestamp(zoned))
 
 
 def duration_minutes(c: Column) -> Column:
