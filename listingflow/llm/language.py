@@ -148,14 +148,18 @@ class Model:
 
 
 def learn(labelled: DataFrame, order: int = ORDER, rows: int = ROWS) -> Model:
-    """A model from about ``rows`` documents a language of ``labelled`` (doc_id, text, lang)."""
-    usable = labelled.filter("text IS NOT NULL AND lang IS NOT NULL")
-    per_language = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    """A model from about ``rows`` different documents a language of ``labelled`` (doc_id, text, lang).
+
+    Documents are picked by a hash of id and text, and of rows equal in both one counts, so that rows without an id or
+    with few different ids are a sample of the bounded size, too.
+    """
+    usable = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").withColumn("_pick", F.xxhash64("doc_id", "text"))
+    per_language = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.approx_count_distinct("_pick").alias("n")).collect()}
     if not per_language:
         return Model([], order, {})
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(per_language.items()) for x in (lang, min(1.0, rows / n))])
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = usable.filter(place < share[F.col("lang")]).select("lang", "text")
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(per_language.items()) for x in (lang, min(1.0, rows / max(n, 1)))])
+    place = F.pmod("_pick", F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = usable.filter(place < share[F.col("lang")]).dropDuplicates(["lang", "_pick"]).select("lang", "text")
     counted = sample.mapInArrow(_counts(order), "lang string, n int, code long, count long")
     # The table has at most order + 1 grams a byte of the bounded sample.
     table = counted.groupBy("lang", "n", "code").agg(F.sum("count").alias("count")).toArrow()

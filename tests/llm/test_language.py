@@ -96,3 +96,18 @@ def test_awkward_documents(spark):
     assert language.identify(cases.no_docs(spark)).count() == language.keep_identified(cases.no_docs(spark)).count() == 0
     untaught = docs.selectExpr("doc_id", "text", "cast(null as string) AS lang")
     assert {r.lang_pred for r in language.identify(untaught).collect()} == {"und"}
+
+
+def test_the_sample_is_bounded_whatever_the_ids(spark, monkeypatch):
+    """Rows without ids, with few ids, and one row many times over; no language goes without a sample."""
+    rows = [(None, f"english words number {i}", "en") for i in range(3_000)]
+    rows += [(i % 5, f"deutsche wörter nummer {i}", "de") for i in range(3_000)]
+    rows += [(7, "une seule phrase", "fr")] * 3_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    monkeypatch.setattr(language, "Model", lambda languages, order, grams: grams)
+    grams = language.learn(docs, order=1, rows=300)
+    # How many single bytes were counted tells how many texts were taken.
+    taken = {lang: int(count.sum()) for (lang, n), (_, count) in grams.items() if n == 1}
+    assert set(taken) == {"en", "de", "fr"}
+    assert taken["en"] < 500 * 26 and taken["de"] < 500 * 28 and taken["fr"] < 20
+    assert taken["en"] > 150 * 20 and taken["de"] > 150 * 20
