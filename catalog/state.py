@@ -244,14 +244,14 @@ def _observations(spark, sf):
     count(*) FILTER (relisted) AS relistings, bool_or(relisted) AS ever_relisted FROM c GROUP BY user_id""")
 def history_replay(spark, sf):
     return H.replay(
-        _observations(spark, sf), ["user_id"], ["ts", "event_id"], "ts", "cost", "status", F.date_trunc("day", "ts")
+        _observations(spark, sf), ["user_id"], ["ts", "event_id"], "ts", "cost", "status"
     )
 
 
 @query(REPLAY + " SELECT user_id, event_id, prev_cost, dropped, relisted FROM c")
 def observation_changes(spark, sf):
     rows = H.observation_changes(
-        _observations(spark, sf), ["user_id"], ["ts", "event_id"], "cost", "status", F.date_trunc("day", "ts")
+        _observations(spark, sf), ["user_id"], ["ts", "event_id"], "cost", "status"
     )
     return rows.select("user_id", "event_id", "prev_cost", "dropped", "relisted")
 
@@ -274,7 +274,7 @@ def version_as_of(spark, sf):
     FROM s GROUP BY user_id, session""")
 def gap_sessions(spark, sf):
     events = load(spark, sf, "events").select("user_id", "ts", "event_id")
-    return H.gap_sessions(events, ["user_id"], ["ts", "event_id"], "ts", 6 * 3600, F.date_trunc("day", "ts"))
+    return H.gap_sessions(events, ["user_id"], ["ts", "event_id"], "ts", 6 * 3600)
 
 
 @query("""
@@ -284,7 +284,7 @@ def gap_sessions(spark, sf):
         ELSE greatest(1, least(5, greatest(2, ceil((minutes - 15) / 60)))) END AS INT) AS pages FROM m""")
 def catch_up(spark, sf):
     events = load(spark, sf, "events").select("user_id", "ts", "event_id")
-    rows = H.with_previous(events, ["user_id"], ["ts", "event_id"], ["ts"], F.date_trunc("day", "ts"))
+    rows = H.with_previous(events, ["user_id"], ["ts", "event_id"], ["ts"])
     pages = catch_up_pages(F.col("prev_ts"), F.col("ts"), 60, 15, base_pages=1, max_pages=5)
     return rows.select("user_id", "event_id", pages.alias("pages"))
 
@@ -319,9 +319,7 @@ def _searches(spark, sf, misses):
     events = load(spark, sf, "events").withColumn("day", F.to_date("ts"))
     # Page numbers without gaps: how many active days of the same search came before.
     days = events.select("user_id", "day").distinct()
-    numbered = H.running_total(
-        days, ["user_id"], ["day"], F.lit(1), F.date_trunc("week", "day"), "n"
-    ).select("user_id", "day", (F.col("n") - 1).cast("int").alias("page"))
+    numbered = H.running_total(days, ["user_id"], ["day"], F.lit(1), "n").select("user_id", "day", (F.col("n") - 1).cast("int").alias("page"))
     rows = events.join(numbered, ["user_id", "day"]).select(
         F.col("user_id").alias("search"),
         "page",

@@ -1,8 +1,11 @@
 """Per-key history over all observations at once.
 
-A window over a whole key would put a hot key's history in one task. Here a key's history
-is cut into time buckets: windows run inside (key, bucket), and one summary row per bucket
-carries what the next bucket needs. The result equals the one-window form.
+A window over a whole key would put a hot key's history in one task. Here all observations, sorted by key and
+order, are cut into ranges of about equal size, wherever that falls: windows run inside (range, key), and one
+row per range carries on what the next range needs (a segmented scan). Only a range's first key can have begun
+before it, so what is carried is at most one row a range, whatever the keys. The result equals the one-window form.
+
+Rows that agree in key and order cannot be told apart and stay together; give the order a unique tail.
 """
 
 from __future__ import annotations
@@ -12,67 +15,85 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoint import cut
+
+
+def in_ranges(df: DataFrame, key: Sequence[str], order: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """``df`` with ``_range``: the number of a span of the rows sorted by key and order.
+
+    As many as a shuffle has partitions, if not said otherwise. Written once, since everything read from it must
+    see the same borders, also after an executor is lost.
+    """
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.repartitionByRange(n, *key, *order).withColumn("_range", F.spark_partition_id()))
+
+
+def _carried(rows: DataFrame, edges: DataFrame, key: Sequence[str], value: Column) -> DataFrame:
+    """``rows`` with ``_carried``: ``value`` of the range before, for the key that both share, else null.
+
+    ``edges`` has one row a range: ``_range``, ``head`` (its first key) and ``tail`` (its last key).
+    """
+    whole = Window.orderBy("_range")  # over one row a range
+    linked = edges.select(
+        F.col("_range").alias("_at"), "head", F.lag("tail").over(whole).alias("before"), F.lag(value).over(whole).alias("_carried")
+    ).filter(F.col("head").eqNullSafe(F.col("before")))
+    links = linked.select("_at", "_carried", *[F.col(f"head.{k}").alias(f"_of_{k}") for k in key])
+    same = [F.col("_range") == F.col("_at"), *[F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in key]]
+    # At most one row a range, so its size is bounded by their number.
+    return rows.join(F.broadcast(links), same, "left").drop("_at", *[f"_of_{k}" for k in key])
+
 
 def with_previous(
     df: DataFrame,
     key: Sequence[str],
     order: Sequence[str],
     values: Sequence[str],
-    bucket: Column,
     prefix: str = "prev_",
+    ranges: int | None = None,
 ) -> DataFrame:
-    """Add ``prev_<value>`` from the preceding row of the same key, and ``is_first``.
+    """Add ``prev_<value>`` from the preceding row of the same key, and ``is_first``."""
+    return _with_previous(in_ranges(df, key, order, ranges), key, order, values, prefix).drop("_range")
 
-    ``bucket`` must not decrease along the order (a truncated event time, for instance).
-    """
-    rows = df.withColumn("_bucket", bucket).withColumn("_row", F.struct(*values))
-    last = rows.groupBy(*key, "_bucket").agg(
-        F.max_by("_row", F.struct(*order)).alias("_last")
-    )
-    # One row per bucket: the last row of the bucket before.
-    chain = last.select(
-        *key,
-        "_bucket",
-        F.lag("_last").over(Window.partitionBy(*key).orderBy("_bucket")).alias("_carried"),
-        (F.row_number().over(Window.partitionBy(*key).orderBy("_bucket")) == 1).alias("_first_bucket"),
+
+def _with_previous(
+    ranged: DataFrame, key: Sequence[str], order: Sequence[str], values: Sequence[str], prefix: str = "prev_"
+) -> DataFrame:
+    row, of = F.struct(*values), F.struct(*key)
+    edges = ranged.groupBy("_range").agg(
+        F.min(of).alias("head"), F.max(of).alias("tail"), F.max_by(row, F.struct(of, *order)).alias("last")
     )
-    inner = Window.partitionBy(*key, "_bucket").orderBy(*order)
-    out = _rejoined(rows.withColumn("_lag", F.lag("_row").over(inner)), chain, [*key, "_bucket"])
+    inner = Window.partitionBy("_range", *key).orderBy(*order)
+    out = _carried(ranged.withColumn("_lag", F.lag(row).over(inner)), edges, key, F.col("last"))
     before = F.coalesce("_lag", "_carried")
     return out.select(
-        *df.columns,
-        *[before[v].alias(f"{prefix}{v}") for v in values],
-        (F.col("_lag").isNull() & F.col("_first_bucket")).alias("is_first"),
+        *ranged.columns, *[before[v].alias(f"{prefix}{v}") for v in values], before.isNull().alias("is_first")
     )
 
 
-def _rejoined(rows: DataFrame, chain: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Each row with its bucket's summary; a null key or bucket is one like any other."""
-    named = chain.withColumnsRenamed({c: f"_of_{c}" for c in by})
-    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
-    return rows.join(named, same).drop(*[f"_of_{c}" for c in by])
-
-
 def running_total(
-    df: DataFrame,
-    key: Sequence[str],
-    order: Sequence[str],
-    value: Column,
-    bucket: Column,
-    out: str,
+    df: DataFrame, key: Sequence[str], order: Sequence[str], value: Column, out: str, ranges: int | None = None
 ) -> DataFrame:
-    """Running sum along a key's history, by the same two levels."""
-    rows = df.withColumn("_bucket", bucket).withColumn("_v", value)
-    sums = rows.groupBy(*key, "_bucket").agg(F.sum("_v").alias("_sum"))
-    before = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    chain = sums.select(*key, "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_carried"))
+    """Running sum along a key's history; nulls add nothing."""
+    return _running_total(in_ranges(df, key, order, ranges), key, order, value, out).drop("_range")
+
+
+def _running_total(ranged: DataFrame, key: Sequence[str], order: Sequence[str], value: Column, out: str) -> DataFrame:
+    rows = ranged.withColumn("_v", F.coalesce(value, F.lit(0)))
+    of = F.struct(*key)
+    sums = rows.groupBy("_range", *key).agg(F.sum("_v").alias("_sum"))
+    edges = sums.groupBy("_range").agg(
+        F.min(of).alias("head"), F.max(of).alias("tail"), F.max_by("_sum", of).alias("_sum")
+    )
+    # A key that fills whole ranges is the last of each: its sums add up over them.
+    upto = Window.partitionBy("tail").orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edges = edges.withColumn("_upto", F.sum("_sum").over(upto))
     inner = (
-        Window.partitionBy(*key, "_bucket")
+        Window.partitionBy("_range", *key)
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    joined = _rejoined(rows.withColumn("_in", F.sum("_v").over(inner)), chain, [*key, "_bucket"])
-    return joined.select(*df.columns, (F.col("_carried") + F.coalesce("_in", F.lit(0))).alias(out))
+    joined = _carried(rows.withColumn("_in", F.sum("_v").over(inner)), edges, key, F.col("_upto"))
+    return joined.select(*ranged.columns, (F.coalesce("_carried", F.lit(0)) + F.col("_in")).alias(out))
 
 
 def observation_changes(
@@ -81,12 +102,12 @@ def observation_changes(
     order: Sequence[str],
     cost: str,
     status: str,
-    bucket: Column,
     flag: str | None = None,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Each observation with its previous cost and what it changed (drop, flag, relist)."""
     values = [cost, status] + ([flag] if flag else [])
-    rows = with_previous(df, key, order, values, bucket)
+    rows = with_previous(df, key, order, values, ranges=ranges)
     drop = (F.col(f"prev_{cost}") != 0) & (F.col(cost) != 0) & (F.col(cost) < F.col(f"prev_{cost}"))
     back = ~F.col("is_first") & (F.col(status) == "active") & ~F.col(f"prev_{status}").eqNullSafe("active")
     rows = rows.withColumn("dropped", F.coalesce(drop, F.lit(False))).withColumn("relisted", back)
@@ -105,10 +126,10 @@ def replay(
     ts: str,
     cost: str,
     status: str,
-    bucket: Column,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Per key, what many runs of upsert would have left: first/last seen, cost, events."""
-    rows = observation_changes(df, key, order, cost, status, bucket)
+    rows = observation_changes(df, key, order, cost, status, ranges=ranges)
     return rows.groupBy(*key).agg(
         F.min(ts).alias("first_seen_at"),
         F.max(ts).alias("last_seen_at"),
@@ -135,14 +156,15 @@ def as_of(df: DataFrame, key: Sequence[str], order: Sequence[str], ts: str, at:
 
 
 def gap_sessions(
-    df: DataFrame, key: Sequence[str], order: Sequence[str], ts: str, gap_seconds: float, bucket: Column
+    df: DataFrame, key: Sequence[str], order: Sequence[str], ts: str, gap_seconds: float, ranges: int | None = None
 ) -> DataFrame:
     """Sessions of activity separated by more than a gap."""
-    marked = with_previous(df, key, order, [ts], bucket)
+    narrow = df.select(*dict.fromkeys([*key, *order, ts]))
+    marked = _with_previous(in_ranges(narrow, key, order, ranges), key, order, [ts])
     micros = [F.unix_micros(F.col(c).cast("timestamp")) for c in (ts, f"prev_{ts}")]
     wide = micros[0] - micros[1] > int(gap_seconds * 1_000_000)
     starts = marked.withColumn("_start", (F.col("is_first") | F.coalesce(wide, F.lit(False))).cast("int"))
-    numbered = running_total(starts, key, order, F.col("_start"), bucket, "session")
+    numbered = _running_total(starts, key, order, F.col("_start"), "session")
     return numbered.groupBy(*key, "session").agg(
         F.min(ts).alias("started_at"), F.max(ts).alias("ended_at"), F.count("*").alias("observations")
     )

@@ -12,27 +12,31 @@ a snapshot is made is kept. Steps of a stream carry its query's id, the batch an
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.dedupe import first_wins
-from ..schema import KEY, RECORD_DDL, RUN_LOG_DDL, record_schema
+from ..schema import KEY, RUN_LOG_DDL, record_schema
 from .log import Files, Version, VersionExpired, VersionLog, VersionTaken
 
 
 class StateStore:
     """``compact_after`` changes since the last snapshot make a write fold them into a new one.
 
-    ``only`` picks the rows that a snapshot keeps, if not all (see :class:`StateView`).
+    ``only`` picks the rows that a snapshot keeps, if not all (see :class:`StateView`). ``schema`` and ``key``
+    are those of listing records if not said otherwise; keys must not be null.
     """
 
     def __init__(
         self, spark: SparkSession, location: str, compact_after: int = 50, only: Callable[[DataFrame], DataFrame] | None = None,
-        put_if_absent: Callable[[str, bytes], bool] | None = None,
+        put_if_absent: Callable[[str, bytes], bool] | None = None, schema: T.StructType | None = None, key: Sequence[str] = KEY,
     ) -> None:
         self.spark = spark
+        self.schema = schema or record_schema()
+        self.key = list(key)
         self.location = location.rstrip("/")
         self.compact_after = compact_after
         self.only = only
@@ -57,23 +61,23 @@ class StateStore:
         """
         state = self.log.latest() if upto is None else self.log.at(upto)
         whole, changes = state.whole, state.changes
-        reader = self.spark.read.schema(record_schema())
+        reader = self.spark.read.schema(self.schema)
         snapshot = reader.parquet(self._data(whole.attempt)) if whole else None
         if not changes:
-            return snapshot if whole else self.spark.createDataFrame([], RECORD_DDL)
+            return snapshot if whole else self.spark.createDataFrame([], self.schema)
         newest = reader.parquet(*[self._data(v.attempt) for v in changes])
         if len(changes) > 1:
             numbers = F.create_map(*[F.lit(x) for v in changes for x in (v.attempt, v.number)])
             attempt = F.regexp_extract("_metadata.file_path", "/data/([0-9a-f]+)/", 1)
-            newest = first_wins(newest.withColumn("_version", numbers[attempt]), KEY, [F.desc("_version")]).drop("_version")
+            newest = first_wins(newest.withColumn("_version", numbers[attempt]), self.key, [F.desc("_version")]).drop("_version")
         if not whole:
             return newest
-        untouched = snapshot.join(newest.select(*KEY), list(KEY), "left_anti")
+        untouched = snapshot.join(newest.select(*self.key), self.key, "left_anti")
         return untouched.select(*newest.columns).unionByName(newest)
 
     def rows_of(self, version: Version) -> DataFrame:
         """The rows that one version wrote."""
-        return self.spark.read.schema(record_schema()).parquet(self._data(version.attempt))
+        return self.spark.read.schema(self.schema).parquet(self._data(version.attempt))
 
     def find(self, stream: str, batch: int, step: str) -> Version | None:
         """The published step of a stream's micro-batch, if it was published.
@@ -101,8 +105,7 @@ class StateStore:
 
     def _write_data(self, rows: DataFrame) -> str:
         attempt = uuid.uuid4().hex
-        columns = [f.name for f in record_schema().fields]
-        writer = rows.select(*columns).write.mode("errorifexists").option("parquet.block.size", 128 * 1024 * 1024)
+        writer = rows.select(*self.schema.names).write.mode("errorifexists").option("parquet.block.size", 128 * 1024 * 1024)
         writer.parquet(self._data(attempt))
         return attempt
 
@@ -120,14 +123,14 @@ class StateStore:
         return number
 
     def compact(self) -> int:
-        """Fold all up to now into one snapshot, laid out for pruning by status and key; trim the log.
+        """Fold all up to now into one snapshot, laid out for pruning by key, and status if it has one; trim the log.
 
         What other writers publish meanwhile is not covered, and stays in force.
         """
         upto = self.version()
         rows = self.read(upto)
         rows = self.only(rows) if self.only else rows
-        attempt = self._write_data(rows.repartition(*KEY).sortWithinPartitions("status", *KEY))
+        attempt = self._write_data(rows.repartition(*self.key).sortWithinPartitions(*[c for c in ["status"] if c in rows.columns], *self.key))
         while True:
             try:
                 number = self.publish("whole", attempt, covers=upto)

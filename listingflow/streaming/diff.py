@@ -1,93 +1,87 @@
-"""Changes of keyed observations, emitted as they arrive."""
+"""Changes of keyed observations, as they arrive or over a finished table."""
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import types as T
 
+from ..operators.dedupe import first_wins
 from ..operators.history import with_previous
+from ..sources.store import StateStore
+from .watch import stream_id
 
-# The driver-side runner of stateful streams does not see files added to the session, so the
-# processor travels with its code instead of its import path.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
+OBSERVED = ("key", "ts", "seq", "cost", "flag", "active")
 CHANGE_DDL = (
     "key string, ts timestamp, seq long, cost double, previous_cost double, "
     "is_new boolean, dropped boolean, gained boolean, relisted boolean"
 )
-_STATE = "cost double, flag boolean, active boolean"
-
-
-class _Changes(StatefulProcessor):
-    """Remembers one small row per key: the last cost, flag and status."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", _STATE)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = self.last.exists()
-        cost, flag, active = self.last.get() if known else (None, None, None)
-        # The shuffle keeps no order, so a key's rows of this micro-batch are put in time order.
-        pdf = pd.concat(rows).sort_values(["ts", "seq"])
-        out = []
-        for ts, seq, now_cost, now_flag, now_active in zip(
-            pdf["ts"], pdf["seq"], pdf["cost"], pdf["flag"], pdf["active"], strict=True
-        ):
-            now_cost = None if pd.isna(now_cost) else float(now_cost)
-            now_flag = None if pd.isna(now_flag) else bool(now_flag)
-            now_active = bool(now_active)
-            out.append(
-                (
-                    key[0], ts, seq, now_cost, cost, not known,
-                    bool(known and cost and now_cost and now_cost < cost),
-                    bool(known and now_flag and flag is not True),
-                    bool(known and now_active and not active),
-                )
-            )
-            known, cost, flag, active = True, now_cost, now_flag, now_active
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGE_DDL.split(", ")])
-        self.last.update((cost, flag, active))
-
-    def close(self) -> None:
-        pass
-
-
-def diff_stream(observations: DataFrame) -> DataFrame:
-    """``key, ts, seq, cost, flag, active`` to one change row per observation.
-
-    Needs the RocksDB state store. A key's rows of one micro-batch are sorted in its task, so
-    bound the micro-batch at the source (``maxBytesPerTrigger``); for whole tables, or keys
-    that dominate them, use ``batch_changes``, which never gathers a key.
+# ``name`` stands for the key and is never null.
+_LAST_DDL = "name string, key string, ts timestamp, seq long, cost double, flag boolean, active boolean"
+
+
+def last_rows(spark: SparkSession, location: str, compact_after: int = 50) -> StateStore:
+    """The table of each key's last observation, as versions in a folder."""
+    return StateStore(spark, location, compact_after, schema=T.StructType.fromDDL(_LAST_DDL), key=("name",))
+
+
+def diff_stream(
+    observations: DataFrame, store: StateStore, out: str, checkpoint: str, available_now: bool = True, ranges: int | None = None
+):
+    """``key, ts, seq, cost, flag, active`` to one change row per observation, written below ``out``.
+
+    Each micro-batch is joined to ``store`` (see :func:`last_rows`) by its keys; a key's rows follow its last known
+    one in the order of ts and seq (nulls first). Micro-batches follow each other as they arrive, so a late row is
+    compared with what was known when it came. No task holds a key: windows run inside ranges.
+
+    A batch's changes are in a folder of its own; then its last rows are published. A batch that is replayed
+    writes the same folder again if they were not, and does nothing if they were.
     """
-    return observations.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=_Changes(),
-        outputStructType=CHANGE_DDL,
-        outputMode="Append",
-        timeMode="None",
-    )
-
-
-def batch_changes(observations: DataFrame, bucket) -> DataFrame:
-    """The same over a finished table, by the two-level windows of the history operators."""
-    rows = with_previous(
-        observations, ["key"], ["ts", "seq"], ["cost", "flag", "active"], bucket
-    )
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        stream = stream_id(batch, checkpoint)
+        named = {"stream": stream, "batch": batch_id, "step": "rows"}
+        if store.find(**named):
+            return
+        base = store.version()
+        fresh = batch.select(F.to_json(F.struct("key")).alias("name"), *OBSERVED, F.lit(True).alias("fresh"))
+        known = store.read(base).join(fresh.select("name").distinct(), "name", "left_semi")
+        rows = known.select("name", *OBSERVED, F.lit(False).alias("fresh")).unionByName(fresh)
+        order = ["fresh", "ts", "seq"]
+        linked = with_previous(rows, ["name"], order, ["cost", "flag", "active"], ranges=ranges)
+        linked.filter("fresh").select(*_changes()).write.mode("overwrite").parquet(f"{out}/stream={stream}/batch={batch_id}")
+        last = first_wins(linked.filter("fresh"), ["name"], [F.desc("ts"), F.desc("seq")])
+        store.write(last, **named, based_on=base)
+
+    writer = observations.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
+    return writer.start()
+
+
+def read_changes(spark: SparkSession, out: str) -> DataFrame:
+    """All changes written so far, with the ``stream`` and ``batch`` that brought them."""
+    schema = f"{CHANGE_DDL}, stream string, batch long"
+    return spark.read.schema(schema).parquet(out)
+
+
+def batch_changes(observations: DataFrame, ranges: int | None = None) -> DataFrame:
+    """The same over a finished table."""
+    rows = with_previous(observations, ["key"], ["ts", "seq"], ["cost", "flag", "active"], ranges=ranges)
+    return rows.select(*_changes())
+
+
+def _changes() -> list[Column]:
+    """The change that a row with ``prev_`` columns and ``is_first`` is."""
     known = ~F.col("is_first")
     drop = known & (F.col("prev_cost") != 0) & (F.col("cost") != 0) & (F.col("cost") < F.col("prev_cost"))
-    return rows.select(
-        "key",
-        "ts",
-        "seq",
-        "cost",
+    return [
+        F.col("key"),
+        F.col("ts"),
+        F.col("seq"),
+        F.col("cost"),
         F.col("prev_cost").alias("previous_cost"),
         F.col("is_first").alias("is_new"),
         F.coalesce(drop, F.lit(False)).alias("dropped"),
         (known & F.coalesce("flag", F.lit(False)) & ~F.col("prev_flag").eqNullSafe(True)).alias("gained"),
-        (known & F.col("active") & ~F.coalesce("prev_active", F.lit(False))).alias("relisted"),
-    )
+        (known & F.coalesce("active", F.lit(False)) & ~F.coalesce("prev_active", F.lit(False))).alias("relisted"),
+    ]

@@ -31,7 +31,7 @@ def page_batches(gazetteer: Gazetteer | PlaceTable, rules: Rules) -> Callable[[D
     return step
 
 
-def _stream_id(batch: DataFrame, checkpoint: str) -> str:
+def stream_id(batch: DataFrame, checkpoint: str) -> str:
     """The query's id, which its checkpoint keeps: another checkpoint is another stream."""
     return batch.sparkSession.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
 
@@ -64,7 +64,7 @@ def watch_stream(
     view = StateView(store, "pending", pending)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        stream = _stream_id(batch, checkpoint)
+        stream = stream_id(batch, checkpoint)
         named = {"stream": stream, "batch": batch_id}
         place = f"stream={stream}/batch={batch_id}"
         if not store.find(**named, step="rows"):

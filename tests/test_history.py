@@ -33,7 +33,7 @@ def observations(seed: int):
 def test_replay_equals_a_sequential_pass(spark, seed):
     rows = observations(seed)
     df = spark.createDataFrame(rows, "key string, ts timestamp, seq int, cost int, status string").repartition(5)
-    got = H.replay(df, ["key"], ["ts", "seq"], "ts", "cost", "status", F.date_trunc("day", "ts")).collect()
+    got = H.replay(df, ["key"], ["ts", "seq"], "ts", "cost", "status").collect()
     expected = {}
     for key, ts, _, cost, status in sorted(rows, key=lambda r: (r[1], r[2])):
         e = expected.setdefault(key, {"n": 0, "drops": 0, "back": 0, "cost": None, "status": None, "first": ts})
@@ -53,7 +53,7 @@ def test_replay_equals_a_sequential_pass(spark, seed):
 def test_sessions_and_versions(spark):
     rows = observations(3)
     df = spark.createDataFrame(rows, "key string, ts timestamp, seq int, cost int, status string")
-    got = H.gap_sessions(df, ["key"], ["ts", "seq"], "ts", 3600 * 5, F.date_trunc("day", "ts")).collect()
+    got = H.gap_sessions(df, ["key"], ["ts", "seq"], "ts", 3600 * 5).collect()
     expected = {}
     last = {}
     for key, ts, *_ in sorted(rows, key=lambda r: (r[1], r[2])):
@@ -74,6 +74,39 @@ def test_sessions_and_versions(spark):
     assert versions == brute
 
 
+@pytest.mark.parametrize("ranges", [1, 3, 16])
+def test_a_key_that_fills_many_ranges(spark, ranges):
+    """A third of all rows have one key and one time; whole ranges hold nothing else."""
+    rng = random.Random(ranges)
+    rows = [("hot", START, i, rng.choice([None, 1, 2, 5])) for i in range(1_000)]
+    rows += [(f"k{rng.randrange(700)}", START + timedelta(minutes=rng.randrange(900)), 1_000 + i, 3) for i in range(2_000)]
+    df = spark.createDataFrame(rows, "key string, ts timestamp, seq int, cost int").repartition(4)
+    ranged = H.in_ranges(df, ["key"], ["ts", "seq"], ranges)
+    assert ranged.groupBy("_range", "key").count().agg(F.max("count")).first()[0] <= max(2 * 3_000 / ranges, 100) or ranges == 1
+    got = H.with_previous(df, ["key"], ["ts", "seq"], ["cost"], ranges=ranges)
+    w = Window.partitionBy("key").orderBy("ts", "seq")
+    plain = df.select("key", "seq", F.lag("cost").over(w).alias("prev_cost"), (F.row_number().over(w) == 1).alias("is_first"))
+    assert sorted(got.select(*plain.columns).collect(), key=str) == sorted(plain.collect(), key=str)
+    total = H.running_total(df, ["key"], ["ts", "seq"], F.col("cost"), "s", ranges)
+    plain = df.select("seq", F.coalesce(F.sum("cost").over(w), F.lit(0)).alias("s"))
+    assert sorted(total.select("seq", "s").collect()) == sorted(plain.collect())
+    sessions = H.gap_sessions(df, ["key"], ["ts", "seq"], "ts", 3600, ranges).filter("key = 'hot'").collect()
+    assert [(r.session, r.started_at, r.ended_at, r.observations) for r in sessions] == [(1, START, START, 1_000)]
+
+
+def test_rows_are_not_shuffled_to_what_is_carried(spark):
+    df = spark.createDataFrame(observations(4), "key string, ts timestamp, seq int, cost int, status string")
+    frame = H.with_previous(df, ["key"], ["ts", "seq"], ["cost"])
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_no_observations(spark):
+    df = spark.createDataFrame([], "key string, ts timestamp, seq int, cost int, status string")
+    assert H.replay(df, ["key"], ["ts", "seq"], "ts", "cost", "status").count() == 0
+    assert H.gap_sessions(df, ["key"], ["ts", "seq"], "ts", 5).count() == 0
+
+
 def crawl(pages, misses):
     """Search after search, page after page, as a crawler would."""
     seen, kept, new = set(), set(), {}
@@ -196,12 +229,12 @@ def test_catch_up(spark, last, now, pages):
 def test_null_keys_and_times_stay(spark):
     rows = [("a", 1, 10.0), ("a", None, 5.0), (None, 2, 3.0), (None, 1, 4.0), (None, None, 7.0), ("b", 3, 1.0)]
     df = spark.createDataFrame(rows, "k string, t int, cost double")
-    got = H.with_previous(df, ["k"], ["t"], ["cost"], F.expr("t div 2"))
+    got = H.with_previous(df, ["k"], ["t"], ["cost"])
     plain = df.withColumn("p", F.lag("cost").over(Window.partitionBy("k").orderBy("t")))
     assert sorted(map(str, got.select("k", "t", "cost", "prev_cost").collect())) == sorted(
         str(r) for r in plain.withColumnRenamed("p", "prev_cost").collect()
     )
-    total = H.running_total(df, ["k"], ["t"], F.col("cost"), F.expr("t div 2"), "s")
+    total = H.running_total(df, ["k"], ["t"], F.col("cost"), "s")
     running = df.withColumn("s", F.sum("cost").over(Window.partitionBy("k").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)))
     assert sorted(map(str, total.collect())) == sorted(map(str, running.collect()))
 

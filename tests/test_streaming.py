@@ -33,14 +33,34 @@ def test_diff_stream_equals_batch(spark, folder):
         (f"k{i % 3}", i, T0 + timedelta(minutes=i), [None, 0.0, 9.0, 8.0, 12.0][i * 7 % 5], [None, True, False][i % 3 - i % 2], i % 4 != 0)
         for i in range(40)
     ]
-    stream = write_parts(spark, folder, [rows[:15], rows[15:30], rows[30:]], ddl)
-    finish(
-        D.diff_stream(stream).writeStream.format("parquet").option("checkpointLocation", f"{folder}/c")
-        .option("path", f"{folder}/out").trigger(availableNow=True).start()
-    )
-    got = spark.read.parquet(f"{folder}/out").select("key", "seq", "previous_cost", "is_new", "dropped", "gained", "relisted")
-    batch = D.batch_changes(spark.createDataFrame(rows, ddl), F.date_trunc("hour", "ts")).select(*got.columns)
+    parts = [rows[:15], rows[15:30], rows[30:]]
+    stream = write_parts(spark, folder, parts, ddl)
+    store = D.last_rows(spark, f"{folder}/state", compact_after=2)
+    finish(D.diff_stream(stream, store, f"{folder}/out", f"{folder}/c"))
+    got = D.read_changes(spark, f"{folder}/out").select("key", "seq", "previous_cost", "is_new", "dropped", "gained", "relisted")
+    batch = D.batch_changes(spark.createDataFrame(rows, ddl)).select(*got.columns)
     assert sorted(got.collect(), key=str) == sorted(batch.collect(), key=str) and got.count() == 40
+    assert D.read_changes(spark, f"{folder}/out").select("batch").distinct().count() == 3
+    assert {r.key: r.seq for r in store.read().collect()} == {r[0]: r[1] for r in rows}
+
+
+def test_diff_stream_of_null_keys_late_rows_and_replays(spark, folder):
+    ddl = "key string, seq long, ts timestamp, cost double, flag boolean, active boolean"
+    first = [(None, 1, T0, 9.0, None, True), ("a", 2, T0 + timedelta(hours=5), 9.0, False, False), ("b", 3, T0, None, None, None)]
+    # A row older than the known one, and a hot key in one moment.
+    then = [("a", 4, T0, 8.0, True, True), (None, 5, T0, 7.0, True, True), *[("hot", 6 + i, T0, 1_000.0 - i, None, True) for i in range(300)]]
+    stream = write_parts(spark, folder, [first, then], ddl)
+    store = D.last_rows(spark, f"{folder}/state")
+    finish(D.diff_stream(stream, store, f"{folder}/out", f"{folder}/c", ranges=5))
+    got = {r.seq: r for r in D.read_changes(spark, f"{folder}/out").collect()}
+    assert len(got) == 305 and [s for s, r in got.items() if r.is_new] and got[6].is_new and not got[7].is_new
+    assert (got[4].previous_cost, got[4].dropped, got[4].gained, got[4].relisted) == (9.0, True, True, True)
+    assert (got[5].previous_cost, got[5].dropped, got[5].gained, got[5].relisted) == (9.0, True, True, False)
+    assert sum(r.dropped for r in got.values() if r.key == "hot") == 299
+    assert {r.key: r.seq for r in store.read().collect()} == {None: 5, "a": 4, "b": 3, "hot": 305}
+    before = store.version()
+    finish(D.diff_stream(stream, store, f"{folder}/out", f"{folder}/c", ranges=5))
+    assert store.version() == before and D.read_changes(spark, f"{folder}/out").count() == 305
 
 
 def test_watch_run_end_to_end(spark, folder):
