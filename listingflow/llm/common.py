@@ -62,6 +62,12 @@ def without_row(frame: DataFrame, names: list[str], **columns: str) -> DataFrame
     return frame.select(*[F.col(own[c]).alias(c) if c in own else F.col(f"row.`{c}`").alias(c) for c in names])
 
 
+def one_each(rows: DataFrame, *by: str) -> DataFrame:
+    """Of the rows (text, row) alike in ``by`` one: the first by text, then by its other columns written as JSON."""
+    first = F.min_by(F.struct("text", "row"), F.struct("text", F.to_json("row")))
+    return rows.groupBy(*by).agg(first.alias("_one")).select(*by, "_one.*")
+
+
 def appended(frame: DataFrame, make: Callable, added: str) -> DataFrame:
     """Columns added batch by batch: ``make()`` runs once a task and returns a function from a batch to arrays."""
     extra = T.StructType.fromDDL(added)

@@ -9,15 +9,17 @@ Every map task first merges equal texts of its own, so that a text with a third
 as few rows. The documents are then joined to the owners' verdicts by digest with a sort-merge join, of which
 Spark splits skewed partitions.
 
-Defined results: a null text counts as empty, and empty texts are one group like any other. A null id loses
-every tie against an id. Rows that repeat id and text alike are one document: all carry ``kept`` of that
-document in :func:`find_copies`; :func:`drop_copies` keeps one of them. An empty table gives an empty result.
+Defined results: a null text counts as empty, and empty texts are one group like any other. Ids may have any type
+with an order (texts: that of their bytes). A null id loses every tie against an id. Rows that repeat id and text
+alike are one document: all carry ``kept`` of that document in :func:`find_copies`; :func:`drop_copies` keeps one of
+them, the first by text and then by the other columns written as JSON. An empty table gives an empty result.
 Other columns never clash: they travel in a struct.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 import struct
 import tempfile
 from collections.abc import Iterator
@@ -25,14 +27,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from listingflow.llm.common import appended, partitions, utf8, with_row, without_row
+from listingflow.llm.common import appended, one_each, partitions, utf8, with_row, without_row
 
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 FLUSH_BYTES = 32 << 20
 TRIE_BYTES = 64 << 20
 NODE_BYTES = 300  # a node's own memory besides its label
-HEAD = struct.Struct("<IIqqqq?")
+HEAD = struct.Struct("<IIqqq")
 
 
 class Owner:
@@ -40,11 +43,11 @@ class Owner:
 
     __slots__ = ("count", "doc_id", "length", "ties")
 
-    def __init__(self, length: int, doc_id: int | None, count: int = 1, ties: int = 1):
+    def __init__(self, length: int, doc_id, count: int = 1, ties: int = 1):
         self.length, self.doc_id, self.count, self.ties = length, doc_id, count, ties
 
     def rank(self):
-        return (-self.length, self.doc_id is None, self.doc_id or 0)
+        return (-self.length, self.doc_id is None, 0 if self.doc_id is None else self.doc_id)
 
     def merge(self, other: Owner) -> None:
         mine, its = self.rank(), other.rank()
@@ -135,16 +138,18 @@ class Trie:
 
     @staticmethod
     def _write(file, key: bytes, owner: Owner) -> None:
-        missing = owner.doc_id is None
-        file.write(HEAD.pack(len(key), 0, owner.length, owner.doc_id or 0, owner.count, owner.ties, missing))
+        own_id = pickle.dumps(owner.doc_id)
+        file.write(HEAD.pack(len(key), len(own_id), owner.length, owner.count, owner.ties))
         file.write(key)
+        file.write(own_id)
 
     @staticmethod
     def _read(file) -> Iterator[tuple[bytes, Owner]]:
         file.seek(0)
         while head := file.read(HEAD.size):
-            size, _, length, doc_id, count, ties, missing = HEAD.unpack(head)
-            yield file.read(size), Owner(length, None if missing else doc_id, count, ties)
+            size, id_size, length, count, ties = HEAD.unpack(head)
+            key = file.read(size)
+            yield key, Owner(length, pickle.loads(file.read(id_size)), count, ties)
 
     @staticmethod
     def _walk(top: Node, start: bytes) -> Iterator[tuple[bytes, Owner]]:
@@ -184,8 +189,9 @@ def code_points(text: bytes) -> int:
 def _local_owners(batches):
     """A map task's distinct texts with their owners so far; sent on whenever they fill the memory."""
     found: dict[bytes, Owner] = {}
-    size = 0
+    size, kind = 0, None
     for batch in batches:
+        kind = batch.column("doc_id").type
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), strict=True):
             key, owner = normalised(text), Owner(code_points(text), doc_id)
             if key in found:
@@ -194,50 +200,46 @@ def _local_owners(batches):
                 found[key] = owner
                 size += len(key) + NODE_BYTES
                 if size > FLUSH_BYTES:
-                    yield from _owner_batches(found.items())
+                    yield from _owner_batches(found.items(), kind)
                     found, size = {}, 0
-    yield from _owner_batches(found.items())
+    yield from _owner_batches(found.items(), kind)
 
 
-def _owner_batches(items, rows: int = 500, limit: int = 8 << 20):
+def _owner_batches(items, kind, rows: int = 500, limit: int = 8 << 20):
     part, size = [], 0
     for key, owner in items:
         part.append((len(key), hashlib.sha256(key).digest(), key, owner.length, owner.doc_id, owner.count, owner.ties))
         size += len(key)
         if len(part) >= rows or size > limit:
-            yield _owner_batch(part)
+            yield _owner_batch(part, kind)
             part, size = [], 0
     if part:
-        yield _owner_batch(part)
+        yield _owner_batch(part, kind)
 
 
-def _owner_batch(part):
-    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+def _owner_batch(part, kind):
+    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), kind, pa.int64(), pa.int64())
     names = ("size", "digest", "key", "length", "doc_id", "count", "ties")
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*part, strict=True), kinds, strict=True)], names)
 
 
 def _own(batches):
     """One owner partition: all its texts through the trie."""
-    trie = Trie()
+    trie, kind = Trie(), None
     for batch in batches:
+        kind = batch.column("doc_id").type
         columns = [batch.column(c).to_pylist() for c in ("key", "length", "doc_id", "count", "ties")]
         for key, length, doc_id, count, ties in zip(*columns, strict=True):
             trie.add(key, Owner(length, doc_id, count, ties))
-    digests: set[bytes] = set()
     part: list[tuple] = []
-    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+    kinds = (pa.int64(), pa.binary(), kind, pa.int64(), pa.int64(), pa.int64())
     names = ("size", "digest", "keep_id", "keep_length", "group_size", "ties")
 
     def batch_of(rows):
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     for key, owner in trie.items():
-        digest = hashlib.sha256(key).digest()
-        if digest in digests:
-            raise ValueError("two different texts share a digest; join by digest would mix them")
-        digests.add(digest)
-        part.append((len(key), digest, owner.doc_id, owner.length, owner.count, owner.ties))
+        part.append((len(key), hashlib.sha256(key).digest(), owner.doc_id, owner.length, owner.count, owner.ties))
         if len(part) == 5_000:
             yield batch_of(part)
             part = []
@@ -261,12 +263,18 @@ def _keys():
 def _copies(frame: DataFrame, keep_text: bool) -> DataFrame:
     """``frame`` (doc_id, text, row) with size, digest, length and its group's keep_id, group_size, ties, kept."""
     spark = frame.sparkSession
+    kind = frame.schema["doc_id"].dataType.simpleString()
     owners = (
         frame.select("doc_id", "text")
-        .mapInArrow(_local_owners, "size long, digest binary, key binary, length long, doc_id long, count long, ties long")
+        .mapInArrow(_local_owners, f"size long, digest binary, key binary, length long, doc_id {kind}, count long, ties long")
         .repartition(partitions(spark), "size", "digest")
-        .mapInArrow(_own, "size long, digest binary, keep_id long, keep_length long, group_size long, ties long")
+        .mapInArrow(_own, f"size long, digest binary, keep_id {kind}, keep_length long, group_size long, ties long")
     )
+    # Rows meet their owner by digest, so no two texts may share one.
+    facts = F.struct("keep_id", "keep_length", "group_size", "ties")
+    owners = owners.groupBy("size", "digest").agg(F.any_value(facts).alias("own"), F.count("*").alias("texts"))
+    single = F.assert_true(F.col("texts") == 1, F.lit("two different texts share a digest")).isNull()
+    owners = owners.filter(single).select("size", "digest", "own.*")
     keyed = appended(frame, _keys, "size long, digest binary, length long")
     if not keep_text:
         keyed = keyed.drop("text", "row")
@@ -274,9 +282,15 @@ def _copies(frame: DataFrame, keep_text: bool) -> DataFrame:
     return keyed.join(owners.hint("merge"), ["size", "digest"]).withColumn("kept", kept)
 
 
+def ordered_id(docs: DataFrame, id_col: str):
+    """The id as ``doc_id``; whole numbers of any width as long."""
+    own = F.col(f"`{id_col}`")
+    return (own.cast("long") if isinstance(docs.schema[id_col].dataType, T.IntegralType) else own).alias("doc_id")
+
+
 def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256 of the normalised text."""
-    frame = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    frame = docs.select(ordered_id(docs, id_col), F.col(f"`{text_col}`").alias("text"))
     return _copies(frame, keep_text=False).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
     )
@@ -287,8 +301,6 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     names = {"doc_id": id_col, "text": text_col}
     found = _copies(with_row(docs, **names), keep_text=True).filter("kept")
     single = found.filter("ties = 1")
-    # A first row of exact repeats is picked by an aggregate, since a row has no name of its own.
-    several = found.filter("ties > 1")
-    repeats = several.groupBy("size", "digest", "doc_id").agg(F.first("text").alias("text"), F.first("row").alias("row"))
+    repeats = one_each(found.filter("ties > 1"), "size", "digest", "doc_id")
     both = single.select("doc_id", "text", "row").unionByName(repeats.select("doc_id", "text", "row"))
     return without_row(both, docs.columns, **names)

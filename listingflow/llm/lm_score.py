@@ -12,7 +12,8 @@ answers each block in the order asked. A frequent pair is one key per block, so
 numbers and answers then meet and give its documents' scores. Keys are 64-bit hashes of words and of pairs; two
 that are alike by accident would share their counts (about one pair of keys in 10^10 keys).
 
-Defined results: null and empty texts are the end token alone. A null id counts as empty text in the crc (so it is held
+Defined results: null and empty texts are the end token alone. Ids are whole numbers; others than those, or texts of
+them, are an error. A null id counts as empty text in the crc (so it is held
 out). Without training documents all weight is on the uniform part. Contexts never seen have only the lower orders.
 Repeated rows are scored alike. Empty tables give empty results; other columns never clash.
 """

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listingflow.llm.common import appended, partitions, staged, stretches, utf8, with_row, without_row
+from listingflow.llm.common import appended, one_each, partitions, staged, stretches, utf8, with_row, without_row
 
 SHINGLE = 3
 DISTANCE = 3
@@ -292,6 +292,5 @@ def drop_near_copies(
     if not repeated.isEmpty():  # rows that repeat id and text: one of them
         several = left.join(repeated, same(left, repeated), "left_semi")
         single = left.join(repeated, same(left, repeated), "left_anti")
-        one = several.groupBy("doc_id", "tie").agg(F.first("text").alias("text"), F.first("row").alias("row"))
-        left = single.unionByName(one.select(*single.columns))
+        left = single.unionByName(one_each(several, "doc_id", "tie").select(*single.columns))
     return without_row(left, docs.columns, **picked)

@@ -14,7 +14,8 @@ task), sorted there, encoded by the tokenizers library and written to the shared
 own. The names that count are in a manifest, itself a table that Spark commits: files of lost or repeated attempts
 are never read. The running position of each file follows from the manifest's sums.
 
-Defined results: null and empty texts are the end id alone. A null id comes first. Rows that repeat an id stand
+Defined results: null and empty texts are the end id alone. Ids are whole numbers, as the index holds them; others than
+those, or texts of them, are an error. A null id comes first. Rows that repeat an id stand
 side by side. An empty table gives no files. Other columns never clash: only id and text are read.
 """
 

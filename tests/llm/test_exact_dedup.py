@@ -57,6 +57,42 @@ def test_exact_repeats_leave_one(spark):
     assert cases.rows_of(exact_dedup.drop_copies(docs)) == [(1, "a b"), (None, None)]
 
 
+def test_ids_of_other_types(spark):
+    rows = [("b", "x y"), ("a", "xy"), ("", "x\ty"), (None, "x  y"), ("10", ""), ("9", None), ("é", "z"), ("z", "z"), (None, "q"), ("", "q")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    found = {(r.doc_id, r.text_sha256): r for r in exact_dedup.find_copies(docs).collect()}
+    assert len(found) == len(rows) and exact_dedup.find_copies(docs).schema["keep_id"].dataType.simpleString() == "string"
+    xy, q = hashlib.sha256(b"xy").hexdigest(), hashlib.sha256(b"q").hexdigest()
+    assert {(i, r.keep_id, r.kept) for (i, t), r in found.items() if t == xy} == {(i, None, i is None) for i in ("b", "a", "", None)}
+    assert {(i, r.keep_id, r.kept) for (i, t), r in found.items() if t == q} == {("", "", True), (None, "", False)}
+    assert {r.doc_id for r in exact_dedup.drop_copies(docs).collect()} == {None, "", "10", "z"}
+    days = docs.selectExpr("date_add(date'2024-01-01', length(text)) AS doc_id", "text")
+    assert exact_dedup.drop_copies(days).columns == ["doc_id", "text"] and exact_dedup.find_copies(days).count() == len(rows)
+
+
+def test_the_order_of_rows_decides_nothing(spark):
+    """Rows alike in id and text with other columns that differ, maps among them."""
+    rows = [(1, "a b", "z", {"k": 2}), (1, "a b", "y", {"k": 1}), (1, "a\tb", "x", None), (2, "c", "b", None), (2, "c", None, None)]
+    ddl = "doc_id long, text string, lang string, extra map<string,int>"
+    kept = []
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        docs = spark.createDataFrame(order, ddl).coalesce(1)
+        kept.append(sorted(map(str, exact_dedup.drop_copies(docs).collect())))
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 2
+
+
+def test_trie_spills_ids_of_any_kind():
+    trie = Trie(300)
+    for i in range(200):
+        trie.add(bytes([i % 7, i % 5, i % 3]) * 20, Owner(1, None if i % 2 else f"é{i:03}"))
+    found = dict(trie.items())
+    assert len(found) == 105 and sum(o.count for o in found.values()) == 200
+    want = {}
+    for i in range(200):
+        want.setdefault(bytes([i % 7, i % 5, i % 3]) * 20, []).append((bool(i % 2), "" if i % 2 else f"é{i:03}"))
+    assert {k: (o.doc_id is None, o.doc_id or "") for k, o in found.items()} == {k: min(v) for k, v in want.items()}
+
+
 def test_random_documents(spark):
     draw = random.Random(3)
     rows = [(draw.randint(0, 400), "".join(draw.choice("ab \n") for _ in range(draw.randint(0, 8)))) for _ in range(800)]
