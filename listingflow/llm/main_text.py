@@ -7,7 +7,8 @@ its own text, the length of that text and a sample of the distinct pages. A node
 its region have it with the same text, and nearly all of those that differ; else it is a slot. In an article, headings and
 paragraphs are never template. Subtrees whose tag, or the last word of a class or id, says what they are (menus, headers,
 footers, sidebars, notices, adverts, forms, comments) are template too, unless they hold the page's article or, on a page
-without one, most of its text. A host's pages with an article or main and those without have trees of their own. The main region is
+without one, most of its text. Comments never are the text, however long: a node named for them stays out unless it has an
+``h1``, or the page has neither an ``h1`` nor other text. A ``header`` in an article stays if it has the ``h1``. A host's pages with an article or main and those without have trees of their own. The main region is
 the article, or without such a node, for each layout, the smallest container of most of the varying text; its slots are the
 content. Of a page without a region of its host's, all that isn't template is content.
 
@@ -70,6 +71,8 @@ DROPPED_WORDS = frozenset(
     "disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo "
     "promoted related replies respond share sharing sidebar skip social sponsor sponsored subscribe tags toolbar widget".split()
 )
+#: Those of them that say that readers wrote it.
+COMMENT_WORDS = frozenset("comment comments disqus replies respond".split())
 #: A name that has one of these says what a node does without, or lies beside.
 NOT_NAMED = frozenset("no not non without with has have hide hides hidden show shows".split())
 #: Other tags count as one, as code and placeholders in pages make up their own.
@@ -92,7 +95,7 @@ _COMMENT_END = re.compile("--!?>")
 
 
 class Dom(HTMLParser):
-    """The page's tree: nodes are [tag, label, children]; children are nodes and strings."""
+    """The page's tree: nodes are [tag, label, children, whether named for comments]; children are nodes and strings."""
 
     CDATA_CONTENT_ELEMENTS = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")
 
@@ -100,7 +103,7 @@ class Dom(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.known = known
         self.unclosed = set()
-        self.root = [ROOT, ROOT, []]
+        self.root = [ROOT, ROOT, [], False]
         self.open = [self.root]
         self.places: dict[str, list[int]] = {}  # of the open nodes of each tag
         self.scopes: list[int] = []
@@ -110,7 +113,8 @@ class Dom(HTMLParser):
         at = max((self.places[x][-1] for x in closed if self.places.get(x)), default=0)
         if at and at >= (self.scopes[-1] if self.scopes else 0):
             self.close_from(at)
-        node = [tag, _label(tag, attrs, self.known), []]
+        label, comments = _label(tag, attrs, self.known)
+        node = [tag, label, [], comments]
         self.open[-1][2].append(node)
         if tag not in VOID:
             self.places.setdefault(tag, []).append(len(self.open))
@@ -167,17 +171,20 @@ def _words(value: str) -> list[str]:
 
 
 def _label(tag, attrs, known):
-    """The tag and those words of its class, id and role that are in ``known`` (None: all); ``!`` before what may be dropped."""
-    words, named = set(), False
+    """The tag and those words of its class, id and role that are in ``known`` (None: all), ``!`` before what may be dropped;
+    and whether it is named for readers' comments."""
+    words, named, comments = set(), False, False
     for name, value in attrs:
         if value and name in ("class", "id", "role"):
             for token in value.split():
                 found = _words(token)
                 words.update(found)
-                named = named or bool(found) and found[-1] in DROPPED_WORDS and NOT_NAMED.isdisjoint(found)
+                if found and found[-1] in DROPPED_WORDS and NOT_NAMED.isdisjoint(found):
+                    named, comments = True, comments or found[-1] in COMMENT_WORDS
     named = named and tag not in ("body", "html") and tag not in MAIN_TAGS
     mark = "!" if tag in HIDDEN_TAGS or tag in DROPPED_TAGS or named else ""
-    return mark + " ".join([tag if tag in KNOWN_TAGS else "#other", *sorted(words if known is None else words & known)])
+    label = mark + " ".join([tag if tag in KNOWN_TAGS else "#other", *sorted(words if known is None else words & known)])
+    return label, named and comments
 
 
 def parsed(html: str, known=None):
@@ -191,11 +198,13 @@ def parsed(html: str, known=None):
 def _keep_holders(root) -> None:
     """Take the ``!`` from nodes that hold the page's article or main, or most of the text of one or of a page without.
 
-    With an article or main outside of ``!`` nodes, those beside it stay as they are, whatever their size.
+    With an article or main outside of ``!`` nodes, those beside it stay as they are, whatever their size. Readers' comments
+    count for nothing here, as they may be longer than what they are about: their text isn't the page's, an article in them is
+    a comment, and a node named for them stays as it is. It is none if it has an ``h1``, or if the page has neither an ``h1`` nor
+    text outside of ``!`` nodes. In an article, a ``header`` with an ``h1`` is its title.
     """
-    order, held = [], []  # (node, place of its parent, place of its article); length of text, and whether an article is, below
+    order, own = [], []  # (node, place of its parent, place of its article); text, text not in ``!`` nodes, article and h1 in it
     stack = [(root, 0, 0, False)]
-    outside = False
     while stack:
         node, parent, top, below = stack.pop()
         if node[0] in HIDDEN_TAGS:
@@ -203,22 +212,40 @@ def _keep_holders(root) -> None:
         at, main = len(order), _is_main(node[1])
         below = below or dropped(node[1])
         if main and not below and not top:
-            top, outside = at, True
+            top = at
         order.append((node, parent, top))
-        held.append([0, main])
-        for child in node[2]:
-            if isinstance(child, str):
-                held[at][0] += len(child.strip())
-            else:
-                stack.append((child, at, top, below))
+        size = sum(len(child.strip()) for child in node[2] if isinstance(child, str))
+        own.append((size, size, main, node[0] == "h1"))
+        stack.extend((child, at, top, below) for child in node[2] if not isinstance(child, str))
+    held, comments = _held(order, own, True)
+    if comments and not held[0][1] and not held[0][3]:
+        held, comments = _held(order, own, False)  # a page with no other text
+    outside = any(top for _, _, top in order)
+    for at, ((node, _, top), (text, _, main, titled)) in enumerate(zip(order, held, strict=True)):
+        if not dropped(node[1]) or outside and not top or at in comments:
+            continue
+        if top:
+            kept = 2 * text > held[top][0] or node[0] == "header" and titled
+        else:
+            kept = main if held[0][2] else 2 * text > held[0][0]
+        if kept:
+            node[1] = node[1][1:]
+
+
+def _held(order, own, apart: bool):
+    """What each node holds, and the nodes named for comments if they are ``apart``: these count for nothing above them."""
+    held, comments = [list(x) for x in own], set()
     for at in range(len(order) - 1, 0, -1):
-        above = held[order[at][1]]
-        above[0] += held[at][0]
-        above[1] = above[1] or held[at][1]
-    for (node, _, top), (text, has_main) in zip(order, held, strict=True):
-        if dropped(node[1]) and (top or not outside):
-            if 2 * text > held[top][0] if top or not held[0][1] else has_main:
-                node[1] = node[1][1:]
+        (node, parent, _), mine = order[at], held[at]
+        if apart and node[3] and not mine[3]:
+            comments.add(at)
+            continue
+        above = held[parent]
+        above[0] += mine[0]
+        above[1] += 0 if dropped(node[1]) else mine[1]
+        above[2] = above[2] or mine[2]
+        above[3] = above[3] or mine[3]
+    return held, comments
 
 
 def dropped(label: str) -> bool:

@@ -193,3 +193,25 @@ def test_trees_of_many_nodes_keep_those_of_most_pages(monkeypatch):
     assert main_text.size(whole) <= 13
     frames = {True: main_text.wrapper(whole)}
     assert main_text.extract("<article><p>a</p><div class=by>By</div><div class=new>b</div></article>", frames) == "a\nb"
+
+
+def test_comments_longer_than_the_article(spark):
+    talk = "".join(f"<div class=comment><p>reader {n} says {{n}} " + "much more than was written above " * 6 + "</p></div>" for n in range(5))
+    plain = "<div class=post><h1>Head {n}</h1><p>The {n} short text</p></div>"
+    bodies = [
+        f"<article><h1>Head {{n}}</h1><p>The {{n}} short text</p></article><div id=comments>{talk}</div>",
+        f"<article><h1>Head {{n}}</h1><p>The {{n}} short text</p><section class=comments>{talk}</section></article>",
+        f"{plain}<div id=comments>{talk}</div>",
+        f"<div class='x widget'>{plain}</div><div id=comments>{talk}</div>",
+        f"{plain}<ol class=comments><li><article>reader {{n}}</article><li><article>{talk}</article></ol>",
+        f"<div class=comments>{plain}</div><footer>Foot {{n}}</footer>",
+        "<nav>Menu {n}</nav><div class=comments><p>Head {n}</p><p>The {n} short text</p></div>",
+        "<article><header class=entry-header><nav>Up</nav><h1>Head {n}</h1></header><p>The {n} short text</p><header>Part {n}</header></article>",
+    ]
+    hosts = range(len(bodies))
+    rows = [(100 * h + n, f"http://h{h}.com/", f"<body>{bodies[h].replace('{n}', str(n))}</body>") for h in hosts for n in range(5)]
+    got = dict(texts(spark, rows))
+    for h in hosts:
+        assert got[100 * h + 3] == "Head 3\nThe 3 short text", bodies[h]
+        alone = main_text.extract(rows[5 * h + 3][2], None)
+        assert alone == "Head 3\nThe 3 short text", bodies[h]
