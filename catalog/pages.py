@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from listingflow.operators.gazetteer import Gazetteer
 from listingflow.sources import forum
-from listingflow.sources.extract import collect_source, extract_records, page_candidates
+from listingflow.sources.collect import collect_all, collect_source
+from listingflow.sources.extract import extract_records, page_candidates
 from listingflow.sources.registry import extract_all
-from listingflow.sources.specs import PORTAL, SourceSpec
+from listingflow.sources.specs import HOUSEPRICE, PORTAL, SourceSpec
 
 from .state import page_walk_sql
 from .tables import customers_orders, dealt, gazetteer, load, query
@@ -244,3 +245,54 @@ def broken_pages(spark, sf):
     return refused.select(F.regexp_extract("url", "p=([0-9]+)", 1).cast("bigint").alias("page_id"), F.col("code").alias("outcome")).unionByName(
         records.select(F.col("listing_id").cast("bigint").alias("page_id"), F.lit("record").alias("outcome"))
     )
+
+
+# Two sources of list pages, dealt from parts: five cards a page, six pages a search. Of seven pages the fourth and fifth show
+# the first's cards again; a card in eleven is too old; prices stand on detail pages; one page of the second source is refused.
+SITES = {"591": (PORTAL, "https://rent.591.com.tw/", 100_000), "houseprice_5168": (HOUSEPRICE, "https://rent.houseprice.tw/house/H", 100_000)}
+SHOWN = "CASE WHEN q % 7 IN (3, 4) THEN q - q % 7 ELSE q END"
+REFUSED_AT = 150
+SITE_CARD = """concat('<p><a href="', link, '">獨立套房 NATION_', CAST(k % 25 AS STRING), '-路 ', CASE WHEN k % 11 = 5 THEN '30天前更新 ' ELSE '' END,
+    repeat('好', 240), '</a></p>')"""
+SITE_DETAIL = """CASE WHEN site = '591' THEN concat('<script type="application/ld+json">{"name": "獨立套房", "description": "8坪", "offers": {"price": ',
+        CAST(5000 + k % 9000 AS STRING), '}}</script>')
+    ELSE concat('<h1>x</h1><p>獨立套房 NATION_', CAST(k % 25 AS STRING), '-路 8坪 ', CAST(5000 + k % 9000 AS STRING), ' 元/月</p>') END"""
+SITE_PAGES = f"""SELECT DISTINCT CASE WHEN (p_partkey // 5) % 2 = 0 THEN '591' ELSE 'houseprice_5168' END AS site, (p_partkey // 5) // 2 AS q FROM part"""
+
+
+@query(f"""
+    WITH p AS ({SITE_PAGES}),
+    c AS (SELECT site, q, q // 6 AS search, q % 6 AS page, i, {SHOWN} * 5 + i AS k, site <> '591' AND q = {REFUSED_AT} AS refused FROM p, (SELECT unnest(range(5)) AS i)),
+    w AS ({page_walk_sql('''SELECT (CASE site WHEN '591' THEN 0 ELSE 100000000 END) + search AS search, page, count(*) AS n_parsed,
+        coalesce(list(site || k) FILTER (k % 11 <> 5), []) AS keys FROM c WHERE NOT refused GROUP BY ALL''',
+        'CASE WHEN search < 100000000 THEN 2 ELSE 1 END', 'kept AND NOT over AS went_on')}),
+    k AS (SELECT CASE WHEN search < 100000000 THEN '591' ELSE 'houseprice_5168' END AS site, search % 100000000 AS search, page, kept, went_on FROM w),
+    e AS (SELECT site, min(search * 6 + page) AS stop FROM (SELECT DISTINCT site, search, page FROM c WHERE refused) r WHERE page = 0 OR EXISTS
+        (SELECT 1 FROM k WHERE k.site = r.site AND k.search = r.search AND k.page = r.page - 1 AND went_on) GROUP BY site),
+    s AS (SELECT c.* FROM c JOIN k ON k.site = c.site AND k.search = c.search AND k.page = c.page AND kept LEFT JOIN e ON e.site = c.site
+        WHERE k % 11 <> 5 AND NOT refused AND (stop IS NULL OR c.search * 6 + c.page < stop)
+        QUALIFY row_number() OVER (PARTITION BY c.site, k ORDER BY c.search, c.page) = 1)
+    SELECT site AS source, 'record' AS kind, CASE site WHEN '591' THEN '' ELSE 'H' END || (100000 + k) AS listing_id, CAST(search AS INT) AS search,
+        CAST(page AS INT) AS page, n_name AS district, CASE WHEN i < 3 THEN CAST(5000 + k % 9000 AS INT) END AS rent, CASE WHEN i < 3 THEN CAST(8 AS DOUBLE) END AS area_ping
+    FROM s JOIN nation ON n_nationkey = k % 25
+    UNION ALL SELECT site, 'LOGIN_REQUIRED', NULL, CAST(stop // 6 AS INT), CAST(stop % 6 AS INT), NULL, NULL, NULL FROM e""")
+def collect_sources(spark, sf):
+    """All sources' searches in one run: details, recency, each source's page rule, a refusal that ends one of them."""
+    group = F.floor(F.col("p_partkey") / 5)
+    site = F.when(group % 2 == 0, "591").otherwise("houseprice_5168")
+    pages = load(spark, sf, "part").select(site.alias("site"), F.floor(group / 2).cast("int").alias("q")).distinct()
+    address = F.coalesce(*[F.when(F.col("site") == n, F.concat(F.lit(url), (F.lit(at) + F.col("k")).cast("string"))) for n, (_, url, at) in SITES.items()])
+    cards = pages.select("site", "q", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i"), F.expr(SHOWN).alias("_shown"))
+    cards = cards.withColumn("k", F.expr("_shown * 5 + i")).withColumn("link", address)
+    lists = cards.groupBy("site", "q").agg(F.array_sort(F.collect_list(F.struct("i", F.expr(SITE_CARD).alias("card")))).alias("cards"))  # five a page
+    searches = {n: url.split("/house")[0].rstrip("/") + "/list?kind=2&q=" for n, (_, url, _) in SITES.items()}
+    html = F.when((F.col("site") != "591") & (F.col("q") == REFUSED_AT), "<p>請先登入</p>").otherwise(F.array_join("cards.card", ""))
+    listed = lists.select(
+        F.col("q").alias("page_id"), F.col("site").alias("source"), F.floor(F.col("q") / 6).cast("int").alias("search"), (F.col("q") % 6).alias("page"),
+        F.coalesce(*[F.when(F.col("site") == n, F.concat(F.lit(u), F.col("q").cast("string"))) for n, u in searches.items()]).alias("url"), html.alias("html"),
+    )
+    details = cards.filter("_shown = q").select(F.col("k").alias("page_id"), F.col("site").alias("source"), F.col("link").alias("url"), F.expr(SITE_DETAIL).alias("html"))
+    records, refused, _ = collect_all(listed, gazetteer(spark, sf), [spec for spec, _, _ in SITES.values()], details)
+    met = refused.join(listed.select("source", "url", "search", "page"), ["source", "url"]).select("source", F.col("code").alias("kind"), "search", "page")
+    told = records.select("source", F.lit("record").alias("kind"), "listing_id", "search", "page", "district", "rent", "area_ping")
+    return told.unionByName(met, allowMissingColumns=True)

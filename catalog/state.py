@@ -289,7 +289,7 @@ def catch_up(spark, sf):
     return rows.select("user_id", "event_id", pages.alias("pages"))
 
 
-def page_walk_sql(pages: str, misses: int) -> str:
+def page_walk_sql(pages: str, misses: int | str, more: str = "") -> str:
     """The page rule walked page by page: ``pages`` gives search, page, n_parsed and the list of keys shown."""
     return f"""
     WITH RECURSIVE p AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY search, page) AS i FROM ({pages})),
@@ -302,7 +302,8 @@ def page_walk_sql(pages: str, misses: int) -> str:
             FROM (SELECT p.*, seen, live, before, CASE WHEN live THEN len([x for x in keys if NOT list_contains(seen, x)]) ELSE 0 END AS n_new
                 FROM (SELECT p.i, p.search, p.page, p.n_parsed, p.keys, w.seen, w.search IS DISTINCT FROM p.search OR NOT w.over AS live,
                     CASE WHEN w.search = p.search THEN w.run ELSE 0 END AS before FROM w JOIN p ON p.i = w.i + 1) AS p)))
-    SELECT CAST(search AS INT) AS search, CAST(page AS INT) AS page, CAST(n_parsed AS BIGINT) AS n_parsed, n_new, kept FROM w WHERE i > 0"""
+    SELECT CAST(search AS INT) AS search, CAST(page AS INT) AS page, CAST(n_parsed AS BIGINT) AS n_parsed, n_new, kept{more and ', ' + more}
+    FROM w WHERE i > 0"""
 
 
 def _stop_sql(misses: int) -> str:

@@ -217,6 +217,6 @@ def route(records: DataFrame, reasons: Column) -> DataFrame:
     )
 
 
-def recent(records: DataFrame, max_age_days: int, age: str = "update_age_days") -> DataFrame:
+def recent(records: DataFrame, max_age_days: int | Column, age: str = "update_age_days") -> DataFrame:
     """Drop only records known to be too old."""
     return records.filter(F.col(age).isNull() | (F.col(age) <= max_age_days))

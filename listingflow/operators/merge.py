@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,37 +38,38 @@ def merge_details(
     details: DataFrame,
     page: str,
     position: str,
-    limit: int = 3,
+    limit: int | Column = 3,
     candidate: Column | None = None,
     fetched: DataFrame | None = None,
+    on: Sequence[str] = ("url",),
 ) -> DataFrame:
-    """Fill nulls and blanks of incomplete records from ``details`` (unique per url).
+    """Fill nulls and blanks of incomplete records from ``details`` (unique per ``on``).
 
-    At most ``limit`` records per page are enriched, in page order, each URL once: that is
-    the rule of the source, not a shortcut. ``fetched`` (url) names the detail pages that were
+    At most ``limit`` (a number, or one that follows from ``on``) records per page are enriched, in page order, each
+    URL once: that is the rule of the source, not a shortcut. ``fetched`` (``on``) names the detail pages that were
     fetched, with a record or without: each counts against the limit; by default those with one.
     A detail's ``raw`` is kept under ``detail_raw_json`` in the record's. Complete records never
     enter the join.
     """
     wanted = needs_detail() if candidate is None else needs_detail() & candidate
     marked = records.withColumn("_needy", wanted)
-    first_use = Window.partitionBy(page, "url").orderBy(position)
+    first_use = Window.partitionBy(page, *on).orderBy(position)
     turn = Window.partitionBy(page).orderBy(position)
     found = details.select(
-        F.col("url"), F.struct(*[F.col(c) for c in details.columns if c != "url"]).alias("_d")
+        *on, F.struct(*[F.col(c) for c in details.columns if c not in on]).alias("_d")
     )
     uses = (
         marked.filter("_needy")
-        .select(page, position, "url")
+        .select(page, position, *on)
         .withColumn("_use", F.row_number().over(first_use))
         .filter("_use = 1")
         .drop("_use")
     )
     if fetched is not None:
-        found = fetched.select("url").distinct().join(found, "url", "left")
+        found = fetched.select(*on).distinct().join(found, list(on), "left")
     found = found.withColumn("_seen", F.lit(True))
     chosen = (
-        attach_facts(uses, found, ["url"])
+        attach_facts(uses, found, on)
         .filter("_seen")
         .withColumn("_turn", F.row_number().over(turn))
         .filter(F.col("_turn") <= limit)

@@ -10,12 +10,8 @@ from ..functions import text as X
 from ..functions import urls as U
 from ..functions import vocabulary as V
 from ..functions.text import blank_to_null
-from ..checkpoint import cut
-from ..operators.classify import recent
 from ..operators.dedupe import first_wins
 from ..operators.gazetteer import Gazetteer, PlaceTable, address_in_text
-from ..operators.merge import merge_details
-from ..operators.stop_rule import kept_pages
 from .dom import CANDIDATE_DDL, CARD, DETAIL, JSONLD, STATE, page_reader
 from .pages import page_errors
 from .specs import SourceSpec
@@ -326,9 +322,8 @@ def records_of(found: DataFrame, spec: SourceSpec, gazetteer: Gazetteer | PlaceT
 
 
 def _quarantine(own: DataFrame, readable: DataFrame, rows: DataFrame) -> DataFrame:
-    """Refused pages, and pages without a record (only a search's first one, if pages are numbered)."""
-    first = readable.filter("page = 0") if "page" in readable.columns else readable
-    empty = first.join(rows.select("page_id").distinct(), "page_id", "left_anti").select(
+    """Refused pages, and pages without a record."""
+    empty = readable.join(rows.select("page_id").distinct(), "page_id", "left_anti").select(
         "source",
         "url",
         F.lit("EMPTY_RESULT").alias("code"),
@@ -350,69 +345,6 @@ def extract_records(pages: DataFrame, spec: SourceSpec, gazetteer: Gazetteer | P
     return records, _quarantine(own, readable, rows)
 
 
-def collect_source(
-    pages: DataFrame, spec: SourceSpec, gazetteer: Gazetteer | PlaceTable, detail_pages: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Records, quarantine and page counts of one source's searches.
-
-    ``pages``: page_id, search, page, url, html[, status]. Incomplete records are filled from
-    ``detail_pages`` (page_id, url, html[, status]), records known to be too old are left out, and
-    pages beyond the point where a search stopped showing anything new do not count. A page that
-    is refused ends the source: no later page or search counts, and only that refusal is reported.
-    The parsed rows are read several times, so they are computed once.
-    """
-    own = page_errors(pages.withColumn("source", F.lit(spec.name)))
-    readable = own.filter("code IS NULL")
-    rows = cut(page_records(readable, spec, gazetteer))
-    parsed = rows
-    skipped = None
-    numbered = readable.select("page_id", "search", "page")
-    counts = rows.groupBy("page_id").agg(F.count("*").alias("n_parsed"))
-    shown = numbered.join(counts, "page_id", "left").na.fill(0, ["n_parsed"])
-    if detail_pages is not None and spec.detail_limit:
-        fetched = page_errors(detail_pages.withColumn("source", F.lit(spec.name)))
-        good = fetched.filter("code IS NULL")
-        details = first_wins(
-            page_records(good, spec, gazetteer), ["page_id"], [F.col("strategy"), F.col("pos")]
-        )
-        names = [c for c in details.columns if c not in ("source", "url", "page_id", "strategy", "pos", "source_ord")]
-        by_url = details.join(good.select("page_id", F.col("url").alias("_at")), "page_id").select(
-            F.col("_at").alias("url"), *names
-        )
-        position = F.struct("strategy", "pos")
-        rows = merge_details(
-            rows.withColumn("_position", position),
-            first_wins(by_url, ["url"], [F.col("listing_id")]),
-            "page_id",
-            "_position",
-            spec.detail_limit,
-            U.is_detail_url(F.col("url"), spec.detail_url_patterns),
-            fetched=good.select("url"),
-        ).drop("_position")
-        skipped = fetched.filter("code IS NOT NULL").select(
-            "source", "url", "code", F.concat(F.lit("detail skipped: "), "message").alias("message")
-        )
-    fresh = recent(rows, spec.max_age_days).join(numbered, "page_id")
-    kept = cut(kept_pages(fresh, shown, ["source", "listing_id"], spec.stop_after_misses, with_end=True))
-    # A refused page is met if it is its search's first, or if the search went on after the page before.
-    before = kept.select("search", (F.col("page") + 1).alias("page"), (F.col("kept") & ~F.col("ended")).alias("_on"))
-    blocked = own.filter("code IS NOT NULL").select("search", "page").join(before, ["search", "page"], "left")
-    first = blocked.filter("page = 0 OR _on").agg(F.min(F.struct("search", "page")).alias("at")).first()["at"]
-    kept = kept.drop("ended")
-    place = F.struct("search", "page")
-    own = own.filter("code IS NULL")
-    if first is not None:
-        end = F.struct(F.lit(first["search"]).alias("search"), F.lit(first["page"]).alias("page"))
-        kept, readable = kept.filter(place < end), readable.filter(place < end)
-        own = page_errors(pages.withColumn("source", F.lit(spec.name))).filter(place == end)
-    refused = _quarantine(own, readable, parsed)
-    if skipped is not None:
-        refused = refused.unionByName(skipped)
-    used = fresh.join(kept.filter("kept").select("search", "page"), ["search", "page"], "left_semi")
-    order = [F.col(c) for c in ("search", "page", "strategy", "pos")]
-    return first_wins(used, ["source", "listing_id"], order), refused, kept
-
-
 def preview(records: DataFrame, source: str, limit: int = 3) -> DataFrame:
     """First records of one source with cost and place; touches no state."""
     return (

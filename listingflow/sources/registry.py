@@ -34,6 +34,7 @@ class Extractor:
     build: Callable[[DataFrame, SourceSpec, Gazetteer | PlaceTable], DataFrame]
     columns: str
     empty_is_refused: bool = True
+    paged: bool = True  # its pages are searches' pages, not records
 
 
 def _posts(spec: SourceSpec) -> Callable[[Frames], Frames]:
@@ -52,14 +53,16 @@ _LINKED = Extractor(lambda spec: page_reader(spec.page_rules()), records_of, CAN
 EXTRACTORS: dict[str, Extractor] = {
     "generic": _LINKED,
     "portal": _LINKED,
-    "forum": Extractor(_posts, _forum, POST_DDL, empty_is_refused=False),
+    "forum": Extractor(_posts, _forum, POST_DDL, empty_is_refused=False, paged=False),
 }
 
 
-def read_once(pages: DataFrame, specs: Sequence[SourceSpec], extractors: dict[str, Extractor] = EXTRACTORS) -> DataFrame:
+def read_once(
+    pages: DataFrame, specs: Sequence[SourceSpec], extractors: dict[str, Extractor] = EXTRACTORS, carried: Sequence[str] = ()
+) -> DataFrame:
     """One scan and one Python pass over all pages of the specs' sources.
 
-    A row per page (``is_page``, with its refusal code and message) and the rows its source's reader gives.
+    A row per page (``is_page``, with its refusal code, message and the ``carried`` columns) and the rows its source's reader gives.
     A refused page's markup does not reach Python.
     """
     coded = page_errors(pages.filter(F.col("source").isin(*[s.name for s in specs])))
@@ -71,9 +74,9 @@ def read_once(pages: DataFrame, specs: Sequence[SourceSpec], extractors: dict[st
             if parts.setdefault(name, type_) != type_:
                 raise ValueError(f"two kinds of source give {name} different types")
     own = ["page_id", "source", "page_url"]
-    columns = [*own, "is_page", "code", "message", *parts]
+    columns = [*own, "is_page", "code", "message", *carried, *parts]
     schema = f"page_id {kind}, source string, page_url string, is_page boolean, code string, message string, "
-    schema += ", ".join(f"{n} {t}" for n, t in parts.items())
+    schema += ", ".join(f"{n} {t}" for n, t in ({c: pages.schema[c].dataType.simpleString() for c in carried} | parts).items())
     readers = {s.name: extractors[s.kind].reader(s) for s in specs}
 
     def shaped(frame: pd.DataFrame) -> pd.DataFrame:
@@ -89,7 +92,8 @@ def read_once(pages: DataFrame, specs: Sequence[SourceSpec], extractors: dict[st
                         yield shaped(found.assign(source=source, is_page=False))
 
     html = F.when(F.col("code").isNull(), F.coalesce("html", F.lit("")))
-    return coded.select("page_id", "source", F.col("url").alias("page_url"), "code", "message", html.alias("html")).mapInPandas(read, schema)
+    asked = coded.select("page_id", "source", F.col("url").alias("page_url"), "code", "message", *carried, html.alias("html"))
+    return asked.mapInPandas(read, schema)
 
 
 def extract_all(

@@ -7,7 +7,8 @@ from listingflow.operators.classify import add_female_only
 from listingflow.operators.gazetteer import Gazetteer
 from listingflow.schema import conform
 from listingflow.sources import forum, pages
-from listingflow.sources.extract import collect_source, extract_records
+from listingflow.sources.collect import collect_all, collect_source
+from listingflow.sources.extract import extract_records
 from listingflow.sources.registry import extract_all
 from listingflow.sources.specs import HOUSEPRICE, PORTAL, RAKUYA, SPECS, YUNGCHING
 
@@ -284,3 +285,52 @@ def test_a_page_with_many_links_is_read_in_linear_time():
 
     seconds(500)
     assert seconds(10_000) < 12 * seconds(2_000)
+
+
+def test_collecting_all_sources_in_one_run(spark):
+    """Each source by its own settings; a refusal ends its own source only; posts have no searches."""
+
+    def card(site, n, more="8坪 9,000 元/月"):
+        link = {"591": f"https://rent.591.com.tw/{200_000 + n}", "houseprice_5168": f"https://rent.houseprice.tw/house/H{n:04d}"}[site]
+        return f'<p><a href="{link}">獨立套房 {n} 台北市大同區 {more} {"好" * 240}</a></p>'
+
+    wall = "<p>請先登入</p>"
+    post = "<div id='main-content'><span>標題</span>[套房/桃園/中壢] 房\n地址：桃園市中壢區路\n租金：8000 元</div>"
+    rows = []
+    for site, url in (("591", "https://rent.591.com.tw/list?kind=2"), ("houseprice_5168", "https://rent.houseprice.tw/list?x=1")):
+        shown = [
+            (0, 0, card(site, 1), ), (0, 1, card(site, 1)), (0, 2, card(site, 1)), (0, 3, card(site, 2)),
+            (1, 0, card(site, 3, "")), (1, 1, wall if site == "591" else card(site, 5)), (2, 0, card(site, 4)),
+        ]
+        rows += [(i, site, s, p, f"{url}&s={s}&p={p}", h) for i, (s, p, h) in enumerate(shown)]
+    rows += [(0, "ptt_rent_tao", None, None, "https://www.ptt.cc/bbs/Rent_tao/M.1.html", post), (1, "ptt_rent_tao", None, None, "https://www.ptt.cc/bbs/Rent_tao/M.2.html", wall)]
+    rows += [(0, "unknown", 0, 0, "https://x.example/", card("591", 9))]
+    schema = "page_id int, source string, search int, page int, url string, html string"
+    told = '<script type="application/ld+json">{"name": "獨立套房", "description": "8坪 大同區", "offers": {"price": 12000}}</script>'
+    details = spark.createDataFrame(
+        [
+            (0, "591", "https://rent.591.com.tw/200003", told), (0, "houseprice_5168", "https://rent.houseprice.tw/house/H0003", "<h1>x</h1><p>台北市大同區 獨立套房 5.5坪 11000 元/月</p>"),
+            (1, "houseprice_5168", "https://rent.591.com.tw/200003", wall),
+        ],
+        "page_id int, source string, url string, html string",
+    )
+    pages_ = spark.createDataFrame(rows, schema)
+    found, refused, kept = collect_all(pages_, gazetteer(spark), SPECS, details)
+    got = {(r.source, r.listing_id): r.rent for r in found.collect()}
+    assert got == {
+        ("ptt_rent_tao", "M.1"): 8000,
+        ("591", "200001"): 9000, ("591", "200003"): 12000,  # ended by the refusal
+        ("houseprice_5168", "H0001"): 9000, ("houseprice_5168", "H0003"): 11000, ("houseprice_5168", "H0005"): 9000, ("houseprice_5168", "H0004"): 9000,
+    }
+    assert sorted((r.source, r.code, r.message[:6]) for r in refused.collect()) == [
+        ("591", "LOGIN_REQUIRED", "LOGIN_"), ("houseprice_5168", "LOGIN_REQUIRED", "detail"), ("ptt_rent_tao", "LOGIN_REQUIRED", "LOGIN_"),
+    ]
+    # Two pages without anything new end a search of the one, one page a search of the other.
+    assert {(r.source, r.search, r.page) for r in kept.collect() if r.kept} == {
+        ("591", 0, 0), ("591", 0, 1), ("591", 0, 2), ("591", 1, 0),
+        ("houseprice_5168", 0, 0), ("houseprice_5168", 0, 1), ("houseprice_5168", 1, 0), ("houseprice_5168", 1, 1), ("houseprice_5168", 2, 0),
+    }
+    only = collect_all(pages_.filter("source = 'ptt_rent_tao'"), gazetteer(spark), SPECS, details)
+    assert [r.listing_id for r in only[0].collect()] == ["M.1"] and only[1].count() == 1 and only[2].count() == 0
+    none = collect_all(pages_.filter("1 = 0"), gazetteer(spark), SPECS, details)
+    assert [x.count() for x in (none[0], none[2])] == [0, 0]

@@ -11,7 +11,7 @@ from listingflow.functions import vocabulary as V
 from listingflow.operators.gazetteer import Gazetteer
 from listingflow.sources import walk
 from listingflow.sources.dom import Outline, candidates
-from listingflow.sources.extract import collect_source
+from listingflow.sources.collect import collect_source
 from listingflow.sources.registry import extract_all
 from listingflow.sources.specs import PORTAL, RAKUYA, SPECS
 
