@@ -16,6 +16,7 @@ from .score import rank_score
 from .skew import attach_facts
 
 KEY = ("source", "listing_id")
+SUMMARY_CHUNK = 10_000  # labels whose part of a summary's text one task writes
 
 
 def group_label() -> Column:
@@ -147,13 +148,8 @@ def event_text(n_new: Column, n_drop: Column, n_other: Column) -> Column:
     )
 
 
-def run_summary(
-    candidates: DataFrame,
-    sending: DataFrame,
-    order: Sequence[str],
-    sending_order: Sequence[str] = ("position",),
-) -> DataFrame:
-    """One row: the counts of a run and the sentence that announces them."""
+def summary_labels(candidates: DataFrame, sending: DataFrame, order: Sequence[str], sending_order: Sequence[str] = ("position",)) -> DataFrame:
+    """One row per group label: where it first stands among candidates and among those sent, and its counts."""
     new = F.array_contains("reasons", V.NEW_RECORD)
     drop = F.exists("reasons", lambda r: r.startswith(f"{V.PRICE_DROP} "))
     every = candidates.select(
@@ -166,8 +162,7 @@ def run_summary(
     sent = sending.select(
         group_label().alias("label"), F.struct(*sending_order).alias("first_sent"), F.lit(1).alias("sent")
     )
-    # One row per group first; only these reach the single closing row.
-    groups = (
+    return (
         every.unionByName(sent, allowMissingColumns=True)
         .groupBy("label")
         .agg(
@@ -177,25 +172,48 @@ def run_summary(
         )
     )
 
-    def listing(first: str, n: str) -> Column:
-        items = F.array_sort(F.collect_list(F.when(F.col(n) > 0, F.struct(first, "label", n))))
-        text = F.array_join(
-            F.transform(items, lambda x: F.concat(x["label"], x[n].cast("string"), F.lit("間"))), "、"
-        )
-        return F.coalesce(blank_to_null(text), F.lit("0間"))
+
+def _label_text(labels: DataFrame, first: str, n: str, chunk: int) -> DataFrame:
+    """One row, ``text``: labels and counts in order of ``first``. Ranges of about ``chunk`` labels are texts
+    of their own, written in their tasks; only these texts meet."""
+    held = labels.filter(F.col(n) > 0).select(first, F.concat("label", F.col(n).cast("string"), F.lit("間")).alias("part"))
+    ranges = max(1, -(-held.count() // chunk))
+    dealt = held.repartitionByRange(ranges, first).withColumn("range", F.spark_partition_id())
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(first, "part"))), lambda x: x["part"]), "、")
+    texts = dealt.groupBy("range").agg(parts.alias("text"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range", "text"))), lambda x: x["text"]), "、")
+    return texts.agg(F.coalesce(blank_to_null(whole), F.lit("0間")).alias("text"))
+
+
+def run_summary(
+    candidates: DataFrame,
+    sending: DataFrame,
+    order: Sequence[str],
+    sending_order: Sequence[str] = ("position",),
+    chunk: int = SUMMARY_CHUNK,
+) -> DataFrame:
+    """One row: the counts of a run and the sentence that announces them.
+
+    The sentence names every label, so it is as long as there are labels; it is put together from texts of
+    about ``chunk`` labels each. :func:`summary_labels` has the labels as rows.
+    """
+    labels = cut(summary_labels(candidates, sending, order, sending_order))
 
     def total(n: str) -> Column:
         return F.coalesce(F.sum(n), F.lit(0))
 
-    both = groups.agg(
+    both = labels.agg(
         total("candidate").alias("n_candidates"),
         total("sent").alias("n_sending"),
         total("new").alias("n_new"),
         total("drop").alias("n_drop"),
         (total("candidate") - total("new") - total("drop")).alias("n_other"),
-        listing("first_all", "candidate").alias("all_text"),
-        listing("first_sent", "sent").alias("sent_text"),
     )
+    for name, first, n in (("all_text", "first_all", "candidate"), ("sent_text", "first_sent", "sent")):
+        # One row beside one row.
+        both = both.withColumn("_one", F.lit(1)).join(
+            _label_text(labels, first, n, chunk).select(F.lit(1).alias("_one"), F.col("text").alias(name)), "_one"
+        ).drop("_one")
     events = event_text(F.col("n_new"), F.col("n_drop"), F.col("n_other"))
     suffix = F.when(events != "", F.concat(F.lit("（"), events, F.lit("）"))).otherwise("")
     whole = F.concat(

@@ -270,11 +270,26 @@ def test_summary_text(spark):
         "待通知 4 間（新房源 2、價格下降 1、其他更新 1）：大安區2間、新店區1間、未知區1間。"
         "這次依新房源、價格下降、其他更新的順序先傳 2 間：大安區2間。"
     )
+    assert [r.candidate for r in O.summary_labels(rows, top, order).orderBy("first_all").collect()] == [2, 1, 1]
     none = df.filter("1 = 0")
     rows, order = O.order_outbox(none)
     assert O.run_summary(rows, O.watch_top_n(none, 2), order).first().message == "待通知 0 間：0間。"
 
 
+def test_summary_of_many_labels(spark):
+    """Texts of ranges of labels, joined in order, are the text of all."""
+    rows = spark.range(500).select(
+        F.format_string("區%03d", (F.col("id") * 7) % 250).alias("district"), F.lit(None).cast("string").alias("city"),
+        F.array(F.lit("新房源")).alias("reasons"), F.col("id").alias("o"), (F.col("id") + 1).alias("position"),
+    )
+    got = O.run_summary(rows, rows.filter("position <= 60"), ["o"], chunk=16).first()
+    names = [f"區{i * 7 % 250:03d}" for i in range(500)]
+    first = list(dict.fromkeys(names))
+    assert (got.n_candidates, got.n_sending, got.n_new) == (500, 60, 500)
+    assert got.message.split("：")[1] == "、".join(f"{x}2間" for x in first) + "。這次依新房源、價格下降、其他更新的順序先傳 60 間"
+    assert got.message.split("：")[2] == "、".join(f"{x}1間" for x in first[:60]) + "。"
+
+
 def test_message(spark):
     import json
 
