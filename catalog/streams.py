@@ -129,3 +129,61 @@ def stream_watch(spark, sf):
     return store.read().select(
         "source", "listing_id", "rent", "status", F.col("notified_snapshot.rent").alias("told_rent")
     )
+
+
+BATCHES, TOP = 3, 20
+
+
+def _outbox_sql() -> str:
+    """State and outbox batch by batch: what every other place of the outbox told is not told again."""
+    parts = [f"""e AS (SELECT event_type AS source, CAST(user_id AS VARCHAR) AS listing_id, CAST(floor(value * 100) AS INT) AS rent,
+        event_id // {BATCHES} % 5 <> 0 AS live, CAST(event_id % {BATCHES} AS INT) AS batch FROM events
+        QUALIFY row_number() OVER (PARTITION BY event_type, user_id, event_id % {BATCHES} ORDER BY event_id DESC) = 1),
+    d0 AS (SELECT source, listing_id, rent, live, CAST(NULL AS INT) AS told, FALSE AS back FROM e WHERE FALSE)"""]
+    for b in range(BATCHES):
+        parts.append(f"""
+    s{b} AS (SELECT coalesce(n.source, o.source) AS source, coalesce(n.listing_id, o.listing_id) AS listing_id,
+            CASE WHEN n.source IS NULL THEN o.rent ELSE n.rent END AS rent, coalesce(n.live, o.live) AS live, o.told,
+            coalesce(o.back, FALSE) OR coalesce(n.live AND NOT o.live, FALSE) AS back
+        FROM (SELECT * FROM e WHERE batch = {b}) n FULL JOIN d{b} o ON o.source = n.source AND o.listing_id = n.listing_id),
+    r{b} AS (SELECT *, CASE WHEN told IS NULL THEN '新房源' ELSE concat_ws(';', CASE WHEN told > 0 AND rent <> 0 AND rent < told
+            THEN '價格下降 ' || told || ' -> ' || rent END, CASE WHEN back THEN '重新上架' END) END AS reasons FROM s{b} WHERE live),
+    p{b} AS (SELECT *, CASE WHEN told IS NULL THEN 0 WHEN starts_with(reasons, '價格下降') THEN 1 ELSE 2 END AS priority FROM r{b} WHERE reasons <> ''),
+    o{b} AS (SELECT {b} AS batch, CAST(row_number() OVER (ORDER BY priority, CASE WHEN rent <> 0 THEN greatest(0, (18600 - rent) / 300.0) ELSE 0 END DESC,
+            source, listing_id) AS INT) AS position, source, listing_id, CAST(priority AS INT) AS priority, reasons FROM p{b} QUALIFY position <= {TOP}),
+    d{b + 1} AS (SELECT s.source, s.listing_id, s.rent, s.live, CASE WHEN o.position IS NULL THEN s.told ELSE s.rent END AS told,
+            s.back AND o.position IS NULL AS back FROM s{b} s LEFT JOIN o{b} o ON o.source = s.source AND o.listing_id = s.listing_id AND o.position % 2 = 1)""")
+    told = " UNION ALL ".join(f"SELECT batch, 'told' AS kind, position, source, listing_id, priority, reasons, CAST(NULL AS INT) AS told_rent FROM o{b}" for b in range(BATCHES))
+    return f"""WITH {','.join(parts)}
+    {told} UNION ALL SELECT {BATCHES}, 'state', NULL, source, listing_id, NULL, NULL, told FROM d{BATCHES}"""
+
+
+@query(_outbox_sql())
+def stream_outbox(spark, sf):
+    """Events arrive three times; after each the stream resumes, announces, and delivers every other message only."""
+    folder = _folder(spark)
+    store = StateStore(spark, f"{folder}/state")
+    events = load(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
+
+    def to_records(batch):
+        return batch.select(
+            F.col("event_type").alias("source"),
+            F.col("user_id").cast("string").alias("listing_id"),
+            F.floor(F.col("value") * 100).cast("int").alias("rent"),
+            F.when(F.floor(F.col("event_id") / BATCHES) % 5 == 0, "filtered_out").otherwise("active").alias("status"),
+            F.to_timestamp(F.lit("2024-01-01 00:00:00")).alias("first_seen_at"),
+            (-F.col("event_id")).alias("pos"),
+        )
+
+    for b in range(BATCHES):
+        events.filter(F.col("event_id") % BATCHES == b).write.mode("append").parquet(f"{folder}/in")
+        W.watch_stream(
+            spark.readStream.schema(events.schema).parquet(f"{folder}/in"), store, f"{folder}/outbox", f"{folder}/checkpoint",
+            Rules(max_results=TOP), to_records, deliver=lambda outbox, _: outbox.filter("position % 2 = 1"),
+        ).awaitTermination()
+    told = spark.read.schema(f"{W.OUTBOX_DDL}, batch int").option("basePath", f"{folder}/outbox").json(f"{folder}/outbox/stream=*")
+    told = told.select("batch", F.lit("told").alias("kind"), "position", "source", "listing_id", "priority", F.array_join("reasons", ";").alias("reasons"))
+    state = store.read().select(
+        F.lit(BATCHES).alias("batch"), F.lit("state").alias("kind"), "source", "listing_id", F.col("notified_snapshot.rent").alias("told_rent")
+    )
+    return told.unionByName(state, allowMissingColumns=True)
