@@ -83,6 +83,34 @@ def page_extract_embedded(spark, sf):
     )
 
 
+AUDITED = """concat('<script>window.__INITIAL_STATE__ = {"list":[{"houseId":"case', CAST(o_orderkey AS STRING), '","detailUrl":"/en/',
+    CAST(o_orderkey AS STRING), '?utm_source=z","title":"B ', n_name, '","rentPrice":"', CAST(o_custkey + 5000 AS STRING),
+    ' 元","manageFee":"1,000","area":"7.5坪","kind_name":"', CAST(o_custkey % 3 + 1 AS STRING), '房1廳1衛","gender":"限女生","remark":"',
+    CAST(o_custkey % 8 + 1 AS STRING), '/9F 租金 ', CAST(o_custkey % 1000 + 7000 AS STRING), ' 元/月 ', CAST(o_custkey % 6 + 2 AS STRING),
+    '天前更新 刊登日期：2024-01-0', CAST(o_custkey % 9 + 1 AS STRING), '。","extra":{"deep":[', CAST(o_custkey AS STRING), ']}}]};</script>')"""
+AUDIT = ("parser", "page_url", "canonical_url", "source_listing_id", "rent_monthly", "management_fee", "layout", "total_floor",
+    "updated_at_text", "listed_at_text", "update_age_days", "gender_restriction")
+
+
+@query(f"""
+    SELECT CAST(o_orderkey AS BIGINT) AS page_id, 'embedded_state' AS parser, 'https://web.example.com/list?page=1' AS page_url,
+        'https://web.example.com/en/' || o_orderkey AS canonical_url, 'case' || o_orderkey AS source_listing_id,
+        CAST(o_custkey % 1000 + 7000 AS VARCHAR) AS rent_monthly, '1000' AS management_fee, (o_custkey % 3 + 1) || '房1廳1衛' AS layout,
+        '9' AS total_floor, (o_custkey % 6 + 2) || '天前更新' AS updated_at_text, '刊登日期：2024-01-0' || (o_custkey % 9 + 1) AS listed_at_text,
+        CAST(o_custkey % 6 + 2 AS VARCHAR) AS update_age_days, '限女生' AS gender_restriction,
+        CAST(o_custkey AS VARCHAR) AS deep, (o_custkey + 5000) || ' 元' AS price FROM {ORDERS}""")
+def audit_fields(spark, sf):
+    """Where a record came from and what its text says, beside the payload it was read from."""
+    pages = customers_orders(spark, sf).select(
+        F.col("o_orderkey").alias("page_id"), F.lit("web").alias("source"), F.lit("https://web.example.com/list?page=1").alias("url"),
+        F.expr(AUDITED).alias("html"),
+    )
+    records, _ = extract_records(pages, DETAIL, gazetteer(spark, sf))
+    told = [F.get_json_object("raw", f"$.{n}").alias(n) for n in AUDIT]
+    payload = {"deep": "$.raw_payload.extra.deep[0]", "price": "$.raw_payload.rentPrice"}
+    return records.select(F.col("page_id").cast("bigint").alias("page_id"), *told, *[F.get_json_object("raw", p).alias(n) for n, p in payload.items()])
+
+
 PORTAL_PAGE = """concat('<body><a href="https://rent.591.com.tw/', CAST(p_partkey + 100000 AS STRING), '"><img src="//i.example/',
     CAST(p_partkey AS STRING), '.jpg">', p_name, ' 分租套房 ', CAST(p_size AS STRING), '坪 2F/4F NATION_',
     CAST(p_partkey % 25 AS STRING), '-路1號 ', CAST(p_size * 1000 AS STRING), ' 元/月 3天前更新</a></body>')"""
