@@ -169,7 +169,7 @@ class Block:
             hashes, last = hashes[keep], last[keep]
             if named:
                 texts = [texts[i] for i in keep.tolist()]
-                done = plan.done.holds(hashes)
+                done = plan.done.holds(hashes) & ~ahead[keep]  # the first reading had no part that it did not count
             pair = np.flatnonzero(np.diff(at) == 1)
             if not len(pair):
                 return

@@ -135,6 +135,36 @@ def test_counts_by_hash_are_those_by_name():
     assert len({x for _, h, _ in named for x in h}) == sum(len(h) for _, h, _ in named)
 
 
+class Listed:
+    """A filter of the phrases it was given, among them one that stands for a mistake of a Bloom filter."""
+
+    def __init__(self, *names):
+        self.hashes = set()
+        for name in names:
+            first, *rest = (phrases.word_hash(b"en", x) for x in name.encode().split())
+            code = np.array([first], np.uint64)
+            for word in rest:
+                code = phrases.mixed(code, np.array([word], np.uint64))
+            self.hashes.add(int(code[0]))
+
+    def holds(self, hashes):
+        return np.array([int(h) in self.hashes for h in hashes], bool)
+
+
+def test_a_proposed_phrase_whose_part_was_not_proposed_is_counted_ahead():
+    """The filter of proposals holds "a b" by mistake: without "a" the first reading never made it, nor "a b c"."""
+    block = phrases.Block(b"en")
+    for words, old in phrases.tokens("a b c d. a b c d. a b c d".encode(), 4):
+        block.add(words, old)
+    proposed = Listed("b", "c", "d", "a b", "b c", "c d", "b c d")
+    first = {h for _, hashes, _, n in block.count(phrases.Plan(1, 5, 5, proposed)) for h in hashes.tolist()}
+    known = Listed()
+    known.hashes = first
+    named = {p: n for k, _, found, ns in block.count(phrases.Plan(1, 5, 5, known, proposed)) for p, n in zip(found, ns.tolist(), strict=True) if k}
+    every = ["a", "b", "c", "d", "a b", "b c", "c d", "a b c", "b c d", "a b c d"]
+    assert named == {p.encode(): 3 for p in every}
+
+
 def test_large_products_are_exact(spark):
     a, n, left, right = 10**13 + 7, 10**14 + 3, 10**13 + 9, 10**13 + 21
     wide = "cast({}L as decimal(19,0))"
