@@ -168,3 +168,12 @@ def test_extraction_with_over_100_000_names(spark):
     wanted = {r.listing_id: (r.city, r.district) for r in small.collect()}
     assert {k: v for k, v in got.items() if not k.startswith("77ab0")} == {k: v for k, v in wanted.items() if not k.startswith("77ab0")}
     assert got["204801"] == ("新北市", "永和區")
+
+
+def test_the_work_does_not_grow_with_texts_times_names(spark):
+    """More names than an automaton takes: the texts are read once, not once for each block of names."""
+    places = spark.range(300).selectExpr("concat('C', id % 7) AS city", "id AS region_id", "concat('W', id, '區') AS district", "id AS section_id", "id AS ord")
+    texts = spark.createDataFrame([("a", 0, "W7區W17區 W7區 C3"), ("b", 0, "W17區"), ("c", 1, ""), ("d", 2, None), ("e", 0, "𠀀W299區é")], "key string, what int, text string")
+    many, few = (PlaceTable(places, block=block)._hits(texts) for block in (10, 1_000))
+    assert many._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
