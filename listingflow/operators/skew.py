@@ -8,15 +8,27 @@ Small facts may be broadcast, which Spark decides from their measured size.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+SPREAD = 1 << 20
+
+
 def attach_facts(rows: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join ``facts`` (one row per key) to ``rows``. Null keys match nothing."""
+    """Left join ``facts`` (one row per key) to ``rows``. Null keys match nothing, and are dealt out by the whole row."""
     values = [c for c in facts.columns if c not in keys]
-    named = facts.select(*[F.col(k).alias(f"_f_{k}") for k in keys], F.struct(*values).alias("_facts"))
-    joined = rows.join(named, [F.col(k) == F.col(f"_f_{k}") for k in keys], "left")
+    # Always 0, but no literal: of a constant Spark makes a test beside the join instead of a key.
+    zero = F.pmod(F.xxhash64(*keys), F.lit(1)).alias("_f_spread")
+    named = facts.select(*[F.col(k).alias(f"_f_{k}") for k in keys], zero, F.struct(*values).alias("_facts"))
+    told = [f"`{f.name}`" for f in rows.schema.fields if not re.search("map<|variant", f.dataType.simpleString())]
+    alone = reduce(or_, [F.col(k).isNull() for k in keys])
+    spread = F.when(alone, F.pmod(F.xxhash64(*told), F.lit(SPREAD)) + 1).otherwise(F.lit(0).cast("long"))
+    on = [*[F.col(k) == F.col(f"_f_{k}") for k in keys], F.col("_spread") == F.col("_f_spread")]
+    joined = rows.withColumn("_spread", spread).join(named, on, "left")
     return joined.select(*rows.columns, *[F.col(f"_facts.{v}").alias(v) for v in values])

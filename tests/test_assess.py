@@ -1,9 +1,12 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from listingflow.operators import classify as C
 from listingflow.operators import score as S
 from listingflow.operators.dedupe import content_fingerprint, first_wins, mark_duplicates
+from listingflow.operators.skew import attach_facts
 from listingflow.plans.runs import Rules, assess, backfill
 
 from .fixtures import gazetteer_table, records
@@ -208,3 +211,19 @@ def test_backfill_cuts_then_groups(spark):
 def test_gazetteer_table_is_ordered(spark):
     assert gazetteer_table(spark).orderBy("ord").first().district == "大安區"
     assert content_fingerprint() is not None
+
+
+def test_rows_without_a_key_do_not_meet_in_one_task(spark):
+    rows = spark.range(4_000).selectExpr("id", "CASE WHEN id % 10 = 0 THEN id END AS k", "parse_json('{}') AS v", "map(1, 2) AS m")
+    facts = spark.range(0, 4_000, 20).selectExpr("id AS k", "id + 1 AS f")
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        got = attach_facts(rows, facts, ["k"]).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+    assert sorted((r.id, r.k, r.f) for r in got if r.f is not None) == [(i, i, i + 1) for i in range(0, 4_000, 20)]
+    alone = Counter(r.task for r in got if r.k is None)
+    assert len(got) == 4_000 and max(alone.values()) < 1_000
