@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import for_pages
 from ..functions import numbers as N
 from ..functions import text as X
 from ..functions import urls as U
@@ -19,6 +20,7 @@ from .specs import SourceSpec
 
 def page_candidates(pages: DataFrame, spec: SourceSpec) -> DataFrame:
     """One row per possible record of each page. Only columns the parser needs go to Python."""
+    for_pages(pages.sparkSession)
     kind = pages.schema["page_id"].dataType.simpleString()
     return pages.select("page_id", "source", F.col("url").alias("page_url"), "html").mapInPandas(
         page_reader(spec.page_rules()),
@@ -341,7 +343,9 @@ def extract_records(pages: DataFrame, spec: SourceSpec, gazetteer: Gazetteer | P
     """
     own = page_errors(pages.withColumn("source", F.lit(spec.name)))
     readable = own.filter("code IS NULL")
-    rows = page_records(readable, spec, gazetteer)
+    # As a value, not a filter: a filter would be pushed below the dealing of pages to tasks, and its test with it.
+    markup = F.when(F.col("code").isNull(), F.coalesce("html", F.lit("")))
+    rows = page_records(own.withColumn("html", markup), spec, gazetteer)
     records = first_wins(rows, ["source", "listing_id"], [F.col("page_id"), F.col("strategy"), F.col("pos")])
     return records, _quarantine(own, readable, rows)
 

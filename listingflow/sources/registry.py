@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..checkpoint import cut
+from ..cluster import for_pages
 from ..operators.dedupe import first_wins
 from ..operators.gazetteer import Gazetteer, PlaceTable
 from .dom import CANDIDATE_DDL, page_reader
@@ -65,6 +66,7 @@ def read_once(
     A row per page (``is_page``, with its refusal code, message and the ``carried`` columns) and the rows its source's reader gives.
     A refused page's markup does not reach Python.
     """
+    for_pages(pages.sparkSession)
     coded = page_errors(pages.filter(F.col("source").isin(*[s.name for s in specs])))
     kind = pages.schema["page_id"].dataType.simpleString()
     parts: dict[str, str] = {}
