@@ -34,13 +34,16 @@ def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def dealt(df: DataFrame) -> DataFrame:
-    """The rows dealt to as many tasks as ``spark.listingflow.partitions`` says; as the files are where it is unset.
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt (by the keys, if any) to as many tasks as ``spark.listingflow.partitions`` says; where it is
+    unset, to four for each core, and no fewer than a shuffle's.
 
-    For tables whose files are fewer than the cores; large tables are left as they are read.
+    A table may be one file of one row group, which a single task would read, and work on all that follows.
     """
-    wanted = df.sparkSession.conf.get("spark.listingflow.partitions", None)
-    return df.repartition(int(wanted)) if wanted else df
+    spark = df.sparkSession
+    wanted = spark.conf.get("spark.listingflow.partitions", None)
+    few = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(int(wanted or few), *keys)
 
 
 K = "o_orderkey"
@@ -98,8 +101,8 @@ def listings(spark: SparkSession, sf: str) -> DataFrame:
 
 def customers_orders(spark: SparkSession, sf: str) -> DataFrame:
     t = {n: load(spark, sf, n) for n in ("orders", "customer", "nation", "region")}
-    return (
-        dealt(t["orders"])
+    return dealt(
+        t["orders"]
         .join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
         .join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
         .join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))

@@ -3,12 +3,13 @@ import time
 
 from pyspark.sql import functions as F
 
+from catalog.tables import dealt
 from listingflow.operators.classify import add_female_only
 from listingflow.operators.gazetteer import Gazetteer
 from listingflow.schema import conform
 from listingflow.sources import forum, pages
 from listingflow.sources.collect import collect_all, collect_source
-from listingflow.sources.extract import extract_records
+from listingflow.sources.extract import extract_records, page_candidates
 from listingflow.sources.registry import extract_all
 from listingflow.sources.specs import HOUSEPRICE, PORTAL, RAKUYA, SPECS, YUNGCHING
 
@@ -334,3 +335,26 @@ def test_collecting_all_sources_in_one_run(spark):
     assert [r.listing_id for r in only[0].collect()] == ["M.1"] and only[1].count() == 1 and only[2].count() == 0
     none = collect_all(pages_.filter("1 = 0"), gazetteer(spark), SPECS, details)
     assert [x.count() for x in (none[0], none[2])] == [0, 0]
+
+
+def test_pages_are_dealt_to_tasks_before_they_are_read(spark, folder):
+    """A table of one row group is no work for one task; nor is the test for refusals done before the dealing."""
+    spark.range(40).selectExpr("CAST(id AS INT) AS page_id").coalesce(1).write.parquet(f"{folder}/t")
+    rows = dealt(spark.read.parquet(f"{folder}/t"))
+    assert rows.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    pages = rows.selectExpr("page_id", "'591' AS source", "'https://rent.591.com.tw/list?kind=2' AS url", "concat('請先登入 ', page_id) AS html")
+    records, refused = extract_records(pages, PORTAL, gazetteer(spark))
+    plan = records._jdf.queryExecution().optimizedPlan().toString()
+    assert "請先登入" not in plan[plan.index("Repartition") :]
+    assert records.count() == 0 and {r.code for r in refused.collect()} == {"LOGIN_REQUIRED"}
+
+
+def test_pages_reach_python_a_few_at_a_time(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    page_candidates(table(spark, ("591", LIST, CARDS)), PORTAL)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 250
+
+
+def test_a_page_without_markup_has_no_records(spark):
+    records, refused = extract_records(table(spark, ("591", LIST, None), ("591", LIST, CARDS)), PORTAL, gazetteer(spark))
+    assert records.count() == 2 and [r.code for r in refused.collect()] == ["EMPTY_RESULT"]
