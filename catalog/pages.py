@@ -237,8 +237,8 @@ PORTAL_DETAIL = """concat('<script type="application/ld+json">{"name": "獨立
         CASE WHEN i < 3 THEN CAST(8 AS DOUBLE) END AS area_ping FROM c JOIN nation ON n_nationkey = k % 25""")
 def portal_details(spark, sf):
     """What the list pages don't say is filled from detail pages, of three records a page."""
-    groups = load(spark, sf, "part").select(F.expr("CAST(floor(p_partkey / 5) AS INT) AS g")).distinct()
-    groups = dealt(groups, "g")
+    # Dealt before they are made distinct: a dealing by the same key afterwards is no shuffle of its own, and few rows go to one task.
+    groups = dealt(load(spark, sf, "part").select(F.expr("CAST(floor(p_partkey / 5) AS INT) AS g")), "g").distinct()
     cards = groups.select("g", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i")).select("g", "i", F.expr("g * 5 + i AS k"))
     lists = cards.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("i", F.expr(PORTAL_CARD).alias("card")))).alias("cards"))  # five a page
     pages = lists.select(
@@ -309,8 +309,7 @@ def collect_sources(spark, sf):
     """All sources' searches in one run: details, recency, each source's page rule, a refusal that ends one of them."""
     group = F.floor(F.col("p_partkey") / 5)
     site = F.when(group % 2 == 0, "591").otherwise("houseprice_5168")
-    pages = load(spark, sf, "part").select(site.alias("site"), F.floor(group / 2).cast("int").alias("q")).distinct()
-    pages = dealt(pages, "site", "q")
+    pages = dealt(load(spark, sf, "part").select(site.alias("site"), F.floor(group / 2).cast("int").alias("q")), "site", "q").distinct()
     address = F.coalesce(*[F.when(F.col("site") == n, F.concat(F.lit(url), (F.lit(at) + F.col("k")).cast("string"))) for n, (_, url, at) in SITES.items()])
     cards = pages.select("site", "q", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i"), F.expr(SHOWN).alias("_shown"))
     cards = cards.withColumn("k", F.expr("_shown * 5 + i")).withColumn("link", address)
