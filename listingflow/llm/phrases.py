@@ -17,6 +17,7 @@ One expansion therefore closes the border.
 What is proposed or frequent reaches the tasks as a Bloom filter of 16 bits a phrase, at most ``filter_bits`` of them
 in all; a phrase it lets through by mistake is counted like others and costs only work. Tasks count in blocks of
 words by sorting pairs of codes, and Spark adds the blocks' counts up; no phrase, word or language is held in one place.
+In the reading by name tasks first add up what they read themselves, and there are as many of them as cores.
 
 Scores are exact integers (decimals of 38 digits in products). Joins of candidates with the counts of their parts and
 the ranking (by language and a salt first, then by language) are Spark's.
@@ -49,7 +50,8 @@ STRETCH_BYTES = 4 << 20
 SALTS = 32
 PROBES = 3
 ROWS = 50_000
-HELD = 300_000  # phrases whose counts a task keeps before it hands them on
+HELD = 2_000_000  # phrases whose counts a task keeps before it hands them on
+PARCELS = 16
 LEAST_BITS = 1 << 10
 
 # Lower-cases A-Z, makes tabs blanks, and marks the ends of pieces by a byte that UTF-8 never has.
@@ -57,6 +59,7 @@ _ENDS = b".,;:!?\n\x0b\x0c\r"
 _TO = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + _ENDS, b"abcdefghijklmnopqrstuvwxyz " + b"\xff" * len(_ENDS))
 _GAP = re.compile(rb"[ \xff]")
 _MIX = 0x9E3779B97F4A7C15
+_NAMED = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
 
 
 def tokens(text: bytes, context: int) -> list[tuple[list[bytes], int]]:
@@ -217,37 +220,61 @@ def by_hash(texts: DataFrame, low: int, high: int, checked: int, known=None) ->
 
 def by_name(texts: DataFrame, high: int, known, done) -> DataFrame:
     """lang, k, phrase, n of the phrases that ``known`` holds or that have a part that ``done`` lacks; words in all as k = 0."""
+    return handed_on(texts, high, known, done).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+
+
+def handed_on(texts: DataFrame, high: int, known, done) -> DataFrame:
+    """Each task's share of the counts by name.
+
+    Nearly every task meets nearly every frequent phrase. So there are as many tasks as cores, not more of them on a
+    larger table: the rows grow as the frequent phrases do, not as these times the tasks.
+    """
 
     def work(batches):
         plan = Plan(1, high, high, Filter(known.value), Filter(done.value))
-        held: dict[bytes, dict[bytes, int]] = {}
-        for block in _blocks(batches, plan):
-            own = held.setdefault(block.lang, {})
-            for _, _, phrases, n in block.count(plan):
-                for phrase, more in zip(phrases, n.tolist(), strict=True):
-                    own[phrase] = own.get(phrase, 0) + more
-            if sum(map(len, held.values())) > HELD:
-                yield from rows(held)
-                held = {}
-        yield from rows(held)
-
-    def rows(held):
-        for lang, own in held.items():
-            phrases, n = list(own), list(own.values())
-            for at in range(0, len(n), ROWS):
-                part = phrases[at : at + ROWS]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([lang] * len(part), pa.binary()).cast(pa.string()),
-                        pa.array([x.count(b" ") + 1 if x else 0 for x in part], pa.int32()),
-                        pa.array(part, pa.binary()).cast(pa.string()),
-                        pa.array(n[at : at + ROWS], pa.int64()),
-                    ],
-                    ["lang", "k", "phrase", "n"],
-                )
-
-    found = texts.select("lang", "text").mapInArrow(work, "lang string, k int, phrase string, n long")
-    return found.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+        yield from summed(named(block, plan) for block in _blocks(batches, plan))
+
+    few = texts.select("lang", "text").coalesce(texts.sparkSession.sparkContext.defaultParallelism)
+    return few.mapInArrow(work, "lang string, k int, phrase string, n long")
+
+
+def named(block: Block, plan: Plan):
+    """(parcel, table) of a block's counts by name: the same phrase always goes to the same parcel."""
+    parts = [[] for _ in range(PARCELS)]
+    for k, hashes, found, n in block.count(plan):
+        column = pa.array(found, pa.binary()).cast(pa.string())
+        lang, words = pa.scalar(block.lang.decode(), pa.string()), pa.scalar(k, pa.int32())
+        level = pa.table([pa.repeat(lang, len(n)), pa.repeat(words, len(n)), column, pa.array(n)], _NAMED)
+        parcel = hashes % np.uint64(PARCELS) if k else np.zeros(1, np.uint64)
+        for i in range(PARCELS):
+            parts[i].append(level.take(np.flatnonzero(parcel == i)))
+    return [(i, pa.concat_tables(part)) for i, part in enumerate(parts) if part]
+
+
+def summed(blocks):
+    """The blocks' counts added up by name, in batches: a phrase once, or anew when more than ``HELD`` are held.
+
+    Adding up parcel by parcel takes little memory beside what is held.
+    """
+    held = [_NAMED.empty_table()] * PARCELS
+    settled = [0] * PARCELS
+    for block in blocks:
+        for i, table in block:
+            held[i] = pa.concat_tables([held[i], table])
+            if held[i].num_rows > max(1.5 * settled[i], HELD / PARCELS / 4):
+                held[i] = _added(held[i])
+                settled[i] = held[i].num_rows
+        if sum(settled) > HELD:
+            for i in range(PARCELS):
+                yield from _added(held[i]).to_batches(ROWS)
+                held[i], settled[i] = _NAMED.empty_table(), 0
+    for table in held:
+        yield from _added(table).to_batches(ROWS)
+
+
+def _added(table: pa.Table) -> pa.Table:
+    keys = _NAMED.names[:3]
+    return table.group_by(keys, use_threads=False).aggregate([("n", "sum")]).select([*keys, "n_sum"]).rename_columns(_NAMED.names)
 
 
 def filter_of(hashes: DataFrame, most: int) -> np.ndarray:

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from listingflow.llm import phrases
@@ -165,6 +166,48 @@ def test_a_proposed_phrase_whose_part_was_not_proposed_is_counted_ahead():
     assert named == {p.encode(): 3 for p in every}
 
 
+def test_names_are_handed_on_once_a_core_not_once_a_partition(spark):
+    """Each of 96 partitions holds the same phrases."""
+    ready(spark)
+    cores = spark.sparkContext.defaultParallelism
+    text, send = "one two three four. One two", spark.sparkContext.broadcast
+    texts = spark.range(0, 96 * 5, 1, 96).selectExpr(f"'{text}' AS text", "'en' AS lang")
+    everything, nothing = send(np.full(1, 2**64 - 1, np.uint64)), send(np.zeros(1, np.uint64))
+    wanted = {"": 6, "one": 2, "two": 2, "one two": 2} | dict.fromkeys(["three", "four", "two three", "three four", "one two three"], 1)
+    wanted |= dict.fromkeys(["two three four", "one two three four"], 1)
+    rows = phrases.handed_on(texts, 5, everything, nothing).collect()
+    assert len(rows) <= cores * len(wanted)
+    total = Counter()
+    for row in rows:
+        total[row["lang"], row["k"], row["phrase"]] += row["n"]
+    assert total == {("en", len(p.split()), p): n * 96 * 5 for p, n in wanted.items()}
+    assert rows_of(phrases.by_name(texts, 5, everything, nothing)) == sorted((*key, n) for key, n in total.items())
+
+
+@pytest.mark.parametrize("held", [1, 5, 40, 100_000])
+def test_what_a_task_holds_makes_no_difference(monkeypatch, held):
+    """A task names a phrase once, however many blocks hold it, or anew when it holds too many."""
+    monkeypatch.setattr(phrases, "HELD", held)
+    monkeypatch.setattr(phrases, "BLOCK_WORDS", 50)
+    rows = [(t, "und" if g is None else g) for _, t, g in corpus(11, 60)]
+    batch = pa.RecordBatch.from_arrays([pa.array([g for _, g in rows]), pa.array([t for t, _ in rows])], ["lang", "text"])
+    everything = phrases.Filter(np.full(1, 2**64 - 1, np.uint64))
+    plan = phrases.Plan(1, 5, 5, everything, everything)
+    blocks = list(phrases._blocks([batch], plan))
+    wanted = Counter()
+    for block in blocks:
+        for k, _, found, n in block.count(plan):
+            wanted.update({(block.lang.decode(), k, p.decode()): c for p, c in zip(found, n.tolist(), strict=True)})
+    got = [r for b in phrases.summed(phrases.named(block, plan) for block in blocks) for r in b.to_pylist()]
+    total = Counter()
+    for row in got:
+        total[row["lang"], row["k"], row["phrase"]] += row["n"]
+    assert len(blocks) > 10 and total == wanted
+    if held == 100_000:
+        assert len(got) == len(wanted)
+    assert list(phrases.summed([])) == []
+
+
 def test_large_products_are_exact(spark):
     a, n, left, right = 10**13 + 7, 10**14 + 3, 10**13 + 9, 10**13 + 21
     wide = "cast({}L as decimal(19,0))"
