@@ -351,7 +351,11 @@ def collocations(docs: DataFrame, keep: int = KEEP, share: int = SHARE, **option
     )
     lefts = counts.select("lang", F.col("phrase").alias("left"), F.col("f").alias("l"))
     rights = counts.select("lang", F.col("phrase").alias("right"), F.col("f").alias("r"))
-    scored = cuts.join(lefts, ["lang", "left"]).join(rights, ["lang", "right"]).join(totals, "lang")
+    # A language's cuts are dealt out: its total comes once for each salt.
+    salt = F.pmod(F.xxhash64("phrase"), F.lit(SALTS))
+    dealt = totals.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    scored = cuts.join(lefts, ["lang", "left"]).join(rights, ["lang", "right"])
+    scored = scored.withColumn("salt", salt).join(dealt, ["lang", "salt"]).drop("salt")
     wide = "cast({} as decimal(19,0))"
     product = f"cast(1000 as decimal(4,0)) * {wide.format('a')} * {wide.format('n')}"
     scored = scored.withColumn("score", F.expr(f"({product}) div ({wide.format('l')} * {wide.format('r')})"))
@@ -367,7 +371,7 @@ def collocations(docs: DataFrame, keep: int = KEEP, share: int = SHARE, **option
     kept = best.join(within, ["lang", "phrase"], "left").filter(F.col("f").isNull() | (100 * wide_f < share * wide_a))
     rows = kept.select("lang", "phrase", "a", "best.l", "best.r", "n", "best.score")
     order = [F.desc("score"), F.desc("a"), "phrase"]
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
+    salted = rows.withColumn("salt", salt)
     few = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order)))
     few = few.filter(F.col("rank") <= keep).drop("rank", "salt")
     ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long"))

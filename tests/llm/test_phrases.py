@@ -208,6 +208,19 @@ def test_what_a_task_holds_makes_no_difference(monkeypatch, held):
     assert list(phrases.summed([])) == []
 
 
+def test_a_languages_cuts_do_not_meet_in_one_task(spark, monkeypatch):
+    """No join is dealt by language alone."""
+    ready(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scored = phrases.collocations(frame(spark, corpus(12)), min_count=5, every=1)
+        plan = scored._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    keys = [x.split("]")[0].split(", ") for x in plan.split("SortMergeJoin [")[1:]]
+    assert len(keys) == 4 and all(len(x) > 1 for x in keys)
+
+
 def test_large_products_are_exact(spark):
     a, n, left, right = 10**13 + 7, 10**14 + 3, 10**13 + 9, 10**13 + 21
     wide = "cast({}L as decimal(19,0))"
