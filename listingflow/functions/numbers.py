@@ -10,13 +10,23 @@ from .text import blank_to_null, clean, contains_any, narrow_digits, squeeze
 
 
 
+def _wide(pattern: str) -> str:
+    """A pattern that takes full-width digits too, so that only what it finds is narrowed, not the whole text."""
+    return pattern.replace(r"[\d", "[0-9０-９").replace(r"\d", "[0-9０-９]").replace(r"\D", "[^0-9０-９]")
+
+
+def _digits(c: Column, pattern: str) -> Column:
+    """What the pattern's group finds, in plain digits."""
+    return narrow_digits(F.regexp_extract(c, _wide(pattern), 1))
+
+
 def _as_long(c: Column) -> Column:
     return blank_to_null(F.replace(c, F.lit(","), F.lit(""))).try_cast("bigint")
 
 
 def first_int(c: Column) -> Column:
     """First run of digits and thousands separators, as a number."""
-    return _as_long(F.regexp_extract(narrow_digits(c), r"(\d[\d,]*)", 1))
+    return _as_long(_digits(c, r"(\d[\d,]*)"))
 
 
 def bounded_int(c: Column, low: int, high: int) -> Column:
@@ -25,9 +35,7 @@ def bounded_int(c: Column, low: int, high: int) -> Column:
 
 
 def first_float(c: Column) -> Column:
-    return blank_to_null(
-        F.regexp_extract(narrow_digits(c), r"(\d+(?:\.\d+)?)", 1)
-    ).try_cast("double")
+    return blank_to_null(_digits(c, r"(\d+(?:\.\d+)?)")).try_cast("double")
 
 
 def bounded_float(c: Column, low: float, high: float) -> Column:
@@ -36,9 +44,8 @@ def bounded_float(c: Column, low: float, high: float) -> Column:
 
 
 def _matches(c: Column, patterns: tuple[str, ...], low: int, high: int) -> Column:
-    t = narrow_digits(c)
-    found = F.concat(*[F.regexp_extract_all(t, F.lit(p), 1) for p in patterns])
-    return F.filter(F.transform(found, _as_long), lambda n: n.between(low, high))
+    found = F.concat(*[F.regexp_extract_all(c, F.lit(_wide(p)), 1) for p in patterns])
+    return F.filter(F.transform(found, lambda n: _as_long(narrow_digits(n))), lambda n: n.between(low, high))
 
 
 def rent_in_text(c: Column, high: int, low: int = 3_000, gap: int = 12, pick: str = "max") -> Column:
@@ -61,9 +68,7 @@ def effective_cost(total: Column, rent: Column) -> Column:
 
 
 def area_in_text(c: Column, low: float | None, high: float | None, units: str = "坪") -> Column:
-    n = blank_to_null(
-        F.regexp_extract(narrow_digits(c), rf"(\d+(?:\.\d+)?)(?U:\s*)(?:{units})", 1)
-    ).try_cast("double")
+    n = blank_to_null(_digits(c, rf"(\d+(?:\.\d+)?)(?U:\s*)(?:{units})")).try_cast("double")
     return n if low is None else F.when(n.between(low, high), n)
 
 
@@ -111,7 +116,7 @@ def total_floor(floor: Column) -> Column:
 def update_age_days(c: Column, day_words: str = "內|前") -> Column:
     """Days since the last update as stated in the text; null when not stated."""
     suffix = f"(?:{day_words})?" if "|" in day_words else day_words
-    days = _as_long(F.regexp_extract(narrow_digits(c), rf"(\d+)(?U:\s*)天{suffix}更新", 1))
+    days = _as_long(_digits(c, rf"(\d+)(?U:\s*)天{suffix}更新"))
     return (
         F.when(contains_any(c, ("新上架", "剛剛更新", "今天更新", "今日更新")), F.lit(0))
         .when(c.rlike(r"(?U)\d+\s*(?:分鐘|小時)(?:內|前)?更新"), F.lit(0))

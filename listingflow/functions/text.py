@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from . import vocabulary as V
 
 SPACE = r"(?U)\s+"
+# What ``(?U)\s`` takes, one by one.
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def let(value: Column, body) -> Column:
@@ -30,11 +32,11 @@ def blank_to_null(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim every kind of Unicode white space, not only blanks."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def clean(c: Column) -> Column:
-    return strip(F.regexp_replace(c, SPACE, " "))
+    return F.trim(F.regexp_replace(c, SPACE, " "))
 
 
 def squeeze(c: Column) -> Column:
@@ -78,7 +80,7 @@ def short_summary(c: Column, limit: int = 160) -> Column:
 
 def normalize_spelling(c: Column) -> Column:
     """Common spelling variants of place names."""
-    return F.replace(F.translate(strip(c), "臺", "台"), F.lit("峨嵋鄉"), F.lit("峨眉鄉"))
+    return F.replace(F.replace(strip(c), F.lit("臺"), F.lit("台")), F.lit("峨嵋鄉"), F.lit("峨眉鄉"))
 
 
 # Full-width ASCII block (U+FF01..U+FF5E) and the ideographic space.

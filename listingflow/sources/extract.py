@@ -13,7 +13,7 @@ from ..functions import vocabulary as V
 from ..functions.text import blank_to_null
 from ..operators.dedupe import first_wins
 from ..operators.gazetteer import Gazetteer, PlaceTable, address_in_text
-from .dom import CANDIDATE_DDL, CARD, DETAIL, JSONLD, STATE, page_reader
+from .dom import CANDIDATE_DDL, CARD, DETAIL, JSONLD, STATE, arrow_page_reader
 from .pages import page_errors
 from .specs import SourceSpec
 
@@ -22,8 +22,8 @@ def page_candidates(pages: DataFrame, spec: SourceSpec) -> DataFrame:
     """One row per possible record of each page. Only columns the parser needs go to Python."""
     for_pages(pages.sparkSession)
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "source", F.col("url").alias("page_url"), "html").mapInPandas(
-        page_reader(spec.page_rules()),
+    return pages.select("page_id", "source", F.col("url").alias("page_url"), "html").mapInArrow(
+        arrow_page_reader(spec.page_rules()),
         f"page_id {kind}, source string, page_url string, {CANDIDATE_DDL}",
     )
 
@@ -58,6 +58,7 @@ def generic_records(found: DataFrame, spec: SourceSpec, gazetteer: Gazetteer | P
             ).otherwise(text),
         )
         .withColumn("raw_text", X.clean(text))
+        .withColumn("room_text", F.when(is_object, F.concat_ws("\n", F.coalesce("room", F.lit("")), text)).otherwise(text))
         .withColumn("floor", N.floor_text(text))
         .withColumn("given_price", _first(F.col("prices"), lambda v: N.bounded_int(v, 1_000, spec.max_rent)))
         .withColumn("text_rent", N.rent_in_text(text, spec.max_rent))
@@ -141,10 +142,7 @@ def generic_records(found: DataFrame, spec: SourceSpec, gazetteer: Gazetteer | P
         rent.alias("rent"),
         N.total_cost(rent, F.col("fee")).alias("total_monthly_cost"),
         F.coalesce("given_area", "text_area").alias("area_ping"),
-        N.room_type(
-            F.when(is_object, F.concat_ws("\n", F.coalesce("room", F.lit("")), text)).otherwise(text),
-            N.ROOM_RULES,
-        ).alias("room_type"),
+        N.room_type(F.col("room_text"), N.ROOM_RULES).alias("room_type"),
         floor.alias("floor"),
         F.col("raw_text").alias("description"),
         F.array_distinct(F.concat(F.coalesce("tags", F.array().cast("array<string>")), labels)).alias("tags"),

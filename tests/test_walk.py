@@ -3,6 +3,7 @@
 import json
 import random
 import time
+from html import parser
 
 import pytest
 from pyspark.sql import functions as F
@@ -171,3 +172,65 @@ def test_details_of_the_portal(spark):
     assert got == {str(204_801 + i): 12_000 if i < PORTAL.detail_limit else None for i in range(5)}
     assert PORTAL in SPECS and PORTAL.detail_limit == 3
     assert [r.code for r in refused.collect()] == [] and kept.count() == 2
+
+
+DEEP_TEXTS = ['{"a":' * DEEP + "1" + "}" * DEEP, "[" * DEEP, '{"t":"\\"[","x":[' * 6_000 + "]}" * 6_000, "[" * DEEP + "}" * DEEP]
+
+
+@pytest.mark.parametrize("text", DEEP_TEXTS, ids=range(len(DEEP_TEXTS)))
+def test_deep_text_is_not_read_sign_by_sign(monkeypatch, text):
+    slow = walk.Reading._read
+    monkeypatch.setattr(walk.Reading, "_read", lambda *_: pytest.fail("read sign by sign"))
+    found = walk.read(text)
+    monkeypatch.setattr(walk.Reading, "_read", slow)
+    monkeypatch.setattr(walk.Reading, "_read_at_once", lambda self: None)
+    wanted = walk.read(text)
+    assert (found is None) == (wanted is None)
+    if found:
+        assert found.spans == wanted.spans and [found.text(i) for i in (0, 5_000)] == [wanted.text(i) for i in (0, 5_000)]
+
+
+def test_texts_in_layers(monkeypatch):
+    """Whatever the depth of a layer, what stands in it is what the library reads; repeated names and half characters too."""
+    monkeypatch.setattr(walk, "LAYER", 2)
+    for text in [*TEXTS, '{"a": [[[{"b": [0.01e0, "]", {}]}]], -1]}', "[[[[1]]]] ", '[-{"a": [[]]}]', "[1[[]]]", "[[[]5]]"]:
+        text = text.strip(" \t\n\r")
+        if text[:1] in ("[", "{"):
+            wanted = library(text)
+            try:
+                value, end, _ = walk._scan_deep(text)
+                got = value if end == len(text) else ValueError
+            except (ValueError, StopIteration):
+                got = ValueError
+            assert (got is ValueError) == (wanted is ValueError) and (got is ValueError or plain(got) == plain(wanted)), text
+    for raw in ['{"a": 1, "a": {"b": 2}}', '["\\ud800"]', '["\\ud83d\\ude00"]', '["\\\\ud83d\\ude00"]']:
+        at_once = walk.read(raw)
+        monkeypatch.setattr(walk.Reading, "_read_at_once", lambda self: None)
+        assert (at_once.root, at_once.spans, at_once.repeated) == (walk.read(raw).root, walk.read(raw).spans, walk.read(raw).repeated)
+        monkeypatch.undo()
+
+
+MARKUP = [
+    "<p>a &amp; b<br>c</p>", '<a href="/x?a=1&amp;b" title=q>t</a><img src=\'y\' /><li>1<li>2', "<!doctype html><title>a - b</title><!-- c --><b>&lt;</b",
+    "<script>if (a<b) {}</script>x<style>p{}</STYLE >y", "<script>x</scr", "<title>a <b>c</title>", "<textarea><p></textarea>", "a < b <1>", "<div a=1/>z",
+    "<!-- a -- b -->", "<?pi?>x", "</p x>y", "<script/>a", '<p a="1"b="2">', "<a href=x\ty>&copy", "<P CLASS='A B'>Q</p >", "&", "", "</ script>",
+]
+
+
+def test_plain_markup_is_read_as_the_library_reads(monkeypatch):
+    parts = ("names", "attrs", "parents", "last", "text_from", "text_to", "strings", "owners", "hidden")
+    texts = [*MARKUP, *(a + b for a in MARKUP for b in MARKUP)]
+    found = [Outline(t) for t in texts]
+    monkeypatch.setattr(Outline, "_read_plain", lambda *_: False)
+    for text, page in zip(texts, found, strict=True):
+        other = Outline(text)
+        assert [getattr(page, p) for p in parts] == [getattr(other, p) for p in parts], text
+
+
+def test_pages_that_tell_nothing_are_not_parsed(monkeypatch):
+    """Only scripts, links and detail pages tell of records; plain markup needs no general parser."""
+    rules = RAKUYA.page_rules()
+    monkeypatch.setattr(parser.HTMLParser, "feed", lambda *_: pytest.fail("the library's parser was asked"))
+    assert Outline("<p>a<b>c").names == ["", "p", "b"]
+    monkeypatch.setattr("listingflow.sources.dom.Outline", lambda *_: pytest.fail("parsed"))
+    assert list(candidates("https://x.example/list", "<div><b>" * 20_000, rules)) == []
