@@ -78,13 +78,15 @@ def generic_records(found: DataFrame, spec: SourceSpec, gazetteer: Gazetteer | P
         )
     )
     placed = gazetteer.add_place(titled, "place_text", "city", "district")
-    staged = gazetteer.add_place(placed, "text", out="text_place")
-    located = F.coalesce("city", "district", "address").isNotNull() | F.col("text_place.district").isNotNull()
-    signal = (
+    told = (
         F.coalesce("given_price", "text_rent").isNotNull()
         | F.coalesce("given_area", "text_area").isNotNull()
-        | located
+        | F.coalesce("city", "district", "address").isNotNull()
     )
+    # A place in the text alone is asked for only where nothing else is a signal.
+    asked = placed.withColumn("_asked", F.when(is_object & ~told, text))
+    staged = gazetteer.add_place(asked, "_asked", out="text_place").drop("_asked")
+    signal = told | F.col("text_place.district").isNotNull()
     kept = staged.withColumn(
         "valid",
         (F.trim(text) != "")

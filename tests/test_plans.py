@@ -9,12 +9,13 @@ from listingflow.operators.dedupe import first_wins, mark_duplicates
 from listingflow.operators.outbox import announce, watch_top_n
 from listingflow.operators.state import mark_notified, upsert
 from listingflow.schema import conform
+from listingflow.sources.extract import extract_records
 from listingflow.sources.pages import url_policy
 from listingflow.sources.registry import read_once
-from listingflow.sources.specs import SPECS
+from listingflow.sources.specs import SPECS, SourceSpec
 from listingflow.sources.store import StateStore
 
-from .fixtures import records
+from .fixtures import gazetteer, records
 
 
 def plan(df) -> str:
@@ -135,3 +136,15 @@ def test_state_reads_prune_the_snapshot(spark, folder):
     before = text[text.index("LeftAnti") : text.index("FileScan")]
     assert "Exchange" not in before and "BroadcastHashJoin" in text
     assert sorted(r.rent for r in live.collect()) == [2, 18000]
+
+
+def test_page_records_narrow_only_what_they_find(spark):
+    """The page pass hands on Arrow batches, and no whole text is rewritten digit by digit to find numbers in it."""
+    spark.conf.set("spark.sql.maxToStringFields", "1000")
+    pages = spark.createDataFrame([(1, "https://x.example/en/1", "<p>租金１２,０００元 8坪")], "page_id int, url string, html string")
+    web = SourceSpec(name="web", ordinal=1, detail_url_patterns=(r"example/en/(\d+)",))
+    records, _ = extract_records(pages, web, gazetteer(spark))
+    text = plan(records)
+    spark.conf.unset("spark.sql.maxToStringFields")
+    assert "MapInArrow" in text and "translate(text" not in text
+    assert records.select("rent", "area_ping").first() == (12_000, 8.0)
