@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from listingflow.operators import gazetteer as G
+from listingflow.operators import place_table
 from listingflow.operators.place_table import PlaceTable
 from listingflow.sources.registry import extract_all
 
@@ -177,3 +178,17 @@ def test_the_work_does_not_grow_with_texts_times_names(spark):
     many, few = (PlaceTable(places, block=block)._hits(texts) for block in (10, 1_000))
     assert many._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     assert sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_pieces_begin_and_end_as_names_do(spark, monkeypatch, most):
+    """However little the filter tells, few pieces of a text meet the names; hits stay the same."""
+    monkeypatch.setattr(place_table, "MOST_ENDS", most)
+    monkeypatch.setattr(place_table, "MOST_BITS", 1 << 10)
+    places = spark.range(2_000).selectExpr("concat('C', id % 7) AS city", "id AS region_id", "concat('W', id, '區') AS district", "id AS section_id", "id AS ord")
+    texts = spark.createDataFrame([("a", 0, "W7區W17區 W7區 C3" + "".join(chr(97 + i * i * i % 89 % 23) for i in range(1_000))), ("b", 0, "W1999區𠀀"), ("c", 0, "區W")], "key string, what int, text string")
+    table, whole = PlaceTable(places, block=10), PlaceTable(places, block=100_000)
+    hits = table._hits(texts)
+    assert sorted(map(str, hits.collect())) == sorted(map(str, whole._hits(texts).collect()))
+    pieces = texts.mapInArrow(place_table._pieces(table._sent), "key string, " + place_table._PIECE).count()
+    assert pieces < 10 if most else pieces > 100
