@@ -322,6 +322,6 @@ def collect_sources(spark, sf):
     )
     details = cards.filter("_shown = q").select(F.col("k").alias("page_id"), F.col("site").alias("source"), F.col("link").alias("url"), F.expr(SITE_DETAIL).alias("html"))
     records, refused, _ = collect_all(listed, gazetteer(spark, sf), [spec for spec, _, _ in SITES.values()], details)
-    met = refused.join(listed.select("source", "url", "search", "page"), ["source", "url"]).select("source", F.col("code").alias("kind"), "search", "page")
+    met = refused.join(listed.select("source", "url", "search", "page").hint("merge"), ["source", "url"]).select("source", F.col("code").alias("kind"), "search", "page")
     told = records.select("source", F.lit("record").alias("kind"), "listing_id", "search", "page", "district", "rent", "area_ping")
     return told.unionByName(met, allowMissingColumns=True)

@@ -66,7 +66,7 @@ def merge_details(
         .drop("_use")
     )
     if fetched is not None:
-        found = fetched.select(*on).distinct().join(found, list(on), "left")
+        found = fetched.select(*on).distinct().join(found.hint("merge"), list(on), "left")
     found = found.withColumn("_seen", F.lit(True))
     chosen = (
         attach_facts(uses, found, on)
@@ -75,7 +75,7 @@ def merge_details(
         .filter(F.col("_turn") <= limit)
         .select(page, position, "_d")
     )
-    joined = marked.join(chosen, [page, position], "left")
+    joined = marked.join(chosen.hint("merge"), [page, position], "left")  # its size is a guess, of rows that may be many
     types = dict(records.dtypes)
     have = set(details.columns)
     new: dict[str, Column] = {}

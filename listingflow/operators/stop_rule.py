@@ -41,7 +41,7 @@ def kept_pages(
     name = F.unhex(F.sha2(F.to_json(F.struct(*key), {"ignoreNullFields": "false"}), 256))
     listed = pages.select("search", "page").distinct()
     # A search shows a record from the first of its pages on that has it: one row each, whatever the pages.
-    shown = records.join(listed, ["search", "page"], "left_semi").groupBy("search", name.alias("id")).agg(F.min("page").alias("page"))
+    shown = records.join(listed.hint("merge"), ["search", "page"], "left_semi").groupBy("search", name.alias("id")).agg(F.min("page").alias("page"))
     allowed = F.lit(misses) if isinstance(misses, int) else misses
     asked = pages.groupBy("search", "page").agg(F.min("n_parsed").cast("long").alias("n_parsed"), F.min(allowed).cast("int").alias("misses"))
     rows = shown.select("search", "page", "id").unionByName(asked.withColumn("id", F.lit(None).cast("binary")), allowMissingColumns=True)
@@ -61,7 +61,7 @@ def kept_pages(
         redone = _walk(marked.filter(F.col("block").isin(moved)), blocks)
         walked = cut(walked.filter(~F.col("block").isin(moved)).unionByName(redone))
     done = walked.filter("id IS NULL").select("search", "page", "n_new", "kept", "ended")
-    out = pages.select("search", "page", "n_parsed").join(done, ["search", "page"])
+    out = pages.select("search", "page", "n_parsed").join(done.hint("merge"), ["search", "page"])
     return out.select("search", "page", "n_parsed", "n_new", "kept", *(["ended"] if with_end else []))
 
 

@@ -22,6 +22,15 @@ from .specs import SPECS, SourceSpec
 PLACES = ("source", "url", "page_id", "strategy", "pos", "source_ord")
 
 
+def measured(df: DataFrame) -> DataFrame:
+    """One side of a join, which Spark is not to broadcast for the size it expects.
+
+    It guesses from the files a table began as, and knows nothing of markup made longer, of lists taken apart or of what
+    Python returns: sides of hundreds of MB passed as a few, and were put together in the driver.
+    """
+    return df.hint("merge")
+
+
 def by_source(specs: Sequence[SourceSpec], value: Callable[[SourceSpec], Column]) -> Column:
     """The value of the row's source; null for other sources."""
     return F.coalesce(*[F.when(F.col("source") == s.name, value(s)) for s in specs])
@@ -58,17 +67,17 @@ def collect_all(
     is_paged = F.col("source").isin(*[s.name for s in paged])
     if not paged:
         kept = seen.filter("1 = 0").select("source", "search", "page", *[F.lit(0).cast("long").alias(c) for c in ("n_parsed", "n_new")])
-        records = rows.join(seen.select("source", "page_id", "search", "page"), ["source", "page_id"])
+        records = rows.join(measured(seen.select("source", "page_id", "search", "page")), ["source", "page_id"])
         return _unique(records), _refused(seen, F.col("message")), kept.withColumn("kept", F.lit(True))
 
     readable = seen.filter(is_paged & F.col("code").isNull()).select("source", "page_id", "search", "page", "page_url")
     counts = rows.groupBy("source", "page_id").agg(F.count("*").alias("n_parsed"))
-    shown = readable.join(counts, ["source", "page_id"], "left").na.fill(0, ["n_parsed"])
+    shown = readable.join(measured(counts), ["source", "page_id"], "left").na.fill(0, ["n_parsed"])
     numbered = readable.drop("page_url")
     filled, skipped = rows.filter(is_paged), None
     if detail_pages is not None and any(s.detail_limit for s in paged):
         filled, skipped = _filled(filled, detail_pages, gazetteer, [s for s in paged if s.detail_limit], extractors)
-    fresh = recent(filled, by_source(paged, lambda s: F.lit(s.max_age_days))).join(numbered, ["source", "page_id"])
+    fresh = recent(filled, by_source(paged, lambda s: F.lit(s.max_age_days))).join(measured(numbered), ["source", "page_id"])
 
     # Searches run source by source; what one source showed is nothing to another, as the key names the source.
     search = F.struct(by_source(paged, lambda s: F.lit(s.ordinal)).alias("ordinal"), "source", "search")
@@ -82,7 +91,7 @@ def collect_all(
     # A refused page is met if it is its search's first, or if the search went on after the page before.
     before = kept.select("source", "search", (F.col("page") + 1).alias("page"), (F.col("kept") & ~F.col("ended")).alias("_on"))
     blocked = seen.filter(is_paged & F.col("code").isNotNull())
-    met = blocked.join(before, ["source", "search", "page"], "left").filter("page = 0 OR _on")
+    met = blocked.join(measured(before), ["source", "search", "page"], "left").filter("page = 0 OR _on")
     ends = {r["source"]: r["at"] for r in met.groupBy("source").agg(F.min(F.struct("search", "page")).alias("at")).collect()}
     kinds = dict(seen.dtypes)
     end = F.coalesce(
@@ -100,7 +109,7 @@ def collect_all(
     told = seen.filter(~is_paged | (place == end))
     empty = (
         readable.filter((F.col("page") == 0) & counts_still)
-        .join(rows.select("source", "page_id").distinct(), ["source", "page_id"], "left_anti")
+        .join(measured(rows.select("source", "page_id").distinct()), ["source", "page_id"], "left_anti")
         .select(
             "source", F.col("page_url").alias("url"), F.lit("EMPTY_RESULT").alias("code"),
             F.lit("no listings parsed from rendered HTML").alias("message"),
@@ -109,10 +118,10 @@ def collect_all(
     refused = _refused(told, F.col("message")).unionByName(empty)
     if skipped is not None:
         refused = refused.unionByName(skipped)
-    live = fresh.join(kept.filter("kept").select("source", "search", "page"), ["source", "search", "page"], "left_semi")
+    live = fresh.join(measured(kept.filter("kept").select("source", "search", "page")), ["source", "search", "page"], "left_semi")
     if len(paged) < len(used):
         own = seen.filter(~is_paged).select("source", "page_id", "search", "page")
-        live = live.unionByName(rows.filter(~is_paged).join(own, ["source", "page_id"]))
+        live = live.unionByName(rows.filter(~is_paged).join(measured(own), ["source", "page_id"]))
     return _unique(live), refused, kept
 
 
@@ -138,7 +147,7 @@ def _filled(
     good = fetched.filter("code IS NULL")
     details = first_wins(_built(found, specs, gazetteer, extractors), ["source", "page_id"], [F.col("strategy"), F.col("pos")])
     names = [c for c in details.columns if c not in PLACES]
-    by_url = details.join(good.select("source", "page_id", F.col("page_url").alias("_at")), ["source", "page_id"]).select(
+    by_url = details.join(measured(good.select("source", "page_id", F.col("page_url").alias("_at"))), ["source", "page_id"]).select(
         "source", F.col("_at").alias("url"), *names
     )
     filled = merge_details(

@@ -9,10 +9,11 @@ from listingflow.operators.dedupe import first_wins, mark_duplicates
 from listingflow.operators.outbox import announce, watch_top_n
 from listingflow.operators.state import mark_notified, upsert
 from listingflow.schema import conform
+from listingflow.sources.collect import collect_source
 from listingflow.sources.extract import extract_records
 from listingflow.sources.pages import url_policy
 from listingflow.sources.registry import read_once
-from listingflow.sources.specs import SPECS, SourceSpec
+from listingflow.sources.specs import PORTAL, SPECS, SourceSpec
 from listingflow.sources.store import StateStore
 
 from .fixtures import gazetteer, records
@@ -148,3 +149,12 @@ def test_page_records_narrow_only_what_they_find(spark):
     spark.conf.unset("spark.sql.maxToStringFields")
     assert "MapInArrow" in text and "translate(text" not in text
     assert records.select("rent", "area_ping").first() == (12_000, 8.0)
+
+
+def test_collection_broadcasts_nothing_of_guessed_size(spark):
+    """What pages, cards and details come to isn't known from the files they began as; no side of theirs goes through the driver."""
+    html = '<a href="https://rent.591.com.tw/204801">獨立套房 8坪 永和區 9,000 元/月</a>'
+    pages = spark.createDataFrame([(1, 0, 0, "https://rent.591.com.tw/list?kind=2", html)], "page_id int, search int, page int, url string, html string")
+    records, refused, kept = collect_source(pages, PORTAL, gazetteer(spark))
+    assert [r.listing_id for r in records.collect()] == ["204801"]
+    assert not any("BroadcastHashJoin" in plan(df) for df in (records, refused, kept))
